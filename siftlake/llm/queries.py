@@ -41,5 +41,30 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules, op10_quality_classifier)}
-ORACLES = {"op8_quality_rules": OP8_SQL}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from siftlake.llm.packing import digest, pack
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return digest(pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=1))
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftlake.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+OP5_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op5_exact_topk, op8_quality_rules, op10_quality_classifier)}
+ORACLES = {"op5_exact_topk": OP5_SQL, "op8_quality_rules": OP8_SQL}
