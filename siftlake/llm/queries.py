@@ -41,6 +41,28 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftlake.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2, pct=80)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws
+                          ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, md5(CAST(list_sort(sh) AS VARCHAR)) AS k, sh FROM s),
+c AS (SELECT k, min(doc_id) AS rep, any_value(n_shingles) AS m FROM n WHERE n_shingles > 0 GROUP BY k),
+x AS (SELECT c.rep, c.m, unnest(n.sh) AS g FROM c JOIN n ON n.doc_id = c.rep),
+e AS MATERIALIZED (SELECT a.rep AS u, b.rep AS v FROM x a JOIN x b ON a.g = b.g AND a.rep <> b.rep AND 100 * least(a.m, b.m) >= 80 * greatest(a.m, b.m)
+      GROUP BY a.rep, b.rep, a.m, b.m HAVING 100 * count(*) >= 80 * (a.m + b.m - count(*))),
+r(u, v) AS (SELECT rep, rep FROM c UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u),
+t AS (SELECT u, min(v) AS comp FROM r GROUP BY u)
+SELECT n.doc_id, n.n_shingles, coalesce(t.comp, n.doc_id) AS component_id, n.doc_id = coalesce(t.comp, n.doc_id) AS kept
+FROM n LEFT JOIN c ON n.k = c.k AND n.n_shingles > 0 LEFT JOIN t ON t.u = c.rep
+"""
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -66,5 +88,5 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op5_exact_topk, op8_quality_rules, op10_quality_classifier)}
-ORACLES = {"op5_exact_topk": OP5_SQL, "op8_quality_rules": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_packing, op5_exact_topk, op8_quality_rules, op10_quality_classifier)}
+ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op5_exact_topk": OP5_SQL, "op8_quality_rules": OP8_SQL}
