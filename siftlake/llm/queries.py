@@ -88,5 +88,53 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_packing, op5_exact_topk, op8_quality_rules, op10_quality_classifier)}
-ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op5_exact_topk": OP5_SQL, "op8_quality_rules": OP8_SQL}
+#: The rules of the contract.
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A url's last number is the id of the document behind it, which `labels` may mark as bad (quality 0 or toxic)."""
+    from siftlake.llm.url_filter import host_and_path, judge_urls
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad"))
+    number = F.regexp_extract(host_and_path(F.col("url"))[1], "/([0-9]{1,18})(?:[.]html)?/?$", 1)
+    labelled = pages.select("url", F.when(number != "", number.cast("long")).alias("doc_id")).join(labels, "doc_id").select("url", "bad")
+    return judge_urls(pages, labelled, URL_RULES)
+
+
+OP7_SQL = r"""
+WITH a AS (SELECT page_id, url, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+d AS (SELECT *, array_to_string(list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
+        lambda s: CASE WHEN regexp_matches(s, '^[0-9]+$') THEN '<n>' WHEN regexp_matches(s, '^[0-9]+[.][A-Za-z0-9]+$') THEN '<n>' || regexp_extract(s, '[.][A-Za-z0-9]+$')
+                       WHEN regexp_matches(s, '^[0-9a-fA-F-]{8,}$') THEN '<x>' ELSE s END), '/') AS shape,
+        TRY_CAST(nullif(regexp_extract(path, '/([0-9]{1,18})(?:[.]html)?/?$', 1), '') AS BIGINT) AS num FROM b),
+l AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
+s AS (SELECT host, shape, CAST(count(l.bad) AS DOUBLE) AS n, CAST(coalesce(sum(l.bad), 0) AS DOUBLE) AS bad, CASE WHEN shape = '' THEN [] ELSE string_split(shape, '/') END AS parts
+      FROM d LEFT JOIN l ON d.num = l.doc_id GROUP BY host, shape),
+st AS (SELECT host, shape, i AS pos, parts[i + 1] AS seg, coalesce(array_to_string(parts[1:i], '/'), '') AS parent FROM s, unnest(range(0, len(parts))) AS r(i)),
+wd AS (SELECT host, parent FROM st GROUP BY host, parent HAVING count(DISTINCT seg) > 50),
+tm AS (SELECT st.host, st.shape, list(CASE WHEN wd.host IS NULL THEN seg ELSE '*' END ORDER BY pos) AS t FROM st LEFT JOIN wd ON st.host = wd.host AND st.parent = wd.parent GROUP BY st.host, st.shape),
+nm AS (SELECT s.host, s.shape, s.n, s.bad, coalesce(tm.t, []) AS t FROM s LEFT JOIN tm ON s.host = tm.host AND s.shape = tm.shape),
+px AS (SELECT host, coalesce(array_to_string(t, '/'), '') AS template, n, bad, i AS depth, coalesce(array_to_string(t[1:i], '/'), '') AS node, coalesce(array_to_string(t[1:greatest(i - 1, 0)], '/'), '') AS parent
+       FROM nm, unnest(range(0, len(t) + 1)) AS r(i)),
+nd AS (SELECT host, depth, node, parent, sum(n) AS n, sum(bad) AS bad FROM px GROUP BY ALL),
+ts AS (SELECT c.*, coalesce(c.n > 0 AND abs(c.bad / c.n - p.bad / p.n) <= 1.96 * sqrt(p.bad / p.n * (1 - p.bad / p.n) / c.n), false) AS alike
+       FROM nd c LEFT JOIN nd p ON c.host = p.host AND c.depth = p.depth + 1 AND c.parent = p.node),
+ow AS (SELECT ts.host, ts.depth, ts.node, CASE WHEN alike THEN sum(CASE WHEN alike THEN n END) OVER w ELSE n END AS n, CASE WHEN alike THEN sum(CASE WHEN alike THEN bad END) OVER w ELSE bad END AS bad
+       FROM ts WINDOW w AS (PARTITION BY host, depth, parent)),
+pr AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS p FROM nd WHERE depth = 0),
+ju AS (SELECT q.host, q.template, list_reduce(list({'n': ow.n, 'bad': ow.bad} ORDER BY q.depth), lambda a, x: {'n': 0.0::DOUBLE, 'bad': (x.bad + 4 * a.bad) / (x.n + 4)}, {'n': 0.0::DOUBLE, 'bad': (SELECT p FROM pr)}).bad > 0.5 AS reject
+       FROM (SELECT DISTINCT host, template, depth, node FROM px) q JOIN ow ON q.host = ow.host AND q.depth = ow.depth AND q.node = ow.node GROUP BY q.host, q.template),
+ru AS (SELECT page_id, host, path, shape, CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+         WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+         WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/'
+         WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM d)
+SELECT page_id, ru.host, ru.path, rule, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN ju.reject THEN 'block' ELSE 'allow' END AS verdict
+FROM ru JOIN nm ON ru.host = nm.host AND ru.shape = nm.shape JOIN ju ON ju.host = nm.host AND ju.template = coalesce(array_to_string(nm.t, '/'), '')
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_packing, op5_exact_topk, op7_url_filter, op8_quality_rules, op10_quality_classifier)}
+ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op5_exact_topk": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_quality_rules": OP8_SQL}
