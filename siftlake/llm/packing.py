@@ -17,6 +17,7 @@ sequences; extra columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,14 +30,20 @@ from pyspark.sql import functions as F
 from siftlake.llm.common import Scratch
 
 HASHED, DIMS, BITS = 1024, 4, 12
-CACHED_WORDS = 500_000
+CACHED_WORDS = 400_000
+
+
+#: A mark that ends a word, and words that are one run of letters with or without one run of marks.
+END_MARK = re.compile(rb"(?<=[a-z0-9])[,.](?=[ \n]|\Z)")
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?|]*)").fullmatch
 
 
 class WordCache:
-    """Ids of texts, by words: exact for a tokenizer that drops white space and never joins across it.
+    """Ids of texts, by words: exact for the lower-casing tokenizer that drops white space and never joins across it.
 
-    A text is split at ASCII white space, which such a tokenizer drops; each word is encoded once while it is
-    cached. Ids are kept as little-endian bytes, 2 each if the vocabulary allows.
+    Texts are lower-cased (A-Z), split at ASCII white space and before a comma or full stop that ends a word, where the
+    tokenizer splits too; each word is encoded once while it is cached. Ids are kept as little-endian bytes,
+    2 each if the vocabulary allows. Texts that spell a special token are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -52,47 +59,42 @@ class WordCache:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in got]
-
-    def encode_runs(self, runs: list[str]) -> list[bytes]:
-        """Of runs of letters or of marks: each ends in one id with the end-of-word mark, so one call encodes all."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(runs)], add_special_tokens=False)[0].ids, self.dtype)
-        stop = np.flatnonzero(self.ends[ids]) + 1
-        if len(stop) != len(runs):
-            return self.encode(runs)
-        raw, at = ids.tobytes(), [0, *(stop * self.dtype.itemsize).tolist()]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_plain(self, words: list[str], runs: list[int]) -> list[bytes]:
+        """One call for many plain words: every run ends in one id with the end-of-word mark."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+        stop, need = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(runs)
+        if len(stop) != need[-1]:
+            return self.encode(words)
+        raw, at = ids.tobytes(), [0, *(stop[need - 1] * self.dtype.itemsize).tolist()]
         return [raw[a:b] for a, b in zip(at, at[1:])]
 
-    def learn(self, words: set[bytes]) -> None:
-        """A plain word with end marks is its letters' ids and its marks' ids: the tokenizer splits between the two."""
-        if len(self.parts) > CACHED_WORDS:
-            self.parts.clear()
-        whole, split = [], []
-        for w in words:
-            s = w.decode("utf-8", "replace")
-            letters = s.rstrip(".,;:!?")
-            if letters.isascii() and letters.isalpha() and len(letters) > 2 or letters.isalpha() and letters.lower() == letters and "à" <= max(letters) <= "ÿ":
-                split.append((w, letters.lower(), s[len(letters) :]))
+    def learn(self, words: list[bytes]) -> None:
+        plain, other = ([], [], []), ([], [])
+        for w, s in zip(words, b"\n".join(words).decode("utf-8", "replace").split("\n")):
+            if m := PLAIN(s):
+                plain[0].append(w)
+                plain[1].append(s)
+                plain[2].append(2 if m[1] else 1)
             else:
-                whole.append((w, s))
-        new = list({p for _, a, b in split for p in (a, b) if p and p not in self.parts})
-        self.parts.update(zip(new, self.encode_runs(new)))
-        self.parts[""] = b""
-        self.known.update((w, self.parts[a] + self.parts[b]) for w, a, b in split)
-        self.known.update(zip([w for w, _ in whole], self.encode([s for _, s in whole])))
+                other[0].append(w)
+                other[1].append(s)
+        for lo in range(0, len(plain[0]), 4096):
+            self.known.update(zip(plain[0][lo : lo + 4096], self.encode_plain(plain[1][lo : lo + 4096], plain[2][lo : lo + 4096])))
+        self.known.update(zip(other[0], self.encode(other[1])))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        split = [(x or "").encode("utf-8", "replace").split() for x in texts]
-        new = {w for ws in split for w in ws if w not in self.known}
+        raw = [(x or "").encode("utf-8", "replace") for x in texts]
+        split = [None if b"<|" in x else END_MARK.sub(rb" \g<0>", x.lower()).split() for x in raw]
+        new = [w for w in set().union(*(ws or () for ws in split)) if w not in self.known]
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known.clear()
-            new = set().union(*split)
+            new = list(set().union(*(ws or () for ws in split)))
         self.learn(new)
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in split]
+        return [self.encode([x or ""])[0] if ws is None else b"".join(map(self.known.__getitem__, ws)) for x, ws in zip(texts, split)]
 
 
 @lru_cache(maxsize=2)
@@ -167,7 +169,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int | None, text: str = "
 
 
 def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, end_id: int | None = 1, text: str = "text", id_col: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
-    """The pieces: id, start, length, doc_tokens, sequence_id, offset and ids (array<int>).
+    """The pieces: id, start, length, doc_tokens, sequence_id, offset and ids (bytes, see id_type).
 
     sequence_id counts from 0 along the curve; the pieces of a sequence fill it from offset 0 without gaps.
     """
@@ -177,7 +179,7 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, end_id: int | N
     # A row number that holds in every later job, as it is written.
     toks = scratch.keep(tokenised(docs, tokenizer, end_id, text, id_col).withColumn("row", F.monotonically_increasing_id()), "tokens")
     places = _places(toks.select("row", id_col, "curve", "n_tokens"), id_col, scratch)
-    wide = np.dtype("<u2" if _vocab_size(tokenizer) <= 1 << 16 else "<u4")
+    wide = id_type(tokenizer)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -193,13 +195,14 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, end_id: int | N
                 stop = np.minimum((seq + 1) * length, at[which] + n[which])
                 start = begin - at[which]
                 raw = b.column("ids")
-                ids = np.concatenate([np.frombuffer(raw[i].as_py(), wide) for i in range(b.num_rows)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(stop - begin)]).astype(np.int32)), pa.array(ids))
-                cols = [b.column(id_col).take(pa.array(which)), *(pa.array(x.astype(np.int64)) for x in (start, stop - begin, n[which], seq, begin - seq * length)), lists]
+                w = wide.itemsize
+                parts = [raw[i].as_py() for i in range(b.num_rows)]
+                ids = [parts[i][x * w : y * w] for i, x, y in zip(which.tolist(), start.tolist(), (stop - at[which]).tolist())]
+                cols = [b.column(id_col).take(pa.array(which)), *(pa.array(x.astype(np.int64)) for x in (start, stop - begin, n[which], seq, begin - seq * length)), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=[id_col, "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
     placed = toks.select("row", id_col, "n_tokens", "ids").join(places.hint("merge"), "row").where("n_tokens > 0")
-    return placed.select(id_col, "n_tokens", "place", "ids").mapInArrow(cut, f"{id_col} {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>")
+    return placed.select(id_col, "n_tokens", "place", "ids").mapInArrow(cut, f"{id_col} {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
 def _vocab_size(path: str) -> int:
@@ -232,21 +235,19 @@ def _places(keys: DataFrame, id_col: str, scratch: Scratch) -> DataFrame:
     return ranged.select("row", (F.col("within") + before[F.col("part")]).alias("place"))
 
 
-def crc32_of(ids: np.ndarray) -> int:
-    """Of the ids as little-endian unsigned 32-bit numbers."""
-    return zlib.crc32(ids.astype("<u4").tobytes())
+def id_type(tokenizer: str) -> np.dtype:
+    """How `ids` holds an id: 2 or 4 bytes, little-endian."""
+    return np.dtype("<u2" if _vocab_size(tokenizer) <= 1 << 16 else "<u4")
 
 
-def digest(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The pieces with ids_crc32 in place of their ids."""
-    kind = pieces.schema[id_col].dataType.simpleString()
+def digest(pieces: DataFrame, tokenizer: str, id_col: str = "doc_id") -> DataFrame:
+    """The pieces with ids_crc32, of the ids as little-endian unsigned 32-bit numbers, in place of their ids."""
+    kind, wide = pieces.schema[id_col].dataType.simpleString(), id_type(tokenizer)
     rest = ["start", "length", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = b.column("ids")
-            flat, at = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-            crc = [crc32_of(flat[x - at[0] : y - at[0]]) for x, y in zip(at, at[1:])]
+            crc = [zlib.crc32(np.frombuffer(x, wide).astype("<u4").tobytes()) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in [id_col, *rest]] + [pa.array(crc, pa.int64())], names=[id_col, *rest, "ids_crc32"])
 
     return pieces.mapInArrow(run, f"{id_col} {kind}, " + ", ".join(f"{c} long" for c in [*rest, "ids_crc32"]))

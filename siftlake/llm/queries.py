@@ -68,8 +68,8 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from siftlake.llm.packing import digest, pack
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return digest(pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=1))
+    docs, tokenizer = table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")
+    return digest(pack(docs, tokenizer, length=2048, end_id=1), tokenizer)
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

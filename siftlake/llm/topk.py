@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS, QUERY_ROWS = 4096, 2048
+BLOCK_ROWS, QUERY_ROWS = 2048, 2048
 LARGEST = (1 << 63) - 1
 
 
@@ -161,7 +161,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float = 25
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("asked")).where("id IS NOT NULL AND v IS NOT NULL")
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    width, n_rows = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*")).first()
     sample = [v for b in rows.orderBy(F.xxhash64("id"), "id").limit(pivot_sample).select("v").toArrow().to_batches() for v in quantised(b.column(0), scale) if v is not None]
     pivots = choose_pivots(stacked(sample, width), n_pivots)
     data = packed(rows.select("id", "v"), pivots, scale, width, BLOCK_ROWS)
@@ -170,8 +170,12 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float = 25
     queries = scratch.keep(packed(asked, pivots, scale, width, QUERY_ROWS), "queries")
     queries = scratch.keep(_numbered(queries), "numbered_queries")
     n_blocks = queries.count()
-    cells = data.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))) if n_blocks else data.withColumn("q", F.lit(-1)).where("false")
-    pairs = cells.join(queries.select(F.col("block").alias("q"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("table").alias("q_table")), "q")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = max(1, min(-(-tasks // max(1, n_blocks)), n_rows // BLOCK_ROWS + 1))  # so many parts of the candidates meet each query block
+    salted = data.withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(spread)))
+    cells = salted.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))) if n_blocks else salted.withColumn("q", F.lit(-1)).where("false")
+    queries = queries.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))))
+    pairs = cells.repartition(tasks, "q", "part").join(queries.repartition(tasks, F.col("block"), "part").select("part", F.col("block").alias("q"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("table").alias("q_table")), ["q", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
