@@ -88,6 +88,33 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftlake.llm.licences import licence_lines
+
+    return licence_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=80)
+
+
+def _op3_sql() -> str:
+    from siftlake.llm.licences import TEMPLATES
+
+    values = ", ".join(f"('{k}', '{t}')" for k, t in TEMPLATES.items())
+    grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+    return f"""
+WITH v(licence, t) AS (VALUES {values}),
+tp AS (SELECT licence, {grams} AS b FROM (SELECT licence, regexp_extract_all(lower(t), '[a-z0-9]+') AS w FROM v)),
+ls AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents),
+lb AS (SELECT doc_id, line_no, {grams} AS b FROM (SELECT doc_id, line_no, regexp_extract_all(lower(line), '[a-z0-9]+') AS w FROM ls) WHERE len(w) BETWEEN 2 AND 40),
+x AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, licence, CAST(len(list_intersect(lb.b, tp.b)) AS BIGINT) AS n_common, CAST(len(lb.b) AS BIGINT) AS n_line, CAST(len(tp.b) AS BIGINT) AS n_template FROM lb, tp)
+SELECT *, round(2.0::DOUBLE * n_common / (n_line + n_template), 6) AS dice FROM x WHERE n_common * 200 >= (n_line + n_template) * 80
+"""
+
+
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftlake.llm.pii import pseudonymised
+
+    return pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), "a key of the caller", items="n_items")
+
+
 #: The rules of the contract.
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 
@@ -136,5 +163,5 @@ FROM ru JOIN nm ON ru.host = nm.host AND ru.shape = nm.shape JOIN ju ON ju.host
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_packing, op5_exact_topk, op7_url_filter, op8_quality_rules, op10_quality_classifier)}
-ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op5_exact_topk": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_quality_rules": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_packing, op3_license_scan, op5_exact_topk, op6_pii_pseudonyms, op7_url_filter, op8_quality_rules, op10_quality_classifier)}
+ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op3_license_scan": _op3_sql(), "op5_exact_topk": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_quality_rules": OP8_SQL}
