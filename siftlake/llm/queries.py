@@ -34,6 +34,16 @@ FROM f
 """
 
 
+def op9_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segmentations of every document, digested, and whether their pieces decode to the whole text."""
+    import public_tokenizers
+
+    from siftlake.llm.sampling import digest, sample_segmentations
+
+    docs, model = table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")
+    return digest(sample_segmentations(docs, model, k=2, alpha=1e-3, seed=1), model)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftlake.llm.quality_model import classify
 
@@ -109,6 +119,14 @@ SELECT *, round(2.0::DOUBLE * n_common / (n_line + n_template), 6) AS dice FROM
 """
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from siftlake.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftlake.llm.pii import pseudonymised
 
@@ -163,5 +181,5 @@ FROM ru JOIN nm ON ru.host = nm.host AND ru.shape = nm.shape JOIN ju ON ju.host
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_packing, op3_license_scan, op5_exact_topk, op6_pii_pseudonyms, op7_url_filter, op8_quality_rules, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_packing, op3_license_scan, op4_token_counts, op5_exact_topk, op6_pii_pseudonyms, op7_url_filter, op8_quality_rules, op9_sampled_segmentations, op10_quality_classifier)}
 ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op3_license_scan": _op3_sql(), "op5_exact_topk": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_quality_rules": OP8_SQL}
