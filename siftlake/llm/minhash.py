@@ -12,9 +12,12 @@ Links are confirmed on full sets. What is wanted are the components, so the join
 1. Every class takes one promising partner of smaller id (nodes over LIMIT are dealt into random blocks that share
    a few pivots). These links are confirmed and joined into components: each group of copies falls together
    without emitting its pairs.
-2. Pairs over the sketches' margin that are still in different components are all emitted and confirmed. In large nodes
-   only the classes outside of the largest component need a comparison with the rest; where these are many, the
-   node branches on, and what is large after MORE_LEVELS is compared block by block. So no pair is dropped for size.
+2. Every node is compared again, for pairs over the sketches' margin whose components differ. In large nodes only the
+   classes outside of the largest component need a comparison with the rest; where these are many, the node
+   branches on, and what is large after MORE_LEVELS is compared block by block. Components with such a pair form a cluster;
+   a node only emits enough pairs to connect them. Then all full sets outside of a cluster's largest component meet
+   all of the cluster, in blocks of bounded size, and again only links that join components are emitted. So no pair is
+   dropped for size, and no group emits its pairs.
 
 Defined cases: a text without words (or null) has an empty set and is linked with nothing; with fewer words than a
 shingle the whole sequence is the one shingle; null ids take part in nothing, their component_id is null and kept is
@@ -158,7 +161,7 @@ def branch(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+def _groups(batches: Iterator[pa.RecordBatch], keys: int, least: int = 8192) -> Iterator[pa.Table]:
     """Whole groups of equal leading columns out of sorted batches, some thousands of rows at a time."""
     held: list[pa.RecordBatch] = []
 
@@ -171,7 +174,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         if b.num_rows:
             held.append(b)
             rows += b.num_rows
-        if rows >= 8192:
+        if rows >= least:
             t = pa.Table.from_batches(held)
             e = edges(t)
             if len(e):
@@ -232,8 +235,29 @@ def partners(cells: DataFrame, threshold: float) -> DataFrame:
     return cells.mapInArrow(run, "id long, likely boolean, other long, est double")
 
 
+def _joining(a: np.ndarray, b: np.ndarray, comp_a: np.ndarray, comp_b: np.ndarray) -> np.ndarray:
+    """Numbers of pairs that join all components which the pairs join: a forest."""
+    low, high = np.minimum(comp_a, comp_b), np.maximum(comp_a, comp_b)
+    _, first = np.unique(np.stack([low, high], axis=1), axis=0, return_index=True)
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for i, x, y in zip(first.tolist(), low[first].tolist(), high[first].tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            up[x] = y
+            out.append(i)
+    return np.array(out, np.int64)
+
+
 def crossing(cells: DataFrame, threshold: float) -> DataFrame:
-    """a < b: close pairs of a cell whose components differ. role 0: compared with all of the cell; 1: with those of role 2."""
+    """a, b: components of a cell that have a close pair, as a forest. role 0: compared with all of the cell; 1: with those of role 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, 2):
@@ -245,15 +269,69 @@ def crossing(cells: DataFrame, threshold: float) -> DataFrame:
             mixed = np.repeat(np.minimum.reduceat(comp, bounds[:-1]) != np.maximum.reduceat(comp, bounds[:-1]), np.diff(bounds))
             if not mixed.any():
                 continue
-            ids, comp, role, sk, group = ids[mixed], comp[mixed], role[mixed], sk[mixed], np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[mixed]
+            group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[mixed]
+            ids, comp, role, sk = ids[mixed], comp[mixed], role[mixed], sk[mixed]
             bounds = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(ids)]])
             found = []
             for i, j, _ in _close_pairs(bounds, sk, threshold - MARGIN):
-                ok = (comp[i] != comp[j]) & (ids[i] != ids[j]) & ((role[i] == 0) | (role[i] != role[j]))
-                found.append((np.minimum(ids[i], ids[j])[ok], np.maximum(ids[i], ids[j])[ok]))
-            pairs = np.unique(np.stack([np.concatenate(x) for x in zip(*found)], axis=1), axis=0) if found else np.zeros((0, 2), np.int64)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                ok = (comp[i] != comp[j]) & ((role[i] == 0) | (role[i] != role[j]))
+                found.append((comp[i][ok], comp[j][ok]))
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found))
+                pick = _joining(a, b, a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(a[pick]), pa.array(b[pick])], names=["a", "b"])
+
+    return cells.mapInArrow(run, "a long, b long")
+
+
+def common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of sorted sets, by products of 0-1 matrices over the values that both sides hold."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    l_all, r_all = np.concatenate(left), np.concatenate(right)
+    values = np.intersect1d(l_all, r_all)
+    if not len(values):
+        return out
+
+    def places(sets: list[np.ndarray], every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(values, every)
+        at[at == len(values)] = 0
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        ok = values[at] == every
+        return row[ok], at[ok]
+
+    (lr, lc), (rr, rc) = places(left, l_all), places(right, r_all)
+    for lo in range(0, len(values), columns):
+        n = min(columns, len(values) - lo)
+        m, k = (lc >= lo) & (lc < lo + n), (rc >= lo) & (rc < lo + n)
+        a, b = np.zeros((len(left), n), np.float32), np.zeros((len(right), n), np.float32)
+        a[lr[m], lc[m] - lo] = 1
+        b[rr[k], rc[k] - lo] = 1
+        out += a @ b.T
+    return out
+
+
+def exact_crossing(cells: DataFrame, words: int, pct: int) -> DataFrame:
+    """a, b: confirmed links between components of a cell, as a forest. Rows of role 1 meet those of role 2, on full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, 2, 256):
+            k1, k2 = t.column(0).to_numpy(), t.column(1).to_numpy()
+            bounds = np.concatenate([[0], np.flatnonzero((k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])) + 1, [len(k1)]])
+            for lo, hi in zip(bounds, bounds[1:]):
+                part = t.slice(lo, hi - lo)
+                ids, comp, role = (part.column(c).to_numpy() for c in ("id", "comp", "role"))
+                one, two = np.flatnonzero(role == 1), np.flatnonzero(role == 2)
+                if not len(one) or not len(two):
+                    continue
+                sets = [shingle_set(x, words) for x in part.column("text").to_pylist()]
+                size = np.array([len(x) for x in sets])
+                common = common_counts([sets[i] for i in one], [sets[j] for j in two])
+                union = size[one][:, None] + size[two][None, :] - common
+                i, j = np.nonzero((100 * common >= pct * union) & (common > 0) & (comp[one][:, None] != comp[two][None, :]))
+                if len(i):
+                    i, j = one[i], two[j]
+                    pick = _joining(ids[i], ids[j], comp[i], comp[j])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i][pick]), pa.array(ids[j][pick])], names=["a", "b"])
 
     return cells.mapInArrow(run, "a long, b long")
 
@@ -351,11 +429,19 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, pct: int = 80, text: str
         apart.append(crossing(_cells(_grid(done), "node", "cell"), threshold))
         rest = None if last else mixed.where(F.col("others") > LIMIT).select("node", "id", "comp", "sketch")
         rows = branch(rest) if rest is not None and rest.limit(1).count() else None
-    pairs = apart[0]
+    near = apart[0]
     for x in apart[1:]:
-        pairs = pairs.union(x)
-    pairs = scratch.keep(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs_2")
-    more = scratch.keep(confirmed(pairs, texts, sizes, words, pct).distinct(), "links_2")
+        near = near.union(x)
+    clusters = components(near, scratch, "clusters").select(F.col("id").alias("comp"), F.col("comp").alias("node"))
+    members = reps.select("id", "n_shingles").join(joined, "id", "left").select("id", "n_shingles", F.coalesce("comp", "id").alias("comp")).join(clusters, "comp")
+    members = scratch.keep(members, "members")
+    # A block's weight is its rows or its shingles by 256, whichever is more.
+    weight = F.ceil(F.greatest(F.sum("rows").cast("double"), F.sum("weight") / 256)).cast("long")
+    per_comp = members.groupBy("node", "comp").agg(F.count("*").alias("rows"), F.sum("n_shingles").alias("weight"))
+    stats = per_comp.groupBy("node").agg(weight.alias("n"), F.max_by(F.struct("rows", "weight"), F.struct("rows", "comp")).alias("most"), F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.sum("rows").alias("rows"), F.sum("weight").alias("weight"))
+    others = F.greatest(F.ceil(F.greatest((F.col("rows") - F.col("most.rows")).cast("double"), (F.col("weight") - F.col("most.weight")) / 256)), F.lit(1)).cast("long")
+    mixed = members.join(scratch.keep(stats.select("node", "n", "main", others.alias("others")), "cluster_stats"), "node").join(texts, "id")
+    more = scratch.keep(exact_crossing(_cells(_grid(mixed, "text"), "node", "cell"), words, pct).distinct(), "links_2")
     final = components(links.union(more), scratch, "second") if more.limit(1).count() else joined
 
     of_class = classes.join(final.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
@@ -364,12 +450,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, pct: int = 80, text: str
     return out.select(F.col("id").alias(id_col), "n_shingles", comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
 
 
-def _grid(mixed: DataFrame) -> DataFrame:
-    """Cells of a large node: blocks of its classes outside of the largest component (role 1) against blocks of all its classes (role 2)."""
+def _grid(mixed: DataFrame, what: str = "sketch") -> DataFrame:
+    """Cells of a large group: blocks of its classes outside of the largest component (role 1) against blocks of all its classes (role 2)."""
     lot = F.xxhash64("id", "node")
     across, down = F.ceil(F.col("n") / LIMIT).cast("int"), F.ceil(F.col("others") / LIMIT).cast("int")
-    own = F.pmod(lot, across).cast("int")
-    every = mixed.select("node", F.explode(F.transform(F.sequence(F.lit(0), down - 1), lambda i: (i * across + own).cast("long"))).alias("cell"), "id", "comp", F.lit(2).alias("role"), "sketch")
-    mine = F.pmod(F.shiftright(lot, 20), down).cast("int")
-    few = mixed.where("comp <> main").select("node", F.explode(F.transform(F.sequence(F.lit(0), across - 1), lambda j: (mine * across + j).cast("long"))).alias("cell"), "id", "comp", F.lit(1).alias("role"), "sketch")
-    return every.union(few)
+    own, mine = F.pmod(lot, across).cast("int"), F.pmod(F.shiftright(lot, 20), down).cast("int")
+    # One row a class and role, then one a cell: the wide column is read once.
+    every = F.transform(F.sequence(F.lit(0), down - 1), lambda i: F.struct((i * across + own).cast("long").alias("cell"), F.lit(2).alias("role")))
+    few = F.transform(F.sequence(F.lit(0), across - 1), lambda j: F.struct((mine * across + j).cast("long").alias("cell"), F.lit(1).alias("role")))
+    cells = F.concat(every, F.when(F.col("comp") != F.col("main"), few).otherwise(F.array().cast("array<struct<cell:bigint,role:int>>")))
+    return mixed.select("node", F.explode(cells).alias("x"), "id", "comp", what).select("node", "x.cell", "id", "comp", "x.role", what)

@@ -96,9 +96,15 @@ class Sampler:
             occ, node, last = occ[alive], node[alive], last[alive]
         if not occs:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        occ, edge = np.concatenate(occs), np.concatenate(edges)
-        order = np.lexsort((self.lat.start[edge], occ))
-        return occ[order], edge[order]
+        # Step s of an occurrence goes to the s-th place of its own: no sort.
+        count = np.zeros(len(self.chunk) + 1, np.int64)
+        for o in occs:
+            count[o] += 1
+        at = np.cumsum(count) - count
+        out_o, out_e = np.empty(at[-1], np.int64), np.empty(at[-1], np.int64)
+        for i, (o, e) in enumerate(zip(occs, edges)):
+            out_o[at[o] + i], out_e[at[o] + i] = o, e
+        return out_o, out_e
 
     def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """The first edge of the node whose running sum is over u, by bisection in each node's own range."""
