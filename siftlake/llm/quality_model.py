@@ -157,3 +157,15 @@ def classify(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, scra
     feats = scratch.keep(with_features(docs), "quality_features")
     scored = score(feats, train(feats, labels, **fitting))
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def good_rows(docs: DataFrame, model: Model, *, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text scores at least the threshold. Features are computed again in place of a shuffle of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.array([features(t) for t in b.column(text).to_pylist()], np.float32).astype(np.float64)
+                yield b.filter(pa.array(np.round(model.score(x), 6) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
