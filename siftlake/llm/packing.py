@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from siftlake.llm.common import Scratch
 
 HASHED, DIMS, BITS = 1024, 4, 12
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 
 
 #: A mark that ends a word, and words that are one run of letters with or without one run of marks.
