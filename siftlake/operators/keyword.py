@@ -17,7 +17,11 @@ def postings(df: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
 
     One explode and one partial aggregate; the text itself is not shuffled.
     """
-    every = F.concat(*[F.transform(v, lambda w, c=c: F.struct(w.alias("lexeme"), F.lit(c).alias("class"))) for c, v in fields.items()])
+
+    def tagged(c: str, lexemes: Column) -> Column:
+        return F.transform(lexemes, lambda w: F.struct(w.alias("lexeme"), F.lit(c).alias("class")))
+
+    every = F.concat(*[tagged(c, v) for c, v in fields.items()])
     rows = df.select(key, F.explode(every).alias("x")).select(key, "x.lexeme", "x.class")
     counts = [F.count(F.when(F.col("class") == c, 1)).alias(f"n_{c.lower()}") for c in ("A", "B")]
     return rows.groupBy(key, "lexeme").agg(*counts, F.count("*").alias("n"))
