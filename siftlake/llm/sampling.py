@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from siftlake.llm.lattice import Lattice, build, conditionals, vocabulary
 
 #: Characters of text handled at once; a longer text is handled alone.
-CHARS = 4_000_000
+CHARS = 1_000_000
 U = np.uint64
 
 
