@@ -99,9 +99,16 @@ def page_label(page: Column, n_breaks: Column) -> Column:
 
 def overlap(a: Column, b: Column) -> Column:
     """The longest end of a, not the whole of it, that b starts with."""
-    places = F.when(F.length(a) > 1, F.sequence(F.lit(2), F.length(a))).otherwise(F.array().cast("array<int>"))
-    hits = F.filter(places, lambda i: F.startswith(b, F.substring(a, i, F.length(a))))
-    return F.when(F.size(hits) > 0, F.substring(a, F.element_at(hits, 1), F.length(a))).otherwise(F.lit(""))
+    first = F.greatest(F.lit(2), F.length(a) - F.length(b) + 1)  # an end longer than b can't be
+    places = F.when(F.length(a) >= first, F.sequence(first, F.length(a))).otherwise(F.array().cast("array<int>"))
+    # A short look first: most places fail it without copying the rest of the text.
+    found = F.filter(places, lambda i: F.startswith(b, F.substring(a, i, F.lit(12))) & F.startswith(b, F.substring(a, i, F.length(a))))
+    return bound(F.array_min(found), lambda i: F.when(i.isNotNull(), F.substring(a, i, F.length(a))).otherwise(F.lit("")))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlake.functions.text import overlap
+from siftlake.functions.text import bound, overlap
 
 GAPS = (1, 2, 3)
 
@@ -36,13 +36,12 @@ def merged_runs(chunks: DataFrame, doc: str, number: str = "chunk_num", text: st
     rows = runs(chunks, doc, number).groupBy(doc, "run").agg(F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.col(text).alias("t"), "previous", "next"))).alias("c"))
 
     def added(s: Column, t: Column) -> Column:
-        return F.concat(s, F.substring(t, F.length(overlap(s, t)) + 1, F.length(t)))
+        return bound(s, lambda x: bound(overlap(x, t), lambda o: F.concat(x, F.substring(t, F.length(o) + 1, F.length(t)))))
 
     def step(s: Column, x: Column) -> Column:
         gap = x["n"] - s["n"]
-        with_next = F.when(gap >= 2, added(s["t"], s["next"])).otherwise(s["t"])
-        with_both = F.when(gap == 3, added(with_next, x["previous"])).otherwise(with_next)
-        return F.struct(x["n"].alias("n"), added(with_both, x["t"]).alias("t"), x["next"].alias("next"))
+        filled = added(F.when(gap >= 2, added(s["t"], s["next"])).otherwise(s["t"]), F.when(gap == 3, x["previous"]).otherwise(F.lit("")))
+        return F.struct(x["n"].alias("n"), added(filled, x["t"]).alias("t"), x["next"].alias("next"))
 
     begin = F.element_at("c", 1)
     folded = F.aggregate(F.slice("c", F.lit(2), F.size("c")), F.struct(begin["n"].alias("n"), begin["t"].alias("t"), begin["next"].alias("next")), step)
