@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from siftlake.llm.common import Scratch
 
 HASHED, DIMS, BITS = 1024, 4, 12
-CACHED_WORDS = 600_000
+CACHED_WORDS = 500_000
 
 
 #: A mark that ends a word, and words that are one run of letters with or without one run of marks.
-END_MARK = re.compile(rb"(?<=[a-z0-9])[,.](?=[ \n]|\Z)")
+END_MARK = re.compile(rb"[,.](?<=[a-z0-9][,.])(?=[ \n]|\Z)")
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?|]*)").fullmatch
 
 
@@ -89,7 +89,7 @@ class WordCache:
     def ids(self, texts: list[str | None]) -> list[bytes]:
         raw = [(x or "").encode("utf-8", "replace") for x in texts]
         split = [None if b"<|" in x else END_MARK.sub(rb" \g<0>", x.lower()).split() for x in raw]
-        new = [w for w in set().union(*(ws or () for ws in split)) if w not in self.known]
+        new = list(set().union(*(ws or () for ws in split)).difference(self.known))
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known.clear()
             new = list(set().union(*(ws or () for ws in split)))
