@@ -93,9 +93,9 @@ def build(v: Vocabulary, chunks: list[str]) -> Lattice:
     return Lattice(text, first, first + size, start, end, np.concatenate([piece, np.full(len(places), -1)]), score)
 
 
-def _by_depth(depth: np.ndarray, node: np.ndarray, then: np.ndarray):
-    """Edges ordered by depth, node and then; and the slices of equal depth."""
-    order = np.lexsort((then, node, depth))
+def _by_depth(depth: np.ndarray, node: np.ndarray):
+    """Edges ordered by depth and node, else as they are; and the slices of equal depth."""
+    order = np.argsort(depth << 40 | node, kind="stable")
     d = depth[order]
     return order, np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1, [len(d)]])
 
@@ -117,7 +117,8 @@ def viterbi(lat: Lattice, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best score of every chunk and the summed weight of its pieces. Of equal scores the piece that starts first wins."""
     best, count = np.full(len(lat.text) + 1, -np.inf), np.zeros(len(lat.text) + 1, np.int64)
     best[lat.first] = 0
-    order, cut = _by_depth(lat.end - lat.first[_chunk_of(lat, lat.start)], lat.end, lat.start)
+    # The automaton lists an end's pieces from the longest, and unknowns come last: smaller starts first.
+    order, cut = _by_depth(lat.end - lat.first[_chunk_of(lat, lat.start)], lat.end)
     start, end, score, w = lat.start[order], lat.end[order], lat.score[order], weight[order]
     for lo, hi in zip(cut, cut[1:]):
         s, e = start[lo:hi], end[lo:hi]
@@ -135,7 +136,7 @@ def conditionals(lat: Lattice, alpha: float) -> tuple[Lattice, np.ndarray]:
     """The edges ordered by their start, and each one's log probability given that its start is reached, for weights exp(alpha * score)."""
     total = np.full(len(lat.text) + 1, -np.inf)
     total[lat.last] = 0
-    order, cut = _by_depth(lat.last[_chunk_of(lat, lat.start)] - lat.start, lat.start, lat.end)
+    order, cut = _by_depth(lat.last[_chunk_of(lat, lat.start)] - lat.start, lat.start)
     start, end, score = lat.start[order], lat.end[order], alpha * lat.score[order]
     for lo, hi in zip(cut, cut[1:]):
         s = start[lo:hi]
@@ -144,6 +145,6 @@ def conditionals(lat: Lattice, alpha: float) -> tuple[Lattice, np.ndarray]:
         top = np.maximum.reduceat(x, group)
         sums = np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.concatenate([group, [hi - lo]])))), group)
         total[s[group]] = top + np.log(sums)
-    order = np.lexsort((lat.end, lat.start))
+    order = np.argsort((lat.start << 24) + lat.end - lat.start, kind="stable")  # a piece is shorter than 2**24
     out = Lattice(lat.text, lat.first, lat.last, lat.start[order], lat.end[order], lat.piece[order], lat.score[order])
     return out, alpha * out.score + total[out.end] - total[out.start]

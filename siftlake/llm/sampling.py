@@ -14,12 +14,13 @@ Random numbers are hashes of (seed, row key, sample, place), so they do not depe
 Probabilities are proportional to exp(alpha * summed scores).
 
 Defined cases: null and empty texts have one segmentation without pieces, of probability 1; a text with fewer than k segmentations
-returns all it has; a null key is seeded as 0; repeated rows (equal keys and texts) return equal samples; an empty table
+(of a probability that a float can hold) returns all it has; a null key is seeded as 0; repeated rows (equal keys and texts) return equal samples; an empty table
 gives an empty result; extra columns are not read. Decoding returns the text but for the word mark itself, which turns into a blank.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from siftlake.llm.lattice import Lattice, build, conditionals, vocabulary
+from siftlake.llm.lattice import build, conditionals, vocabulary
 
 #: Characters of text handled at once; a longer text is handled alone.
 CHARS = 1_000_000
@@ -49,35 +50,85 @@ def uniform(seed: np.ndarray, *names) -> np.ndarray:
     return ((seed >> U(11)).astype(np.float64) + 0.5) / (1 << 53)
 
 
+class Grown:
+    """An array that grows in place."""
+
+    def __init__(self, kind: str):
+        self.held, self.n = np.zeros(1 << 16, kind), 0
+
+    def add(self, x: np.ndarray) -> np.ndarray:
+        if self.n + len(x) > len(self.held):
+            self.held = np.concatenate([self.held[: self.n], np.zeros(max(self.n, len(x)), self.held.dtype)])
+        self.held[self.n : self.n + len(x)] = x
+        self.n += len(x)
+        return self.held[: self.n]
+
+
+class Store:
+    """Lattices of the cuts met so far, in one set of arrays; full, it starts anew. Nodes and edges are numbered through all cuts.
+
+    Edges lie by their start node: those of node n are low[n] to low[n + 1] - 1, and cum holds their running probabilities.
+    """
+
+    PARTS = {"first": "i8", "last": "i8", "start": "i4", "end": "i4", "piece": "i4", "logp": "f8", "cum": "f8", "low": "i8"}
+
+    def __init__(self, path: str, alpha: float, edges: int = 4_000_000):
+        self.v, self.alpha, self.most = vocabulary(path), alpha, edges
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.chunks: list[str] = []
+        self.held = {k: Grown(t) for k, t in self.PARTS.items()}
+        for k in self.PARTS:
+            setattr(self, k, self.held[k].add(np.zeros(int(k == "low"), np.int64)))
+
+    def learn(self, cuts: list[list[str]]) -> None:
+        every = set().union(*cuts)
+        new = sorted(every.difference(self.number))
+        if len(self.start) + 30 * len(new) > self.most and self.chunks:
+            self.clear()
+            new = sorted(every)
+        if not new:
+            return
+        lat, logp = conditionals(build(self.v, new), self.alpha)
+        nodes, edges = len(self.low) - 1, len(self.start)
+        low = np.searchsorted(lat.start, np.arange(len(lat.text) + 1))
+        # Running sums node by node (one place of all nodes at a time), so that a cut's numbers never depend on its company.
+        cum, nth = np.exp(logp), np.arange(len(logp)) - low[lat.start]
+        for i in range(1, int(nth.max(initial=0)) + 1):
+            at = np.flatnonzero(nth == i)
+            cum[at] += cum[at - 1]
+        self.number.update(zip(new, range(len(self.chunks), len(self.chunks) + len(new))))
+        self.chunks += new
+        self.held["low"].n -= 1  # the end of all is written again
+        fresh = {"first": lat.first + nodes, "last": lat.last + nodes, "start": lat.start + nodes, "end": lat.end + nodes, "piece": lat.piece, "logp": logp, "cum": cum, "low": low + edges}
+        for k, x in fresh.items():
+            setattr(self, k, self.held[k].add(x))
+
+
+_stores: dict[tuple[str, float], Store] = {}
+
+
 class Sampler:
     """The texts of one batch."""
 
     def __init__(self, path: str, texts: list[str], keys: list[int | None], alpha: float, seed: int):
-        self.v = vocabulary(path)
+        self.lat = lat = _stores.setdefault((path, alpha), Store(path, alpha))
+        self.v = lat.v
         cuts = [self.v.chunks(x) for x in texts]
-        number = {c: i for i, c in enumerate(dict.fromkeys(c for x in cuts for c in x))}
-        self.chunks = list(number)
-        self.lat, self.logp = conditionals(build(self.v, self.chunks), alpha) if self.chunks else (None, np.zeros(0))
-        self.p = np.exp(self.logp)
-        self.n = len(texts)
+        lat.learn(cuts)
+        self.chunks, self.logp, self.low, self.cum, self.n = lat.chunks, lat.logp, lat.low, lat.cum, len(texts)
         with np.errstate(over="ignore"):
             self.seed = _hash(np.array([(k or 0) & (1 << 64) - 1 for k in keys], U) ^ _hash(np.full(self.n, seed, U)))
         counts = np.array([len(x) for x in cuts], np.int64)
         self.doc = np.repeat(np.arange(self.n), counts)
-        self.chunk = np.array([number[c] for x in cuts for c in x], np.int64)
-        if not self.chunks:
-            return
-        size = (self.lat.last - self.lat.first)[self.chunk]
+        self.chunk = np.fromiter(map(lat.number.__getitem__, itertools.chain.from_iterable(cuts)), np.int64, int(counts.sum()))
+        size = (lat.last - lat.first)[self.chunk]
         at = np.cumsum(size) - size
-        begin = np.concatenate([[0], np.cumsum(counts)])
-        self.begin = begin
-        per_doc = np.concatenate([at, [size.sum()]])[begin[:-1]]
+        self.begin = np.concatenate([[0], np.cumsum(counts)])
+        per_doc = np.concatenate([at, [size.sum()]])[self.begin[:-1]]
         self.place = at - np.repeat(per_doc, counts)  # of each cut in its text
-        # Edges by start: their places in the run of all, and running sums of their probabilities.
-        self.low = np.searchsorted(self.lat.start, np.arange(len(self.lat.text) + 1))
-        run = np.cumsum(self.p)
-        base = np.concatenate([[0.0], run])[self.low[self.lat.start]]
-        self.cum = np.minimum(run - base, 1.0)
 
     def draw(self, occ: np.ndarray, node: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
         """Walks from a node of each occurrence of a cut to its end; occurrence and edge of every step, in text order."""
@@ -119,95 +170,82 @@ class Sampler:
     def top(self, k: int) -> tuple[list[list[tuple[np.ndarray, np.ndarray, float, float]]], list[float]]:
         """For each text its samples (occurrences, edges, log probability, perturbed score) and the threshold, -inf if nothing is left."""
         got: list[list] = [[] for _ in range(self.n)]
+        heap: list[list] = [[] for _ in range(self.n)]  # (maximum, sample, step, maxima of siblings or excluded edges)
         root = -np.log(-np.log(uniform(self.seed, 1 << 40)))
-        empty = np.zeros(0, np.int64)
-        if not self.chunks:
-            return [[(empty, empty, 0.0, g)] for g in root], [-np.inf] * self.n
-        heap: list[list] = [[] for _ in range(self.n)]  # (maximum, sample, step, excluded edges), the best by max()
         occ, edge = self.draw(np.arange(len(self.chunk)), self.lat.first[self.chunk], 0)
-        at = np.searchsorted(self.doc[occ], np.arange(self.n + 1))
-        for d in range(self.n):
-            self._leaf(d, occ[at[d] : at[d + 1]], edge[at[d] : at[d + 1]], float(root[d]), 0, got, heap, 0)
+        none = np.zeros(0, np.int64)
+        self._leaves([(d, none, none, 0.0, root[d]) for d in range(self.n)], occ, edge, 0, got, heap)
         for sample in range(1, k):
             todo = [d for d in range(self.n) if heap[d]]
             if not todo:
                 break
-            picks = []
+            u_pick, u_left = uniform(self.seed, sample, 1 << 41), uniform(self.seed, sample, 1 << 43)
+            picks, starts, nodes = [], [], []
             for d in todo:
                 best = max(heap[d], key=lambda x: x[0])
-                heap[d].remove(best)
-                g, of, step, out = self._resolve(d, best, got)
+                heap[d] = [x for x in heap[d] if x is not best]
+                g, of, step, out = self._resolve(d, best, got, heap)
                 o, e, _, _ = got[d][of]
                 node = self.lat.start[e[step]]
                 edges = np.arange(self.low[node], self.low[node + 1])
-                edges = edges[~np.isin(edges, out)]
-                run = np.cumsum(self.p[edges])
-                u = uniform(self.seed[d : d + 1], sample, 1 << 41)[0] * run[-1]
-                new = edges[min(int(np.searchsorted(run, u, side="right")), len(edges) - 1)]
-                self._left(d, of, step, (*out, int(new)), g, heap, got, sample)
-                picks.append((d, of, step, new, g))
-            # What follows the new edge: the rest of its cut, then all later cuts of the text.
-            starts, nodes = [], []
-            for d, of, step, new, _ in picks:
-                here = got[d][of][0][step]
-                rest = np.arange(here, self.begin[d + 1])
-                n = self.lat.first[self.chunk[rest]].copy()
-                n[0] = self.lat.end[new]
-                starts.append(rest)
+                edges = edges[[x not in out for x in edges.tolist()]]
+                p = np.exp(self.logp[edges])
+                run = np.cumsum(p)
+                i = min(int(np.searchsorted(run, u_pick[d] * run[-1], side="right")), len(edges) - 1)
+                before = float(self.logp[e[:step]].sum())
+                # The place stays open for its other edges.
+                rest = run[-1] - p[i]
+                if len(edges) > 1 and rest > 1e-300:
+                    heap[d].append((float(-np.logaddexp(-g, -(before + np.log(rest)) + np.log(-np.log(u_left[d])))), of, step, (*out, int(edges[i]))))
+                # What follows the new edge: the rest of its cut, then all later cuts of the text.
+                after = np.arange(o[step], self.begin[d + 1])
+                n = self.lat.first[self.chunk[after]]
+                n[0] = self.lat.end[edges[i]]
+                starts.append(after)
                 nodes.append(n)
+                picks.append((d, o[: step + 1], np.concatenate([e[:step], edges[i : i + 1]]), before + float(self.logp[edges[i]]), g))
             occ, edge = self.draw(np.concatenate(starts), np.concatenate(nodes), sample)
-            doc = self.doc[occ]
-            lo, hi = np.searchsorted(doc, todo), np.searchsorted(doc, todo, side="right")
-            for (d, of, step, new, g), a, b in zip(picks, lo, hi):
-                o, e, _, _ = got[d][of]
-                self._leaf(d, np.concatenate([o[: step + 1], occ[a:b]]), np.concatenate([e[:step], [new], edge[a:b]]), g, step + 1, got, heap, sample)
+            self._leaves(picks, occ, edge, sample, got, heap)
         return got, [max((x[0] for x in h), default=-np.inf) for h in heap]
 
-    def _leaf(self, d, occ, edge, g, since, got, heap, sample) -> None:
-        """Keeps a leaf and adds the sibling subtrees of its steps from `since` on: one lazily, for its highest maximum."""
+    def _leaves(self, picks: list, occ: np.ndarray, edge: np.ndarray, sample: int, got: list, heap: list) -> None:
+        """Keeps a leaf for each pick (text, its first steps' occurrences and edges, their log probability, perturbed score), and the
+        sibling subtrees of its drawn steps as one group with their maxima."""
+        docs = np.array([x[0] for x in picks], np.int64)
+        doc = self.doc[occ]
+        lo, hi = np.searchsorted(doc, docs), np.searchsorted(doc, docs, side="right")
         lp = self.logp[edge]
-        before = np.cumsum(lp) - lp
-        got[d].append((occ, edge, float(lp.sum()), g))
-        p = self.p[edge[since:]]
-        single = (self.low[self.lat.start[edge[since:]] + 1] - self.low[self.lat.start[edge[since:]]]) == 1
+        which = np.repeat(np.arange(len(picks)), hi - lo)
+        sums = [np.cumsum(lp[a:b]) for a, b in zip(lo, hi)]
+        before = np.concatenate([*sums, np.zeros(0)]) - lp + np.array([x[3] for x in picks], np.float64)[which]
+        start = self.lat.start[edge]
         with np.errstate(divide="ignore", invalid="ignore"):
-            mass = np.where(single, -np.inf, before[since:] + np.log1p(-np.minimum(p, 1 - 1e-16)))
-            place = self.place[occ[since:]] + self.lat.start[edge[since:]] - self.lat.first[self.chunk[occ[since:]]]
-            e = -np.log(uniform(np.repeat(self.seed[d : d + 1], len(p)), sample, place, 1 << 42)) if len(p) else np.zeros(0)
-            maxima = -np.logaddexp(-g, -mass + np.log(e))
-        if np.isfinite(maxima).any():
-            heap[d].append((float(np.nanmax(np.where(np.isfinite(maxima), maxima, -np.inf))), len(got[d]) - 1, since, maxima))
-
-    def _resolve(self, d, best, got):
-        """A group of siblings gives its best step and stays with the others; a single subtree is itself."""
+            rest = np.where(self.low[start + 1] - self.low[start] == 1, 0.0, -np.expm1(lp))
+            mass = before + np.log(rest)
+            e = -np.log(uniform(self.seed[doc], sample, self.place[occ] + start - self.lat.first[self.chunk[occ]], 1 << 42))
+            maxima = -np.logaddexp(-np.array([x[4] for x in picks], np.float64)[which], -mass + np.log(e))
+        maxima = np.where(np.isfinite(maxima), maxima, -np.inf)
+        for (d, o, ed, logp, g), own, a, b in zip(picks, sums, lo.tolist(), hi.tolist()):
+            got[d].append((np.concatenate([o, occ[a:b]]), np.concatenate([ed, edge[a:b]]), logp + (float(own[-1]) if b > a else 0.0), float(g)))
+            top = maxima[a:b].max(initial=-np.inf)
+            if top > -np.inf:
+                heap[d].append((float(top), len(got[d]) - 1, len(ed), maxima[a:b]))
+
+    def _resolve(self, d, best, got, heap):
+        """A group of siblings gives its best step, and its others go back; a single subtree is itself."""
         g, of, since, what = best
-        self._again = None
         if isinstance(what, tuple):
             return g, of, since, what
-        i = int(np.nanargmax(np.where(np.isfinite(what), what, -np.inf)))
+        i = int(what.argmax())
         rest = what.copy()
         rest[i] = -np.inf
-        self._again = (of, since, rest)
+        if (top := rest.max()) > -np.inf:
+            heap[d].append((float(top), of, since, rest))
         return g, of, since + i, (int(got[d][of][1][since + i]),)
 
-    def _left(self, d, of, step, out, g, heap, got, sample) -> None:
-        """Puts back what a taken leaf leaves: the other siblings, and the same place with one more edge excluded."""
-        again = self._again
-        if again is not None and np.isfinite(again[2]).any():
-            heap[d].append((float(again[2][np.isfinite(again[2])].max()), again[0], again[1], again[2]))
-        self._again = None
-        _, e, _, _ = got[d][of]
-        node = self.lat.start[e[step]]
-        edges = np.arange(self.low[node], self.low[node + 1])
-        edges = edges[~np.isin(edges, out)]
-        if self.p[edges].sum() > 0:
-            mass = self.logp[e[:step]].sum() + np.log(self.p[edges].sum())
-            u = uniform(self.seed[d : d + 1], sample, 1 << 43)[0]
-            heap[d].append((float(-np.logaddexp(-g, -mass + np.log(-np.log(u)))), of, step, out))
-
     def ids(self, occ: np.ndarray, edge: np.ndarray) -> np.ndarray:
         """Piece ids; an unknown becomes the bytes of its character, or the unknown id in vocabularies without bytes."""
-        piece = self.lat.piece[edge] if self.chunks else np.zeros(0, np.int64)
+        piece = self.lat.piece[edge]
         bad = np.flatnonzero(piece < 0)
         if not len(bad):
             return piece

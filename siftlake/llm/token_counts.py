@@ -45,7 +45,7 @@ class Counter:
     def count(self, texts: list[str | None]) -> list[complex]:
         cuts = [self.v.chunks(x or "") for x in texts]
         every = set().union(*cuts)
-        new = [c for c in every if c not in self.known]
+        new = list(every.difference(self.known))
         if len(self.known) + len(new) > CACHED:
             self.known.clear()
             new = list(every)
