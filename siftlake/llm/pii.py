@@ -33,7 +33,7 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+[.])+[A-Za-z]{2,}",
     "key": r"\bAKIA[A-Z0-9]{16}\b",
-    "secret": r"\b(?:password|passwd|token|secret|api[_-]?key)\s?[=:]\s?\"?[A-Za-z0-9_-]{8,128}",
+    "secret": r"\b(?i:password|passwd|token|secret|api[_-]?key)\s?[=:]\s?\"?[A-Za-z0-9_-]{8,128}",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "date": r"(?<![\d-])(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])",
     "card": r"(?<![\dA-Za-z])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})(?![\dA-Za-z])",
@@ -42,7 +42,7 @@ PATTERNS = {
 }
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no item; the cheap test spares most texts the full pattern.
-HINT = r"[@+(]|\d[.-]\d|\d{13}|\d{4} \d{4}|AKIA|password|passwd|token|secret|api"
+HINT = r"[@+(]|\d[.-]\d|\d{13}|\d{4} \d{4}|AKIA|(?i:password|passwd|token|secret|api)"
 
 
 def _hash(key: str, kind: str, nth: Column, half: Column) -> Column:

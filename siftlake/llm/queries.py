@@ -41,7 +41,7 @@ def op9_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftlake.llm.sampling import digest, sample_segmentations
 
     docs, model = table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")
-    return digest(sample_segmentations(docs, model, k=2, alpha=1e-3, seed=1), model)
+    return digest(sample_segmentations(docs, model, k=2, alpha=1e-3, seed=1, verify=True))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftlake.llm.packing import digest, pack
 
     docs, tokenizer = table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")
-    return digest(pack(docs, tokenizer, length=2048, end_id=1), tokenizer)
+    return digest(pack(docs, tokenizer, length=2048, end_id=1))
 
 
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

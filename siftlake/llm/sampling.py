@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from siftlake.llm.lattice import build, conditionals, vocabulary
 
@@ -259,14 +260,14 @@ class Sampler:
         return np.concatenate([*parts, piece[last:]])
 
 
-def sample_segmentations(docs: DataFrame, model: str, *, k: int = 2, alpha: float = 1e-3, seed: int = 1, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id_col, sample (from 1, by falling perturbed score), ids (little-endian 32-bit), n_tokens, log_prob, score, inclusion, and the crc32 of the text that decoding returns."""
+def sample_segmentations(docs: DataFrame, model: str, *, k: int = 2, alpha: float = 1e-3, seed: int = 1, text: str = "text", id_col: str = "doc_id", verify: bool = False) -> DataFrame:
+    """id_col, sample (from 1, by falling perturbed score), ids (little-endian 32-bit), n_tokens, log_prob, score, inclusion, and with verify round_trip: whether decoding the ids returns the text."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, keys = [x or "" for x in b.column(text).to_pylist()], b.column(id_col).to_pylist()
-            crc = [zlib.crc32(x.replace("▁", " ").encode("utf-8", "replace")) for x in texts]
+            decode = decoder(model) if verify else None
             lo = 0
             while lo < len(texts):
                 hi, chars = lo, 0
@@ -276,11 +277,13 @@ def sample_segmentations(docs: DataFrame, model: str, *, k: int = 2, alpha: floa
                 s = Sampler(model, texts[lo:hi], [k_ if isinstance(k_, int) else zlib.crc32(str(k_).encode()) if k_ is not None else None for k_ in keys[lo:hi]], alpha, seed)
                 got, threshold = s.top(k)
                 rows = [(i, j + 1, s.ids(o, e), lp, g, 1.0 if t == -np.inf else float(-np.expm1(-np.exp(min(lp - t, 50.0))))) for i, (x, t) in enumerate(zip(got, threshold)) for j, (o, e, lp, g) in enumerate(x)]
-                cols = [b.column(id_col).take(pa.array([lo + r[0] for r in rows])), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2].astype("<u4").tobytes() for r in rows], pa.binary()), pa.array([len(r[2]) for r in rows], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array([r[c] for r in rows], pa.float64()) for c in (3, 4, 5)] + [pa.array([crc[lo + r[0]] for r in rows], pa.int64())], names=[id_col, "sample", "ids", "n_tokens", "log_prob", "score", "inclusion", "text_crc32"])
+                raw = [r[2].astype("<u4").tobytes() for r in rows]
+                same = [decode(x) == texts[lo + r[0]].replace("▁", " ") for x, r in zip(raw, rows)] if verify else []
+                cols = [b.column(id_col).take(pa.array([lo + r[0] for r in rows])), pa.array([r[1] for r in rows], pa.int32()), pa.array(raw, pa.binary()), pa.array([len(r[2]) for r in rows], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols + [pa.array([r[c] for r in rows], pa.float64()) for c in (3, 4, 5)] + [pa.array(same, pa.bool_())] * verify, names=[id_col, "sample", "ids", "n_tokens", "log_prob", "score", "inclusion", *["round_trip"] * verify])
                 lo = hi
 
-    return docs.select(id_col, text).mapInArrow(run, f"{id_col} {kind}, sample int, ids binary, n_tokens long, log_prob double, score double, inclusion double, text_crc32 long")
+    return docs.select(id_col, text).mapInArrow(run, f"{id_col} {kind}, sample int, ids binary, n_tokens long, log_prob double, score double, inclusion double" + ", round_trip boolean" * verify)
 
 
 def decoded(samples: DataFrame, model: str, keep: list[str]) -> DataFrame:
@@ -297,20 +300,10 @@ def decoded(samples: DataFrame, model: str, keep: list[str]) -> DataFrame:
     return samples.select(*keep, *([] if "ids" in keep else ["ids"])).mapInArrow(run, schema)
 
 
-def digest(samples: DataFrame, model: str, id_col: str = "doc_id") -> DataFrame:
-    """The samples with ids_crc32 in place of their ids, and whether decoding them returns the text."""
-    kind = samples.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = decoder(model)
-        for b in batches:
-            ids = b.column("ids").to_pylist()
-            same = [zlib.crc32(decode(x).encode("utf-8")) == c for x, c in zip(ids, b.column("text_crc32").to_pylist())]
-            number = lambda c: pa.array(np.round(b.column(c).to_numpy(), 6))
-            cols = [b.column(id_col), b.column("sample"), b.column("n_tokens"), number("log_prob"), number("inclusion"), pa.array(map(zlib.crc32, ids), pa.int64()), pa.array(same, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols, names=[id_col, "sample", "n_tokens", "log_prob", "inclusion", "ids_crc32", "round_trip"])
-
-    return samples.select(id_col, "sample", "n_tokens", "log_prob", "inclusion", "ids", "text_crc32").mapInArrow(run, f"{id_col} {kind}, sample int, n_tokens long, log_prob double, inclusion double, ids_crc32 long, round_trip boolean")
+def digest(samples: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The samples with ids_crc32 in place of their ids."""
+    rounded = [F.round(c, 6).alias(c) for c in ("log_prob", "inclusion")]
+    return samples.select(id_col, "sample", "n_tokens", *rounded, F.crc32("ids").alias("ids_crc32"), "round_trip")
 
 
 def decoder(model: str):

@@ -1,7 +1,7 @@
 """The pipeline's stages against what they should keep."""
 
 import corpus_pipeline
-from siftlake.llm import packing, queries
+from siftlake.llm import queries
 
 
 def test_stages(spark, sf):
@@ -20,9 +20,3 @@ def test_stages(spark, sf):
 
 def test_every_operator_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
-
-
-def test_ids_fit():
-    import public_tokenizers
-
-    assert packing.id_type(public_tokenizers.path("word_bpe_49k.json")).itemsize == 2
