@@ -52,7 +52,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences: doc_id, start, length, doc_tokens, sequence_id, offset and ids (16-bit little-endian)."""
+    """Pieces of token sequences: doc_id, start, length, doc_tokens, sequence_id, offset and ids (32-bit little-endian)."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=1, scratch=_scratch(spark))
 
 
