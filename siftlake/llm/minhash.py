@@ -115,10 +115,6 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(n, -1)
 
 
-def _rows_of(df: DataFrame, run, schema: str) -> DataFrame:
-    return df.mapInArrow(run, schema)
-
-
 def tree_nodes(reps: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """node, id, the kept columns and sketch: every class at the second level of every tree."""
 

@@ -86,10 +86,10 @@ class Store:
 
     def learn(self, cuts: list[list[str]]) -> None:
         every = set().union(*cuts)
-        new = sorted(every.difference(self.number))
+        new = list(every.difference(self.number))
         if len(self.start) + 30 * len(new) > self.most and self.chunks:
             self.clear()
-            new = sorted(every)
+            new = list(every)
         if not new:
             return
         lat, logp = conditionals(build(self.v, new), self.alpha)
