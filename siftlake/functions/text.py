@@ -100,10 +100,15 @@ def page_label(page: Column, n_breaks: Column) -> Column:
 def overlap(a: Column, b: Column) -> Column:
     """The longest end of a, not the whole of it, that b starts with."""
     first = F.greatest(F.lit(2), F.length(a) - F.length(b) + 1)  # an end longer than b can't be
-    places = F.when(F.length(a) >= first, F.sequence(first, F.length(a))).otherwise(F.array().cast("array<int>"))
-    # A short look first: most places fail it without copying the rest of the text.
-    found = F.filter(places, lambda i: F.startswith(b, F.substring(a, i, F.lit(12))) & F.startswith(b, F.substring(a, i, F.length(a))))
-    return bound(F.array_min(found), lambda i: F.when(i.isNotNull(), F.substring(a, i, F.length(a))).otherwise(F.lit("")))
+
+    def within(tail: Column) -> Column:
+        n = F.length(tail)
+        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+        # A short look first: most places fail it without copying the rest of the text.
+        found = F.filter(places, lambda i: F.startswith(b, F.substring(tail, i, F.lit(12))) & F.startswith(b, F.substring(tail, i, n)))
+        return bound(F.array_min(found), lambda i: F.when(i.isNotNull(), F.substring(tail, i, n)).otherwise(F.lit("")))
+
+    return bound(F.substring(a, first, F.length(a)), within)
 
 
 def bound(value: Column, use) -> Column:

@@ -7,18 +7,18 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
 from siftlake.operators import chunking, headings, merging
-from siftlake.plans.registry import load, query
+from siftlake.plans.registry import load, query, texts
 from siftlake.plans.search import C_SQL, D_SQL, chunks, documents
 
 
 @query(f"WITH {C_SQL} SELECT doc_id, chunk_id, chunk_num, start, chunk_text, CAST(length(chunk_text) AS INTEGER) AS chunk_len FROM ch")
 def chunk_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunks(load(spark, sf_dir, "documents")).select("doc_id", "chunk_id", "chunk_num", "start", "chunk_text", "chunk_len")
+    return chunks(texts(spark, sf_dir)).select("doc_id", "chunk_id", "chunk_num", "start", "chunk_text", "chunk_len")
 
 
 @query(f"WITH {C_SQL} SELECT doc_id, chunk_num, page, array_to_string(page_breaks, ',') AS page_breaks FROM ch")
 def chunk_page_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = chunks(load(spark, sf_dir, "documents"))
+    cut = chunks(texts(spark, sf_dir))
     return cut.select("doc_id", "chunk_num", "page", F.array_join(F.col("page_breaks").cast("array<string>"), ",").alias("page_breaks"))
 
 
@@ -31,7 +31,7 @@ c AS (SELECT doc_id, section, heading, i, substr(t, i * 300 + 1, least((i + 1) *
 SELECT doc_id, section, heading, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY section, i) AS INTEGER) AS chunk_num, chunk_text, CAST(length(chunk_text) AS INTEGER) AS chunk_len FROM c""")
 def chunk_by_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines under the heading of their first letter: runs of equal headings are cut on their own."""
-    lines = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.withColumn("heading", F.upper(F.substring("line", 1, 1)))
     return chunking.chunks_by_heading(lines, "doc_id", "line_no", "heading", "line", 400, 100)
 
@@ -39,7 +39,7 @@ def chunk_by_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {C_SQL} SELECT c.doc_id, c.chunk_num, coalesce(p.chunk_text, '') AS previous, coalesce(n.chunk_text, '') AS next FROM ch c
 LEFT JOIN ch p ON p.doc_id = c.doc_id AND p.chunk_num = c.chunk_num - 1 LEFT JOIN ch n ON n.doc_id = c.doc_id AND n.chunk_num = c.chunk_num + 1""")
 def chunk_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.with_neighbours(chunks(load(spark, sf_dir, "documents")), ["doc_id"], "chunk_num", "chunk_text").select("doc_id", "chunk_num", "previous", "next")
+    return chunking.with_neighbours(chunks(texts(spark, sf_dir)), ["doc_id"], "chunk_num", "chunk_text").select("doc_id", "chunk_num", "previous", "next")
 
 
 R_SQL = f"{C_SQL}, rt AS (SELECT * FROM ch WHERE chunk_num % 7 IN (1, 2, 5))"
@@ -47,7 +47,7 @@ R_SQL = f"{C_SQL}, rt AS (SELECT * FROM ch WHERE chunk_num % 7 IN (1, 2, 5))"
 
 def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that a search might return: of every seven the first, the second and the fifth, with their neighbours."""
-    cut = chunking.with_neighbours(chunks(load(spark, sf_dir, "documents")), ["doc_id"], "chunk_num", "chunk_text")
+    cut = chunking.with_neighbours(chunks(texts(spark, sf_dir)), ["doc_id"], "chunk_num", "chunk_text")
     return cut.where("chunk_num % 7 IN (1, 2, 5)")
 
 
@@ -55,7 +55,7 @@ def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, CAST(sum(f) OVER (PARTITION BY doc_id ORDER BY chunk_num) AS BIGINT) AS run FROM g)
 SELECT doc_id, run, min(chunk_num) AS first, max(chunk_num) AS last, count(*) AS n_chunks FROM r GROUP BY doc_id, run""")
 def merge_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(load(spark, sf_dir, "documents")).where("chunk_num % 7 IN (1, 2, 5)")
+    rows = chunks(texts(spark, sf_dir)).where("chunk_num % 7 IN (1, 2, 5)")
     return merging.runs(rows, "doc_id", "chunk_num").groupBy("doc_id", "run").agg(F.min("chunk_num").alias("first"), F.max("chunk_num").alias("last"), F.count("*").alias("n_chunks"))
 
 
@@ -67,7 +67,7 @@ def merge_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {R_SQL}, c AS (SELECT doc_id, chunk_num, chunk_text, page, list_concat(list_concat([0], page_breaks), [CAST(length(chunk_text) AS INTEGER)]) AS pts FROM rt)
 SELECT doc_id, chunk_num, CAST(page + i - 1 AS INTEGER) AS page, substr(chunk_text, pts[i] + 1, pts[i + 1] - pts[i]) AS piece FROM c, unnest(range(1, len(pts))) AS r(i)""")
 def page_resplit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(load(spark, sf_dir, "documents")).where("chunk_num % 7 IN (1, 2, 5)")
+    rows = chunks(texts(spark, sf_dir)).where("chunk_num % 7 IN (1, 2, 5)")
     return merging.by_page(rows, ["doc_id", "chunk_num"], "chunk_text", "page", "page_breaks")
 
 
@@ -81,14 +81,14 @@ def same_page_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {C_SQL}, t AS (SELECT doc_id, chunk_num, CAST(ceil(length(chunk_text) / 4.0) AS BIGINT) + 40 AS tokens FROM ch),
 r AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY doc_id ORDER BY chunk_num) AS BIGINT) AS running FROM t) SELECT doc_id, chunk_num, tokens, running FROM r WHERE running <= 2000""")
 def token_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(load(spark, sf_dir, "documents")).select("doc_id", "chunk_num", (T.token_estimate(F.col("chunk_text")) + 40).alias("tokens"))
+    rows = chunks(texts(spark, sf_dir)).select("doc_id", "chunk_num", (T.token_estimate(F.col("chunk_text")) + 40).alias("tokens"))
     return merging.token_prefix(rows, "tokens", 2000, "chunk_num", ["doc_id"]).select("doc_id", "chunk_num", "tokens", "running")
 
 
 @query(f"""WITH {C_SQL}, s AS (SELECT doc_id, round(sum(1.0::DOUBLE / (60 + chunk_num)), 6) AS doc_score FROM ch GROUP BY doc_id)
 SELECT doc_id, doc_score, CAST(row_number() OVER (ORDER BY doc_score DESC, doc_id) AS INTEGER) AS doc_rank FROM s""")
 def doc_score_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(load(spark, sf_dir, "documents")).select("doc_id", (1.0 / (60 + F.col("chunk_num"))).alias("score"))
+    rows = chunks(texts(spark, sf_dir)).select("doc_id", (1.0 / (60 + F.col("chunk_num"))).alias("score"))
     return merging.document_order(rows, "doc_id", "score")
 
 
@@ -105,7 +105,7 @@ def format_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 o AS (SELECT *, coalesce(list_min(list_filter(range(2, length(a) + 1), lambda i: starts_with(b, substr(a, i)))), length(a) + 1) AS i FROM n)
 SELECT doc_id, chunk_num, CAST(length(substr(a, i)) AS INTEGER) AS overlap_len, substr(b, length(substr(a, i)) + 1) AS next FROM o""")
 def overlap_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = chunking.with_neighbours(chunks(load(spark, sf_dir, "documents")), ["doc_id"], "chunk_num", "chunk_text")
+    near = chunking.with_neighbours(chunks(texts(spark, sf_dir)), ["doc_id"], "chunk_num", "chunk_text")
     own = T.overlap(F.col("chunk_text"), F.col("next"))
     return near.select("doc_id", "chunk_num", F.length(own).alias("overlap_len"), F.substring(F.col("next"), F.length(own) + 1, F.length("next")).alias("next"))
 
@@ -133,7 +133,7 @@ def cells_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT doc_id, n AS line_no, len(string_split(line, ' ')) AS filled FROM l) SELECT doc_id, CAST(filled AS INTEGER) AS filled, CAST(min(line_no) AS INTEGER) AS line_no FROM c WHERE line_no <= 10 GROUP BY doc_id, filled""")
 def header_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header levels among the first ten rows of a sheet: a document's lines stand for rows, their words for cells."""
-    cells = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 10)).alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("line_no"), F.size(F.split("line", " ")).alias("filled"))
+    cells = texts(spark, sf_dir).select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 10)).alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("line_no"), F.size(F.split("line", " ")).alias("filled"))
     return chunking.header_rows(cells, "doc_id", "line_no", "filled")
 
 
@@ -146,14 +146,14 @@ k AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY size DESC) AS le
 SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line AS heading, CAST(level AS INTEGER) AS level FROM k WHERE n <= 3 AND level <= 3""")
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The length of a line stands for its font size."""
-    lines = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "heading")).select("doc_id", (F.col("i") + 1).alias("line_no"), "heading", F.length("heading").alias("size"))
+    lines = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "heading")).select("doc_id", (F.col("i") + 1).alias("line_no"), "heading", F.length("heading").alias("size"))
     return headings.candidates(lines, "doc_id", "heading", "size", 3).select("doc_id", "line_no", "heading", "level")
 
 
 @query(f"""WITH {LINES}, c AS (SELECT doc_id, line, count(*) AS n FROM l WHERE {CAND} GROUP BY doc_id, line) SELECT doc_id, line AS heading, n FROM c WHERE n > 3""")
 def heading_repeat_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the filter drops: headings seen more than three times."""
-    lines = load(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("heading"))
+    lines = texts(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("heading"))
     return lines.where(headings.looks_like(F.col("heading"))).groupBy("doc_id", "heading").agg(F.count("*").alias("n")).where("n > 3")
 
 
@@ -163,7 +163,7 @@ o AS (SELECT doc_id, level, sum(n) OVER (PARTITION BY doc_id ORDER BY level) * 4
 SELECT doc_id, CAST(coalesce(min(level) FILTER (over) - 1, max(level)) AS INTEGER) AS level FROM o GROUP BY doc_id""")
 def heading_level_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The level before the one whose headings are too many for the pages (here three for four lines)."""
-    lines = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "heading")).select("doc_id", (F.col("i") + 1).alias("line_no"), "heading", F.length("heading").alias("size"))
+    lines = texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "heading")).select("doc_id", (F.col("i") + 1).alias("line_no"), "heading", F.length("heading").alias("size"))
     return headings.level_choice(lines, "doc_id", "heading", "size", "line_no", 3, 4)
 
 
@@ -183,5 +183,5 @@ s AS (SELECT doc_id, line_no, line AS heading, off, lead(off) OVER (PARTITION BY
 SELECT s.doc_id, CAST(line_no AS INTEGER) AS line_no, heading, substr(t, CAST(off AS BIGINT) + 1, CAST(coalesce(nxt, length(t)) - off AS BIGINT)) AS section_text FROM s JOIN t USING (doc_id)""")
 def section_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text from each heading's offset to the next one's."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("pages"))
+    docs = texts(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("pages"))
     return headings.section_texts(docs, "doc_id", "pages", headings.looks_like)

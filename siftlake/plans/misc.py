@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
 from siftlake.operators import catalog, chat, evaluation, merging, tasks
-from siftlake.plans.registry import load, query
+from siftlake.plans.registry import load, query, texts
 from siftlake.plans.search import D_SQL, chunks, documents
 from siftlake.streaming import ingest
 
@@ -17,13 +17,13 @@ from siftlake.streaming import ingest
 @query(r"""SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS squeezed, trim(regexp_replace(regexp_replace(text, '[^\x20-\x7E\n\r\t]', '', 'g'), '(?i)Page \d+ of \d+|header|footer', '', 'g')) AS cleaned FROM documents""")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return load(spark, sf_dir, "documents").select("doc_id", T.squeezed(t).alias("squeezed"), T.cleaned(t).alias("cleaned"))
+    return texts(spark, sf_dir).select("doc_id", T.squeezed(t).alias("squeezed"), T.cleaned(t).alias("cleaned"))
 
 
 @query(r"SELECT doc_id, CAST(length(text) - length(regexp_replace(text, '[^\x20-\x7E\n\r\t]', '', 'g')) AS INTEGER) AS n_removed FROM documents")
 def mask_nonprintable(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
-    return load(spark, sf_dir, "documents").select("doc_id", (F.length(t) - F.length(T.printable(t))).alias("n_removed"))
+    return texts(spark, sf_dir).select("doc_id", (F.length(t) - F.length(T.printable(t))).alias("n_removed"))
 
 
 CITED = "'see [AIMessage: ' || turn || '] and [Excerpt: ' || (turn + 1) || ', ' || (conv_id % 7) || '] [Excerpt: ' || (turn + 1) || ']'"
@@ -46,7 +46,7 @@ def filename_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT doc_id, CAST(len(list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda w: w <> '')) AS INTEGER) AS n_words FROM documents")
 def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text")).alias("n_words"))
+    return texts(spark, sf_dir).select("doc_id", T.word_count(F.col("text")).alias("n_words"))
 
 
 @query(f"""WITH {D_SQL} SELECT doc_id, summary || chr(10) || source || chr(10) || text AS embed_input FROM d""")
@@ -196,7 +196,7 @@ b AS (SELECT gold.item_id, min(rank) AS rank FROM gold LEFT JOIN (SELECT * FROM
 SELECT count(*) AS n_questions, count(rank) AS n_hits, round(100.0::DOUBLE * count(rank) / count(*), 6) AS pct_hits, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM b""")
 def eval_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold: documents that hold a benchmark text. Results: the last gold document of every other question."""
-    gold = evaluation.contained(load(spark, sf_dir, "benchmark"), load(spark, sf_dir, "documents"))
+    gold = evaluation.contained(load(spark, sf_dir, "benchmark"), texts(spark, sf_dir))
     found = gold.where("item_id % 2 = 0").groupBy("item_id").agg(F.max("doc_id").alias("doc_id")).withColumn("rank", F.lit(1))
     return evaluation.hit_rate(found, gold)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
 from siftlake.operators import chunking, fusion, keyword, vector
-from siftlake.plans.registry import load, query
+from siftlake.plans.registry import load, query, spread, texts
 
 K = 20
 WORD = r"[\p{L}\p{N}]+"
@@ -60,7 +60,7 @@ sc AS (SELECT {key}, sum(tf / (tf + 1) * ln(1 + (n_all - df + 0.5::DOUBLE) / (df
 
 
 def doc_scores(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
-    docs = load(spark, sf_dir, "documents") if docs is None else docs
+    docs = texts(spark, sf_dir) if docs is None else docs
     hits = keyword.matches(docs, ["doc_id"], keyword.query_lexemes(question(spark, sf_dir)))
     return keyword.bm25(hits, ["doc_id"], docs.agg(F.count("*").alias("n_all")))
 
@@ -76,7 +76,7 @@ def kw_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {Q_SQL}, {hits_sql('documents', 'doc_id', 'text')}
 SELECT doc_id, lexeme, n, round(tf, 6) AS tf, df FROM hi JOIN dfq USING (lexeme)""")
 def kw_df_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = keyword.matches(load(spark, sf_dir, "documents"), ["doc_id"], keyword.query_lexemes(question(spark, sf_dir)))
+    hits = keyword.matches(texts(spark, sf_dir), ["doc_id"], keyword.query_lexemes(question(spark, sf_dir)))
     return hits.join(hits.groupBy("lexeme").agg(F.count("*").alias("df")), "lexeme").select("doc_id", "lexeme", "n", F.round("tf", 6).alias("tf"), "df")
 
 
@@ -97,7 +97,7 @@ be AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(order_key
 
 
 def chunk_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = chunks(load(spark, sf_dir, "documents"))
+    cut = chunks(texts(spark, sf_dir))
     key = ["doc_id", "chunk_id"]
     hits = keyword.matches(cut, key, keyword.query_lexemes(question(spark, sf_dir)), "chunk_text")
     # Every document with text gives the chunks its length says: no second cut to count them.
@@ -126,7 +126,7 @@ def adv_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {Q_SQL}, {hits_sql('documents', 'doc_id', 'text')} SELECT doc_id, round(sum(n) / (sum(n) + 1.0::DOUBLE), 6) AS prox FROM hi GROUP BY doc_id")
 def proximity_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = keyword.matches(load(spark, sf_dir, "documents"), ["doc_id"], keyword.query_lexemes(question(spark, sf_dir)))
+    hits = keyword.matches(texts(spark, sf_dir), ["doc_id"], keyword.query_lexemes(question(spark, sf_dir)))
     return keyword.proximity(hits, ["doc_id"]).select("doc_id", F.round("prox", 6).alias("prox"))
 
 
@@ -138,7 +138,7 @@ h AS (SELECT doc_id, page, regexp_replace(line, '(?i)\\b(license|password|token)
 SELECT doc_id, min(page) AS page, array_to_string(list(line ORDER BY page), ' ... ') AS highlighted_text FROM h GROUP BY doc_id""".replace("\\\\", "\\"))
 def kw_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages (lines) with a hit, wrapped and joined in the order of their numbers."""
-    lines = load(spark, sf_dir, "documents").where(F.lower("text").rlike("|".join(HL))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = texts(spark, sf_dir).where(F.lower("text").rlike("|".join(HL))).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     hit = lines.where(F.col("line").rlike(r"(?i)\b(" + "|".join(HL) + r")\b")).select("doc_id", (F.col("pos") + 1).alias("page"), keyword.highlight(F.col("line"), list(HL)).alias("line"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("page", "line"))), lambda x: x["line"])
     return hit.groupBy("doc_id").agg(F.min("page").alias("page"), F.array_join(parts, " ... ").alias("highlighted_text"))
@@ -152,7 +152,7 @@ def kw_query_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH p AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS lexeme FROM documents) SELECT DISTINCT doc_id FROM p WHERE lexeme = 'the'""")
 def lexeme_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a lexeme: a test within the row."""
-    return load(spark, sf_dir, "documents").where(F.array_contains(T.words(F.col("text")), "the")).select("doc_id")
+    return texts(spark, sf_dir).where(F.array_contains(T.words(F.col("text")), "the")).select("doc_id")
 
 
 @query(rf"""WITH {D_SQL}, f AS (
@@ -160,7 +160,7 @@ def lexeme_match(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT doc_id, 'B', unnest(regexp_extract_all(translate(lower(summary), '{T.ACCENTED}', '{T.PLAIN}').replace('ß', 'ss'), '{WORD}')) FROM d)
 SELECT doc_id, lexeme, count(*) FILTER (c = 'A') AS n_a, count(*) FILTER (c = 'B') AS n_b, count(*) AS n FROM f GROUP BY doc_id, lexeme""")
 def field_weighted_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir)
+    d = spread(documents(spark, sf_dir))
     page = F.array(F.lit("page"), F.lit("1"))
     return keyword.postings(d, "doc_id", {"A": F.concat(T.usimple(F.col("text")), T.words(F.col("name")), page), "B": T.usimple(F.col("summary"))})
 
@@ -168,7 +168,7 @@ def field_weighted_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rf"""WITH t AS (SELECT unnest(regexp_extract_all(replace(translate(lower(text), '{T.ACCENTED}', '{T.PLAIN}'), 'ß', 'ss'), '{WORD}')) AS lexeme FROM documents)
 SELECT lexeme, count(*) AS n FROM t GROUP BY lexeme""")
 def usimple_analyzer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "documents").select(F.explode(T.usimple(F.col("text"))).alias("lexeme")).groupBy("lexeme").agg(F.count("*").alias("n"))
+    return texts(spark, sf_dir).select(F.explode(T.usimple(F.col("text"))).alias("lexeme")).groupBy("lexeme").agg(F.count("*").alias("n"))
 
 
 # Vectors.

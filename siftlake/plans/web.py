@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
 from siftlake.operators import chunking, keyword, web
-from siftlake.plans.registry import load, query
+from siftlake.plans.registry import load, query, texts
 from siftlake.plans.search import K, RANK, WORD
 
 UN = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')"
@@ -27,12 +27,12 @@ PLAIN = f"translate(lower({{}}), '{T.ACCENTED}', '{T.PLAIN}')"
 @query(f"SELECT page_id, {TITLE} AS title, nullif(regexp_extract(html, '(?is)<meta[^>]*name=[\"'']description[\"''][^>]*content=[\"'']([^\"'']*)', 1), '') AS description, {LANG} AS lang, CAST(length(html) AS INTEGER) AS n_chars FROM pages")
 def html_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("html")
-    return load(spark, sf_dir, "pages").select("page_id", web.title(h).alias("title"), web.description(h).alias("description"), web.language(h).alias("lang"), F.length(h).alias("n_chars"))
+    return texts(spark, sf_dir, "pages").select("page_id", web.title(h).alias("title"), web.description(h).alias("description"), web.language(h).alias("lang"), F.length(h).alias("n_chars"))
 
 
 @query(f"WITH {W_SQL} SELECT page_id, body FROM w")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web.parsed(load(spark, sf_dir, "pages")).select("page_id", "body")
+    return web.parsed(texts(spark, sf_dir, "pages")).select("page_id", "body")
 
 
 @query(f"""WITH {W_SQL}, l AS (SELECT page_id, line, CAST(n - 1 AS INTEGER) AS line_no FROM (SELECT page_id, unnest(string_split(body, chr(10))) AS line, unnest(range(1, len(string_split(body, chr(10))) + 1)) AS n FROM w)),
@@ -41,7 +41,7 @@ o AS (SELECT *, max(CASE WHEN lv = 1 THEN line_no END) OVER w AS a1, max(CASE WH
 SELECT o.page_id, o.line_no, concat_ws(chr(10), h1.tt, h2.tt, h3.tt) AS heading, o.line FROM o LEFT JOIN h h1 ON h1.page_id = o.page_id AND h1.line_no = a1 AND h1.lv = 1
 LEFT JOIN h h2 ON h2.page_id = o.page_id AND h2.line_no = a2 AND h2.lv = 2 LEFT JOIN h h3 ON h3.page_id = o.page_id AND h3.line_no = a3 AND h3.lv = 3 WHERE o.lv = 0""")
 def md_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.heading_paths(web.parsed(load(spark, sf_dir, "pages")).select("page_id", "body"), "page_id", "body")
+    return chunking.heading_paths(web.parsed(texts(spark, sf_dir, "pages")).select("page_id", "body"), "page_id", "body")
 
 
 @query(f"""WITH {W_SQL}, q AS (SELECT text FROM benchmark ORDER BY item_id LIMIT 1), qt AS (SELECT DISTINCT unnest(regexp_extract_all({PLAIN.format('text')}, '{WORD}')) AS lexeme FROM q),
@@ -53,7 +53,7 @@ SELECT page_id, url, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY
 def web_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages")
     terms = load(spark, sf_dir, "benchmark").orderBy("item_id").limit(1).select(F.explode(F.array_distinct(T.usimple(F.col("text")))).alias("lexeme"))
-    text = web.parsed(pages).select("page_id", F.concat_ws(" ", "title", "body").alias("text"))
+    text = web.parsed(texts(spark, sf_dir, "pages")).select("page_id", F.concat_ws(" ", "title", "body").alias("text"))
     few = keyword.top(web.ranked(text, terms, "page_id", "text", keyword.ts_rank(F.col("n"))), "score", "page_id", K)
     return pages.select("page_id", "url").join(F.broadcast(few), "page_id").select("page_id", "url", F.round("score", 6).alias("score"), "rank")
 
@@ -68,7 +68,7 @@ def web_new_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {W_SQL}, c AS (SELECT url, CAST(i + 1 AS INTEGER) AS chunk_no, substr(body, CAST(i * 1300 + 1 AS BIGINT), CAST(least((i + 1) * 1300 + 300, length(body)) - i * 1300 AS BIGINT)) AS chunk_text FROM (SELECT url, replace(body, chr(10), '') AS body FROM w), unnest(range(0, CAST(ceil(length(body) / 1300.0) AS BIGINT))) AS r(i))
 SELECT c.url, c.chunk_no, coalesce(p.chunk_text, '') AS previous, coalesce(n.chunk_text, '') AS next FROM c LEFT JOIN c p ON p.url = c.url AND p.chunk_no = c.chunk_no - 1 LEFT JOIN c n ON n.url = c.url AND n.chunk_no = c.chunk_no + 1""")
 def web_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = web.parsed(load(spark, sf_dir, "pages")).withColumn("key", F.struct("url", F.lit("2024-01-02").cast("date").alias("date")))
+    rows = web.parsed(texts(spark, sf_dir, "pages")).withColumn("key", F.struct("url", F.lit("2024-01-02").cast("date").alias("date")))
     cut = chunking.uniform_chunks(rows.select("key", F.split("body", "\n").alias("pages")), "key", "pages").select("key.*", F.col("chunk_num").alias("chunk_no"), "chunk_text")
     return chunking.with_neighbours(cut, ["url", "date"], "chunk_no", "chunk_text").select("url", "chunk_no", "previous", "next")
 
@@ -76,7 +76,7 @@ def web_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {W_SQL} SELECT page_id, lang FROM w WHERE lang IN ('en', 'de', 'fr') AND regexp_matches(lower(body), '\\bthe\\b|\\bdie\\b') AND page_id % 2 = 0""")
 def web_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A day's pages (even ids) in a list of languages whose text has one of the words; the day is a parameter."""
-    pages = web.parsed(load(spark, sf_dir, "pages").withColumn("date", F.when(F.col("page_id") % 2 == 0, F.lit("2024-01-02")).otherwise(F.lit("2024-01-01")).cast("date")))
+    pages = web.parsed(texts(spark, sf_dir, "pages").withColumn("date", F.when(F.col("page_id") % 2 == 0, F.lit("2024-01-02")).otherwise(F.lit("2024-01-01")).cast("date")))
     return pages.where((F.col("date") == F.lit("2024-01-02").cast("date")) & F.col("lang").isin("en", "de", "fr") & F.lower("body").rlike(r"\bthe\b|\bdie\b")).select("page_id", "lang")
 
 
