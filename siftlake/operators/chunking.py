@@ -8,13 +8,8 @@ from pyspark.sql import functions as F
 SIZE, OVERLAP = 1600, 300
 
 
-def page_ends(pages: Column) -> Column:
-    """Running sums of the pages' lengths."""
-    return F.transform(F.sequence(F.lit(1), F.size(pages)), lambda i: F.aggregate(F.slice(pages, F.lit(1), i), F.lit(0), lambda s, p: s + F.length(p)))
-
-
 def running_ends(pages: Column) -> Column:
-    """The same in one walk, for many pages."""
+    """Running sums of the pages' lengths, in one walk."""
     return F.aggregate(pages, F.array().cast("array<int>"), lambda s, p: F.concat(s, F.array(F.when(F.size(s) > 0, F.try_element_at(s, F.lit(-1))).otherwise(0) + F.length(p))))
 
 

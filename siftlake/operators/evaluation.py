@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftlake.functions.text import bound
+
+
+WINDOW = 8
+
 
 def contained(questions: DataFrame, docs: DataFrame, item: str = "item_id") -> DataFrame:
-    """item, doc_id: documents that hold a question's text. Few questions: they are matched by their first line's words, then in full."""
-    q = questions.select(item, F.col("text").alias("q"), F.lower(F.element_at(F.split("text", " "), 1)).alias("_first"), F.lower(F.try_element_at(F.split("text", " "), F.lit(2))).alias("_second"))
-    w = F.split(F.lower("text"), "[ \n]")
-    grams = F.array_distinct(F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
-    places = docs.select("doc_id", F.explode(grams).alias("g")).select("doc_id", F.col("g.a").alias("_first"), F.col("g.b").alias("_second"))
-    near = places.join(q.select(item, "_first", "_second"), ["_first", "_second"]).select(item, "doc_id").distinct()
-    return near.join(docs.select("doc_id", "text"), "doc_id").join(q.select(item, "q"), item).where(F.contains("text", "q")).select(item, "doc_id")
+    """item, doc_id: documents that hold a question's text.
+
+    A question's second to ninth words are whole words of any text that holds it (its first and last may be parts of words), so the texts'
+    eight-word windows lead to the few candidates, which are then searched. Shorter questions go by their second word; those without an
+    inner word are few and are searched for in every text.
+    """
+    parts = lambda c: F.split(c, "[ \n]")
+    q = questions.select(item, F.col("text").alias("q"), parts(F.col("text")).alias("w")).where("q IS NOT NULL")
+    size = F.size("w")
+    probe = F.when(size >= WINDOW + 2, F.xxhash64(F.array_join(F.slice("w", 2, WINDOW), " "))).when(size >= 3, F.xxhash64(F.get("w", F.lit(1))))
+    asked = q.select(item, "q", probe.alias("h"))
+
+    def hashes(w: Column) -> Column:
+        windows = F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(WINDOW)), " ")))).otherwise(F.array().cast("array<bigint>"))
+        return F.concat(windows, F.transform(F.array_distinct(w), lambda x: F.xxhash64(x)))
+
+    # The split is bound once: inside of a function of windows it would run for each.
+    places = docs.select("doc_id", F.explode(bound(parts(F.col("text")), hashes)).alias("h"))
+    near = places.join(asked.where("h IS NOT NULL").select(item, "h"), "h").select(item, "doc_id").distinct()
+    texts = docs.select("doc_id", "text")
+    found = near.join(texts, "doc_id").join(asked.select(item, "q"), item).where(F.contains("text", "q")).select(item, "doc_id")
+    short = asked.where("h IS NULL")
+    if short.limit(1).count():
+        found = found.union(texts.join(short, F.contains("text", "q")).select(item, "doc_id"))
+    return found
 
 
 def hit_rate(found: DataFrame, gold: DataFrame, item: str = "item_id") -> DataFrame:

@@ -355,7 +355,7 @@ def fuse_adv_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{fused_sql(0.5, F_SQL + ", st AS (SELECT * FROM se WHERE score >= 0.12), kt AS (SELECT * FROM kw WHERE score >= 0.0)", "st", "kt")}, {D_SQL}
-SELECT doc_id, name, round(score, 9) AS score, CAST(row_number() OVER (ORDER BY round(score, 12) DESC, seen) AS INTEGER) AS rank FROM g JOIN d USING (doc_id) QUALIFY rank <= 20""")
+, r AS (SELECT doc_id, score, CAST(row_number() OVER (ORDER BY round(score, 12) DESC, seen) AS INTEGER) AS rank FROM g) SELECT doc_id, name, round(score, 9) AS score, rank FROM r JOIN d USING (doc_id) WHERE rank <= 20""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat retrieval: both lists over their thresholds, fused; documents are joined to the page of results."""
     semantic, words = two_lists(spark, sf_dir)
