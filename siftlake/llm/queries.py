@@ -156,11 +156,11 @@ d AS (SELECT *, array_to_string(list_transform(list_filter(string_split(path, '/
                        WHEN regexp_matches(s, '^[0-9a-fA-F-]{8,}$') THEN '<x>' ELSE s END), '/') AS shape,
         TRY_CAST(nullif(regexp_extract(path, '/([0-9]{1,18})(?:[.]html)?/?$', 1), '') AS BIGINT) AS num FROM b),
 l AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id),
-s AS (SELECT host, shape, CAST(count(l.bad) AS DOUBLE) AS n, CAST(coalesce(sum(l.bad), 0) AS DOUBLE) AS bad, CASE WHEN shape = '' THEN [] ELSE string_split(shape, '/') END AS parts
+s AS (SELECT host, shape, count(*) AS c, CAST(count(l.bad) AS DOUBLE) AS n, CAST(coalesce(sum(l.bad), 0) AS DOUBLE) AS bad, CASE WHEN shape = '' THEN [] ELSE string_split(shape, '/') END AS parts
       FROM d LEFT JOIN l ON d.num = l.doc_id GROUP BY host, shape),
-st AS (SELECT host, shape, i AS pos, parts[i + 1] AS seg, coalesce(array_to_string(parts[1:i], '/'), '') AS parent FROM s, unnest(range(0, len(parts))) AS r(i)),
-wd AS (SELECT host, parent FROM st GROUP BY host, parent HAVING count(DISTINCT seg) > 50),
-tm AS (SELECT st.host, st.shape, list(CASE WHEN wd.host IS NULL THEN seg ELSE '*' END ORDER BY pos) AS t FROM st LEFT JOIN wd ON st.host = wd.host AND st.parent = wd.parent GROUP BY st.host, st.shape),
+st AS (SELECT host, shape, c, i AS pos, parts[i + 1] AS seg, coalesce(array_to_string(parts[1:i], '/'), '') AS parent FROM s, unnest(range(0, len(parts))) AS r(i)),
+wd AS (SELECT host, parent, seg FROM (SELECT host, parent, seg, sum(c) AS c, count(*) OVER w AS k, sum(sum(c)) OVER w AS tot FROM st GROUP BY host, parent, seg WINDOW w AS (PARTITION BY host, parent)) WHERE k > 50 AND c * 50 <= tot),
+tm AS (SELECT st.host, st.shape, list(CASE WHEN wd.host IS NULL THEN st.seg ELSE '*' END ORDER BY pos) AS t FROM st LEFT JOIN wd ON st.host = wd.host AND st.parent = wd.parent AND st.seg = wd.seg GROUP BY st.host, st.shape),
 nm AS (SELECT s.host, s.shape, s.n, s.bad, coalesce(tm.t, []) AS t FROM s LEFT JOIN tm ON s.host = tm.host AND s.shape = tm.shape),
 px AS (SELECT host, coalesce(array_to_string(t, '/'), '') AS template, n, bad, i AS depth, coalesce(array_to_string(t[1:i], '/'), '') AS node, coalesce(array_to_string(t[1:greatest(i - 1, 0)], '/'), '') AS parent
        FROM nm, unnest(range(0, len(t) + 1)) AS r(i)),

@@ -3,8 +3,8 @@
 Rules name a host (with its subdomains) and a start of the path; the longest one that fits decides. Other urls
 are judged by their template:
 
-* A path's segments are generalised where they vary: numbers, numbers with an ending, long hexadecimal ids, and all
-  children of a node with more than `max_children` different ones become wildcards.
+* A path's segments are generalised where they vary: numbers, numbers with an ending, long hexadecimal ids, and the rare
+  children (at most 1 / `max_children` of the pages each) of a node with more than `max_children` different ones become wildcards.
 * The templates' prefixes are the nodes of the host's tree. Each node counts labelled pages and bad ones.
 * Sibling branches whose share of bad pages lies within `z` standard errors of their parent's are merged: they share
   one count.
@@ -72,16 +72,18 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Rules, *, max_child
         return df.withColumn("shape", F.array_join(generalised(F.col("path")), "/"))
 
     all_pages = parsed(pages, F.col(id_col))
-    counts = parsed(labelled.where("bad IS NOT NULL"), F.col("bad").cast("double").alias("bad")).groupBy("host", "shape").agg(F.count("*").cast("double").alias("n"), F.sum("bad").alias("bad"))
-    shapes = all_pages.groupBy("host", "shape").agg(F.lit(0.0).alias("n"), F.lit(0.0).alias("bad"))
-    shapes = shapes.union(counts).groupBy("host", "shape").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    counts = parsed(labelled.where("bad IS NOT NULL"), F.col("bad").cast("double").alias("bad")).groupBy("host", "shape").agg(F.lit(0).cast("long").alias("c"), F.count("*").cast("double").alias("n"), F.sum("bad").alias("bad"))
+    shapes = all_pages.groupBy("host", "shape").agg(F.count("*").alias("c"), F.lit(0.0).alias("n"), F.lit(0.0).alias("bad"))
+    shapes = shapes.union(counts).groupBy("host", "shape").agg(F.sum("c").alias("c"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
-    # Nodes with many different children: these become one wildcard child.
+    # Rare children of nodes with many different ones become one wildcard child.
     parts = F.when(F.col("shape") == "", F.array()).otherwise(F.split("shape", "/"))
-    steps = shapes.select("host", "shape", "n", "bad", parts.alias("parts")).select("host", "shape", "n", "bad", "parts", F.posexplode_outer("parts").alias("pos", "seg"))
+    steps = shapes.select("*", parts.alias("parts")).select("*", F.posexplode_outer("parts").alias("pos", "seg"))
     steps = steps.withColumn("parent", F.array_join(F.slice("parts", F.lit(1), F.coalesce("pos", F.lit(0))), "/"))
-    wide = steps.where("pos IS NOT NULL").groupBy("host", "parent", "seg").count().groupBy("host", "parent").agg(F.count("*").alias("children")).where(F.col("children") > max_children).select("host", "parent", F.lit("*").alias("wild"))
-    named = steps.join(wide, ["host", "parent"], "left").groupBy("host", "shape", "n", "bad").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("wild", "seg").alias("seg"))))).alias("t"))
+    children = steps.where("pos IS NOT NULL").groupBy("host", "parent", "seg").agg(F.sum("c").alias("child"))
+    wide = children.groupBy("host", "parent").agg(F.count("*").alias("children"), F.sum("child").alias("total")).where(F.col("children") > max_children)
+    wild = children.join(wide, ["host", "parent"]).where(F.col("child") * max_children <= F.col("total")).select("host", "parent", "seg", F.lit("*").alias("wild"))
+    named = steps.join(wild, ["host", "parent", "seg"], "left").groupBy("host", "shape", "n", "bad").agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("wild", "seg").alias("seg"))))).alias("t"))
     named = scratch.keep(named.select("host", "shape", "n", "bad", F.col("t.seg").alias("t")), "templates")
 
     # Counts of every prefix, then of merged siblings.
