@@ -225,12 +225,11 @@ def _places(keys: DataFrame, id_col: str, scratch: Scratch) -> DataFrame:
     ranged = scratch.keep(ordered.select(F.spark_partition_id().alias("part"), "row", "n_tokens").mapInArrow(sums, "part int, row long, within long, n_tokens long"), "places")
     base, total = [], 0
     for part, n in sorted(tuple(r) for r in ranged.groupBy("part").agg(F.sum("n_tokens")).collect()):
-        base += [part, total]
+        base.append((part, total))
         total += n
-    if not base:
-        return ranged.select("row", F.lit(0).cast("long").alias("place"))
-    before = F.create_map(*[F.lit(x).cast("int" if i % 2 == 0 else "long") for i, x in enumerate(base)])
-    return ranged.select("row", (F.col("within") + before[F.col("part")]).alias("place"))
+    # One row a task: as many as the session's shuffle partitions.
+    before = spark.createDataFrame(base, "part int, before long")
+    return ranged.join(F.broadcast(before), "part").select("row", (F.col("within") + F.col("before")).alias("place"))
 
 
 def digest(pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
