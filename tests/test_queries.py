@@ -30,7 +30,7 @@ def rows(df):
     return sorted(tuple(map(shown, r)) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - {"kw_blend", "kw_best_chunk_per_doc"}))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, db, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(db.execute(ORACLES[name]).fetchdf())
 
