@@ -7,7 +7,7 @@ equal pseudonyms in every document, so records stay linked; without the key it c
 kind          valid if                                what is permuted
 email         local part, @, host with a dot          letters and digits of the local part, in their class
 card          13 to 19 digits that pass Luhn          the digits between the first and the last; the last is the new check digit
-phone         North American, + or brackets           all digits but the country code and the leading digits of area and exchange
+phone         3-3-4 digits after +1 or with brackets  all digits but the country code and the leading digits of area and exchange
 ssn           3-2-4 digits                            all digits
 ip            four numbers up to 255                  the address as two 16-bit halves
 date          a real day from 1900 to 2099            the day among all 73049 days of those years
@@ -37,7 +37,7 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "date": r"(?<![\d-])(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])",
     "card": r"(?<![\dA-Za-z])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})(?![\dA-Za-z])",
-    "phone": r"(?:\+1[ .-]?)?\([2-9]\d{2}\)[ .-]?[2-9]\d{2}[ .-]\d{4}(?!\d)|\+1[ .-]?[2-9]\d{2}[ .-]?[2-9]\d{2}[ .-]?\d{4}(?!\d)",
+    "phone": r"(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)[.]){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|[.]\d)",
 }
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())

@@ -153,6 +153,15 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert re.fullmatch(r"ssn \d{3}-\d\d-\d{4}", a[7])
 
 
+def test_phones_with_any_area_code_and_exchange(spark):
+    texts = ["+1 (017) 555-7713", "+1 (136) 555-7479", "(017) 155-7713", "+1 212 055 7713", "+1-136-155-7713", "+1 (988) 555-2485"]
+    a = masked(spark, texts)
+    shape = lambda x: re.sub(r"\d", "d", x)
+    lead = lambda x: (lambda d: (d[:-10], d[-10], d[-7]))(re.sub(r"\D", "", x))
+    assert all(x != y and shape(x) == shape(y) and lead(x) == lead(y) for x, y in zip(a, texts))
+    assert masked(spark, texts[::-1])[::-1] == a and len({re.sub(r"\D", "", x)[-10:] for x in a}) == 6
+
+
 def test_invalid_numbers_stay(spark):
     texts = ["4041894974608796", "2001-02-30", "300.1.1.1", "1.2.3.4.5", "12345", "a@b", None, "", "plain text (brackets) + 1.5"]
     assert masked(spark, texts) == texts
