@@ -40,9 +40,13 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
-    found = minhash.near_duplicates(docs, words=5, pct=80, scratch=_scratch(spark))
-    return docs.join(found.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """The document of the smallest id of each group of near copies (five-word shingles, similarity 0.8). Ids may repeat: rows are told apart by a written number."""
+    scratch = _scratch(spark)
+    rows = scratch.keep(docs.withColumn("row_no", F.monotonically_increasing_id()), "rows")
+    found = minhash.near_duplicates(rows, words=5, pct=80, id_col="row_no", scratch=scratch)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no")).alias("first")
+    kept = found.select("row_no", "component_id").join(rows.select("row_no", "doc_id"), "row_no").groupBy("component_id").agg(first)
+    return rows.join(kept.select("first.row_no"), "row_no", "left_semi").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

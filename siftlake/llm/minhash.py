@@ -383,7 +383,7 @@ def _cells(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, pct: int = 80, text: str = "text", id_col: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
-    """id_col, n_shingles, component_id, kept for every row of docs. Ids are whole numbers."""
+    """id_col, n_shingles, component_id, kept for every row of docs. Ids are whole numbers, of one text each; tables whose ids repeat need a row number for id (see the pipeline)."""
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     threshold = pct / 100

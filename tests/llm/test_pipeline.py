@@ -18,5 +18,14 @@ def test_stages(spark, sf):
     assert sorted((r.doc_id, r.start, r.length) for r in ran) == sorted((r.doc_id, r.start, r.length) for r in pieces)
 
 
+def test_near_dedup_with_repeated_ids(spark, sf):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near_b = b.replace("b59", "other")
+    rows = [(1, a), (1, a), (5, a), (2, b), (5, c), (5, near_b), (7, d), (7, c), (7, d), (None, d), (None, "lone words"), (8, ""), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (5, c), (7, d), (None, "lone words"), (8, ""), (8, "")], key=str)
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
