@@ -3,7 +3,8 @@
 A text is cut where no piece can cross: before each run of the word mark, at line ends, and between a word of letters and a
 comma or full stop, if the vocabulary has no piece over that place. So the best and the sampled segmentations of a text
 are those of its cuts side by side, and equal cuts share one lattice. An Aho-Corasick automaton over the vocabulary lists the
-pieces at every place; a character that no piece covers alone is an unknown of one character, which is spelt in bytes.
+pieces that end at every place (for the forward pass); a trie, walked from all places at once, lists those that begin there
+(for sampling). A character that no piece covers alone is an unknown of one character, which is spelt in bytes.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import itertools
 import re
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import numpy as np
@@ -20,6 +21,49 @@ MARK = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
 
+class Trie:
+    """Children by (state, character) in one open-addressed table, so that many places step at once."""
+
+    def __init__(self, pieces: dict[str, int]):
+        child: dict[int, int] = {}
+        piece = [-1]
+        for p, i in pieces.items():
+            state = 0
+            for c in p:
+                key = state << 21 | ord(c)
+                if key not in child:
+                    child[key] = len(piece)
+                    piece.append(-1)
+                state = child[key]
+            piece[state] = i
+        self.piece = np.array(piece, np.int32)
+        self.bits = max(8, (4 * len(child)).bit_length())
+        self.keys, self.to = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        for slot, key, to in zip(self._slot(np.array(list(child), np.int64)).tolist(), child, child.values()):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & (1 << self.bits) - 1
+            self.keys[slot], self.to[slot] = key, to
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The child of each state by its character, or -1."""
+        key = state.astype(np.int64) << 21 | code
+        slot = self._slot(key)
+        held = self.keys[slot]
+        out = np.where(held == key, self.to[slot], np.int32(-1))
+        todo = np.flatnonzero((held != key) & (held >= 0))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (1 << self.bits) - 1
+            held = self.keys[slot[todo]]
+            same = held == key[todo]
+            out[todo[same]] = self.to[slot[todo[same]]]
+            todo = todo[~same & (held >= 0)]
+        return out
+
+
 class Vocabulary:
     """Pieces and scores of a SentencePiece model file, read as a unigram model."""
 
@@ -41,6 +85,7 @@ class Vocabulary:
             if usable[i]:
                 self.automaton.add_word(self.pieces[i], i)
         self.automaton.make_automaton()
+        self.usable = np.array(usable)
         inner = "".join(f"{p}\n" for i, p in enumerate(self.pieces) if usable[i])
         crossing = re.search(f"[{LETTERS}][.,]", inner) or re.search(f"[^{MARK}\n]{MARK}", inner)
         self.newline = any("\n" in p for i, p in enumerate(self.pieces) if usable[i])
@@ -51,6 +96,10 @@ class Vocabulary:
         else:
             self.cuts = re.compile(f"{MARK}*[{LETTERS}]+(?=[.,])|\n|{MARK}*[^{MARK}\n]+|{MARK}+")
 
+    @cached_property
+    def trie(self) -> Trie:
+        return Trie({self.pieces[i]: i for i in np.flatnonzero(self.usable).tolist()})
+
     def chunks(self, text: str) -> list[str]:
         """With the mark for blanks and before the text; an empty text has none."""
         return self.cuts.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -74,13 +123,18 @@ class Lattice:
     score: np.ndarray
 
 
-def build(v: Vocabulary, chunks: list[str]) -> Lattice:
-    """Chunks that are the separator itself get one unknown edge."""
+def _joined(chunks: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+    """The chunks in one text, each with a separator behind it; their first places and sizes. Chunks that are the separator itself become a character without a piece."""
     sep = "\x00" if any("\n" in c and c != "\n" for c in chunks) else "\n"
     shown = ["\ufffe" if c == sep else c.replace(sep, "\ufffe") if sep in c else c for c in chunks]
-    text = sep.join(shown) + sep
     size = np.fromiter(map(len, shown), np.int64, len(shown))
     first = np.concatenate([[0], np.cumsum(size + 1)[:-1]]) if len(shown) else np.zeros(0, np.int64)
+    return sep.join(shown) + sep, first, size
+
+
+def build(v: Vocabulary, chunks: list[str]) -> Lattice:
+    """Edges by their ends, as the automaton lists them; unknowns last."""
+    text, first, size = _joined(chunks)
     hits = np.fromiter(itertools.chain.from_iterable(v.automaton.iter(text)), np.int64).reshape(-1, 2)
     end, piece = hits[:, 0] + 1, hits[:, 1]
     start = end - v.length[piece]
@@ -93,6 +147,46 @@ def build(v: Vocabulary, chunks: list[str]) -> Lattice:
     return Lattice(text, first, first + size, start, end, np.concatenate([piece, np.full(len(places), -1)]), score)
 
 
+def build_by_start(v: Vocabulary, chunks: list[str]) -> tuple[Lattice, np.ndarray]:
+    """The same edges ordered by their starts, then by length; and low: node n's edges are low[n] to low[n + 1] - 1."""
+    text, first, size = _joined(chunks)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    inside = np.ones(len(codes), bool)
+    inside[first + size] = False
+    at = np.flatnonzero(inside)
+    state, found = np.zeros(len(at), np.int32), []
+    while len(at):
+        there = at + len(found) < len(codes)
+        if not there.all():
+            at, state = at[there], state[there]
+        state = v.trie.step(state, codes[at + len(found)])
+        piece = v.trie.piece[state]
+        piece[state < 0] = -1
+        hit = piece >= 0
+        found.append((at[hit], piece[hit]) if found else (at, piece))  # of one character: a piece or an unknown
+        alive = state >= 0
+        at, state = at[alive], state[alive]
+    low = np.zeros(len(codes) + 2, np.int64)
+    for a, _ in found:
+        low[a + 1] += 1
+    np.cumsum(low, out=low)
+    place = low.copy()
+    start, end, piece = (np.empty(low[-1], np.int64) for _ in range(3))
+    for n, (a, p) in enumerate(found):
+        i = place[a]
+        start[i], end[i], piece[i] = a, a + n + 1, p
+        place[a] += 1
+    score = np.where(piece >= 0, v.score[piece], v.unknown_score)
+    # An unknown of one byte has its byte's piece already; the separator stands for itself here.
+    real = text[-1].join(chunks) + text[-1]
+    alone = np.flatnonzero(piece < 0)
+    if v.byte_ids and len(alone):
+        code = np.frombuffer(real.encode("utf-32-le", "surrogatepass"), "<u4")[start[alone]]
+        one = code < 128
+        piece[alone[one]] = np.array([v.byte_ids[i] for i in range(128)])[code[one]]
+    return Lattice(text, first, first + size, start, end, piece, score), low
+
+
 def _by_depth(depth: np.ndarray, node: np.ndarray):
     """Edges ordered by depth and node, else as they are; and the slices of equal depth."""
     order = np.argsort(depth << 40 | node, kind="stable")
@@ -132,19 +226,24 @@ def viterbi(lat: Lattice, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best[lat.last], count[lat.last]
 
 
-def conditionals(lat: Lattice, alpha: float) -> tuple[Lattice, np.ndarray]:
-    """The edges ordered by their start, and each one's log probability given that its start is reached, for weights exp(alpha * score)."""
+def conditionals(lat: Lattice, low: np.ndarray, alpha: float) -> np.ndarray:
+    """Each edge's log probability given that its start is reached, for weights exp(alpha * score). Edges lie by their starts; a node's only edge has exactly 0."""
     total = np.full(len(lat.text) + 1, -np.inf)
     total[lat.last] = 0
-    order, cut = _by_depth(lat.last[_chunk_of(lat, lat.start)] - lat.start, lat.start)
+    left = (np.repeat(lat.last, lat.last - lat.first + 1) - np.arange(len(lat.text)))[lat.start]  # places to the cut's end
+    order = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
+    depth = left[order]
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(depth)) + 1, [len(depth)]])
     start, end, score = lat.start[order], lat.end[order], alpha * lat.score[order]
     for lo, hi in zip(cut, cut[1:]):
         s = start[lo:hi]
         x = score[lo:hi] + total[end[lo:hi]]
-        group = np.concatenate([[0], np.flatnonzero(np.diff(s)) + 1])
+        group = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1]) if hi > lo else np.zeros(0, np.int64)
+        if not len(group):
+            continue
         top = np.maximum.reduceat(x, group)
         sums = np.add.reduceat(np.exp(x - np.repeat(top, np.diff(np.concatenate([group, [hi - lo]])))), group)
         total[s[group]] = top + np.log(sums)
-    order = np.argsort((lat.start << 24) + lat.end - lat.start, kind="stable")  # a piece is shorter than 2**24
-    out = Lattice(lat.text, lat.first, lat.last, lat.start[order], lat.end[order], lat.piece[order], lat.score[order])
-    return out, alpha * out.score + total[out.end] - total[out.start]
+    out = np.minimum(alpha * lat.score + total[lat.end] - total[lat.start], 0.0)
+    out[low[lat.start + 1] - low[lat.start] == 1] = 0.0
+    return out

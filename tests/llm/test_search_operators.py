@@ -254,12 +254,46 @@ def test_samples_follow_the_distribution():
 
 
 def test_small_lattices_are_exhausted():
+    """To the last one, also where a piece is scored out (probability e**-100000 and less) or the best one's probability rounds to 1."""
     v = lattice.vocabulary(PIECES)
-    every = segmentations(v, "▁sea")
-    s = sampling.Sampler(PIECES, ["sea"], [5], 1e-4, 1)
-    got, threshold = s.top(50)
-    want = {x for x in every if sum(v.score[i] for i in x) > -1e8}  # a piece that is scored out has no probability left
-    assert {tuple(s.ids(o, e).tolist()) for o, e, _, _ in got[0]} == want and len(got[0]) == len(want) and threshold == [-np.inf]
+    for text, alpha in (("sea", 1e-4), ("a", 1e-3), ("I", 1e-3), ("A.", 1e-3), ("the", 1.0)):
+        every = segmentations(v, "▁" + text)
+        assert len(every) > 1
+        s = sampling.Sampler(PIECES, [text], [5], alpha, 1)
+        got, threshold = s.top(50)
+        assert {tuple(s.ids(o, e).tolist()) for o, e, _, _ in got[0]} == set(every) and len(got[0]) == len(every) and threshold == [-np.inf]
+        assert [x[3] for x in got[0]] == sorted((x[3] for x in got[0]), reverse=True)
+        logs = {x: alpha * sum(v.score[i] for i in x) for x in every}
+        total = np.logaddexp.reduce(list(logs.values()))
+        assert all(abs(lp - logs[tuple(s.ids(o, e).tolist())] + total) < 1e-6 * (1 + abs(lp)) for o, e, lp, _ in got[0])
+
+
+def test_unlikely_second_segmentations_come_out():
+    s = sampling.Sampler(PIECES, ["a", "I", "A.", "x" * 3000, "日本\nü\ufffe\ttab"], list(range(5)), 1e-3, 1)
+    got, _ = s.top(2)
+    decode = sampling.decoder(PIECES)
+    assert [len(x) for x in got] == [2] * 5
+    assert {decode(s.ids(o, e).astype("<u4").tobytes()) for o, e, _, _ in got[4]} == {"日本\nü\ufffe\ttab"}
+
+
+def test_trie_lists_what_the_automaton_lists(sf):
+    import pyarrow.parquet as pq
+
+    v = lattice.vocabulary(PIECES)
+    cuts = sorted({c for t in pq.read_table(f"{sf}/documents.parquet")["text"].to_pylist()[:40] for c in v.chunks(t)} | {"\n", "日本", "x" * 500})
+    a, (b, low) = lattice.build(v, cuts), lattice.build_by_start(v, cuts)
+    spelt = lambda lat: sorted(zip(lat.start.tolist(), lat.end.tolist(), lat.score.tolist()))
+    assert spelt(a) == spelt(b) and (np.diff(b.start * 1000 + b.end) > 0).all() and low[-1] == len(b.start)
+
+
+def test_a_full_store_starts_anew(monkeypatch):
+    texts = ["the sea and the sky", "ein Wort, noch eins", "the sky"]
+    want = [[(s.ids(o, e).tolist(), lp) for x in got for o, e, lp, _ in x] for s in [sampling.Sampler(PIECES, texts, [1, 2, 3], 1e-3, 1)] for got, _ in [s.top(2)]]
+    monkeypatch.setattr(sampling, "_stores", {(PIECES, 1e-3): sampling.Store(PIECES, 1e-3, edges=10)})
+    for _ in range(3):
+        s = sampling.Sampler(PIECES, texts, [1, 2, 3], 1e-3, 1)
+        got, _ = s.top(2)
+        assert [(s.ids(o, e).tolist(), lp) for x in got for o, e, lp, _ in x] == want[0]
 
 
 def test_samples_do_not_depend_on_batches(spark, odd, sf):
