@@ -34,14 +34,22 @@ CACHED_WORDS = 500_000
 
 #: A mark that ends a word, and words that are one run of letters with or without one run of marks.
 END_MARK = re.compile(rb"[,.](?<=[a-z0-9][,.])(?=[ \n]|\Z)")
-PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?|]*)").fullmatch
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#$%&*]*)").fullmatch
+
+
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else the next one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in shown else next(rest)) for b in range(256)]
 
 
 class WordCache:
-    """Ids of texts, by words: exact for the lower-casing tokenizer that drops white space and never joins across it.
+    """Ids of texts, by words: exact for the lower-casing byte-level tokenizer that drops white space and never joins across it.
 
     Texts are lower-cased (A-Z), split at ASCII white space and before a comma or full stop that ends a word, where the
-    tokenizer splits too; each word is encoded once while it is cached. Ids are kept as little-endian bytes,
+    tokenizer splits too; each word is encoded once while it is cached. Plain words go straight to the tokenizer's merges, as nothing
+    else happens to them; others go through all of it. Ids are kept as little-endian bytes,
     2 each if the vocabulary allows. Texts that spell a special token are encoded whole.
     """
 
@@ -53,37 +61,41 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        vocab = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
+        self.letters = dict(enumerate(byte_letters()))
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_plain(self, words: list[str], runs: list[int]) -> list[bytes]:
-        """One call for many plain words: every run ends in one id with the end-of-word mark."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
-        stop, need = np.flatnonzero(self.ends[ids]) + 1, np.cumsum(runs)
-        if len(stop) != need[-1]:
-            return self.encode(words)
-        raw, at = ids.tobytes(), [0, *(stop[need - 1] * self.dtype.itemsize).tolist()]
-        return [raw[a:b] for a, b in zip(at, at[1:])]
+    def encode_plain(self, words: list[str]) -> list[bytes]:
+        """Runs of letters or of marks, lower-cased, by the merges alone."""
+        runs = "\0".join(words).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
+        ids, size = [], []
+        for run in map(self.merges.tokenize, runs):
+            ids += [t.id for t in run]
+            size.append(len(run) * self.dtype.itemsize)
+        raw, stop = np.array(ids, self.dtype).tobytes(), np.cumsum(size).tolist()
+        return [raw[a:b] for a, b in zip([0, *stop], stop)]
 
     def learn(self, words: list[bytes]) -> None:
-        plain, other = ([], [], []), ([], [])
+        plain, runs, marks, other = [], [], [], []
         for w, s in zip(words, b"\n".join(words).decode("utf-8", "replace").split("\n")):
             if m := PLAIN(s):
-                plain[0].append(w)
-                plain[1].append(s)
-                plain[2].append(2 if m[1] else 1)
+                plain.append(w)
+                runs.append(m[1].lower())
+                marks.append(m[2])
             else:
-                other[0].append(w)
-                other[1].append(s)
-        for lo in range(0, len(plain[0]), 4096):
-            self.known.update(zip(plain[0][lo : lo + 4096], self.encode_plain(plain[1][lo : lo + 4096], plain[2][lo : lo + 4096])))
-        self.known.update(zip(other[0], self.encode(other[1])))
+                other.append((w, s))
+        if plain:
+            kinds = list(set(marks) - {""})
+            tail = {"": b"", **dict(zip(kinds, self.encode_plain(kinds) if kinds else []))}
+            for lo in range(0, len(plain), 4096):
+                for w, x, m in zip(plain[lo : lo + 4096], self.encode_plain(runs[lo : lo + 4096]), marks[lo : lo + 4096]):
+                    self.known[w] = x + tail[m] if m else x
+        if other:
+            self.known.update(zip([w for w, _ in other], self.encode([s for _, s in other])))
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         raw = [(x or "").encode("utf-8", "replace") for x in texts]
@@ -108,12 +120,15 @@ def _signs() -> np.ndarray:
 
 def points(ids: list[np.ndarray]) -> np.ndarray:
     """Projections of the hashed, log-scaled, unit-length id counts."""
-    out = np.zeros((len(ids), DIMS))
-    for i, x in enumerate(ids):
-        if len(x):
-            v = np.log1p(np.bincount((x.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(24), minlength=HASHED))
-            out[i] = v @ _signs() / max(np.sqrt(v @ v), 1e-12)
-    return out
+    out = np.zeros((len(ids), HASHED))
+    for lo in range(0, len(ids), 256):
+        part = ids[lo : lo + 256]
+        row = np.repeat(np.arange(len(part), dtype=np.uint32) * np.uint32(HASHED), [len(x) for x in part])
+        slot = (np.concatenate(part).astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(24)
+        out[lo : lo + 256] = np.log1p(np.bincount(row + slot, minlength=len(part) * HASHED)).reshape(-1, HASHED)
+    # Sums over rows one by one, so that a document's point does not depend on its batch.
+    length = np.sqrt((out * out).sum(axis=1))
+    return np.stack([(out * s).sum(axis=1) for s in _signs().T], axis=1) / np.maximum(length, 1e-12)[:, None]
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
