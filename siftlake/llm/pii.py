@@ -7,18 +7,23 @@ equal pseudonyms in every document, so records stay linked; without the key it c
 kind          valid if                                what is permuted
 email         local part, @, host with a dot          letters and digits of the local part, in their class
 card          13 to 19 digits that pass Luhn          the digits between the first and the last; the last is the new check digit
-phone         3-3-4 digits after +1 or with brackets  all digits but the country code and the leading digits of area and exchange
-ssn           3-2-4 digits                            all digits
+phone         3-3-4 digits after +1 or with brackets, all digits but the country code and the leading digits of area and exchange
+              or bare with - or . and leading 2 to 9
+abroad        + and 8 to 15 digits in groups, not +1  all digits but the first two (the country code or its start)
+ssn           3-2-4 digits that can be issued         the number among all that can be issued
 ip            four numbers up to 255                  the address as two 16-bit halves
-date          a real day from 1900 to 2099            the day among all 73049 days of those years
+date          a real day from 1900 to 2099, as y-m-d, the day among all 73049 days of those years, in the same form
+              d.m.y, m/d/y or d/m/y                   (d/m/y: among the days over 12, as it is told by them)
 key           AKIA and 16 characters                  the 16 characters
-secret        after password, token, secret, api key  the value's characters, in their class (hexadecimal stays so)
+secret        after password, token, secret, api key: the value's characters, in their class (hexadecimal stays so)
+              8 characters at least, up to the next
+              quote or white space, of any length
 
 Items that fail validation stay as they are. The rest of the text is untouched, byte by byte.
 
 Defined cases: null text stays null; empty texts and texts without items come back unchanged; null ids and repeated rows
-are treated alike; an empty table gives an empty result; other columns are kept by `pseudonymised`. A text is one row's work;
-a hot source is no key here, as nothing is shuffled.
+are treated alike; an empty table gives an empty result; other columns are kept by `pseudonymised`, but for one that is named like `items`.
+A text is one row's work, however long; of items that overlap, the first one and at a place the first kind counts; a hot source is no key here, as nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -31,18 +36,19 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 
 #: One pattern for each kind, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]+[.])+[A-Za-z]{2,}",
+    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}[.]){1,127}[A-Za-z]{2,63}",
     "key": r"\bAKIA[A-Z0-9]{16}\b",
-    "secret": r"\b(?i:password|passwd|token|secret|api[_-]?key)\s?[=:]\s?\"?[A-Za-z0-9_-]{8,128}",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "date": r"(?<![\d-])(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])",
+    "secret": r"\b(?i:password|passwd|token|secret|api[_-]?key)[\"']?\s?[=:]\s?[\"']?[^\s\"']{8,}",
+    "ssn": r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])",
+    "date": r"(?<![\d-])(?:19|20)\d{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\d-])|(?<![\d./])(?:0?[1-9]|[12]\d|3[01])(?<slash>[./])(?:0?[1-9]|[12]\d|3[01])\k<slash>(?:19|20)\d{2}(?![\d/]|[.]\d)",
     "card": r"(?<![\dA-Za-z])(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})(?![\dA-Za-z])",
-    "phone": r"(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)",
+    "phone": r"(?:\+1[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\d.+-])[2-9]\d{2}(?<dash>[.-])[2-9]\d{2}\k<dash>\d{4}(?![\d-]|[.]\d)",
+    "abroad": r"(?<![\d+])\+[2-9]\d{0,2}(?:[ .-]?(?:\(\d{1,4}\)|\d{1,12})){1,6}(?!\d)",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)[.]){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\d]|[.]\d)",
 }
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no item; the cheap test spares most texts the full pattern.
-HINT = r"[@+(]|\d[.-]\d|\d{13}|\d{4} \d{4}|AKIA|(?i:password|passwd|token|secret|api)"
+HINT = r"[@+(]|\d[./-]\d|\d{13}|\d{4} \d{4}|AKIA|(?i:password|passwd|token|secret|api)"
 
 
 def _hash(key: str, kind: str, nth: Column, half: Column) -> Column:
@@ -148,19 +154,64 @@ def _ip(m: Column, key: str) -> Column:
     return bound(F.split(m, "[.]"), of)
 
 
-def _date(m: Column, key: str) -> Column:
-    """73049 days are 17 times 4297."""
+def _abroad(m: Column, key: str) -> Column:
+    """Numbers with as many digits as a country's may have; equal digits are linked, however they are grouped."""
 
     def of(d: Column) -> Column:
-        n = F.datediff(d, F.lit("1900-01-01").cast("date"))
-        moved = permuted_pair(F.floor(n / 4297), F.pmod(n, F.lit(4297)), 17, 4297, key, "date")
-        return bound(moved, lambda x: F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), (x["a"] * 4297 + x["b"]).cast("int")), "yyyy-MM-dd"))
+        fresh = F.concat(F.substring(d, 1, 2), permuted_string(F.substring(d, F.lit(3), F.length(d) - 2), key, "abroad", (DIGITS,)))
+        return F.when(F.length(d).between(8, 15), bound(fresh, lambda x: refill(m, x))).otherwise(m)
+
+    return bound(F.regexp_replace(m, "[^0-9]", ""), of)
+
+
+def _ssn(m: Column, key: str) -> Column:
+    """898 areas (001 to 899 but 666) times 99 groups times 9999 serial numbers."""
+    n = lambda at, size: F.substring(m, at, size).cast("long")
+    area = n(1, 3) - F.when(n(1, 3) > 666, 2).otherwise(1)
+    moved = permuted_pair(area, (n(5, 2) - 1) * 9999 + n(8, 4) - 1, 898, 99 * 9999, key, "ssn")
+    return bound(moved, lambda x: F.format_string("%03d-%02d-%04d", x["a"] + F.when(x["a"] > 664, 2).otherwise(1), F.floor(x["b"] / 9999) + 1, F.pmod(x["b"], F.lit(9999)) + 1))
+
+
+EPOCH = "1900-01-01"
+
+
+def _date(m: Column, key: str) -> Column:
+    """73049 days are 17 times 4297. Every form but d/m/y moves a day alike; there it moves on until its number is over 12 again."""
+    day_of = lambda n: F.date_add(F.lit(EPOCH).cast("date"), n.cast("int"))
+
+    def moved(n: Column) -> Column:
+        return bound(permuted_pair(F.floor(n / 4297), F.pmod(n, F.lit(4297)), 17, 4297, key, "date"), lambda x: x["a"] * 4297 + x["b"])
+
+    def late(n: Column) -> Column:
+        step = lambda s, _: F.when(s["done"], s).otherwise(bound(moved(s["n"]), lambda x: F.struct(x.alias("n"), (F.dayofmonth(day_of(x)) > 12).alias("done"))))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(200)), F.struct(n.cast("long").alias("n"), F.lit(False).alias("done")), step, lambda s: s["n"])
+
+    def real(y: Column, mo: Column, d: Column) -> Column:
+        return F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")).try_cast("date")
+
+    def shown(day: Column, form: str, walk) -> Column:
+        return bound(F.datediff(day, F.lit(EPOCH).cast("date")), lambda n: F.date_format(day_of(walk(n)), form))
+
+    def by(p: Column) -> Column:
+        one, two, three = (F.element_at(p, i) for i in (1, 2, 3))
+        padded = (F.length(one) == 2) & (F.length(two) == 2)
+        form = lambda day, wide, narrow, walk=moved: F.when(padded, shown(day, wide, walk)).otherwise(shown(day, narrow, walk))
+        return (
+            F.when(m.contains("-"), shown(m.try_cast("date"), "yyyy-MM-dd", moved))
+            .when(m.contains("."), form(real(three, two, one), "dd.MM.yyyy", "d.M.yyyy"))
+            .when(real(three, one, two).isNotNull(), form(real(three, one, two), "MM/dd/yyyy", "M/d/yyyy"))
+            .otherwise(form(real(three, two, one), "dd/MM/yyyy", "d/M/yyyy", late))
+        )
+
+    return F.coalesce(bound(F.split(m, "[./]"), by), m)
+
 
-    return F.coalesce(bound(m.try_cast("date"), of), m)
+#: The value of a secret: what follows the name, the sign and an opening quote.
+NAMED = r"^[A-Za-z_-]+[\"']?\s?[=:]\s?[\"']?"
 
 
 def _secret(m: Column, key: str) -> Column:
-    value = F.regexp_extract(m, "[A-Za-z0-9_-]{8,128}$", 0)
+    value = F.regexp_replace(m, NAMED, "")
     hexadecimal = permuted_string(value, key, "hex", ("0123456789abcdef",))
     other = permuted_string(value, key, "secret", (LOWER, UPPER, DIGITS))
     return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), F.when(value.rlike("^[0-9a-f]+$"), hexadecimal).otherwise(other))
@@ -181,7 +232,7 @@ def pseudonym(m: Column, key: str) -> Column:
         return (
             F.when(kind == "email", _email(m, key)).when(kind == "card", _card(m, key)).when(kind == "phone", _phone(m, key))
             .when(kind == "ip", _ip(m, key)).when(kind == "date", _date(m, key)).when(kind == "secret", _secret(m, key))
-            .when(kind == "ssn", bound(permuted_string(F.regexp_replace(m, "-", ""), key, "ssn", (DIGITS,)), lambda x: refill(m, x)))
+            .when(kind == "ssn", _ssn(m, key)).when(kind == "abroad", _abroad(m, key))
             .when(kind == "key", F.concat(F.lit("AKIA"), permuted_string(F.substring(m, 5, 16), key, "key", (UPPER + "234567",)))).otherwise(m)
         )
 
