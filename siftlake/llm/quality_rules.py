@@ -1,14 +1,15 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule has a feature (an integer read off the whole text) and a test on it. On a bounded sample of
-whole texts the cascade times every feature and counts how many texts each rule rejects, then orders
-the rules by rejections per second. A text meets the rules in that order and leaves at its first
+Each rule has a feature (an integer read off the whole text) and a test on it. On a bounded random sample of
+whole texts one task times every feature and counts how many texts each rule rejects; the rules are ordered
+by rejections per second. A text meets the rules in that order and leaves at its first
 failure, so costly features are only computed for texts that the cheap rules let through. The verdict is
-the conjunction of all rules, so it does not depend on the order, on the sample or on the machine.
+the conjunction of all rules, so it does not depend on the order, on the sample or on the machine; which failure is
+the first one (failed_rule) does depend on the order.
 
-Defined cases: null text counts as empty; an empty text has no words and fails the length rule; a null
-doc_id is carried through; repeated rows are each judged alone; an empty table gives an empty result.
-Columns besides the id and the text are ignored by the rules; `judge` keeps them where no name clashes.
+Defined cases: null text counts as empty; an empty text has no words and fails the length rule; a very long text is judged whole,
+as one row's work; a null doc_id is carried through; repeated rows are each judged alone; an empty table gives an empty result.
+Columns besides the id and the text are ignored by the rules; `judge` keeps them where no name clashes, `passing` keeps all.
 """
 
 from __future__ import annotations
@@ -115,15 +116,42 @@ def default_rules(min_words: int = 50, repeat_pct: int = 50, symbol_pct: int = 3
 class Cascade:
     rules: tuple[Rule, ...] = field(default_factory=default_rules)
 
-    def ordered_by(self, texts: list[str | None]) -> Cascade:
-        """The rules by rejections per second on these texts. Each rule is timed on texts that nothing was computed for."""
-        gain = {}
+    def tried(self, texts: list[str | None]) -> list[tuple[str, float, int]]:
+        """Name, seconds and rejections of every rule. Each rule is timed on texts that nothing was computed for."""
+        out = []
         for rule in self.rules:
             began, n = time.perf_counter(), 0
             for x in texts:
                 n += rule.fails(Text(x))
-            gain[rule.name] = n / max(time.perf_counter() - began, 1e-9)
-        return Cascade(tuple(sorted(self.rules, key=lambda r: -gain[r.name])))
+            out.append((rule.name, max(time.perf_counter() - began, 1e-9), n))
+        return out
+
+    def ordered(self, tried: list[tuple[str, float, int]]) -> Cascade:
+        """The rules by rejections per second."""
+        gain = {}
+        for name, _, _ in tried:
+            gain[name] = sum(n for k, _, n in tried if k == name) / sum(s for k, s, _ in tried if k == name)
+        return Cascade(tuple(sorted(self.rules, key=lambda r: -gain.get(r.name, 0.0))))
+
+    def ordered_on(self, docs: DataFrame, text: str, sample_rows: int, sample_chars: int = 4_000_000) -> Cascade:
+        """By a sample whose rows and characters are bounded (a text that goes beyond is the last one); one task tries it, and only the figures reach the driver."""
+        n = docs.count()
+        some = docs.select(F.col(f"`{text}`").alias("text")).sample(min(1.0, 2 * sample_rows / max(n, 1)), 8).limit(sample_rows)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, chars = [], 0
+            for b in batches:
+                for x in b.column(0).to_pylist():
+                    if chars < sample_chars:
+                        held.append(x)
+                        chars += len(x or "")
+            got = self.tried(held)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], t) for i, t in enumerate((pa.string(), pa.float64(), pa.int64()))], names=["rule", "seconds", "rejected"])
+
+        return self.ordered([tuple(r) for r in some.coalesce(1).mapInArrow(run, "rule string, seconds double, rejected long").collect()])
+
+    def fails(self, t: Text) -> bool:
+        return any(r.fails(t) for r in self.rules)
 
     def first_failure(self, t: Text) -> str | None:
         return next((r.name for r in self.rules if r.fails(t)), None)
@@ -135,8 +163,7 @@ def judge(docs: DataFrame, cascade: Cascade | None = None, *, text: str = "text"
     sample_rows bounds the texts that order the rules. One pass, no shuffle.
     Columns of docs named like an added one are replaced.
     """
-    cascade = cascade or Cascade()
-    cascade = cascade.ordered_by([r[0] for r in docs.select(text).limit(sample_rows).collect()])
+    cascade = (cascade or Cascade()).ordered_on(docs, text, sample_rows)
     added = ["base_failed", "kept", "failed_rule", *(FEATURES if features else ())]
     rest = [c for c in docs.columns if c not in added]
     base = [r for r in cascade.rules if r.base]
@@ -163,3 +190,14 @@ def judge(docs: DataFrame, cascade: Cascade | None = None, *, text: str = "text"
     for k in added:
         schema = schema.add(k, kinds.get(k, "long"))
     return docs.select(*[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
+
+
+def passing(docs: DataFrame, cascade: Cascade | None = None, *, text: str = "text", sample_rows: int = 256) -> DataFrame:
+    """The rows that pass every rule, with their own columns and no other."""
+    cascade = (cascade or Cascade()).ordered_on(docs, text, sample_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array([not cascade.fails(Text(x)) for x in b.column(text).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
