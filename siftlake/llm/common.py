@@ -4,28 +4,37 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
+    """The folder in spark.checkpoint.dir. Where it is unset, one of our own on a local master; on a cluster that is an error, as its machines share no such folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="siftlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+_open: list[list[Scratch]] = []
+
+
 class Scratch:
     """Written tables that cut lineage. Every executor can read them, so a lost executor loses nothing.
 
-    The tables stay until drop() is called: results read them lazily.
+    The tables stay until drop() is called or the `dropping` around ends: results read them lazily.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_root(spark)}/siftlake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+        if _open:
+            _open[-1].append(self)
 
     def keep(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
@@ -38,5 +47,16 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def dropping() -> Iterator[None]:
+    """Scratch tables made inside are dropped at the end; write or collect what reads them before."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for s in _open.pop():
+            s.drop()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -175,6 +175,34 @@ def test_topk_of_huge_components(spark):
     assert [r.vec_id for r in got] == [1, 3, 2] and got[0].score == topk.LARGEST and got[2].score == -topk.LARGEST - 1
 
 
+def test_topk_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 32)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 4)
+    monkeypatch.setattr(topk, "PART_BYTES", 1)  # a part is a block
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(0, 0.2, 8))]) for i in range(700)] + [(50, [9.0] * 8)] * 300
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted((r.query_id, r["rank"], r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, n_pivots=6, pivot_sample=40).collect())
+    assert len(got) == 14 * 5 and [s for q, _, s in got if q == 0] == sorted([s for q, _, s in got if q == 0], reverse=True)
+    first = {i: max(sum(math.floor(256 * x) * math.floor(256 * y) for x, y in zip(rows[i][1], v)) for j, v in rows if j != i) for i in range(100, 700, 50)}
+    assert all(s == first[q] for q, n, s in got if n == 1 and q in first)
+
+
+def test_floors_spare_work_and_lose_nothing():
+    rng = np.random.default_rng(6)
+    x = np.floor(rng.normal(0, 40, (2000, 8)))
+    ids, piv = np.arange(len(x)), topk.choose_pivots(x[:200], 16)
+    t = topk.distances(x, piv)
+    part = topk.Part(5)
+    for lo in range(0, 2000, 250):
+        part.add(ids[lo : lo + 250], x[lo : lo + 250], t[lo : lo + 250])
+    floor = topk.floors(ids[:40], x[:40], ids[500:700], x[500:700], 5)
+    a, b = part.best(ids[:40], x[:40], t[:40], floor), part.best(ids[:40], x[:40], t[:40], np.full(40, -np.inf))
+    whole = topk.best_of_block(ids[:40], x[:40], t[:40], ids, x, t, 5)
+    order = lambda r: sorted(zip(*(v.tolist() for v in r[:3])))
+    assert order(a) == order(b) == order(whole) and a[3] < b[3]
+
+
 def test_pivots_spare_work():
     rng = np.random.default_rng(1)
     centres = rng.normal(0, 40, (20, 8))

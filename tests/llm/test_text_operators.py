@@ -27,8 +27,11 @@ def test_cascade_order_does_not_change_verdicts(spark):
     want = [all(not r.fails(quality_rules.Text(t)) for r in rules) for t in texts]
     for order in (rules, rules[::-1]):
         assert [quality_rules.Cascade(order).first_failure(quality_rules.Text(t)) is None for t in texts] == want
-    ordered = quality_rules.Cascade(rules).ordered_by(texts)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    ordered = quality_rules.Cascade(rules).ordered_on(docs, "text", 256)
     assert sorted(r.name for r in ordered.rules) == sorted(r.name for r in rules)
+    assert [r.name for r in quality_rules.Cascade(rules).ordered([("few_words", 2.0, 10), ("symbols", 1.0, 6), ("few_words", 1.0, 3)]).rules][:2] == ["symbols", "few_words"]
+    assert quality_rules.passing(docs).count() == sum(want)
 
 
 def test_cascade_is_short(spark):
@@ -59,6 +62,55 @@ def test_quality_model_learns_from_positives_and_unlabelled():
     assert (m.score(good) >= 0.7).mean() > 0.97 and (m.score(bad) >= 0.7).mean() < 0.05
 
 
+def test_risk_against_a_plain_sum_and_finite_differences():
+    rng = np.random.default_rng(1)
+    bp, bu, prior, ridge = rng.integers(0, 6, (7, 3)), rng.integers(0, 6, (11, 3)), 0.4, 0.01
+    w = rng.normal(0, 1, 7)
+    z = lambda row, w: sum(w[i] for i in row) + w[6]
+    loss = lambda m: float(np.log1p(np.exp(-m)))
+    pos = lambda w: prior * sum(loss(z(r, w)) for r in bp) / 7 + ridge / 2 * sum(x * x for x in w[:6])
+    neg = lambda w: sum(loss(-z(r, w)) for r in bu) / 11 - prior * sum(loss(-z(r, w)) for r in bp) / 7
+    a, b, pull, push = quality_model.risk(w, bp, bu, prior, ridge)
+    assert abs(a - pos(w)) < 1e-12 and abs(b - neg(w)) < 1e-12
+    for i in range(7):
+        up, down = (w + np.eye(7)[i] * h for h in (1e-6, -1e-6))
+        assert abs((pos(up) - pos(down)) / 2e-6 - pull[i]) < 1e-7 and abs((neg(up) - neg(down)) / 2e-6 - push[i]) < 1e-7
+
+
+@pytest.mark.parametrize("share", [0.3, 0.7])
+def test_prior_from_positives_only(share):
+    rng = np.random.default_rng(2)
+    n = len(quality_model.FEATURES)
+    draw = lambda at, k: rng.normal(at, 1, (k, n))
+    unlabelled = np.concatenate([draw(0.5, int(6000 * share)), draw(-0.5, 6000 - int(6000 * share))])
+    rng.shuffle(unlabelled)
+    assert abs(quality_model.estimated_prior(draw(0.5, 3000), unlabelled) - share) < 0.06
+
+
+def test_quality_model_with_positives_only(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = quality_model.classify(docs, labels.where("quality = 1").select("doc_id", F.lit(1).alias("label"))).join(labels, "doc_id").where("held_out").toPandas()
+    good, bad = got.score[got.quality == 1].to_numpy(), got.score[got.quality == 0].to_numpy()
+    assert (good[:, None] > bad[None, :]).mean() > 0.9
+
+
+def test_quality_model_of_ties_and_long_texts(spark):
+    long, dull = "Some words of a long text, each line the same.\n" * 30000, "the sea and the sky " * 20
+    docs = spark.createDataFrame([(1, long), (2, dull), (3, dull), (4, dull), (None, dull), (4, dull)], "doc_id long, text string")
+    got = quality_model.classify(docs, spark.createDataFrame([(i, 1) for i in range(1, 5)], "doc_id long, label int")).collect()
+    assert len(got) == 6 and len({r.score for r in got if r.doc_id != 1}) == 1 and all(0 <= r.score <= 1 for r in got)
+    alone = quality_model.classify(docs.where("doc_id = 1"), spark.createDataFrame([(1, 1)], "doc_id long, label int")).collect()
+    assert len(alone) == 1 and 0 <= alone[0].score <= 1
+
+
+def test_chosen_rows_are_few(spark):
+    rows = spark.range(20000).select(F.col("id").alias("doc_id"))
+    likely = quality_model._likely(rows, 20000, 100)
+    got = [r.doc_id for r in quality_model._first(likely, 100).collect()]
+    assert likely.count() < 300 and len(set(got)) == 100 and got == [r.doc_id for r in quality_model._first(rows.repartition(3), 100).collect()]
+
+
 def test_quality_model_on_tables(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     out = quality_model.classify(docs.select("doc_id", "text"), labels.select("doc_id", F.col("quality").alias("label"))).toPandas()
@@ -162,6 +214,57 @@ def test_phones_with_any_area_code_and_exchange(spark):
     assert masked(spark, texts[::-1])[::-1] == a and len({re.sub(r"\D", "", x)[-10:] for x in a}) == 6
 
 
+def test_secrets_are_replaced_to_their_end(spark):
+    secret = "".join(random.Random(1).choices("abcXYZ019", k=180))
+    texts = [f"password={secret} after", "token=abCD1234efgh/XYZ+secretTail== after", "api_key: 'abcd$efgh.ijkl@mnop' after", '{"token": "abcd1234efgh5678"} after', "secret=" + "x9Y" * 20000 + "\nafter"]
+    got = masked(spark, texts)
+    for x, y in zip(texts, got):
+        value = re.split(r"[=:]\s?[\"']?", x, maxsplit=1)[1].split("after")[0].strip(" '\"}\n")
+        new = re.split(r"[=:]\s?[\"']?", y, maxsplit=1)[1].split("after")[0].strip(" '\"}\n")
+        assert len(x) == len(y) and y.endswith("after") and len(new) == len(value)
+        assert [c if not c.isalnum() else c.isdigit() for c in x] == [c if not c.isalnum() else c.isdigit() for c in y]
+        for size in (8, 12):  # no part of the value stays
+            assert not any(value[i : i + size] == new[i : i + size] for i in range(len(value) - size) if value[i : i + size].isalnum())
+    assert got[0].split("=")[1].split(" ")[0] == feistel(secret, "k", "secret", (pii.LOWER, pii.UPPER, pii.DIGITS))
+
+
+def test_phones_without_brackets_and_abroad(spark):
+    texts = ["call 988-555-2485.", "988.555.2485", "+44 20 7946 0958", "+442079460958", "+49 (30) 901820", "+44-20-7946-0958", "+1 (988) 555-2485"]
+    a = masked(spark, texts)
+    digits = [re.sub(r"\D", "", x) for x in a]
+    assert all(x != y and re.sub(r"\d", "d", x) == re.sub(r"\d", "d", y) for x, y in zip(a, texts))
+    assert digits[0] == digits[1] == digits[6][1:] and digits[2] == digits[3] == digits[5] and digits[2][:2] == "44"
+    assert digits[2][2:] == feistel("2079460958", "k", "abroad", (pii.DIGITS,))
+    stay = ["+4 12 3", "+44 1234567890123456", "198-555-2485", "988-055-2485", "1988-555-2485", "988-555.2485", "988-555-2485-1"]
+    assert masked(spark, stay) == stay
+
+
+def test_dates_in_other_forms(spark):
+    texts = ["12/31/1999", "31.12.1999", "1999-12-31", "31/12/1999", "1/2/2001", "2.1.2001", "2001-01-02", "29/02/2000", "13/01/2024."]
+    a = masked(spark, texts)
+    day = lambda x, form: datetime.datetime.strptime(x, form).date()
+    assert day(a[0], "%m/%d/%Y") == day(a[1], "%d.%m.%Y") == day(a[2], "%Y-%m-%d") and day(a[4], "%m/%d/%Y") == day(a[5], "%d.%m.%Y") == day(a[6], "%Y-%m-%d")
+    assert all(x != y for x, y in zip(a, texts)) and all(day(a[i].strip("."), "%d/%m/%Y").day > 12 for i in (3, 7, 8))
+    many = [f"{d:02}/{m:02}/{y}" for y in (1999, 2000) for m in range(1, 13) for d in range(13, 29)]
+    assert len(set(masked(spark, many))) == len(many)
+    stay = ["31/31/1999", "30.02.2001", "02/30/2001", "1.2.2001.5", "12/31/1899", "13.13.2013", "1/2.2001"]
+    assert masked(spark, stay) == stay
+
+
+def test_ssns_move_among_those_that_can_be_issued(spark):
+    texts = ["123-45-6789", "665-01-0001", "667-99-9999", "899-12-3456", "001-01-0001"]
+    a = masked(spark, texts)
+    assert all(x != y and re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", y) for x, y in zip(texts, a)) and len(set(a)) == 5
+    stay = ["000-12-3456", "666-12-3456", "912-12-3456", "123-00-3456", "123-12-0000"]
+    assert masked(spark, stay) == stay
+
+
+def test_hosts_and_runs_of_any_length(spark):
+    texts = ["a@" + "a." * 50000 + "com", "x" * 200000, "1-" * 50000, "+4" * 50000, "password=" + "a1" * 100000]
+    got = masked(spark, texts)
+    assert [len(x) for x in got] == [len(x) for x in texts] and got[1:4] == texts[1:4]
+
+
 def test_invalid_numbers_stay(spark):
     texts = ["4041894974608796", "2001-02-30", "300.1.1.1", "1.2.3.4.5", "12345", "a@b", None, "", "plain text (brackets) + 1.5"]
     assert masked(spark, texts) == texts
