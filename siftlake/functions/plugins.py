@@ -18,10 +18,16 @@ STOP_WORDS = {
     "de": ("der", "die", "und", "das", "ist", "nicht", "ein", "mit", "den", "von"),
     "en": ("the", "of", "and", "to", "is", "that", "it", "for", "with", "was"),
     "es": ("el", "los", "que", "en", "una", "por", "con", "las", "su", "se"),
+    "it": ("il", "che", "di", "una", "per", "non", "con", "gli", "della", "sono"),
     "fr": ("le", "les", "des", "est", "une", "dans", "pour", "que", "qui", "et"),
 }
 
 
+#: Languages that questions are answered in, and how many parts a question has that tells its language.
+ANSWER_LANGUAGES = {"en": "English", "de": "German", "it": "Italian"}
+LEAST_PARTS = 5
+
+
 class Embedder(Protocol):
     dims: int
 
@@ -58,10 +64,14 @@ def _among(ws: tuple[str, ...]) -> Callable[[Column], Column]:
     return lambda w: w.isin(*ws)
 
 
-def query_language(question: Column, previous: Column, supported: tuple[str, ...] = ("en", "de")) -> Column:
-    """Of the question if it has five words, else of the last answer's first line; an unsupported one is an error."""
-    enough = F.size(F.split(F.trim(question), r"\s+")) >= 5
-    lang = F.when(enough, detected_language(question)).otherwise(detected_language(F.coalesce(F.element_at(F.split(previous, "\n"), 1), question)))
+def query_language(question: Column, previous: Column, raw: Column | None = None, supported: tuple[str, ...] = tuple(ANSWER_LANGUAGES)) -> Column:
+    """Of the (rephrased) question if it is long enough and its language is supported. A short one goes by the first line of the last answer
+    (the text behind its tag), where there is one; else the user's raw question decides. An unsupported language is an error."""
+    lang, short = detected_language(question), F.size(F.split(question, " ")) < LEAST_PARTS
+    said = F.regexp_extract(previous, r"\[AIMessage: \d+\](.*)", 1)
+    by_raw = lang if raw is None else F.when(raw.isNotNull(), detected_language(raw)).otherwise(lang)
+    told = F.when(previous.isNotNull() & (said != ""), detected_language(said)).otherwise(lang)
+    lang = F.when(lang.isin(*supported) & ~short, lang).when(short & previous.isNotNull(), told).otherwise(by_raw)
     return F.when(lang.isin(*supported), lang).otherwise(F.raise_error(F.concat(F.lit("unsupported language "), lang)).cast("string"))
 
 

@@ -38,12 +38,21 @@ def printable(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\x20-\x7E\n\r\t]", "")
 
 
+#: Marks of page ends, in this case only.
+PAGE_MARKS = r"Page \d+ of \d+|HEADER_PATTERN|FOOTER_PATTERN"
+
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+
+
 def without_page_marks(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?i)Page \d+ of \d+|header|footer", "")
+    """A line end in place of each mark."""
+    return F.regexp_replace(text, PAGE_MARKS, "\n")
 
 
 def cleaned(text: Column) -> Column:
-    return F.trim(without_page_marks(printable(text)))
+    return without_page_marks(printable(stripped(text)))
 
 
 def escaped_braces(text: Column) -> Column:

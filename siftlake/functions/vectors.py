@@ -58,3 +58,10 @@ def relevance(distance: Column, metric: str) -> Column:
     if metric == "ip":
         return F.when(distance > 0, 1 - distance).otherwise(-distance)
     raise ValueError(f"unknown metric {metric}")
+
+
+def unit(v: Column) -> Column:
+    """Scaled to length 1; a zero vector stays."""
+    d = v.cast("array<double>")
+    length = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
+    return F.element_at(F.transform(F.array(length), lambda n: F.transform(d, lambda x: F.when(n > 0, x / n).otherwise(x))), 1)

@@ -10,11 +10,11 @@ TAGS = {"user": "HumanMessage", "assistant": "AIMessage"}
 
 
 def tagged(history: DataFrame, conv: str, order: str) -> DataFrame:
-    """history with n (the turn's number among those of its role, from 0) and line, as in [HumanMessage: 0] text. Empty texts and other roles go."""
+    """history with n (the turn's number among those of its role, from 0) and line, as in [HumanMessage: 0]text. Empty texts and other roles go."""
     kept = history.where(F.col("role").isin(*TAGS) & (F.col("text") != ""))
     n = F.row_number().over(Window.partitionBy(conv, "role").orderBy(order)) - 1
     tag = F.element_at(F.create_map(*[F.lit(x) for kv in TAGS.items() for x in kv]), F.col("role"))
-    return kept.withColumn("n", n).withColumn("line", F.format_string("[%s: %d] %s", tag, "n", "text"))
+    return kept.withColumn("n", n).withColumn("line", F.format_string("[%s: %d]%s", tag, "n", "text"))
 
 
 def pairs(history: DataFrame, conv: str, order: str) -> DataFrame:

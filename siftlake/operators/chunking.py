@@ -46,11 +46,26 @@ def chunks_by_heading(lines: DataFrame, key: str, order: str, heading: str, text
     return cut.withColumn("chunk_num", number)
 
 
-def with_neighbours(chunks: DataFrame, key: list[str], number: str, text: str) -> DataFrame:
-    """previous and next text: of the chunk numbers one below and above, '' if there is none."""
+def with_neighbours(chunks: DataFrame, key: list[str], number: str, text: str, *, heading: str | None = None, alone: Column | None = None, breaks: str = "page_breaks") -> DataFrame:
+    """previous and next text: of the chunk numbers one below and above, '' if there is none; with their page breaks, where the chunks have some.
+
+    heading: only chunks under the same heading are neighbours. alone: rows (of spreadsheets) that have none.
+    """
     w = Window.partitionBy(*key).orderBy(number)
-    near = lambda f, by: F.when(f(number).over(w) == F.col(number) + by, f(text).over(w))
-    return chunks.withColumns({"previous": F.coalesce(near(F.lag, -1), F.lit("")), "next": F.coalesce(near(F.lead, 1), F.lit(""))})
+
+    def near(f, by: int, column: str, none: Column) -> Column:
+        there = f(number).over(w) == F.col(number) + by
+        if heading:
+            there = there & (F.coalesce(f(heading).over(w), F.lit("")) == F.coalesce(F.col(heading), F.lit("")))
+        if alone is not None:
+            there = there & ~alone
+        return F.coalesce(F.when(there, f(column).over(w)), none)
+
+    new = {"previous": near(F.lag, -1, text, F.lit("")), "next": near(F.lead, 1, text, F.lit(""))}
+    if breaks in chunks.columns:
+        none = F.array().cast(chunks.schema[breaks].dataType)
+        new |= {"previous_breaks": near(F.lag, -1, breaks, none), "next_breaks": near(F.lead, 1, breaks, none)}
+    return chunks.withColumns(new)
 
 
 def heading_paths(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -89,6 +104,10 @@ def pivoted(cells: DataFrame, row: str, column: str, value: str, names: list) ->
     return cells.groupBy(row).pivot(column, names).agg(F.min(value))
 
 
-def header_rows(cells: DataFrame, table: str, row: str, n_filled: str) -> DataFrame:
-    """Header levels: the rows where a number of filled cells appears for the first time."""
-    return cells.groupBy(table, n_filled).agg(F.min(row).alias(row))
+def header_rows(cells: DataFrame, table: str, row: str, column: str) -> DataFrame:
+    """table, row, filled: header levels. Empty cells take the value above them; a row is a level where its number of filled cells is new,
+    which is the first row and each row that is the first to fill some column. cells: the filled ones."""
+    first = cells.groupBy(table, column).agg(F.min(row).alias(row))
+    new = first.groupBy(table, row).agg(F.count("*").alias("_new"))
+    w = Window.partitionBy(table).orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
+    return new.select(table, row, F.sum("_new").over(w).cast("int").alias("filled"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,21 +50,32 @@ def query_lexemes(queries: DataFrame, text: str = "text") -> DataFrame:
     return queries.select(F.explode(F.array_distinct(T.words(T.truncated_query(F.col(text))))).alias("lexeme")).distinct()
 
 
+#: So many terms are looked for within the row; more meet the words in a join.
+FEW_TERMS = 256
+
+
 def matches(df: DataFrame, key: list[str], terms: DataFrame, text: str = "text", tf: str = "tsrank") -> DataFrame:
-    """key, lexeme, tf, n for the query's lexemes. The terms are few: an equi-join takes the place of a lateral loop."""
-    hits = df.select(*key, F.explode(T.words(F.col(text))).alias("lexeme")).join(terms, "lexeme")
+    """key, lexeme, tf, n for the query's lexemes. A question's terms are few: they become part of the plan, and only words that are hits leave their row.
+    Larger sets of terms take an equi-join in place of a lateral loop."""
+    few = [r[0] for r in terms.select("lexeme").limit(FEW_TERMS + 1).collect()]
+    words = T.words(F.col(text))
+    if len(few) <= FEW_TERMS:
+        found = F.filter(words, lambda w: w.isin(few)) if few else F.array().cast("array<string>")
+        hits = df.select(*key, F.explode(found).alias("lexeme"))
+    else:
+        hits = df.select(*key, F.explode(words).alias("lexeme")).join(terms, "lexeme")
     counted = hits.groupBy(*key, "lexeme").agg(F.count("*").alias("n"))
     return counted.withColumn("tf", ts_rank(F.col("n")) if tf == "tsrank" else F.col("n").cast("double"))
 
 
 def bm25(hits: DataFrame, key: list[str], n_all: DataFrame) -> DataFrame:
-    """key, s: summed tf / (tf + 1) * idf. n_all: one row with the number of candidate rows (n_all).
+    """key, s: summed tf / (tf + 1) * idf, and r: the summed occurrences, where the hits have them (n). n_all: one row with the number of candidate rows (n_all).
 
     Document frequencies are a groupBy joined back: a frequent lexeme is no hot window.
     """
     df = hits.groupBy("lexeme").agg(F.count("*").alias("df"))
     part = F.col("tf") / (F.col("tf") + 1) * idf(F.col("n_all"), F.col("df"))
-    return hits.join(df, "lexeme").crossJoin(F.broadcast(n_all)).groupBy(*key).agg(F.sum(part).alias("s"))
+    return hits.join(df, "lexeme").crossJoin(F.broadcast(n_all)).groupBy(*key).agg(F.sum(part).alias("s"), *([F.sum("n").cast("double").alias("r")] if "n" in hits.columns else []))
 
 
 def squashed(s: Column) -> Column:
@@ -74,9 +87,12 @@ def proximity(hits: DataFrame, key: list[str]) -> DataFrame:
     return hits.groupBy(*key).agg(F.sum("n").cast("double").alias("r")).select(*key, squashed(F.col("r")).alias("prox"))
 
 
-def blended(scores: DataFrame, prox: DataFrame, key: list[str]) -> DataFrame:
-    """key, s, prox, score (0.8 of the squashed s, 0.2 of prox) and order_key (0.8 of the plain s)."""
-    both = scores.join(prox, key, "left").withColumn("prox", F.coalesce("prox", F.lit(0.0)))
+def blended(scores: DataFrame, prox: DataFrame | None, key: list[str]) -> DataFrame:
+    """key, s, prox, score (0.8 of the squashed s, 0.2 of prox) and order_key (0.8 of the plain s). Without prox it is that of the scores' own r: no second pass over the hits."""
+    if prox is None:
+        both = scores.select(*key, "s", squashed(F.col("r")).alias("prox"))
+    else:
+        both = scores.select(*key, "s").join(prox, key, "left").withColumn("prox", F.coalesce("prox", F.lit(0.0)))
     return both.withColumn("score", 0.8 * squashed(F.col("s")) + 0.2 * F.col("prox")).withColumn("order_key", 0.8 * F.col("s") + 0.2 * F.col("prox"))
 
 
@@ -93,5 +109,8 @@ def top(df: DataFrame, score: str, key: str, k: int, rank: str = "rank") -> Data
 
 
 def highlight(text: Column, terms: list[str], start: str = "<b>", stop: str = "</b>") -> Column:
-    """Whole words of the query wrapped."""
-    return F.regexp_replace(text, r"(?i)\b(" + "|".join(terms) + r")\b", f"{start}$1{stop}")
+    """Whole words of the query wrapped; terms and marks are taken as they are, whatever signs they hold."""
+    if not terms:
+        return text
+    plain = lambda s: s.replace("\\", "\\\\").replace("$", "\\$")
+    return F.regexp_replace(text, r"(?i)(?<![\p{L}\p{N}_])(" + "|".join(map(re.escape, terms)) + r")(?![\p{L}\p{N}_])", f"{plain(start)}$1{plain(stop)}")

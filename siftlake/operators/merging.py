@@ -11,10 +11,15 @@ GAPS = (1, 2, 3)
 
 
 def trimmed_neighbours(df: DataFrame, text: str = "chunk_text") -> DataFrame:
-    """previous without what the chunk repeats, next without what it repeats of the chunk."""
-    own = overlap(F.col("previous"), F.col(text))
-    after = overlap(F.col(text), F.col("next"))
-    return df.withColumns({"previous": F.substring(F.col("previous"), F.lit(1), F.length("previous") - F.length(own)), "next": F.substring(F.col("next"), F.length(after) + 1, F.length("next"))})
+    """previous without what the chunk repeats, next without what it repeats of the chunk; page breaks, where they are there, move with the texts."""
+    some = F.length(text) > 0
+    kept = F.length("previous") - F.length(overlap(F.col("previous"), F.col(text)))
+    gone = F.when(some, F.length(overlap(F.col(text), F.col("next")))).otherwise(0)
+    df = df.withColumns({"_kept": kept, "_gone": gone})
+    new = {"previous": F.substring(F.col("previous"), F.lit(1), F.col("_kept")), "next": F.substring(F.col("next"), F.col("_gone") + 1, F.length("next"))}
+    if "previous_breaks" in df.columns:
+        new |= {"previous_breaks": F.filter("previous_breaks", lambda b: some & (b < F.col("_kept"))), "next_breaks": F.transform(F.filter("next_breaks", lambda b: b > F.col("_gone")), lambda b: b - F.col("_gone"))}
+    return df.withColumns(new).drop("_kept", "_gone")
 
 
 def runs(chunks: DataFrame, doc: str, number: str, heading: str | None = None) -> DataFrame:
@@ -27,32 +32,52 @@ def runs(chunks: DataFrame, doc: str, number: str, heading: str | None = None) -
     return chunks.withColumn("run", F.sum((~same).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def merged_runs(chunks: DataFrame, doc: str, number: str = "chunk_num", text: str = "chunk_text") -> DataFrame:
-    """doc, run, first, last, text: a run's chunks in one text, with the neighbours that fill the gaps.
+def merged_runs(chunks: DataFrame, doc: str, number: str = "chunk_num", text: str = "chunk_text", heading: str | None = None) -> DataFrame:
+    """doc, run, first, last, text, page, page_breaks, and the neighbours (with breaks) before the first and behind the last chunk: a run's chunks in one text, with
+    the neighbours that fill the gaps. The neighbours are given whole (not trimmed).
 
-    A gap of 1 adds the next text's new part; of 2 the neighbour between them; of 3 both neighbours.
+    A gap of 1 adds the next text's new part; of 2 the neighbour between them; of 3 both neighbours. No text is lost or doubled.
     Runs have at most a page of results, so each is folded in one expression.
     """
-    rows = runs(chunks, doc, number).groupBy(doc, "run").agg(F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.col(text).alias("t"), "previous", "next"))).alias("c"))
-
-    def added(s: Column, t: Column) -> Column:
-        return bound(s, lambda x: bound(overlap(x, t), lambda o: F.concat(x, F.substring(t, F.length(o) + 1, F.length(t)))))
+    none = F.array().cast("array<int>")
+    given = lambda c, other: F.col(c) if c in chunks.columns else other
+    parts = F.struct(
+        F.col(number).alias("n"), F.col(text).alias("t"), given("page_breaks", none).cast("array<int>").alias("b"), given("page", F.lit(None).cast("int")).cast("int").alias("page"),
+        "previous", given("previous_breaks", none).cast("array<int>").alias("pb"), "next", given("next_breaks", none).cast("array<int>").alias("nb"),
+    )
+    rows = runs(chunks, doc, number, heading).groupBy(doc, "run").agg(F.array_sort(F.collect_list(parts)).alias("c"))
+
+    def added(s: Column, t: Column, breaks: Column) -> Column:
+        """struct(t, b) with the new part of a text."""
+        new = lambda x, o: F.struct(F.concat(x["t"], F.substring(t, o + 1, F.length(t))).alias("t"), F.concat(x["b"], F.transform(F.filter(breaks, lambda b: b > o), lambda b: b - o + F.length(x["t"]))).alias("b"))
+        return bound(s, lambda x: bound(F.length(overlap(x["t"], t)), lambda o: new(x, o)))
 
     def step(s: Column, x: Column) -> Column:
         gap = x["n"] - s["n"]
-        filled = added(F.when(gap >= 2, added(s["t"], s["next"])).otherwise(s["t"]), F.when(gap == 3, x["previous"]).otherwise(F.lit("")))
-        return F.struct(x["n"].alias("n"), added(filled, x["t"]).alias("t"), x["next"].alias("next"))
+        begun = F.struct(s["t"].alias("t"), s["b"].alias("b"))
+        near = bound(begun, lambda y: F.when(gap >= 2, added(y, s["next"], s["nb"])).otherwise(y))
+        filled = bound(near, lambda y: F.when(gap == 3, added(y, x["previous"], x["pb"])).otherwise(y))
+        return bound(added(filled, x["t"], x["b"]), lambda y: F.struct(x["n"].alias("n"), y["t"].alias("t"), y["b"].alias("b"), x["next"].alias("next"), x["nb"].alias("nb")))
 
-    begin = F.element_at("c", 1)
-    folded = F.aggregate(F.slice("c", F.lit(2), F.size("c")), F.struct(begin["n"].alias("n"), begin["t"].alias("t"), begin["next"].alias("next")), step)
-    return rows.select(doc, "run", F.element_at("c", 1)["n"].alias("first"), F.element_at("c", -1)["n"].alias("last"), folded["t"].alias("text"))
+    begin, end = F.element_at("c", 1), F.element_at("c", -1)
+    folded = F.aggregate(F.slice("c", F.lit(2), F.size("c")), F.struct(*[begin[k].alias(k) for k in ("n", "t", "b", "next", "nb")]), step)
+    out = rows.withColumn("x", folded)
+    return out.select(doc, "run", begin["n"].alias("first"), end["n"].alias("last"), F.col("x.t").alias("text"), begin["page"].alias("page"), F.col("x.b").alias("page_breaks"), begin["previous"].alias("previous"), begin["pb"].alias("previous_breaks"), end["next"].alias("next"), end["nb"].alias("next_breaks"))
 
 
 def by_page(df: DataFrame, keep: list[str], text: str, page: str, breaks: str) -> DataFrame:
     """keep, page, piece: a text cut at its page breaks."""
-    points = F.concat(F.array(F.lit(0)), breaks, F.array(F.length(text)))
-    pieces = F.transform(F.sequence(F.lit(1), F.size(points) - 1), lambda i: F.struct((F.col(page) + i - 1).alias("page"), F.substring(F.col(text), F.element_at(points, i) + 1, F.element_at(points, i + 1) - F.element_at(points, i)).alias("piece")))
-    return df.select(*keep, F.explode(pieces).alias("x")).select(*keep, "x.page", "x.piece")
+    end = F.length(text)
+    points = F.concat(F.array(F.lit(0)), F.col(breaks), F.when(F.coalesce(F.try_element_at(breaks, F.lit(-1)) == end, F.lit(False)), F.array().cast("array<int>")).otherwise(F.array(end)))
+    pieces = F.transform(F.sequence(F.lit(1), F.size("_points") - 1), lambda i: F.struct((F.col(page) + i - 1).alias("page"), F.substring(F.col(text), F.element_at("_points", i) + 1, F.element_at("_points", i + 1) - F.element_at("_points", i)).alias("piece")))
+    return df.withColumn("_points", points).select(*keep, F.explode(pieces).alias("x")).select(*keep, "x.page", "x.piece")
+
+
+def in_context(df: DataFrame, text: str, page: str = "page", breaks: str = "page_breaks") -> DataFrame:
+    """The text with its trimmed neighbours around it, its breaks and first page moved to match: what by_page cuts."""
+    df = df.withColumns({"_before": F.length("previous"), "_own": F.length("previous") + F.length(text)})  # first: inside of functions a name may mean the new column
+    moved = F.concat("previous_breaks", F.transform(breaks, lambda b: b + F.col("_before")), F.transform("next_breaks", lambda b: b + F.col("_own")))
+    return df.withColumns({"_moved": moved, "_first": F.col(page) - F.size("previous_breaks")}).withColumns({text: F.concat("previous", text, "next"), breaks: F.col("_moved"), page: F.col("_first")}).drop("_before", "_own", "_moved", "_first")
 
 
 def same_page(pieces: DataFrame, keep: list[str], order: str) -> DataFrame:
@@ -61,10 +86,32 @@ def same_page(pieces: DataFrame, keep: list[str], order: str) -> DataFrame:
     return pieces.groupBy(*keep, "page").agg(F.array_join(parts, "\n\n...\n\n").alias("piece"))
 
 
-def document_order(chunks: DataFrame, doc: str, score: str) -> DataFrame:
-    """doc, doc_score, doc_rank by the sum of the chunks' scores."""
+def numbered(rows: DataFrame, order: str, key: str, name: str, *, falling: bool = False, cuts: int = 128) -> DataFrame:
+    """rows with their number by `order`, ties to the smaller key (a whole number), however many rows there are.
+
+    Approximate quantiles cut the order into some hundred ranges, and rows of one frequent value by the key; the counts of the ranges (the only thing that
+    comes to the driver with the cuts, both of bounded number) give where each begins, and windows number the rows within them.
+    """
+    marks = [i / cuts for i in range(1, cuts)]
+    at, keys = rows.agg(F.percentile_approx(order, marks, 10000), F.percentile_approx(key, marks[:: max(1, cuts // 16)], 10000)).first()
+    at, keys = sorted(set(at or [])), sorted(set(keys or []))
+    below = lambda c, points: F.size(F.filter(F.array(*map(F.lit, points)), lambda p: p < c)) if points else F.lit(0)
+    same = F.col(order).isin(at) if at else F.lit(False)
+    placed = rows.withColumns({"_range": below(F.col(order), at) * 2 + F.when(same, 0).otherwise(1 if falling else -1) * (-1 if falling else 1), "_part": F.when(same, below(F.col(key), keys)).otherwise(0)})
+    counts = sorted((tuple(r) for r in placed.groupBy("_range", "_part").count().collect()), key=lambda r: (-r[0] if falling else r[0], r[1]))
+    base, total = [], 0
+    for r, p, n in counts:
+        base.append((r, p, total))
+        total += n
+    starts = rows.sparkSession.createDataFrame(base, "_range int, _part int, _before long")
+    w = Window.partitionBy("_range", "_part").orderBy(F.desc(order) if falling else order, key)
+    return placed.withColumn("_n", F.row_number().over(w)).join(F.broadcast(starts), ["_range", "_part"]).withColumn(name, (F.col("_n") + F.col("_before")).cast("int")).drop("_range", "_part", "_n", "_before")
+
+
+def document_order(chunks: DataFrame, doc: str, score: str, page: bool = True) -> DataFrame:
+    """doc, doc_score, doc_rank by the sum of the chunks' scores. page: the documents are a page of results, few enough for one task."""
     sums = chunks.groupBy(doc).agg(F.round(F.sum(score), 6).alias("doc_score"))
-    return sums.withColumn("doc_rank", F.row_number().over(Window.orderBy(F.desc("doc_score"), doc)))
+    return sums.withColumn("doc_rank", F.row_number().over(Window.orderBy(F.desc("doc_score"), doc))) if page else numbered(sums, "doc_score", doc, "doc_rank", falling=True)
 
 
 def token_prefix(ranked: DataFrame, tokens: str, most: int, rank: str = "rank", group: list[str] = ()) -> DataFrame:
@@ -73,14 +120,46 @@ def token_prefix(ranked: DataFrame, tokens: str, most: int, rank: str = "rank",
     return ranked.withColumn("running", F.sum(tokens).over(w)).where(F.col("running") <= most)
 
 
-def formatted_context(chunks: DataFrame, doc: str, name: str, description: str, number: str, text: str) -> DataFrame:
-    """doc, context: a header and the excerpts, numbered through all documents in their order."""
-    w = Window.orderBy(doc, number)
-    lines = chunks.withColumn("excerpt", F.row_number().over(w))
-    part = F.format_string("[Excerpt: %d]\n%s", F.col("excerpt"), F.col(text))
+#: The answer without documents.
+NOTHING = "NO RELEVANT DOCUMENTS FOUND"
+
+
+def _said(c: str | None) -> Column:
+    return F.lit("None") if c is None else F.coalesce(F.col(c).cast("string"), F.lit("None"))
+
+
+def excerpts(chunks: DataFrame, doc_rank: str, order: list[str]) -> DataFrame:
+    """A page of results with excerpt: numbers through all documents in their order. They are the citations of the source list."""
+    return chunks.withColumn("excerpt", F.row_number().over(Window.orderBy(doc_rank, *order)))
+
+
+def formatted_context(numbered_: DataFrame, doc: str, doc_rank: str, text: str, *, name: str, authors: str | None, description: str, heading: str | None = None) -> DataFrame:
+    """doc, doc_rank, context, first_excerpt, last_excerpt: a header, and the excerpts of `excerpts` with their headings, for each document."""
+    title = F.when(F.length(heading) > 0, F.concat(F.lit("Excerpt heading: "), heading, F.lit("\n"))).otherwise("") if heading else F.lit("")
+    part = F.concat(F.lit("\n[Excerpt: "), F.col("excerpt").cast("string"), F.lit("]\n"), title, F.col(text), F.lit("\n"))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("excerpt", part.alias("p")))), lambda x: x["p"])
-    head = F.format_string("Document: %s\nDescription: %s\n", F.min(name), F.min(description))
-    return lines.groupBy(doc).agg(F.concat(head, F.array_join(parts, "\n")).alias("context"), F.min("excerpt").alias("first_excerpt"), F.max("excerpt").alias("last_excerpt"))
+    first = lambda c: F.min_by(_said(c), "excerpt")
+    head = F.concat(F.lit("<Document Start>\nDocument name: "), first(name), F.lit("\nDocument authors: "), first(authors), F.lit("\nDocument description: "), first(description), F.lit("\n"))
+    return numbered_.groupBy(doc).agg(F.min(doc_rank).alias(doc_rank), F.concat(head, F.array_join(parts, ""), F.lit("<Document End>")).alias("context"), F.min("excerpt").alias("first_excerpt"), F.max("excerpt").alias("last_excerpt"))
+
+
+def formatted_web_context(chunks: DataFrame, doc: str, doc_rank: str, text: str, url: str, description: str, order: str) -> DataFrame:
+    """doc, doc_rank, context: one excerpt number for each document, its chunks line by line, whole."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.concat(F.col(text), F.lit("\n")).alias("p")))), lambda x: x["p"])
+    docs = chunks.groupBy(doc).agg(F.min(doc_rank).alias(doc_rank), F.min_by(_said(url), order).alias("_url"), F.min_by(_said(description), order).alias("_about"), F.array_join(parts, "").alias("_text"))
+    n = F.row_number().over(Window.orderBy(doc_rank)).cast("string")
+    return docs.select(doc, doc_rank, F.concat(F.lit("<Document Start>\nDocument URL: "), "_url", F.lit("\nDocument description: "), "_about", F.lit("\n\n[Excerpt: "), n, F.lit("] "), "_text", F.lit("<Document End>\n\n")).alias("context"))
+
+
+def whole_context(documents: DataFrame, doc_rank: str = "doc_rank") -> DataFrame:
+    """One row: the documents' contexts in their order, or the answer that there are none."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(doc_rank, "context"))), lambda x: x["context"])
+    return documents.groupBy().agg(F.when(F.count("*") > 0, F.array_join(parts, "")).otherwise(F.lit(NOTHING)).alias("context"))
+
+
+def sources(numbered_: DataFrame, keep: list[str]) -> DataFrame:
+    """What is cited: the kept columns of each excerpt with its number as text."""
+    return numbered_.select(*keep, F.col("excerpt").cast("string").alias("citation"))
 
 
 def budgets(context: Column, used: Column, answer: int = 0, fixed: int = 1300) -> tuple[Column, Column]:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A plan has few tasks; deeper chains than this are cycles.
-DEEPEST = 50
-
 
 def edges(tasks: DataFrame) -> DataFrame:
     return tasks.select("task_id", F.explode("depends_on").alias("needs"))
@@ -23,14 +21,45 @@ def ready(tasks: DataFrame, done: DataFrame) -> DataFrame:
     return tasks.join(done.select("task_id"), "task_id", "left_anti").join(open_, "task_id", "left_anti").select("task_id")
 
 
-def levels(tasks: DataFrame) -> DataFrame:
-    """task_id, level (0: needs nothing), terminal (nothing needs it): a recursive query over the plan."""
-    spark = tasks.sparkSession
-    tasks.select("task_id", F.size("depends_on").alias("n")).createOrReplaceTempView("_tasks")
-    edges(tasks).createOrReplaceTempView("_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE walk(task_id, level) AS (
-          SELECT task_id, 0 FROM _tasks WHERE n = 0
-          UNION ALL SELECT e.task_id, w.level + 1 FROM walk w JOIN _edges e ON e.needs = w.task_id WHERE w.level < {DEEPEST})
-        SELECT w.task_id, max(w.level) AS level, min(e.needs) IS NULL AS terminal
-        FROM walk w LEFT JOIN _edges e ON e.needs = w.task_id GROUP BY w.task_id""")
+def _levels(ids: list, needs: list[list]) -> list[int | None]:
+    """Longest way from a task without needs; none on a cycle or behind one. Needs that no task has do not count."""
+    known = {i: k for k, i in enumerate(ids)}
+    left = [{known[n] for n in ns if n in known} for ns in needs]
+    after: list[list[int]] = [[] for _ in ids]
+    for k, ns in enumerate(left):
+        for n in ns:
+            after[n].append(k)
+    level: list[int | None] = [None] * len(ids)
+    free = [k for k, ns in enumerate(left) if not ns]
+    for k in free:
+        level[k] = 0
+    while free:
+        k = free.pop()
+        for j in after[k]:
+            level[j] = max(level[j] or 0, level[k] + 1)
+            left[j].discard(k)
+            if not left[j]:
+                free.append(j)
+    return [None if left[k] else v for k, v in enumerate(level)]
+
+
+def levels(tasks: DataFrame, plan: str | None = None) -> DataFrame:
+    """(plan,) task_id, level (0: needs nothing that is there; null: on a cycle or behind one), terminal (nothing needs it). A plan's few tasks are one group; chains may be of any length."""
+    key = [plan] if plan else []
+    kind = tasks.schema["task_id"].dataType.simpleString()
+    given = f"{plan} {tasks.schema[plan].dataType.simpleString()}, " if plan else ""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        needs = [list(x) if x is not None else [] for x in p.depends_on]
+        asked = {n for ns in needs for n in ns}
+        out = p[[*key, "task_id"]].copy()
+        out["level"] = pd.array(_levels(p.task_id.tolist(), needs), "Int32")
+        out["terminal"] = [i not in asked for i in p.task_id]
+        return out
+
+    return tasks.select(*key, "task_id", "depends_on").groupBy(*key).applyInPandas(run, f"{given}task_id {kind}, level int, terminal boolean")
+
+
+def cycles(tasks: DataFrame) -> DataFrame:
+    """Tasks that can never be ready: on a cycle or behind one."""
+    return levels(tasks).where("level IS NULL").select("task_id")

@@ -45,23 +45,24 @@ def best_per_group(df: DataFrame, q: list[float], group: str, k: int, key: str,
     return best.orderBy("distance", group).limit(k).withColumn("rank", F.row_number().over(Window.orderBy("distance", group)))
 
 
-def index(df: DataFrame, key: str, vector: str = "embedding", tables: int = 8, bucket_length: float = 0.5, seed: int = 42):
+def index(df: DataFrame, key: str, vector: str = "embedding", tables: int = 12, bucket_length: float = 0.5, seed: int = 42):
     """A random-projection index over all rows: the model and the hashed rows."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    rows = df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    rows = df.select(key, array_to_vector(V.unit(F.col(vector))).alias("v"))
     lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed)
     model = lsh.fit(rows)
     return model, model.transform(rows)
 
 
-def nearest_approx(df: DataFrame, q: list[float], k: int, key: str, vector: str = "embedding", tables: int = 8) -> DataFrame:
-    """Like nearest, among rows that share a bucket with the query; unit vectors, so Euclidean order is cosine order."""
+def nearest_approx(df: DataFrame, q: list[float], k: int, key: str, vector: str = "embedding", tables: int = 12) -> DataFrame:
+    """Like nearest, among rows that share a bucket with the query; vectors are scaled to unit length, so that Euclidean order is cosine order."""
     from pyspark.ml.linalg import Vectors
 
     model, hashed = index(df, key, vector, tables)
-    few = model.approxNearestNeighbors(hashed, Vectors.dense(q), k, distCol="d")
+    length = sum(x * x for x in q) ** 0.5 or 1.0
+    few = model.approxNearestNeighbors(hashed, Vectors.dense([x / length for x in q]), k, distCol="d")
     scored = few.select(key, F.round(F.col("d") * F.col("d") / 2, 9).alias("distance"))
     return scored.withColumn("rank", F.row_number().over(Window.orderBy("distance", key)))
 

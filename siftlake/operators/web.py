@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftlake.functions import text as T
 
 #: Languages that web search answers in, and the named entities that are read.
-WEB_LANGUAGES = ("ar", "cs", "da", "de", "en", "es", "fi", "fr", "it", "nl", "no", "pt", "ro", "ru", "sv")
+WEB_LANGUAGES = ("fr", "en", "de", "nl", "da", "fi", "hu", "it", "no", "pt", "ro", "ru", "es", "sv", "tr")
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 

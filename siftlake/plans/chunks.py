@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
-from siftlake.operators import chunking, headings, merging
+from siftlake.operators import chunking, headings, keyword, merging
 from siftlake.plans.registry import load, query, texts
-from siftlake.plans.search import C_SQL, D_SQL, chunks, documents
+from siftlake.plans.search import C_SQL, D_SQL, Q_SQL, chunks, documents, hits_sql, kw_bm25_topk, question
 
 
 @query(f"WITH {C_SQL} SELECT doc_id, chunk_id, chunk_num, start, chunk_text, CAST(length(chunk_text) AS INTEGER) AS chunk_len FROM ch")
@@ -42,38 +42,58 @@ def chunk_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.with_neighbours(chunks(texts(spark, sf_dir)), ["doc_id"], "chunk_num", "chunk_text").select("doc_id", "chunk_num", "previous", "next")
 
 
-R_SQL = f"{C_SQL}, rt AS (SELECT * FROM ch WHERE chunk_num % 7 IN (1, 2, 5))"
+#: A chunk is found by the question's longer words, as a search finds it.
+LONG = 6
+R_SQL = rf"{C_SQL}, {Q_SQL}, rt AS (SELECT * FROM ch WHERE list_has_any(regexp_extract_all(lower(chunk_text), '[\p{{L}}\p{{N}}]+'), (SELECT list(lexeme) FROM qt WHERE length(lexeme) >= {LONG})))"
 
 
 def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks that a search might return: of every seven the first, the second and the fifth, with their neighbours."""
-    cut = chunking.with_neighbours(chunks(texts(spark, sf_dir)), ["doc_id"], "chunk_num", "chunk_text")
-    return cut.where("chunk_num % 7 IN (1, 2, 5)")
+    """Chunks that hold one of the question's longer words, of all documents, with their whole neighbours."""
+    near = chunking.with_neighbours(chunks(texts(spark, sf_dir)), ["doc_id"], "chunk_num", "chunk_text")
+    words = [r[0] for r in keyword.query_lexemes(question(spark, sf_dir)).where(F.length("lexeme") >= LONG).collect()]  # of a cut question
+    return near.where(F.arrays_overlap(T.words(F.col("chunk_text")), F.array(*map(F.lit, words))))
 
 
 @query(f"""WITH {R_SQL}, g AS (SELECT *, CASE WHEN chunk_num - lag(chunk_num) OVER w IN (1, 2, 3) THEN 0 ELSE 1 END AS f FROM rt WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_num)),
 r AS (SELECT *, CAST(sum(f) OVER (PARTITION BY doc_id ORDER BY chunk_num) AS BIGINT) AS run FROM g)
 SELECT doc_id, run, min(chunk_num) AS first, max(chunk_num) AS last, count(*) AS n_chunks FROM r GROUP BY doc_id, run""")
 def merge_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(texts(spark, sf_dir)).where("chunk_num % 7 IN (1, 2, 5)")
-    return merging.runs(rows, "doc_id", "chunk_num").groupBy("doc_id", "run").agg(F.min("chunk_num").alias("first"), F.max("chunk_num").alias("last"), F.count("*").alias("n_chunks"))
+    return merging.runs(retrieved(spark, sf_dir), "doc_id", "chunk_num").groupBy("doc_id", "run").agg(F.min("chunk_num").alias("first"), F.max("chunk_num").alias("last"), F.count("*").alias("n_chunks"))
 
 
-@query()
+@query(f"""WITH {R_SQL}, g AS (SELECT *, CASE WHEN chunk_num - lag(chunk_num) OVER w IN (1, 2, 3) THEN 0 ELSE 1 END AS f FROM rt WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_num)),
+r AS (SELECT *, CAST(sum(f) OVER (PARTITION BY doc_id ORDER BY chunk_num) AS BIGINT) AS run FROM g),
+u AS (SELECT doc_id, run, min(chunk_num) AS first, max(chunk_num) AS last FROM r GROUP BY doc_id, run)
+SELECT u.doc_id, run, first, last, CAST(a.page AS INTEGER) AS page, substr(t, a.start + 1, z.start + length(z.chunk_text) - a.start) AS text,
+ array_to_string(list_transform(list_filter(ends, lambda e: e > a.start AND e < z.start + length(z.chunk_text)), lambda e: e - a.start), ',') AS page_breaks
+FROM u JOIN ch a ON a.doc_id = u.doc_id AND a.chunk_num = first JOIN ch z ON z.doc_id = u.doc_id AND z.chunk_num = last JOIN ce ON ce.doc_id = u.doc_id""")
 def merge_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merging.merged_runs(retrieved(spark, sf_dir), "doc_id")
+    """Folding a run gives back the document's own text and page breaks, from its first chunk to its last."""
+    out = merging.merged_runs(retrieved(spark, sf_dir), "doc_id")
+    return out.select("doc_id", "run", "first", "last", "page", "text", F.array_join(F.col("page_breaks").cast("array<string>"), ",").alias("page_breaks"))
+
+
+def _overlap_sql(a: str, b: str) -> str:
+    return f"(length({a}) + 1 - coalesce(list_min(list_filter(range(greatest(2, length({a}) - length({b}) + 1), length({a}) + 1), lambda i: starts_with({b}, substr({a}, i)))), length({a}) + 1))"
+
 
+PIECES_SQL = f"""{C_SQL}, n AS (SELECT c.doc_id, c.chunk_num, c.chunk_text AS t, c.page, c.page_breaks AS b, coalesce(p.chunk_text, '') AS pv, coalesce(p.page_breaks, []) AS pb, coalesce(x.chunk_text, '') AS nx, coalesce(x.page_breaks, []) AS nb
+FROM ch c LEFT JOIN ch p ON p.doc_id = c.doc_id AND p.chunk_num = c.chunk_num - 1 LEFT JOIN ch x ON x.doc_id = c.doc_id AND x.chunk_num = c.chunk_num + 1),
+o AS (SELECT *, CAST(length(pv) - {_overlap_sql('pv', 't')} AS INTEGER) AS k, CAST({_overlap_sql('t', 'nx')} AS INTEGER) AS g FROM n),
+m AS (SELECT doc_id, chunk_num, substr(pv, 1, k) || t || substr(nx, g + 1) AS w, page - len(list_filter(pb, lambda v: v < k)) AS page,
+ list_concat(list_concat(list_filter(pb, lambda v: v < k), list_transform(b, lambda v: v + k)), list_transform(list_filter(nb, lambda v: v > g), lambda v: v - g + k + length(t))) AS bs FROM o),
+c AS (SELECT *, list_concat(list_concat([0], bs), CASE WHEN bs[-1] IS NOT DISTINCT FROM length(w) THEN [] ELSE [length(w)] END) AS pts FROM m),
+pc AS (SELECT doc_id, chunk_num, CAST(page + i - 1 AS INTEGER) AS page, substr(w, CAST(pts[i] AS BIGINT) + 1, CAST(pts[i + 1] - pts[i] AS BIGINT)) AS piece FROM c, unnest(range(1, len(pts))) AS r(i))"""
 
-@query(f"""WITH {R_SQL}, c AS (SELECT doc_id, chunk_num, chunk_text, page, list_concat(list_concat([0], page_breaks), [CAST(length(chunk_text) AS INTEGER)]) AS pts FROM rt)
-SELECT doc_id, chunk_num, CAST(page + i - 1 AS INTEGER) AS page, substr(chunk_text, pts[i] + 1, pts[i + 1] - pts[i]) AS piece FROM c, unnest(range(1, len(pts))) AS r(i)""")
+
+@query(f"WITH {PIECES_SQL} SELECT * FROM pc")
 def page_resplit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunks(texts(spark, sf_dir)).where("chunk_num % 7 IN (1, 2, 5)")
-    return merging.by_page(rows, ["doc_id", "chunk_num"], "chunk_text", "page", "page_breaks")
+    """Every chunk with its neighbours' new parts, cut at all page breaks."""
+    near = merging.trimmed_neighbours(chunking.with_neighbours(chunks(texts(spark, sf_dir)), ["doc_id"], "chunk_num", "chunk_text"))
+    return merging.by_page(merging.in_context(near, "chunk_text"), ["doc_id", "chunk_num"], "chunk_text", "page", "page_breaks")
 
 
-@query(f"""WITH {R_SQL}, c AS (SELECT doc_id, chunk_num, chunk_text, page, list_concat(list_concat([0], page_breaks), [CAST(length(chunk_text) AS INTEGER)]) AS pts FROM rt),
-p AS (SELECT doc_id, chunk_num, CAST(page + i - 1 AS INTEGER) AS page, substr(chunk_text, pts[i] + 1, pts[i + 1] - pts[i]) AS piece FROM c, unnest(range(1, len(pts))) AS r(i))
-SELECT doc_id, page, array_to_string(list(piece ORDER BY chunk_num), chr(10) || chr(10) || '...' || chr(10) || chr(10)) AS piece FROM p GROUP BY doc_id, page""")
+@query(f"WITH {PIECES_SQL} SELECT doc_id, page, array_to_string(list(piece ORDER BY chunk_num), chr(10) || chr(10) || '...' || chr(10) || chr(10)) AS piece FROM pc GROUP BY doc_id, page")
 def same_page_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.same_page(page_resplit(spark, sf_dir), ["doc_id"], "chunk_num")
 
@@ -89,16 +109,20 @@ def token_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, doc_score, CAST(row_number() OVER (ORDER BY doc_score DESC, doc_id) AS INTEGER) AS doc_rank FROM s""")
 def doc_score_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunks(texts(spark, sf_dir)).select("doc_id", (1.0 / (60 + F.col("chunk_num"))).alias("score"))
-    return merging.document_order(rows, "doc_id", "score")
+    return merging.document_order(rows, "doc_id", "score", page=False)
 
 
-@query(f"""WITH {C_SQL}, {D_SQL}, x AS (SELECT ch.doc_id, name, summary, chunk_num, chunk_text, row_number() OVER (ORDER BY ch.doc_id, chunk_num) AS excerpt FROM ch JOIN d ON ch.doc_id = d.doc_id WHERE ch.doc_id < 20)
-SELECT doc_id, 'Document: ' || min(name) || chr(10) || 'Description: ' || min(summary) || chr(10) || array_to_string(list('[Excerpt: ' || excerpt || ']' || chr(10) || chunk_text ORDER BY excerpt), chr(10)) AS context,
- CAST(min(excerpt) AS INTEGER) AS first_excerpt, CAST(max(excerpt) AS INTEGER) AS last_excerpt FROM x GROUP BY doc_id""")
+@query(f"""WITH {Q_SQL}, {hits_sql('documents', 'doc_id', 'text')}, {C_SQL}, {D_SQL}, tt AS (SELECT doc_id, row_number() OVER (ORDER BY round(s, 9) DESC, doc_id) AS rank FROM sc QUALIFY rank <= 20),
+x AS (SELECT ch.doc_id, name, source, summary, rank, chunk_text, row_number() OVER (ORDER BY rank, chunk_num) AS excerpt FROM ch JOIN tt USING (doc_id) JOIN d ON ch.doc_id = d.doc_id)
+SELECT doc_id, CAST(rank AS INTEGER) AS doc_rank, '<Document Start>' || chr(10) || 'Document name: ' || min(name) || chr(10) || 'Document authors: ' || min(source) || chr(10) || 'Document description: ' || min(summary) || chr(10)
+ || string_agg(chr(10) || '[Excerpt: ' || excerpt || ']' || chr(10) || chunk_text || chr(10), '' ORDER BY excerpt) || '<Document End>' AS context,
+ CAST(min(excerpt) AS INTEGER) AS first_excerpt, CAST(max(excerpt) AS INTEGER) AS last_excerpt FROM x GROUP BY doc_id, rank""")
 def format_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The context of a page of results: the first twenty documents stand for it."""
-    page = documents(spark, sf_dir).where("doc_id < 20")
-    return merging.formatted_context(chunks(page, ("name", "summary")), "doc_id", "name", "summary", "chunk_num", "chunk_text")
+    """The context of the best documents of the keyword search, all their chunks, in the order of their scores."""
+    few = kw_bm25_topk(spark, sf_dir).select("doc_id", F.col("rank").alias("doc_rank"))
+    page = documents(spark, sf_dir).join(F.broadcast(few), "doc_id")
+    rows = merging.excerpts(chunks(page, ("name", "source", "summary", "doc_rank")), "doc_rank", ["chunk_num"])
+    return merging.formatted_context(rows, "doc_id", "doc_rank", "chunk_text", name="name", authors="source", description="summary")
 
 
 @query(f"""WITH {C_SQL}, n AS (SELECT c.doc_id, c.chunk_num, c.chunk_text AS a, coalesce(n.chunk_text, '') AS b FROM ch c LEFT JOIN ch n ON n.doc_id = c.doc_id AND n.chunk_num = c.chunk_num + 1),
@@ -123,18 +147,23 @@ def table_row_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.table_row_chunks(rows.groupBy("sheet", "k").agg(F.min("row").alias("row")), "sheet", "k", "row", 1600)
 
 
-@query("""SELECT l_orderkey, min(l_quantity) FILTER (l_linenumber = 1) AS "1", min(l_quantity) FILTER (l_linenumber = 2) AS "2", min(l_quantity) FILTER (l_linenumber = 3) AS "3" FROM lineitem GROUP BY l_orderkey""")
+SEVEN = ", ".join(f'min(l_quantity) FILTER (l_linenumber = {i}) AS "{i}"' for i in range(1, 8))
+
+
+@query(f"SELECT l_orderkey, {SEVEN} FROM lineitem GROUP BY l_orderkey")
 def cells_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return chunking.pivoted(cells, "l_orderkey", "l_linenumber", "l_quantity", [1, 2, 3])
+    return chunking.pivoted(cells, "l_orderkey", "l_linenumber", "l_quantity", list(range(1, 8)))
 
 
-@query("""WITH l AS (SELECT doc_id, line, n, f FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n, len(string_split(text, chr(10))) AS f FROM documents)),
-c AS (SELECT doc_id, n AS line_no, len(string_split(line, ' ')) AS filled FROM l) SELECT doc_id, CAST(filled AS INTEGER) AS filled, CAST(min(line_no) AS INTEGER) AS line_no FROM c WHERE line_no <= 10 GROUP BY doc_id, filled""")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents),
+c AS (SELECT doc_id, line_no, max(len(string_split(line, ' '))) OVER (PARTITION BY doc_id ORDER BY line_no) AS filled FROM l WHERE line_no <= 10)
+SELECT doc_id, CAST(filled AS INTEGER) AS filled, CAST(min(line_no) AS INTEGER) AS line_no FROM c GROUP BY doc_id, filled""")
 def header_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Header levels among the first ten rows of a sheet: a document's lines stand for rows, their words for cells."""
-    cells = texts(spark, sf_dir).select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 10)).alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("line_no"), F.size(F.split("line", " ")).alias("filled"))
-    return chunking.header_rows(cells, "doc_id", "line_no", "filled")
+    """Header levels among the first ten rows of a sheet: a document's lines stand for rows, their words for filled cells from the left."""
+    lines = texts(spark, sf_dir).select("doc_id", F.posexplode(F.slice(F.split("text", "\n"), 1, 10)).alias("i", "line"))
+    cells = lines.select("doc_id", (F.col("i") + 1).alias("line_no"), F.posexplode(F.split("line", " ")).alias("column", "cell"))
+    return chunking.header_rows(cells, "doc_id", "line_no", "column").select("doc_id", "filled", "line_no")
 
 
 LINES = "l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents)"

@@ -14,7 +14,7 @@ from siftlake.plans.search import D_SQL, chunks, documents
 from siftlake.streaming import ingest
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS squeezed, trim(regexp_replace(regexp_replace(text, '[^\x20-\x7E\n\r\t]', '', 'g'), '(?i)Page \d+ of \d+|header|footer', '', 'g')) AS cleaned FROM documents""")
+@query(r"""SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS squeezed, regexp_replace(regexp_replace(regexp_replace(text, '^\s+|\s+\z', '', 'g'), '[^\x20-\x7E\n\r\t]', '', 'g'), 'Page \d+ of \d+|HEADER_PATTERN|FOOTER_PATTERN', chr(10), 'g') AS cleaned FROM documents""")
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return texts(spark, sf_dir).select("doc_id", T.squeezed(t).alias("squeezed"), T.cleaned(t).alias("cleaned"))
@@ -67,12 +67,12 @@ def page_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", T.page_label(p, (F.col("doc_id") % 3).cast("int")).alias("label"))
 
 
-@query(f"""WITH {D_SQL} SELECT collection_id, count(*) AS n, CASE WHEN count(*) <= 20 THEN array_to_string(list(summary ORDER BY doc_id), chr(10) || chr(9) || '- ') ELSE '' END AS context FROM d WHERE doc_id % 4 = 0 OR collection_id = 3 GROUP BY collection_id""")
+@query(f"""WITH {D_SQL} SELECT collection_id, count(*) AS n, CASE WHEN count(*) <= 20 THEN array_to_string(list(summary ORDER BY doc_id), chr(10) || chr(9) || '- ') ELSE '' END AS context FROM d GROUP BY collection_id""")
 def summary_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summaries of a collection's chosen files, if they are 20 at most: others are counted, not gathered."""
-    d = documents(spark, sf_dir).where("doc_id % 4 = 0 OR collection_id = 3")
+    """Summaries of a collection's files, if they are 20 at most: others are counted, not gathered."""
+    d = documents(spark, sf_dir)
     few = d.groupBy("collection_id").agg(F.count("*").alias("n"))
-    some = d.join(F.broadcast(few.where("n <= 20").select("collection_id")), "collection_id", "left_semi")
+    some = d.join(few.where("n <= 20").select("collection_id"), "collection_id", "left_semi")
     parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "summary"))), lambda x: x["summary"])
     text = some.groupBy("collection_id").agg(F.array_join(parts, "\n\t- ").alias("context"))
     return few.join(text, "collection_id", "left").select("collection_id", "n", F.coalesce("context", F.lit("")).alias("context"))
@@ -92,7 +92,8 @@ def profile_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARAMS = (("top_k", "20", "int"), ("threshold", "0.5", "float"), ("label", "abc", "text"))
 
 
-@query("""SELECT * FROM (VALUES ('top_k', CAST(20 AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR)), ('threshold', NULL, 0.5, NULL), ('label', NULL, NULL, 'abc')) v(name, int_value, float_value, text_value)""")
+@query("""SELECT name, CASE WHEN t = 'int' THEN CAST(TRY_CAST(v AS BIGINT) AS BIGINT) END AS int_value, CASE WHEN t = 'float' THEN TRY_CAST(v AS DOUBLE) END AS float_value, CASE WHEN t = 'text' THEN v END AS text_value
+FROM (VALUES ('top_k', '20', 'int'), ('threshold', '0.5', 'float'), ('label', 'abc', 'text')) x(name, v, t)""")
 def typed_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named values read by their declared types; an unknown type is an error."""
     kind, v = F.col("data_type"), F.col("value")
@@ -128,11 +129,10 @@ def doc_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.renamed(documents(spark, sf_dir), 5, 5, "src5_5.txt", "renamed.txt").select("doc_id", "name")
 
 
-@query(f"WITH {D_SQL} SELECT doc_id, true AS there FROM d WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id + 1000000000, false FROM d WHERE doc_id % 2 = 0")
+@query(f"WITH {D_SQL} SELECT doc_id, true AS there FROM d UNION ALL SELECT doc_id + 1000000000, false FROM d")
 def doc_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir).select("collection_id", "doc_id")
-    even = d.where("doc_id % 2 = 0")
-    asked = even.union(even.select("collection_id", F.col("doc_id") + 1_000_000_000))
+    asked = d.union(d.select("collection_id", F.col("doc_id") + 1_000_000_000))
     return catalog.existing(asked, d).select("doc_id", F.lit(True).alias("there")).union(catalog.missing(asked, d).select("doc_id", F.lit(False)))
 
 
@@ -164,7 +164,7 @@ def chat_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations), t AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS n FROM k WHERE b <= 6 AND role IN ('user', 'assistant') AND text <> '')
-SELECT conv_id, turn, '[' || CASE role WHEN 'user' THEN 'HumanMessage' ELSE 'AIMessage' END || ': ' || n || '] ' || text AS line FROM t""")
+SELECT conv_id, turn, '[' || CASE role WHEN 'user' THEN 'HumanMessage' ELSE 'AIMessage' END || ': ' || n || ']' || text AS line FROM t""")
 def chat_last6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.tagged(chat.last_turns(load(spark, sf_dir, "conversations"), "conv_id", "turn"), "conv_id", "turn").select("conv_id", "turn", "line")
 
@@ -191,13 +191,14 @@ def quota_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 GOLD = "gold AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
-@query(f"""WITH {GOLD}, f AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id DESC) AS rank FROM gold),
-b AS (SELECT gold.item_id, min(rank) AS rank FROM gold LEFT JOIN (SELECT * FROM f WHERE rank <= 1 AND item_id % 2 = 0) f ON gold.item_id = f.item_id AND gold.doc_id = f.doc_id GROUP BY gold.item_id)
+@query(f"""WITH {GOLD}, f AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id DESC) AS rank FROM gold JOIN documents USING (doc_id) WHERE lang = 'en'),
+b AS (SELECT gold.item_id, min(rank) AS rank FROM gold LEFT JOIN (SELECT * FROM f WHERE rank <= 1) f ON gold.item_id = f.item_id AND gold.doc_id = f.doc_id GROUP BY gold.item_id)
 SELECT count(*) AS n_questions, count(rank) AS n_hits, round(100.0::DOUBLE * count(rank) / count(*), 6) AS pct_hits, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr FROM b""")
 def eval_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold: documents that hold a benchmark text. Results: the last gold document of every other question."""
+    """Gold: documents that hold a benchmark text. Results: each question's last gold document in English, if it has one."""
     gold = evaluation.contained(load(spark, sf_dir, "benchmark"), texts(spark, sf_dir))
-    found = gold.where("item_id % 2 = 0").groupBy("item_id").agg(F.max("doc_id").alias("doc_id")).withColumn("rank", F.lit(1))
+    english = load(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
+    found = gold.join(english, "doc_id", "left_semi").groupBy("item_id").agg(F.max("doc_id").alias("doc_id")).withColumn("rank", F.lit(1))
     return evaluation.hit_rate(found, gold)
 
 
@@ -208,33 +209,43 @@ def eval_flag_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.flag_shares(rows, "hit", ["quality", "toxic"])
 
 
-PLAN = ((1, []), (2, []), (3, [1, 2]), (4, [3]), (5, [2, 9]), (6, [4, 3]))
+PLAN = ((1, []), (2, []), (3, [1, 2]), (4, [3]), (5, [2, 9]), (6, [4, 3]), (7, [8]), (8, [7]))
 
 
 def plan(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, list(d)) for i, d in PLAN], "task_id int, depends_on array<int>")
 
 
-@query("SELECT * FROM (VALUES (1, 0, false), (2, 0, false), (3, 1, false), (4, 2, false), (5, 1, true), (6, 3, true)) v(task_id, level, terminal)")
+P_SQL = "p AS (SELECT * FROM (VALUES (1, []::INTEGER[]), (2, []), (3, [1, 2]), (4, [3]), (5, [2, 9]), (6, [4, 3]), (7, [8]), (8, [7])) v(task_id, needs)), e AS (SELECT task_id, unnest(needs) AS need FROM p)"
+
+
+@query(f"""WITH RECURSIVE {P_SQL}, k AS (SELECT e.* FROM e JOIN p ON e.need = p.task_id), c(a, b) AS (SELECT task_id, need FROM k UNION SELECT c.a, k.need FROM c JOIN k ON c.b = k.task_id),
+bad AS (SELECT a FROM c WHERE a = b UNION SELECT a FROM c WHERE b IN (SELECT a FROM c WHERE a = b)),
+w(task_id, level) AS (SELECT task_id, 0 FROM p WHERE task_id NOT IN (SELECT task_id FROM k) UNION SELECT k.task_id, w.level + 1 FROM w JOIN k ON k.need = w.task_id WHERE k.task_id NOT IN (SELECT a FROM bad))
+SELECT p.task_id, max(w.level) AS level, p.task_id NOT IN (SELECT need FROM e) AS terminal FROM p LEFT JOIN w USING (task_id) GROUP BY p.task_id""")
 def task_dag_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.levels(plan(spark))
 
 
-@query("SELECT * FROM (VALUES (3)) v(task_id)")
+@query(f"WITH {P_SQL} SELECT task_id FROM p WHERE task_id NOT IN (1, 2) AND list_has_all([1, 2], needs)")
 def task_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.ready(plan(spark), plan(spark).where("task_id IN (1, 2)").select("task_id"))
 
 
-@query("SELECT * FROM (VALUES (5, 9)) v(task_id, needs)")
+@query(f"WITH {P_SQL} SELECT task_id, need AS needs FROM e WHERE need NOT IN (SELECT task_id FROM p)")
 def plan_dangling_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.dangling(plan(spark))
 
 
 def _folder(spark: SparkSession) -> str:
-    """In the cluster's shared folder."""
+    """In the cluster's shared folder; on a local master without one, in the temporary folder."""
     import tempfile
 
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.gettempdir()
     return f"{root.rstrip('/')}/siftlake-streams/{uuid.uuid4().hex}"
 
 
@@ -243,7 +254,7 @@ def stream_ingest_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files are skipped if their key was ingested before: one row for each (user, type), by a stream over the events."""
     at = _folder(spark)
     stream = ingest.events_stream(spark, f"{sf_dir}/event[s].parquet", load(spark, sf_dir, "events").schema).select("user_id", "event_type")
-    ingest.run_available(stream, f"{at}/checkpoint", lambda b, i: ingest.append_new(b, i, f"{at}/out", ["user_id", "event_type"]))
+    ingest.run_available(ingest.first_ever(stream, ["user_id", "event_type"]), f"{at}/checkpoint", lambda b, i: b.write.mode("overwrite").parquet(f"{at}/out/batch={i}"))
     return spark.read.parquet(f"{at}/out").select("user_id", "event_type")
 
 

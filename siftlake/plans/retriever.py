@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siftlake.functions import text as T
 from siftlake.operators import chunking, fusion, keyword, merging, vector, web
 
+#: The public names of search types.
 SEARCH_TYPES = ("similarity", "similarity_score_threshold", "mmr", "advanced_search", "advanced_search_with_threshold")
 MERGERS: dict[str, Callable[..., DataFrame]] = {"rrf": fusion.reciprocal_rank, "rescale": fusion.rescaled, "simple": fusion.simple}
 
@@ -54,7 +55,7 @@ class Retriever:
         """One chunk a document from either side, over its threshold (strictly), fused with more weight on words."""
         key = ["doc_id", "chunk_id"]
         hits = keyword.matches(rows, key, keyword.query_lexemes(question), "chunk_text")
-        blend = keyword.blended(keyword.bm25(hits, key, rows.agg(F.count("*").alias("n_all"))), keyword.proximity(hits, key), key)
+        blend = keyword.blended(keyword.bm25(hits, key, rows.agg(F.count("*").alias("n_all"))), None, key)
         strict = lambda df, t: df if t is None else df.where(F.col("score") > t)
         by_words = strict(keyword.top(keyword.best_per_document(blend, "doc_id", "chunk_id"), "score", "doc_id", self.k), self.keyword_threshold)
         by_vector = vector.best_per_group(rows, q, "doc_id", self.k, "chunk_id").withColumn("score", 1 - F.col("distance"))
@@ -78,21 +79,26 @@ class Retriever:
 
 
 def chat_context(retriever: Retriever, q: list[float], question: DataFrame, names: DataFrame, *, most_tokens: int = 76_565, rerank: Callable[[Column], Column] | None = None, ids: DataFrame | None = None) -> DataFrame:
-    """From a question to the numbered context: search, re-rank, trim overlaps, cut to the budget, merge runs, order documents, format.
+    """From a question to the numbered context: search, re-rank, trim overlaps, cut to the budget, merge runs, cut by pages, order documents by score, format.
 
-    names: doc_id, name, summary.
+    names: doc_id, name, summary, and authors if they are known. One row a document, in the order of doc_rank; `merging.whole_context` joins them.
     """
     few = retriever.search(q, question, ids)
-    near = chunking.with_neighbours(retriever.chunks.drop("embedding"), ["doc_id"], "chunk_num", "chunk_text")
+    chunks = retriever.chunks.drop("embedding")
+    heading = "heading" if "heading" in chunks.columns else None
+    near = chunking.with_neighbours(chunks, ["doc_id"], "chunk_num", "chunk_text", heading=heading)
     rows = near.join(F.broadcast(few), "chunk_id")
     if rerank is not None:
         rows = rows.withColumn("score", rerank(F.col("chunk_text"))).where("score >= 0")
-    rows = merging.trimmed_neighbours(rows)
+    trimmed = merging.trimmed_neighbours(rows)
     tokens = T.token_estimate(F.concat("previous", "chunk_text", "next")) + 40
-    rows = merging.token_prefix(rows.withColumn("tokens", tokens), "tokens", most_tokens).where(F.col("rank") <= retriever.k)
+    fits = merging.token_prefix(trimmed.withColumn("tokens", tokens), "tokens", most_tokens).where(F.col("rank") <= retriever.k)
+    rows = rows.join(F.broadcast(fits.select("chunk_id")), "chunk_id", "left_semi")
     order = merging.document_order(rows, "doc_id", "score")
-    merged = merging.merged_runs(rows, "doc_id").join(F.broadcast(order), "doc_id").join(names, "doc_id")
-    return merging.formatted_context(merged, "doc_id", "name", "summary", "run", "text")
+    merged = merging.in_context(merging.trimmed_neighbours(merging.merged_runs(rows, "doc_id", heading=heading), "text"), "text")
+    pieces = merging.by_page(merged, ["doc_id", "run"], "text", "page", "page_breaks") if "page_breaks" in chunks.columns else merged.select("doc_id", "run", "page", F.col("text").alias("piece"))
+    titled = merging.excerpts(pieces.join(F.broadcast(order), "doc_id").join(names, "doc_id"), "doc_rank", ["doc_id", "run", "page"])
+    return merging.formatted_context(titled, "doc_id", "doc_rank", "piece", name="name", authors="authors" if "authors" in names.columns else None, description="summary")
 
 
 def web_retrieval(question: DataFrame, results: DataFrame, stored: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:

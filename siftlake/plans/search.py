@@ -102,7 +102,7 @@ def chunk_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = keyword.matches(cut, key, keyword.query_lexemes(question(spark, sf_dir)), "chunk_text")
     # Every document with text gives the chunks its length says: no second cut to count them.
     total = load(spark, sf_dir, "documents").agg(F.sum(F.ceil(F.length(F.replace("text", F.lit("\n"), F.lit(""))) / (chunking.SIZE - chunking.OVERLAP))).alias("n_all"))
-    return keyword.blended(keyword.bm25(hits, key, total), keyword.proximity(hits, key), key)
+    return keyword.blended(keyword.bm25(hits, key, total), None, key)
 
 
 @query(f"{BLEND_SQL} SELECT doc_id, chunk_id, round(s, 6) AS s, round(prox, 6) AS prox, round(score, 6) AS score FROM bl")

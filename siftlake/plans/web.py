@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
-from siftlake.operators import chunking, keyword, web
+from siftlake.functions.plugins import ANSWER_LANGUAGES
+from siftlake.operators import chunking, keyword, merging, web
 from siftlake.plans.registry import load, query, texts
 from siftlake.plans.search import K, RANK, WORD
 
@@ -44,11 +45,14 @@ def md_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.heading_paths(web.parsed(texts(spark, sf_dir, "pages")).select("page_id", "body"), "page_id", "body")
 
 
-@query(f"""WITH {W_SQL}, q AS (SELECT text FROM benchmark ORDER BY item_id LIMIT 1), qt AS (SELECT DISTINCT unnest(regexp_extract_all({PLAIN.format('text')}, '{WORD}')) AS lexeme FROM q),
+RANKED_SQL = f"""WITH {W_SQL}, q AS (SELECT text FROM benchmark ORDER BY item_id LIMIT 1), qt AS (SELECT DISTINCT unnest(regexp_extract_all({PLAIN.format('text')}, '{WORD}')) AS lexeme FROM q),
 s AS (SELECT page_id, unnest(regexp_extract_all(lower(title || ' ' || body), '{WORD}')) AS lexeme FROM w), u AS (SELECT page_id, unnest(regexp_extract_all(replace({PLAIN.format("title || ' ' || body")}, 'ß', 'ss'), '{WORD}')) AS lexeme FROM w),
 a AS (SELECT page_id, lexeme, count(*) AS n FROM s JOIN qt USING (lexeme) GROUP BY ALL), b AS (SELECT page_id, lexeme, count(*) AS n FROM u JOIN qt USING (lexeme) GROUP BY ALL),
 ra AS (SELECT page_id, sum({RANK}) AS r FROM a GROUP BY page_id), rb AS (SELECT page_id, sum({RANK}) AS r FROM b GROUP BY page_id),
-x AS (SELECT coalesce(ra.page_id, rb.page_id) AS page_id, (coalesce(ra.r / (ra.r + 1), 0) + coalesce(rb.r / (rb.r + 1), 0)) / 2 AS score FROM ra FULL JOIN rb ON ra.page_id = rb.page_id)
+x AS (SELECT coalesce(ra.page_id, rb.page_id) AS page_id, (coalesce(ra.r / (ra.r + 1), 0) + coalesce(rb.r / (rb.r + 1), 0)) / 2 AS score FROM ra FULL JOIN rb ON ra.page_id = rb.page_id)"""
+
+
+@query(f"""{RANKED_SQL}
 SELECT page_id, url, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, page_id) AS INTEGER) AS rank FROM x JOIN pages USING (page_id) QUALIFY rank <= 20""")
 def web_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages")
@@ -80,26 +84,28 @@ def web_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.where((F.col("date") == F.lit("2024-01-02").cast("date")) & F.col("lang").isin("en", "de", "fr") & F.lower("body").rlike(r"\bthe\b|\bdie\b")).select("page_id", "lang")
 
 
-@query(f"WITH {W_SQL} SELECT page_id, lang, coalesce(lang IN ({', '.join(repr(x) for x in web.WEB_LANGUAGES)}), false) AS web_ok, coalesce(lang IN ('en', 'de', 'ar'), false) AS answer_ok FROM w")
+@query(f"WITH {W_SQL} SELECT page_id, lang, coalesce(lang IN ('fr', 'en', 'de', 'nl', 'da', 'fi', 'hu', 'it', 'no', 'pt', 'ro', 'ru', 'es', 'sv', 'tr'), false) AS web_ok, coalesce(lang IN ('en', 'de', 'it'), false) AS answer_ok FROM w")
 def lang_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = web.language(F.col("html"))
     ok = lambda xs: F.coalesce(lang.isin(*xs), F.lit(False))
-    return load(spark, sf_dir, "pages").select("page_id", lang.alias("lang"), ok(web.WEB_LANGUAGES).alias("web_ok"), ok(("en", "de", "ar")).alias("answer_ok"))
+    return load(spark, sf_dir, "pages").select("page_id", lang.alias("lang"), ok(web.WEB_LANGUAGES).alias("web_ok"), ok(ANSWER_LANGUAGES).alias("answer_ok"))
 
 
 @query(f"""WITH {W_SQL}, r AS (SELECT *, row_number() OVER (ORDER BY page_id) AS rank FROM w), s AS (SELECT *, regexp_replace(url, '[?#].*$', '') AS doc_url FROM r), m AS (SELECT doc_url, min(rank) AS first FROM s GROUP BY doc_url)
-SELECT page_id, s.doc_url, CAST(dense_rank() OVER (ORDER BY first) AS INTEGER) AS doc_no, 1 AS page FROM s JOIN m USING (doc_url) WHERE rank <= 100""")
+SELECT page_id, s.doc_url, CAST(dense_rank() OVER (ORDER BY first) AS INTEGER) AS doc_no, 1 AS page FROM s JOIN m USING (doc_url)""")
 def web_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page of 100 results: urls numbered in the order in which they are first seen."""
-    few = load(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("doc_url")).orderBy("page_id").limit(100)
-    first = F.min("page_id").over(Window.partitionBy("doc_url"))
-    return few.withColumn("first", first).select("page_id", "doc_url", F.dense_rank().over(Window.orderBy("first")).alias("doc_no"), F.lit(1).alias("page"))
+    """Urls numbered in the order in which they are first seen."""
+    rows = load(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("doc_url"))
+    first = rows.groupBy("doc_url").agg(F.min("page_id").alias("first"))
+    return rows.join(merging.numbered(first, "first", "first", "doc_no"), "doc_url").select("page_id", "doc_url", "doc_no", F.lit(1).alias("page"))
 
 
-@query(f"""WITH {W_SQL}, x AS (SELECT url, title, body, page_id FROM w WHERE page_id < 20)
-SELECT url, '[Citation: ' || CAST(row_number() OVER (ORDER BY page_id) AS VARCHAR) || '] ' || title || chr(10) || substr(body, 1, 500) AS context FROM x""")
+@query(f"""{RANKED_SQL}, t AS (SELECT page_id, url, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, page_id) AS INTEGER) AS rank FROM x JOIN pages USING (page_id) QUALIFY rank <= 20),
+m AS (SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<meta[^>]*name=["'']description["''][^>]*content=["'']([^"'']*)', 1), ''), 'None') AS about FROM pages)
+SELECT rank, url, '<Document Start>' || chr(10) || 'Document URL: ' || t.url || chr(10) || 'Document description: ' || about || chr(10) || chr(10) || '[Excerpt: ' || rank || '] ' || body || chr(10) || '<Document End>' || chr(10) || chr(10) AS context
+FROM t JOIN m USING (page_id) JOIN (SELECT page_id, body FROM w) USING (page_id)""")
 def format_web_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One citation for each page of a result page (the first twenty)."""
-    few = web.parsed(load(spark, sf_dir, "pages").where("page_id < 20"))
-    n = F.row_number().over(Window.orderBy("page_id"))
-    return few.withColumn("n", n).select("url", F.format_string("[Citation: %d] %s\n%s", "n", "title", F.substring("body", 1, 500)).alias("context"))
+    """The context of the best pages of web_rank, whole texts."""
+    few = web_rank(spark, sf_dir).select("page_id", "rank")
+    pages = web.parsed(load(spark, sf_dir, "pages").join(F.broadcast(few), "page_id"))
+    return merging.formatted_web_context(pages, "url", "rank", "body", "url", "description", "rank").select("rank", "url", "context")

@@ -35,28 +35,34 @@ def _plain(data: bytes) -> list[str]:
 
 
 def _csv(data: bytes) -> list[str]:
-    """One page: the rows as CSV text under a header, with a row number first."""
-    rows = [r for r in csv.reader(io.StringIO(data.decode("utf-8", "replace"))) if any(c.strip() for c in r)]
+    """One page: the rows as CSV text under a header, each with its number in the file first."""
+    rows = [r for r in csv.reader(io.StringIO(data.decode("utf-8", "replace"))) if r]
     out = io.StringIO()
-    head = header_of(rows[:10])
+    levels, names = header_of(rows[:10], max(map(len, rows), default=0))
     w = csv.writer(out, lineterminator="\n")
-    w.writerow(["", *head[1]])
-    w.writerows([i, *r] for i, r in enumerate(rows[head[0] :]))
+    w.writerow(["", *names])
+    w.writerows([i, *r] for i, r in enumerate(rows) if i not in levels)
     return [out.getvalue()]
 
 
-def header_of(rows: list[list[str]]) -> tuple[int, list[str]]:
-    """How many first rows are header levels, and the columns' names: levels end where a row is as full as the widest one."""
-    if not rows:
-        return 0, []
-    width = max(len(r) for r in rows)
-    filled = [sum(bool(c.strip()) for c in r) for r in rows]
-    n = filled.index(max(filled)) + 1
-    names = []
-    for j in range(width):
-        level = [r[j].strip() if j < len(r) else "" for r in rows[:n]]
-        names.append(" ".join(x for x in level if x))
-    return n, names
+def header_of(rows: list[list[str]], width: int) -> tuple[list[int], list[str]]:
+    """The rows that are header levels, and the columns' names: the rule of chunking.header_rows. A level's empty cells take the name to their left;
+    where a column is still without one, the columns are numbered."""
+    seen: set[int] = set()
+    levels = []
+    for i, r in enumerate(rows):
+        own = {j for j, c in enumerate(r) if c.strip()}
+        if not i or own - seen:
+            levels.append(i)
+        seen |= own
+    names: list[list[str]] = [[] for _ in range(width)]
+    for i in levels:
+        last = ""
+        for j in range(width):
+            last = rows[i][j].strip() if j < len(rows[i]) and rows[i][j].strip() else last
+            names[j].append(last)
+    whole = levels and all(x for n in names for x in n)
+    return levels, [" ".join(n) for n in names] if whole else [str(j) for j in range(width)]
 
 
 EXTRACTORS |= {"text": _plain, "sheet": _csv}
@@ -115,10 +121,13 @@ def first_tokens(text: Column, ending: Column, n: int) -> Column:
     return F.when(ending == "xlsx", by(",")).otherwise(by(" "))
 
 
+#: The properties of a file that are kept.
+PROPERTIES = ("author", "creator", "producer", "subject", "title", "pages")
+
+
 def properties(df: DataFrame, struct: Column) -> DataFrame:
     """File properties, each null if it is not there."""
-    names = ("author", "creator", "producer", "subject", "title", "pages")
-    return df.withColumn("properties", F.struct(*[F.try_element_at(struct, F.lit(n)).alias(n) for n in names]))
+    return df.withColumn("properties", F.struct(*[F.try_element_at(struct, F.lit(n)).alias(n) for n in PROPERTIES]))
 
 
 def store(documents: DataFrame, chunks: DataFrame, postings: DataFrame, root: str) -> None:

@@ -30,6 +30,11 @@ def first_of_each(events: DataFrame, key: list[str], time: str, delay: str = "1
     return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(key) if events.isStreaming else events.dropDuplicates(key)
 
 
+def first_ever(events: DataFrame, key: list[str]) -> DataFrame:
+    """One row for each key of all time. In a stream the keys are its state, so a batch costs what it holds, however much was ingested before."""
+    return events.dropDuplicates(key)
+
+
 def sums(events: DataFrame, key: str, value: str) -> DataFrame:
     return events.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.round(F.col(value) * 100).cast("long")).alias("cents"))
 
@@ -46,7 +51,7 @@ def run_available(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame,
 
 
 def append_new(batch: DataFrame, batch_id: int, target: str, key: list[str]) -> None:
-    """Idempotent sink: rows whose keys the target has from other batches are left out, and the batch has its own folder."""
+    """Idempotent sink for targets that others write to as well: rows whose keys the target has from other batches are left out, and the batch has its own folder. Each batch reads the target's keys; `first_ever` does not."""
     spark = batch.sparkSession
     rows = batch.dropDuplicates(key)
     try:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
 from siftlake.functions import plugins
-from siftlake.operators import catalog, chunking, fusion, keyword, merging, vector
+from siftlake.operators import catalog, chunking, fusion, keyword, merging, tasks, vector
 from siftlake.sources import files
 
 LOOSE = settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -157,7 +157,9 @@ def test_file_pages(spark, tmp_path):
     (tmp_path / "e.txt").write_text(" ")
     got = {r.path.rsplit("/", 1)[1]: r for r in files.pages(files.load_with("local", spark, f"file://{tmp_path}/*")).collect()}
     assert got["a.txt"].text == "hello world" and got["a.txt"].page == "1"
-    assert got["b.csv"].text.splitlines()[-1] == "0,2021,y,2"
+    assert got["b.csv"].text.splitlines() == [",0,1,2", "2,2020,x,1", "3,2021,y,2"]  # no row of data is lost; the second level has no name for the first column
+    assert files.header_of([["A", "", "B"], ["x", "y", "z"], ["1", "2", "3"]], 3) == ([0, 1], ["A x", "A y", "B z"])
+    assert files.header_of([["a", "b"], ["1", "2"]], 2) == ([0], ["a", "b"]) and files.header_of([], 0) == ([], [])
     assert got["c.html"].text.strip() == "# T\na & b"
     assert got["d.exe"].status == "unsupported" and got["e.txt"].status == "scanned"
     with pytest.raises(ValueError):
@@ -169,3 +171,80 @@ def test_plugins(spark):
     assert abs(sum(x * x for x in r.v) - 1) < 1e-9 and r.o == 0.5 and r.l == "de" and r.t == "d"
     got = plugins.refined(spark.createDataFrame([("a b c d",)], "text string"), lambda t: T.first_words(t, 2), lambda s: F.lit(3.0)).first()
     assert got.summary == "a b" and got.revision == 2
+
+
+def test_page_breaks_through_trimming_merging_and_pages(spark):
+    rng = random.Random(3)
+    pages = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (13, 5, 31, 2, 40, 9, 50)]
+    text, ends, at = "".join(pages), [], 0
+    for p in pages:
+        at += len(p)
+        ends.append(at)
+    cut = chunking.uniform_chunks(spark.createDataFrame([(1, pages)], "d int, p array<string>"), "d", "p", 20, 6)
+    near = chunking.with_neighbours(cut, ["d"], "chunk_num", "chunk_text")
+    for r in merging.trimmed_neighbours(near).collect():
+        assert text[r.start - len(r.previous) : r.start + r.chunk_len + len(r.next)] == r.previous + r.chunk_text + r.next
+        assert [r.start - len(r.previous) + b for b in r.previous_breaks] == [e for e in ends if r.start - len(r.previous) < e < r.start]
+        stop = r.start + r.chunk_len
+        assert [stop + b for b in r.next_breaks] == [e for e in ends if stop < e < stop + len(r.next)]
+    got = merging.merged_runs(near.where("chunk_num IN (1, 2, 4, 7)"), "d").first()
+    assert text.startswith(got.text) and got.page == 1 and got.page_breaks == [e for e in ends if e < len(got.text)]
+    whole = merging.in_context(merging.trimmed_neighbours(merging.merged_runs(near.where("chunk_num IN (2, 3)"), "d"), "text"), "text")
+    pieces = merging.by_page(whole, ["d"], "text", "page", "page_breaks").orderBy("page").collect()
+    assert "".join(r.piece for r in pieces) == text[: 5 * 14 + 6][: len("".join(r.piece for r in pieces))]
+    assert all(p.piece in pages[p.page - 1] or len(pieces) == 1 for p in pieces) and [p.page for p in pieces] == list(range(1, len(pieces) + 1))
+
+
+def test_neighbour_gates(spark):
+    rows = spark.createDataFrame([(1, 1, "a", "H", "pdf"), (1, 2, "b", "H", "pdf"), (1, 3, "c", "K", "pdf"), (2, 1, "d", None, "csv"), (2, 2, "e", None, "csv")], "d int, n int, t string, h string, f string")
+    got = {r.t: (r.previous, r.next) for r in chunking.with_neighbours(rows, ["d"], "n", "t", heading="h", alone=F.col("f").isin("csv", "xlsx", "xls")).collect()}
+    assert got == {"a": ("", "b"), "b": ("a", ""), "c": ("", ""), "d": ("", ""), "e": ("", "")}
+
+
+def test_context_of_documents(spark):
+    rows = spark.createDataFrame([(7, 2, 1, "x", "H", "n7", None, "s7"), (7, 2, 2, "y", "", "n7", None, "s7"), (3, 1, 5, "z", None, "n3", "me", "s3")], "d int, r int, c int, t string, h string, n string, a string, s string")
+    numbered = merging.excerpts(rows, "r", ["c"])
+    got = merging.formatted_context(numbered, "d", "r", "t", name="n", authors="a", description="s", heading="h")
+    text = merging.whole_context(got, "r").first().context
+    assert text == (
+        "<Document Start>\nDocument name: n3\nDocument authors: me\nDocument description: s3\n\n[Excerpt: 1]\nz\n<Document End>"
+        "<Document Start>\nDocument name: n7\nDocument authors: None\nDocument description: s7\n\n[Excerpt: 2]\nExcerpt heading: H\nx\n\n[Excerpt: 3]\ny\n<Document End>"
+    )
+    assert merging.whole_context(got.where("false"), "r").first().context == "NO RELEVANT DOCUMENTS FOUND"
+    assert [(r.d, r.citation) for r in merging.sources(numbered, ["d"]).orderBy("citation").collect()] == [(3, "1"), (7, "2"), (7, "3")]
+
+
+@pytest.mark.parametrize("falling", [False, True])
+def test_numbers_of_many_rows(spark, falling):
+    rng = random.Random(4)
+    rows = [(i, rng.choice([0.5, 0.5, 0.5, rng.random()])) for i in range(3000)]
+    got = {r.k: r.n for r in merging.numbered(spark.createDataFrame(rows, "k long, s double"), "s", "k", "n", falling=falling).collect()}
+    order = sorted(rows, key=lambda r: ((-r[1] if falling else r[1]), r[0]))
+    assert got == {k: i + 1 for i, (k, _) in enumerate(order)}
+    assert merging.numbered(spark.createDataFrame([], "k long, s double"), "s", "k", "n").count() == 0
+
+
+def test_long_chains_and_cycles_of_tasks(spark):
+    chain = [(i, [i - 1] if i else []) for i in range(300)] + [(1000, [1001]), (1001, [1000]), (1002, [1001]), (1003, [77777])]
+    df = spark.createDataFrame(chain, "task_id int, depends_on array<int>")
+    got = {r.task_id: (r.level, r.terminal) for r in tasks.levels(df).collect()}
+    assert got[299] == (299, True) and got[150] == (150, False) and got[1003] == (0, True)
+    assert {r.task_id for r in tasks.cycles(df).collect()} == {1000, 1001, 1002}
+
+
+def test_highlight_takes_terms_as_they_are(spark):
+    df = spark.createDataFrame([("a C++ (x) cost $5",)], "t string")
+    assert df.select(keyword.highlight(F.col("t"), ["c++", "(x)"], "$<", ">\\").alias("x")).first().x == "a $<C++>\\ $<(x)>\\ cost $5"
+
+
+def test_cleaning_only_takes_the_marks(spark):
+    t = "  My header and footer. Page 1 of 10 HEADER_PATTERN page 2 of 3 Footers \n"
+    assert one(spark, T.cleaned(F.lit(t)).alias("x")).x == "My header and footer. \n \n page 2 of 3 Footers"
+
+
+def test_language_of_a_question(spark):
+    ask = lambda q, p, raw=None: one(spark, plugins.query_language(F.lit(q), F.lit(p).cast("string"), None if raw is None else F.lit(raw)).alias("l")).l
+    assert ask("what is the sense of that", None) == "en" and ask("und das", "[AIMessage: 3]der die das ist nicht\nthe of and") == "de"
+    assert ask("la casa che non per gli una", None) == "it" and ask("los que en una por las", None, "the of and to") == "en"
+    with pytest.raises(Exception, match="unsupported language"):
+        ask("le les des est une dans", None)

@@ -40,8 +40,9 @@ def test_search_types(store, spark):
 def test_chat_context(store):
     docs, rows, q, text = store
     got = chat_context(Retriever(rows, k=6), q, text, docs.select("doc_id", "name", "summary"), rerank=lambda t: overlap_reranker(F.lit("the of and"), t)).collect()
-    assert got and all("[Excerpt: " in r.context and r.context.startswith("Document: src") for r in got)
-    assert sorted(r.first_excerpt for r in got)[0] == 1
+    assert got and all("[Excerpt: " in r.context and r.context.startswith("<Document Start>\nDocument name: src") and r.context.endswith("<Document End>") for r in got)
+    by_rank = sorted(got, key=lambda r: r.doc_rank)
+    assert by_rank[0].first_excerpt == 1 and all(b.first_excerpt == a.last_excerpt + 1 for a, b in zip(by_rank, by_rank[1:]))
 
 
 def test_web_retrieval(spark, sf):
