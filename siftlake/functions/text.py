@@ -106,15 +106,23 @@ def page_label(page: Column, n_breaks: Column) -> Column:
     return F.when((n_breaks > 0) & p.isNotNull(), F.concat(page, F.lit(" - "), (p + n_breaks).cast("string"))).otherwise(page)
 
 
+#: So many first characters are looked for at once.
+LOOK = 12
+
+
 def overlap(a: Column, b: Column) -> Column:
     """The longest end of a, not the whole of it, that b starts with."""
     first = F.greatest(F.lit(2), F.length(a) - F.length(b) + 1)  # an end longer than b can't be
 
     def within(tail: Column) -> Column:
-        n = F.length(tail)
-        places = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-        # A short look first: most places fail it without copying the rest of the text.
-        found = F.filter(places, lambda i: F.startswith(b, F.substring(tail, i, F.lit(12))) & F.startswith(b, F.substring(tail, i, n)))
+        n, head = F.length(tail), F.substring(b, 1, LOOK)
+        # Places where b's first characters stand (a split before each of them), and the last places, where less than these is left.
+        quoted = F.concat(F.lit(r"(?=\Q"), F.replace(head, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E)"))
+        step = lambda s, p: F.struct(F.concat(s["at"], F.array(s["next"])).alias("at"), (s["next"] + F.length(p)).alias("next"))
+        starts = F.aggregate(F.split(tail, quoted), F.struct(F.array().cast("array<int>").alias("at"), F.lit(1).alias("next")), step)["at"]
+        last = F.when(n > 0, F.sequence(F.greatest(n - LOOK + 2, F.lit(1)), n)).otherwise(F.array().cast("array<int>"))
+        places = F.concat(F.when(F.length(b) >= LOOK, starts).otherwise(F.array().cast("array<int>")), last)
+        found = F.filter(places, lambda i: F.startswith(b, F.substring(tail, i, n)) & (i <= n))
         return bound(F.array_min(found), lambda i: F.when(i.isNotNull(), F.substring(tail, i, n)).otherwise(F.lit("")))
 
     return bound(F.substring(a, first, F.length(a)), within)

@@ -92,7 +92,7 @@ def test_softmax(spark):
 
 
 def test_overlap(spark):
-    cases = [("abcdef", "efgh", "ef"), ("abc", "abc", ""), ("aaa", "aaab", "aa"), ("xyz", "q", ""), ("", "a", ""), ("a", "a", "")]
+    cases = [("abcdef", "efgh", "ef"), ("abc", "abc", ""), ("aaa", "aaab", "aa"), ("xyz", "q", ""), ("", "a", ""), ("a", "a", ""), ("x" + "ab" * 40, "ab" * 30 + "c", "ab" * 30), ("zz" + "a" * 30, "a" * 40, "a" * 30), (r"q\E.(x)[1]\Qabcdefgh", r"\E.(x)[1]\Qabcdefgh and on", r"\E.(x)[1]\Qabcdefgh"), ("über 日本語の文章はここで終わる", "文章はここで終わるが次が続く", "文章はここで終わる"), ("the end of a", "a longer next text", "a")]
     got = spark.createDataFrame(cases, "a string, b string, o string").select("o", T.overlap(F.col("a"), F.col("b")).alias("x")).collect()
     assert all(r.o == r.x for r in got)
 
