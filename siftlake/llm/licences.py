@@ -1,15 +1,22 @@
 """Licence notices by the Dice coefficient of word bigrams. DataFrame functions only.
 
-A text's lines and the templates are normalised to words (lower case letters and digits) and compared as sets of
-word bigrams: a line carries a licence if 2 * common / (line + template) is at least `percent` / 100.
+A text and the templates are normalised to words (lower case letters and digits) and compared as sets of word bigrams. What is
+compared of a text are its lines, and its blocks of lines for templates of several lines: a piece carries a licence if 2 * common / (piece + template) is
+at least `percent` / 100.
 
-Sizes prune: a line of n bigrams can only reach a template of m bigrams if n lies between m * p / (200 - p) and
+* Lines: every line against every template.
+* Blocks (`licence_blocks`): for a template of w words, the text's windows of w words that begin at an anchor, a bigram that is rare among
+  templates, shifted by its place in the template. Windows run over line ends, so a notice that is wrapped anew is found, wherever in a text it stands, also within a longer line.
+
+Sizes prune: a piece of n bigrams can only reach a template of m bigrams if n lies between m * p / (200 - p) and
 m * (200 - p) / p; it must also share enough bigrams that one of any few of them is present, so only texts that
-hold the rarest words of the templates are split at all. Both tests are exact: no line that would match is lost.
+hold the rarest words of the templates are split at all. Both tests are exact for lines: no line that would match is lost. A block is lost only if all of its
+template's anchors (ANCHORS, spread over it) are edited.
 
 Defined cases: null and empty texts have no line; lines of one word have no bigram and match nothing; repeated lines
-and rows match each; null ids are carried; an empty table gives an empty result; a tie between templates reports each.
-Nothing is shuffled; templates are a parameter of bounded size that goes into the plan as literals.
+and rows match each; null ids are carried; an empty table gives an empty result; a tie between templates reports each; a very long text is one row's work (lines are
+rows of their own; its words are one array). Extra columns are not read.
+Nothing is shuffled but a text's own windows (licence_blocks keeps the best window of a text and template); templates are a parameter of bounded size that goes into the plan as literals.
 """
 
 from __future__ import annotations
@@ -35,6 +42,38 @@ TEMPLATES = {
     "MPL-2.0": "Licensed under the Mozilla Public License, version 2.0.",
 }
 
+#: The public texts of whole notices and headers, each of several lines where it is used.
+BLOCKS = {
+    "Apache-2.0-header": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."
+    ),
+    "GPL-3.0-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, "
+        "or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+    ),
+    "MIT": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including '
+        "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+        "following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY "
+        "KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+        "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY "
+        "SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "MPL-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+}
+#: Bigrams of a block template that windows are laid at, spread over it.
+ANCHORS = 8
+
 
 def words_of(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
@@ -78,3 +117,57 @@ def licence_lines(docs: DataFrame, templates: dict[str, str] | None = None, *, p
     one = lambda k, t: F.struct(F.lit(k).alias("licence"), F.lit(sizes[k]).alias("n_template"), F.when((F.size("grams") * (200 - percent) >= sizes[k] * percent) & (F.size("grams") * percent <= sizes[k] * (200 - percent)), F.size(F.array_intersect("grams", F.array(*map(F.lit, bigrams_of(t)))))).otherwise(0).alias("n_common"))
     scored = grams.select(id_col, "line_no", F.size("grams").alias("n_line"), F.explode(F.array(*[one(k, t) for k, t in templates.items() if sizes[k]])).alias("x")).where(F.col("x.n_common") * 200 >= (F.col("n_line") + F.col("x.n_template")) * percent)
     return scored.select(id_col, "line_no", "x.licence", F.col("x.n_common").cast("long").alias("n_common"), F.col("n_line").cast("long").alias("n_line"), F.col("x.n_template").cast("long").alias("n_template"), F.round(2 * F.col("x.n_common") / (F.col("n_line") + F.col("x.n_template")), 6).alias("dice"))
+
+
+def anchors_of(templates: dict[str, str]) -> dict[str, list[tuple[str, int]]]:
+    """Of every template some (bigram, its place among the template's words): in each of ANCHORS equal stretches the bigram in fewest templates, then the longest. Only a bigram that stands once in its template can be one."""
+    held: dict[str, int] = {}
+    for t in templates.values():
+        for b in bigrams_of(t):
+            held[b] = held.get(b, 0) + 1
+    out = {}
+    for name, t in templates.items():
+        w = words_of(t)
+        pairs = [f"{a} {b}" for a, b in zip(w, w[1:])]
+        once = [(b, i) for i, b in enumerate(pairs) if pairs.count(b) == 1]
+        size = -(-len(once) // ANCHORS) if once else 1
+        out[name] = [min(once[lo : lo + size], key=lambda x: (held[x[0]], -len(x[0]), x[1])) for lo in range(0, len(once), size)]
+    return out
+
+
+def licence_blocks(docs: DataFrame, templates: dict[str, str] | None = None, *, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """id_col, licence, word_no (where the window begins, from 0), n_common, n_window, n_template, dice: of each text and template the best window of the template's
+    number of words, if it carries the licence; ties to the first window. Windows run over line ends."""
+    templates = BLOCKS if templates is None else templates
+    anchors, grams = anchors_of(templates), {k: bigrams_of(t) for k, t in templates.items()}
+    hint = "(?i)" + "|".join(sorted({"[^A-Za-z0-9]+".join(b.split()) for a in anchors.values() for b, _ in a}))
+    some = docs.where(F.col(text).rlike(hint)).select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)).alias("_w"))
+    some = some.withColumn("_n", F.size("_w")).withColumn("_b", F.zip_with(F.slice("_w", F.lit(1), F.greatest(F.col("_n") - 1, F.lit(0))), F.slice("_w", F.lit(2), F.greatest(F.col("_n") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+    # Places of any anchor, each told with the templates and the shift it stands for.
+    table = {}
+    for name, a in anchors.items():
+        for b, at in a:
+            table.setdefault(b, []).append((name, at))
+    known = F.create_map(*[x for b, v in table.items() for x in (F.lit(b), F.array(*[F.struct(F.lit(n).alias("licence"), F.lit(at).alias("at")) for n, at in v]))])
+    hits = F.filter(F.transform("_b", lambda b, i: F.struct(i.alias("i"), b.alias("b"))), lambda x: x["b"].isin(list(table)))
+    begins = F.array_distinct(F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(known, x["b"]), lambda v: F.struct(v["licence"].alias("licence"), F.greatest(x["i"] - v["at"], F.lit(0)).alias("word_no"))))))
+    rows = some.select("_row", "_id", "_b", F.explode(begins).alias("x")).select("_row", "_id", "x.licence", "x.word_no", "_b")
+    choose = lambda value: F.element_at(F.create_map(*[x for k in templates for x in (F.lit(k), value(k))]), F.col("licence"))
+    window = rows.withColumn("_win", F.array_distinct(F.slice("_b", F.col("word_no") + 1, choose(lambda k: F.lit(len(words_of(templates[k])) - 1))))).drop("_b")
+    size = choose(lambda k: F.lit(len(grams[k])))
+    fits = window.withColumn("n_template", size).where((F.size("_win") * (200 - percent) >= F.col("n_template") * percent))
+    common = F.lit(0)
+    for k, g in grams.items():
+        common = F.when(F.col("licence") == k, F.size(F.array_intersect("_win", F.array(*map(F.lit, g))))).otherwise(common)
+    scored = fits.select("_row", "_id", "licence", "word_no", common.cast("long").alias("n_common"), F.size("_win").cast("long").alias("n_window"), F.col("n_template").cast("long").alias("n_template"))
+    found = scored.where(F.col("n_common") * 200 >= (F.col("n_window") + F.col("n_template")) * percent)
+    dice = 2 * F.col("n_common") / (F.col("n_window") + F.col("n_template"))
+    best = found.withColumn("dice", F.round(dice, 6)).groupBy("_row", "licence").agg(F.max_by(F.struct("_id", "word_no", "n_common", "n_window", "n_template", "dice"), F.struct("dice", -F.col("word_no"))).alias("x"))
+    return best.select(F.col("x._id").alias(id_col), "licence", "x.word_no", "x.n_common", "x.n_window", "x.n_template", "x.dice")
+
+
+def licences_found(docs: DataFrame, templates: dict[str, str] | None = None, blocks: dict[str, str] | None = None, *, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """id_col, kind (line or block), place (of the line or of the window's first word), licence, n_common, n_piece, n_template, dice."""
+    lines = licence_lines(docs, templates, percent=percent, text=text, id_col=id_col).select(id_col, F.lit("line").alias("kind"), F.col("line_no").alias("place"), "licence", "n_common", F.col("n_line").alias("n_piece"), "n_template", "dice")
+    wide = licence_blocks(docs, blocks, percent=percent, text=text, id_col=id_col).select(id_col, F.lit("block").alias("kind"), F.col("word_no").alias("place"), "licence", "n_common", F.col("n_window").alias("n_piece"), "n_template", "dice")
+    return lines.unionByName(wide)

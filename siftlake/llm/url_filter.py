@@ -6,23 +6,23 @@ are judged by their template:
 * A path's segments are generalised where they vary: numbers, numbers with an ending, long hexadecimal ids, and the rare
   children (at most 1 / `max_children` of the pages each) of a node with more than `max_children` different ones become wildcards.
 * The templates' prefixes are the nodes of the host's tree. Each node counts labelled pages and bad ones.
-* Sibling branches whose share of bad pages lies within `z` standard errors of their parent's are merged: they share
-  one count.
+* Sibling branches that are like each other are merged: in the order of their shares of bad pages, neighbours whose shares differ by at most `z` standard errors
+  (of two proportions, pooled) share one count. Their subtrees are judged by it on the way down. Branches without labelled pages are merged with none.
 * A template's badness is smoothed along its path from the root, each node being shrunk towards the one above it by
   `strength` pseudo-pages; the root is shrunk towards the corpus. Templates that are more likely bad than
   `max_bad` are blocked.
 
-Every count is a groupBy with map-side sums, so a host with a third of all pages is no hot key; the last join reads one row for
+Every count is a groupBy with map-side sums, so a host with a third of all pages is no hot key; windows run over the children of one node, which are at most some 2 * `max_children`; the last join reads one row for
 each generalised path, and adaptive execution splits a path that holds many pages.
 
-Defined cases: null or scheme-less urls have an empty host and path; they share one template. Null page ids and
+Ties: of rules of one length the later text in order wins; branches of equal share are ordered by name; a badness of exactly max_bad is allowed; very long urls are one row's work. Defined cases: null or scheme-less urls have an empty host and path; they share one template. Null page ids and
 repeated rows are judged each; unlabelled corpora have badness 1/2, which is not over max_bad, so all is allowed;
 an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.llm.common import Scratch
@@ -90,12 +90,15 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Rules, *, max_child
     prefixes = F.transform(F.sequence(F.lit(0), F.size("t")), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice("t", F.lit(1), i), "/").alias("node"), F.array_join(F.slice("t", F.lit(1), F.greatest(i - 1, F.lit(0))), "/").alias("parent")))
     nodes = named.select("host", "n", "bad", F.explode(prefixes).alias("p")).groupBy("host", F.col("p.depth").alias("depth"), F.col("p.node").alias("node"), F.col("p.parent").alias("parent")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     nodes = scratch.keep(nodes, "nodes")
-    above = nodes.select("host", (F.col("depth") + 1).alias("depth"), F.col("node").alias("parent"), F.col("n").alias("pn"), F.col("bad").alias("pbad"))
-    rate = F.try_divide("pbad", "pn")
-    alike = (F.col("n") > 0) & (F.abs(F.try_divide("bad", "n") - rate) <= z * F.sqrt(F.try_divide(rate * (1 - rate), F.col("n"))))
-    tested = nodes.join(above, ["host", "depth", "parent"], "left").withColumn("alike", F.coalesce(alike, F.lit(False)))
-    pooled = tested.where("alike").groupBy("host", "depth", "parent").agg(F.sum("n").alias("mn"), F.sum("bad").alias("mbad"))
-    own = tested.join(pooled, ["host", "depth", "parent"], "left").select("host", "depth", "node", F.when(F.col("alike"), F.col("mn")).otherwise(F.col("n")).alias("n"), F.when(F.col("alike"), F.col("mbad")).otherwise(F.col("bad")).alias("bad"))
+    n, bad, rate = F.col("n"), F.col("bad"), F.col("rate")
+    siblings = Window.partitionBy("host", "depth", "parent").orderBy("rate", "node")
+    some = nodes.where("n > 0").withColumn("rate", bad / n)
+    beside = some.withColumns({"pn": F.lag("n").over(siblings), "pbad": F.lag("bad").over(siblings), "prate": F.lag("rate").over(siblings)})
+    both = (bad + F.col("pbad")) / (n + F.col("pn"))
+    apart = F.col("pn").isNull() | (F.abs(rate - F.col("prate")) > z * F.sqrt(both * (1 - both) * (1 / n + 1 / F.col("pn"))))
+    grouped = beside.withColumn("apart", apart.cast("int")).withColumn("group", F.sum("apart").over(siblings.rowsBetween(Window.unboundedPreceding, 0)))
+    alike = Window.partitionBy("host", "depth", "parent", "group")
+    own = grouped.select("host", "depth", "node", F.sum("n").over(alike).alias("n"), F.sum("bad").over(alike).alias("bad")).union(nodes.where("n = 0").select("host", "depth", "node", "n", "bad"))
 
     total = nodes.where("depth = 0").agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
     prior = F.lit((total[1] + 1) / (total[0] + 2))

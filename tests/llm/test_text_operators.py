@@ -163,6 +163,34 @@ def test_licences_on_odd_rows(odd):
     assert licences.licence_lines(odd.where("false")).count() == 0
 
 
+def test_licence_blocks_over_line_ends(spark):
+    rng = random.Random(8)
+    filler = lambda n: " ".join(rng.choice(["sea", "wind", "harbour", "stone", "quiet", "boat"]) for _ in range(n))
+    wrap = lambda t, n, mark="": "\n".join(mark + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    docs, want = [], set()
+    for j, (name, t) in enumerate(licences.BLOCKS.items()):
+        w = t.split()
+        changed = [x if i % 25 else "other" for i, x in enumerate(w)]
+        cut = " ".join(w[: len(w) // 2])
+        texts = [f"{filler(40)}\n{wrap(t, 9, '# ')}\n{filler(30)}", f"{filler(10)} {t.upper()} {filler(20)}", wrap(" ".join(changed), 6), wrap(cut, 7) + " " + filler(50)]
+        docs += [(10 * j + i, x) for i, x in enumerate(texts)]
+        want |= {(10 * j + i, name) for i in range(3)}
+    got = licences.licence_blocks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.licence) for r in got} == want
+    for r in got:  # each window's figures again, and no window of that size in the text is better
+        words, grams = licences.words_of(dict(docs)[r.doc_id]), set(licences.bigrams_of(licences.BLOCKS[r.licence]))
+        size = len(licences.words_of(licences.BLOCKS[r.licence]))
+        def figures(at):
+            piece = set(zip(words[at : at + size], words[at + 1 : at + size]))
+            return len({f"{a} {b}" for a, b in piece} & grams), len(piece)
+        assert (r.n_common, r.n_window, r.n_template) == (*figures(r.word_no), len(grams))
+        best = max(2 * figures(i)[0] / (figures(i)[1] + len(grams)) for i in range(max(1, len(words) - size + 1)))
+        assert abs(r.dice - best) < 0.03
+    odd = [(1, None), (2, ""), (3, "one"), (None, dict(docs)[0]), (4, "Permission is hereby granted")]
+    got = licences.licences_found(spark.createDataFrame(odd, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.kind, r.licence) for r in got if r.kind == "block"] == [(None, "block", "Apache-2.0-header")]
+
+
 def luhn(d):
     return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
@@ -304,3 +332,21 @@ def test_url_templates_learn(spark):
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r.page_id: r.verdict for r in url_filter.judge_urls(pages, labelled, ()).collect()}
     assert {got[i] for i in range(60)} == {"block"} and {got[i] for i in range(60, 200)} == {"allow"}
+
+
+def test_like_branches_are_merged(spark):
+    """c is seen twice only, and both pages are bad: like a and b, which are bad, and unlike their parent."""
+    urls = [(f"http://h.net/{x}/{i}.html", bad) for x, n, bad in (("a", 40, 1), ("b", 30, 1), ("c", 2, 1), ("d", 60, 0), ("e", 50, 0), ("f", 1, 1)) for i in range(n)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string")
+    labelled = spark.createDataFrame([u for u in urls if "/f/" not in u[0]], "url string, bad int")
+    got = {u: r.verdict for (u, _), r in zip(urls, url_filter.judge_urls(pages, labelled, ()).orderBy("page_id").collect())}
+    assert {v for u, v in got.items() if any(f"/{x}/" in u for x in "abc")} == {"block"}
+    assert {v for u, v in got.items() if any(f"/{x}/" in u for x in "def")} == {"allow"}
+
+
+def test_equal_rules_and_shares(spark):
+    rules = (("block", "h.net/a"), ("allow", "t.net/a"), ("allow", "net/"))
+    pages = spark.createDataFrame([(1, "x://h.net/a"), (1, "x://h.net/a"), (2, "x://t.net/a/b"), (3, "x://net/"), (4, "x://k.org/" + "y/" * 5000), (5, "x://k.org/p"), (6, "x://k.org/q")], "page_id long, url string")
+    labelled = spark.createDataFrame([("x://k.org/p", 1), ("x://k.org/p", 0), ("x://k.org/q", 1), ("x://k.org/q", 0)], "url string, bad int")
+    got = [(r.page_id, r.rule, r.verdict) for r in url_filter.judge_urls(pages, labelled, rules).orderBy("page_id").collect()]
+    assert got == [(1, "h.net/a", "block"), (1, "h.net/a", "block"), (2, "t.net/a", "allow"), (3, "net/", "allow"), (4, None, "allow"), (5, None, "allow"), (6, None, "allow")]
