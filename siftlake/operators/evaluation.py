@@ -53,3 +53,20 @@ def flag_shares(rows: DataFrame, hit: str, flags: list[str]) -> DataFrame:
 
 def near_page(a, b):
     return F.abs(a - b) <= 1
+
+
+def source_counts(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys, n_docs, n_pages: the different sources behind a result, and all its pages."""
+    return rows.groupBy(*keys).agg(F.count_distinct(name).alias("n_docs"), F.count("*").alias("n_pages"))
+
+
+def summary(answers: DataFrame, answer: str, latency: str, no_answer: str) -> DataFrame:
+    """One row: n_questions, n_correct (answers without the text that says there is none), pct_correct, mean_latency."""
+    correct = F.count_if(~F.contains(F.col(answer), F.lit(no_answer)))
+    return answers.agg(F.count("*").alias("n_questions"), correct.alias("n_correct"), F.round(100.0 * F.try_divide(correct, F.count("*")), 6).alias("pct_correct"), F.round(F.avg(latency), 6).alias("mean_latency"))
+
+
+def lengths_agree(pages: DataFrame, sections: DataFrame, doc: str) -> DataFrame:
+    """doc, pages_len, sections_len, whole: documents whose sections lost or doubled text are not whole."""
+    both = pages.join(sections, doc, "left").select(doc, "pages_len", F.coalesce("sections_len", F.lit(0)).cast("long").alias("sections_len"))
+    return both.withColumn("whole", F.col("pages_len") == F.col("sections_len"))
