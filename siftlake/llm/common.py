@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -60,3 +61,21 @@ def dropping() -> Iterator[None]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def placed(df: DataFrame, group: str, order: list[str], scratch: Scratch, name: str = "placed") -> tuple[DataFrame, DataFrame]:
+    """The rows with `place`, their number from 0 within their group in the given order, and `total`, the group's rows; and the sizes of the groups by task.
+
+    Rows are range-sorted by group and order and written with a running number, so that a group may span any number of tasks; a row's place is its
+    number less that of its group's first row in the task, plus the group's rows in the tasks before. df is read twice (Spark samples its ranges): hand
+    in a written table. group holds no null; rows that tie in the whole order are in any order.
+    """
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(tasks, group, *order).sortWithinPartitions(group, *order)
+    rows = scratch.keep(ordered.withColumn("_nth", F.monotonically_increasing_id()), name).withColumn("_task", F.shiftright("_nth", 33))
+    own, before = Window.partitionBy(group), Window.partitionBy(group).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(group, "_task").agg(F.min("_nth").alias("_first"), F.count("*").alias("_n"))
+    # A row for each group of each task: a table of its own, so that Spark knows its size before it chooses the join.
+    spans = scratch.keep(counts.select(group, "_task", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"), F.sum("_n").over(own).alias("total")), f"{name}_spans")
+    return rows.join(spans, [group, "_task"]).withColumn("place", F.col("_nth") + F.col("_shift")).drop("_nth", "_task", "_shift"), spans

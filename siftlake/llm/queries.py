@@ -192,5 +192,41 @@ FROM ru JOIN nm ON ru.host = nm.host AND ru.shape = nm.shape JOIN ju ON ju.host
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_packing, op3_license_scan, op4_token_counts, op5_exact_topk, op6_pii_pseudonyms, op7_url_filter, op8_quality_rules, op9_sampled_segmentations, op10_quality_classifier)}
-ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op3_license_scan": _op3_sql(), "op5_exact_topk": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_quality_rules": OP8_SQL}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose id's checksum 7 divides are presented with one more character than they have: their proofs must fail."""
+    from siftlake.llm.merkle import digest, folded, leaf_of, manifest
+
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    presented = F.when(changed, leaf_of(*[more if c == "n_chars" else F.col(c) for c in fields]))
+    out = manifest(docs, fields, group="lang", key="doc_id", carry={"presented": presented})
+    root = folded(F.coalesce("presented", "leaf"), F.col("proof")).alias("folded_root")
+    return out.select("doc_id", "leaf", "subroot", "root", digest(F.col("proof")).alias("proof_sha256"), root).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE f AS (SELECT doc_id, lang, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    n_chars, coalesce(strlen(text) || ':' || text, '-') AS tail,
+    list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda d, z: xor(d >> 1, CASE WHEN d & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)), 4294967295::BIGINT) AS crc FROM documents),
+lf AS (SELECT doc_id, coalesce('+' || lang, '') AS g, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN xor(crc, 4294967295::BIGINT) % 7 = 0 THEN sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) END AS presented FROM f),
+pl AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY g) AS total FROM lf),
+up(lv, g, place, total, h) AS (SELECT 0, g, place, total, leaf FROM pl UNION ALL SELECT lv + 1, g, place // 2, (total + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM up WHERE total > 1 GROUP BY lv, g, place // 2, (total + 1) // 2),
+sr AS MATERIALIZED (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS total FROM up WHERE total = 1),
+top(lv, place, total, h) AS (SELECT 0, place, total, h FROM sr UNION ALL SELECT lv + 1, place // 2, (total + 1) // 2, sha256(string_agg(h, '' ORDER BY place)) FROM top WHERE total > 1 GROUP BY lv, place // 2, (total + 1) // 2),
+wy AS (SELECT pl.g, pl.place, r.lv, (pl.place >> r.lv) & 1 AS odd, u.h AS sib FROM pl JOIN (SELECT g, max(lv) AS d FROM up GROUP BY g) m USING (g), unnest(range(0, m.d)) AS r(lv)
+       LEFT JOIN up u ON u.g = pl.g AND u.lv = r.lv AND u.place = xor(pl.place >> r.lv, 1)
+       UNION ALL SELECT pl.g, pl.place, 1000 + r.lv, (sr.place >> r.lv) & 1, t.h FROM pl JOIN sr USING (g), unnest(range(0, (SELECT max(lv) FROM top))) AS r(lv)
+       LEFT JOIN top t ON t.lv = r.lv AND t.place = xor(sr.place >> r.lv, 1)),
+pf AS (SELECT g, place, list({'odd': odd, 's': coalesce(sib, '')} ORDER BY lv) AS p FROM wy GROUP BY g, place),
+o AS (SELECT pl.doc_id, pl.leaf, sr.h AS subroot, (SELECT h FROM top WHERE total = 1) AS root, coalesce(pf.p, []) AS p, coalesce(presented, leaf) AS a FROM pl JOIN sr USING (g) LEFT JOIN pf ON pf.g = pl.g AND pf.place = pl.place),
+x AS (SELECT *, sha256(coalesce(array_to_string(list_transform(p, lambda z: z.s), ''), '')) AS proof_sha256,
+        list_reduce(p, lambda c, z: {'odd': 0::BIGINT, 's': sha256(CASE WHEN z.odd = 1 THEN z.s || c.s ELSE c.s || z.s END)}, {'odd': 0::BIGINT, 's': a}).s AS folded_root FROM o)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM x
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_packing, op3_license_scan, op4_token_counts, op5_exact_topk, op6_pii_pseudonyms, op7_url_filter, op8_quality_rules, op9_sampled_segmentations, op10_quality_classifier, op12_merkle_manifest)}
+ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op3_license_scan": _op3_sql(), "op5_exact_topk": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_quality_rules": OP8_SQL, "op12_merkle_manifest": OP12_SQL}
