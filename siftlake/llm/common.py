@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -63,7 +63,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def placed(df: DataFrame, group: str, order: list[str], scratch: Scratch, name: str = "placed") -> tuple[DataFrame, DataFrame]:
+def placed(df: DataFrame, group: str, order: list[str | Column], scratch: Scratch, name: str = "placed") -> tuple[DataFrame, DataFrame]:
     """The rows with `place`, their number from 0 within their group in the given order, and `total`, the group's rows; and the sizes of the groups by task.
 
     Rows are range-sorted by group and order and written with a running number, so that a group may span any number of tasks; a row's place is its

@@ -192,6 +192,31 @@ FROM ru JOIN nm ON ru.host = nm.host AND ru.shape = nm.shape JOIN ju ON ju.host
 """
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftlake.llm.phrases import phrases
+
+    return phrases(table(spark, sf_dir, "documents").select("text", "lang"), least=30, top=2000, covered=80)
+
+
+OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, id, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p)),
+x AS (SELECT lang, w1, lead(w1, 1) OVER v AS w2, lead(w1, 2) OVER v AS w3, lead(w1, 3) OVER v AS w4 FROM w WINDOW v AS (PARTITION BY id ORDER BY i)),
+g AS (SELECT lang, 1 AS m, w1 AS phrase FROM x UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM x WHERE w2 IS NOT NULL UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM x WHERE w3 IS NOT NULL
+      UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM x WHERE w4 IS NOT NULL),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+o AS MATERIALIZED (SELECT * FROM f WHERE a >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM o WHERE m > 1),
+k AS (SELECT c.lang, c.phrase, c.a, r.k, array_to_string(ws[1:r.k], ' ') AS lp, array_to_string(ws[r.k + 1:], ' ') AS rp FROM c, unnest(range(1, c.m)) AS r(k)),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, x.a AS l, y.a AS r, CAST((2000000::HUGEINT * k.a) // (x.a + y.a) AS BIGINT) AS score FROM k JOIN o x ON x.lang = k.lang AND x.phrase = k.lp JOIN o y ON y.lang = k.lang AND y.phrase = k.rp),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+u AS (SELECT lang, array_to_string(ws[i:i + d - 1], ' ') AS phrase, max(a) AS longer FROM c, unnest([2, 3]) AS q(d), unnest(range(1, 4)) AS r(i) WHERE d < m AND i + d - 1 <= m GROUP BY ALL),
+z AS (SELECT b.lang, b.phrase, a, l, r, score FROM b LEFT JOIN u ON u.lang = b.lang AND u.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT z.lang, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM z JOIN n ON n.lang = z.lang QUALIFY rank <= 2000
+"""
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose id's checksum 7 divides are presented with one more character than they have: their proofs must fail."""
     from siftlake.llm.merkle import digest, folded, leaf_of, manifest
@@ -228,5 +253,14 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = roo
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_packing, op3_license_scan, op4_token_counts, op5_exact_topk, op6_pii_pseudonyms, op7_url_filter, op8_quality_rules, op9_sampled_segmentations, op10_quality_classifier, op12_merkle_manifest)}
-ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op3_license_scan": _op3_sql(), "op5_exact_topk": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_quality_rules": OP8_SQL, "op12_merkle_manifest": OP12_SQL}
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from siftlake.llm.best_fit import digest, pack
+
+    docs, tokenizer = table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")
+    return digest(pack(docs, tokenizer, length=2048, end_id=0))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_packing, op3_license_scan, op4_token_counts, op5_exact_topk, op6_pii_pseudonyms, op7_url_filter, op8_quality_rules, op9_sampled_segmentations, op10_quality_classifier, op11_phrase_collocations, op12_merkle_manifest, op13_best_fit_packing)}
+ORACLES = {"op1_minhash_near_dedup": OP1_SQL, "op3_license_scan": _op3_sql(), "op5_exact_topk": OP5_SQL, "op7_url_filter": OP7_SQL, "op8_quality_rules": OP8_SQL, "op11_phrase_collocations": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
