@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftlake.operators.prefix import running
+
 SIZE, OVERLAP = 1600, 300
 
 
@@ -83,20 +85,31 @@ def heading_paths(docs: DataFrame, key: str, text: str) -> DataFrame:
     return lines.where("_level = 0").select(key, "line_no", F.concat_ws("\n", *parts).alias("heading"), "line")
 
 
-def table_row_chunks(rows: DataFrame, table: str, order: str, row: str, size: int, repeat: bool = True) -> DataFrame:
-    """table, chunk_num, first_row, last_row, n_rows, n_chars: rows are cut where the running length passes a multiple of size.
+def csv_line(cells: Column) -> Column:
+    """Cells as a line of CSV: quoted where they hold a comma, a quote or a line end; null is empty."""
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.array_join(F.transform(cells, lambda c: F.when(c.rlike('[,"\\r\\n]'), quoted(c)).otherwise(F.coalesce(c, F.lit("")))), ",")
+
+
+def table_chunks(rows: DataFrame, file: str, table: str, order: str, cells: str, header: list[str], size: int = SIZE) -> DataFrame:
+    """file, table, chunk_num, first_row, last_row, n_rows and text of the chunks of tables' rows (cells: an array of strings).
 
-    With repeat, a chunk begins with the last row of the one before, as slices that hold both ends do.
+    Rows are cut where the running length of their cells passes a multiple of size (a null cell counts as three characters); a chunk begins with the last row of the one
+    before, as slices that hold both ends do, and with the header. chunk_num counts through the tables of a file. A table may hold any share of all rows: lengths are
+    summed in two levels, and a chunk's rows are the only group. A table without rows has no chunks; a row longer than size is whole.
     """
-    w = Window.partitionBy(table).orderBy(order)
-    run = rows.withColumns({"_bucket": F.ceil(F.sum(F.length(row)).over(w.rowsBetween(Window.unboundedPreceding, 0)) / size), "_at": F.row_number().over(w) - 1})
-    cut = run.groupBy(table, "_bucket").agg(F.min("_at").alias("_from"), F.max("_at").alias("last_row"), F.count("*").alias("n_rows"), F.sum(F.length(row)).alias("n_chars"), F.max_by(F.length(row), "_at").alias("_last_len"))
-    b = Window.partitionBy(table).orderBy("_bucket")
-    extra = F.lag("_last_len").over(b)
-    return cut.select(
-        table, F.row_number().over(b).alias("chunk_num"), F.coalesce(F.lag("last_row").over(b), F.col("_from")).alias("first_row") if repeat else F.col("_from").alias("first_row"), "last_row",
-        (F.col("n_rows") + (F.when(extra.isNotNull(), 1).otherwise(0) if repeat else 0)).alias("n_rows"), (F.col("n_chars") + (F.coalesce(extra, F.lit(0)) if repeat else 0)).alias("n_chars"),
-    )
+    n_chars = F.aggregate(F.transform(cells, lambda c: F.coalesce(F.length(c), F.lit(3))), F.lit(0), lambda s, n: s + n).cast("long")
+    lines = rows.select(file, table, order, csv_line(F.col(cells)).alias("line"), n_chars.alias("n_chars"))
+    cut = running(lines, [file, table], [order], {"upto": "n_chars"}).withColumn("bucket", F.ceil(F.col("upto") / size))
+    held = F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"])
+    parts = cut.groupBy(file, table, "bucket").agg(F.min("place").alias("begin"), F.max("place").alias("last_row"), held.alias("lines"))
+    parts = running(parts, [file], [table, "bucket"]).withColumn("chunk_num", (F.col("place") + 1).cast("int"))
+    ends = parts.select(F.col(file).alias("_file"), F.col(table).alias("_table"), (F.col("chunk_num") + 1).alias("_num"), F.element_at("lines", -1).alias("_line"))
+    met = parts.join(ends, F.col(file).eqNullSafe(F.col("_file")) & F.col(table).eqNullSafe(F.col("_table")) & (F.col("chunk_num") == F.col("_num")), "left")
+    lines = F.when(F.col("_line").isNull(), F.col("lines")).otherwise(F.concat(F.array("_line"), "lines"))
+    text = F.concat(F.array_join(F.concat(F.array(csv_line(F.array(*map(F.lit, header)))), lines), "\n"), F.lit("\n"))
+    first = F.greatest(F.col("begin") - F.col("_line").isNotNull().cast("int"), F.lit(0))
+    return met.select(file, table, "chunk_num", first.alias("first_row"), "last_row", (F.col("last_row") - first + 1).alias("n_rows"), text.alias("text"))
 
 
 def pivoted(cells: DataFrame, row: str, column: str, value: str, names: list) -> DataFrame:

@@ -78,6 +78,14 @@ def bm25(hits: DataFrame, key: list[str], n_all: DataFrame) -> DataFrame:
     return hits.join(df, "lexeme").crossJoin(F.broadcast(n_all)).groupBy(*key).agg(F.sum(part).alias("s"), *([F.sum("n").cast("double").alias("r")] if "n" in hits.columns else []))
 
 
+def lexemes_of(queries: DataFrame, most: int = FEW_TERMS) -> list[str]:
+    """The lexemes of a query's rows, as a list: a query has few."""
+    few = [r[0] for r in query_lexemes(queries).limit(most + 1).collect()]
+    if len(few) > most:
+        raise ValueError(f"more than {most} lexemes: search by matches()")
+    return sorted(few)
+
+
 def squashed(s: Column) -> Column:
     return s / (s + 1)
 

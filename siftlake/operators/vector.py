@@ -1,11 +1,16 @@
-"""Vector search: exact top-k under filters, one best per group, cross-lingual, and an approximate index."""
+"""Vector search: exact top-k under filters, one best per group, cross-lingual, and the choice between these and an index."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions import vectors as V
+from siftlake.operators.vector_index import Index, collected, has_direction
 
 #: Candidates from which a search turns to the approximate index.
 EXACT_LIMIT = 70_000
@@ -45,32 +50,35 @@ def best_per_group(df: DataFrame, q: list[float], group: str, k: int, key: str,
     return best.orderBy("distance", group).limit(k).withColumn("rank", F.row_number().over(Window.orderBy("distance", group)))
 
 
-def index(df: DataFrame, key: str, vector: str = "embedding", tables: int = 12, bucket_length: float = 0.5, seed: int = 42):
-    """A random-projection index over all rows: the model and the hashed rows."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    rows = df.select(key, array_to_vector(V.unit(F.col(vector))).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed)
-    model = lsh.fit(rows)
-    return model, model.transform(rows)
-
-
-def nearest_approx(df: DataFrame, q: list[float], k: int, key: str, vector: str = "embedding", tables: int = 12) -> DataFrame:
-    """Like nearest, among rows that share a bucket with the query; vectors are scaled to unit length, so that Euclidean order is cosine order."""
-    from pyspark.ml.linalg import Vectors
-
-    model, hashed = index(df, key, vector, tables)
-    length = sum(x * x for x in q) ** 0.5 or 1.0
-    few = model.approxNearestNeighbors(hashed, Vectors.dense([x / length for x in q]), k, distCol="d")
-    scored = few.select(key, F.round(F.col("d") * F.col("d") / 2, 9).alias("distance"))
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy("distance", key)))
-
-
-def adaptive(df: DataFrame, q: list[float], k: int, key: str, vector: str = "embedding", limit: int = EXACT_LIMIT) -> DataFrame:
-    """Exact below `limit` candidates, else approximate; counting stops at the limit."""
-    exact = df.limit(limit).count() < limit
-    return nearest(df.select(key, vector), q, k, key, vector) if exact else nearest_approx(df, q, k, key, vector).select(key, "distance", "rank")
+def nearest_many(df: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding") -> DataFrame:
+    """query_id, key, distance (cosine) and rank of the k nearest rows of each query (query_id, vector) of a block: all rows are read, each task keeps its best k of each query."""
+    asked = collected(queries)
+    kind, own = df.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    q = np.array([r.vector for r in asked]).reshape(len(asked), -1)
+    q /= np.sqrt((q * q).sum(1))[:, None]
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches if len(q) else ():
+            x = np.array(b.column("vector").to_pylist(), np.float64).reshape(b.num_rows, -1)
+            away = np.round(1 - q @ (x / np.sqrt((x * x).sum(1))[:, None]).T, 9)
+            # All that is as near as the k-th, so that ties are left to their keys.
+            upto = np.partition(away, min(k, b.num_rows) - 1, axis=1)[:, min(k, b.num_rows) - 1]
+            nth, row = np.nonzero(away <= upto[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(nth.astype(np.int32)), b.column(key).take(pa.array(row)), pa.array(away[nth, row])], names=["nth", key, "distance"])
+
+    rows = df.select(key, F.col(vector).cast("array<double>").alias("vector")).where(has_direction(F.col("vector")))
+    best = rows.mapInArrow(scored, f"nth int, {key} {kind}, distance double")
+    top = best.withColumn("rank", F.row_number().over(Window.partitionBy("nth").orderBy("distance", key))).where(F.col("rank") <= k)
+    names = df.sparkSession.createDataFrame([(i, r.query_id) for i, r in enumerate(asked)], f"nth int, query_id {own}")
+    return top.join(F.broadcast(names), "nth").select("query_id", key, "distance", "rank")
+
+
+def adaptive(df: DataFrame, q: list[float], k: int, key: str, index: Callable[[], Index], vector: str = "embedding", limit: int = EXACT_LIMIT) -> DataFrame:
+    """Exact below `limit` candidates, else by the index of the whole table, among the candidates; counting stops at the limit. index: opens it, or builds it where there is none."""
+    if df.limit(limit).count() < limit:
+        return nearest(df.select(key, vector), q, k, key, vector)
+    one = df.sparkSession.createDataFrame([(0, q)], "query_id int, vector array<double>")
+    return index().search(one, k, among=df.select(key)).select(key, "distance", "rank")
 
 
 def maximal_marginal_relevance(df: DataFrame, q: list[float], k: int, fetch: int, key: str, vector: str = "embedding", weight: float = 0.5) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftlake.functions import text as T
 from siftlake.operators import chunking, headings, keyword, merging
 from siftlake.plans.registry import load, query, texts
-from siftlake.plans.search import C_SQL, D_SQL, Q_SQL, chunks, documents, hits_sql, kw_bm25_topk, question
+from siftlake.plans.search import C_SQL, D_SQL, Q_SQL, chunks, documents, kw_bm25_topk, question, scored_sql
 
 
 @query(f"WITH {C_SQL} SELECT doc_id, chunk_id, chunk_num, start, chunk_text, CAST(length(chunk_text) AS INTEGER) AS chunk_len FROM ch")
@@ -112,7 +112,7 @@ def doc_score_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.document_order(rows, "doc_id", "score", page=False)
 
 
-@query(f"""WITH {Q_SQL}, {hits_sql('documents', 'doc_id', 'text')}, {C_SQL}, {D_SQL}, tt AS (SELECT doc_id, row_number() OVER (ORDER BY round(s, 9) DESC, doc_id) AS rank FROM sc QUALIFY rank <= 20),
+@query(f"""WITH {Q_SQL}, {scored_sql('documents')}, {C_SQL}, {D_SQL}, tt AS (SELECT doc_id, row_number() OVER (ORDER BY round(s, 9) DESC, doc_id) AS rank FROM sc QUALIFY rank <= 20),
 x AS (SELECT ch.doc_id, name, source, summary, rank, chunk_text, row_number() OVER (ORDER BY rank, chunk_num) AS excerpt FROM ch JOIN tt USING (doc_id) JOIN d ON ch.doc_id = d.doc_id)
 SELECT doc_id, CAST(rank AS INTEGER) AS doc_rank, '<Document Start>' || chr(10) || 'Document name: ' || min(name) || chr(10) || 'Document authors: ' || min(source) || chr(10) || 'Document description: ' || min(summary) || chr(10)
  || string_agg(chr(10) || '[Excerpt: ' || excerpt || ']' || chr(10) || chunk_text || chr(10), '' ORDER BY excerpt) || '<Document End>' AS context,
@@ -134,17 +134,22 @@ def overlap_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", "chunk_num", F.length(own).alias("overlap_len"), F.substring(F.col("next"), F.length(own) + 1, F.length("next")).alias("next"))
 
 
-@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_orderkey || ',' || l_partkey || ',' || CAST(l_quantity AS INTEGER) AS row FROM lineitem WHERE l_orderkey IS NOT NULL),
-o AS (SELECT l_orderkey % 50 AS sheet, l_orderkey * 1000 + l_linenumber * 10 AS k, row FROM t),
-d AS (SELECT sheet, k, min(row) AS row FROM o GROUP BY sheet, k),
-r AS (SELECT *, length(row) AS len, row_number() OVER w - 1 AS p, ceil(sum(length(row)) OVER w / 1600.0) AS bucket FROM d WINDOW w AS (PARTITION BY sheet ORDER BY k)),
-g AS (SELECT sheet, bucket, min(p) AS fr, max(p) AS last_row, count(*) AS n, sum(len) AS c, max_by(len, p) AS ll FROM r GROUP BY sheet, bucket)
-SELECT sheet, CAST(row_number() OVER w AS INTEGER) AS chunk_num, CAST(coalesce(lag(last_row) OVER w, fr) AS INTEGER) AS first_row, CAST(last_row AS INTEGER) AS last_row,
- CAST(n + CASE WHEN lag(ll) OVER w IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_rows, CAST(c + coalesce(lag(ll) OVER w, 0) AS BIGINT) AS n_chars FROM g WINDOW w AS (PARTITION BY sheet ORDER BY bucket)""")
+@query("""WITH t AS (SELECT CASE WHEN l_orderkey % 10 <> 0 THEN 0 ELSE l_orderkey // 10 % 50 END AS sheet, l_orderkey * 1000 + l_linenumber * 10 AS k,
+  min({'o': l_orderkey::VARCHAR, 'p': coalesce(l_partkey::VARCHAR, ''), 'c': l_comment}) AS c FROM (SELECT *, l_linestatus || ', ' || l_returnflag AS l_comment FROM lineitem WHERE l_orderkey IS NOT NULL) GROUP BY ALL),
+d AS (SELECT sheet % 7 AS file, sheet // 7 AS tab, k, c.o || ',' || c.p || ',' || coalesce('"' || c.c || '"', '') AS line, length(c.o) + length(c.p) + coalesce(length(c.c), 3) AS n FROM t),
+r AS (SELECT *, row_number() OVER w - 1 AS place, ceil(sum(n) OVER w / 1600.0) AS bucket FROM d WINDOW w AS (PARTITION BY file, tab ORDER BY k)),
+g AS (SELECT file, tab, bucket, min(place) AS begin, max(place) AS last_row, list(line ORDER BY place) AS ls FROM r GROUP BY file, tab, bucket),
+n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY tab, bucket) AS chunk_num, lag(ls[-1]) OVER (PARTITION BY file, tab ORDER BY bucket) AS held FROM g)
+SELECT file, tab, CAST(chunk_num AS INTEGER) AS chunk_num, CASE WHEN held IS NULL THEN begin ELSE begin - 1 END AS first_row, last_row, last_row - CASE WHEN held IS NULL THEN begin ELSE begin - 1 END + 1 AS n_rows,
+ 'order,part,"ship, flag"' || chr(10) || coalesce(held || chr(10), '') || array_to_string(ls, chr(10)) || chr(10) AS text FROM n""")
 def table_row_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as the rows of fifty sheets."""
-    rows = load(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL").select((F.col("l_orderkey") % 50).alias("sheet"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 10).alias("k"), F.concat_ws(",", F.col("l_orderkey").cast("string"), F.col("l_partkey").cast("string"), F.col("l_quantity").cast("int").cast("string")).alias("row"))
-    return chunking.table_row_chunks(rows.groupBy("sheet", "k").agg(F.min("row").alias("row")), "sheet", "k", "row", 1600)
+    """Order lines as the rows of fifty tables in seven files, nine tenths of them in one table."""
+    lines = load(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL")
+    sheet = F.expr("CASE WHEN l_orderkey % 10 <> 0 THEN 0 ELSE l_orderkey div 10 % 50 END")
+    cells = F.array(F.col("l_orderkey").cast("string"), F.coalesce(F.col("l_partkey").cast("string"), F.lit("")), F.concat("l_linestatus", F.lit(", "), "l_returnflag"))
+    rows = lines.select(sheet.alias("sheet"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber") * 10).alias("k"), cells.alias("cells")).groupBy("sheet", "k").agg(F.min("cells").alias("cells"))
+    rows = rows.select((F.col("sheet") % 7).alias("file"), F.expr("sheet div 7").alias("tab"), "k", "cells")
+    return chunking.table_chunks(rows, "file", "tab", "k", "cells", ["order", "part", "ship, flag"])
 
 
 SEVEN = ", ".join(f'min(l_quantity) FILTER (l_linenumber = {i}) AS "{i}"' for i in range(1, 8))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
-from siftlake.operators import chunking, fusion, keyword, vector
+from siftlake.operators import chunking, fusion, keyword, keyword_index, vector, vector_index
 from siftlake.plans.registry import load, query, spread, texts
+from siftlake.sources import tables
 
 K = 20
 WORD = r"[\p{L}\p{N}]+"
@@ -59,17 +60,67 @@ nn AS (SELECT count(*) AS n_all FROM {table}),
 sc AS (SELECT {key}, sum(tf / (tf + 1) * ln(1 + (n_all - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) AS s FROM hi JOIN dfq USING (lexeme), nn GROUP BY {key})"""
 
 
-def doc_scores(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
-    docs = texts(spark, sf_dir) if docs is None else docs
+def plained_sql(text: str) -> str:
+    return f"regexp_extract_all(replace(translate(lower({text}), '{T.ACCENTED}', '{T.PLAIN}'), 'ß', 'ss'), '{WORD}')"
+
+
+CLASS_RANK = "list_sum(list_transform(range(1, n_a + n_b + 1), lambda j: CASE WHEN j <= n_a THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END / (j * j))) / 1.64493406685"
+SUMMARY = "array_to_string(string_split({}, ' ')[1:60], ' ')"
+NAME = "{}source || '_' || {}doc_id || '.txt'"
+#: What a unit is searched by: of class A the text, the document's name and the page, of class B the document's summary.
+UNIT_SQL = {
+    "documents": f"un AS (SELECT doc_id AS u, text AS body, {NAME.format('', '')} AS name, 1 AS page, {SUMMARY.format('text')} AS summary FROM documents)",
+    "ch": f"un AS (SELECT ch.chunk_id AS u, ch.chunk_text AS body, {NAME.format('dd.', 'dd.')} AS name, ch.page, {SUMMARY.format('dd.text')} AS summary FROM ch JOIN documents dd ON dd.doc_id = ch.doc_id)",
+}
+
+
+def scored_sql(table: str) -> str:
+    """hi(u, lexeme, n_a, n_b, tf) and sc(key, s, r) over weighted fields."""
+    ids = {"documents": "u AS doc_id", "ch": "u // 10000 AS doc_id, u AS chunk_id"}[table]
+    return rf"""{UNIT_SQL[table]},
+tk AS (SELECT u, 'A' AS c, unnest(list_concat(list_concat({plained_sql('body')}, regexp_extract_all(lower(name), '{WORD}')), ['page', page::VARCHAR])) AS lexeme FROM un
+       UNION ALL SELECT u, 'B', unnest({plained_sql('summary')}) FROM un),
+hc AS (SELECT u, lexeme, count(*) FILTER (c = 'A') AS n_a, count(*) FILTER (c = 'B') AS n_b FROM tk JOIN qt USING (lexeme) GROUP BY u, lexeme),
+hi AS (SELECT *, {CLASS_RANK} AS tf FROM hc),
+dfq AS (SELECT lexeme, count(*) AS df FROM hi GROUP BY lexeme),
+nn AS (SELECT count(*) AS n_all FROM un),
+su AS (SELECT u, sum(tf / (tf + 1) * ln(1 + (n_all - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) AS s, sum(n_a + 0.4::DOUBLE * n_b) AS r FROM hi JOIN dfq USING (lexeme), nn GROUP BY u),
+sc AS (SELECT {ids}, s, r FROM su)"""
+
+
+def _fields(body: str, page: Column) -> dict[str, Column]:
+    plain = lambda c: T.usimple(F.coalesce(c, F.lit("")))
+    return {"A": F.concat(plain(F.col(body)), T.words(F.col("name")), F.array(F.lit("page"), page.cast("string"))), "B": plain(F.col("summary"))}
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> keyword_index.PostingsIndex:
+    """The postings of the documents, built once in the shared folder."""
+    build = lambda at: keyword_index.build(spread(documents(spark, sf_dir)), "doc_id", _fields("text", F.lit(1)), at)
+    return tables.opened(spark, "document_postings", sf_dir, build, keyword_index.open_index)
+
+
+def chunk_index(spark: SparkSession, sf_dir: str) -> keyword_index.PostingsIndex:
+    """The postings of the chunks, each with its document's name and summary."""
+    build = lambda at: keyword_index.build(chunks(spread(documents(spark, sf_dir)), ("name", "summary")), "chunk_id", _fields("chunk_text", F.col("page")), at)
+    return tables.opened(spark, "chunk_postings", sf_dir, build, keyword_index.open_index)
+
+
+def doc_scores(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """Of the plain words of some documents, from their texts."""
     hits = keyword.matches(docs, ["doc_id"], keyword.query_lexemes(question(spark, sf_dir)))
     return keyword.bm25(hits, ["doc_id"], docs.agg(F.count("*").alias("n_all")))
 
 
-@query(f"""WITH {Q_SQL}, {hits_sql('documents', 'doc_id', 'text')}
+def top_documents(spark: SparkSession, sf_dir: str, k: int = K) -> DataFrame:
+    return document_index(spark, sf_dir).top(keyword.lexemes_of(question(spark, sf_dir)), k)
+
+
+@query(f"""WITH {Q_SQL}, {scored_sql('documents')}
 SELECT doc_id, round(s, 6) AS score, round(1 - s / (s + 1), 6) AS distance, CAST(row_number() OVER (ORDER BY round(s, 9) DESC, doc_id) AS INTEGER) AS rank
 FROM sc ORDER BY rank LIMIT 20""")
 def kw_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = keyword.top(doc_scores(spark, sf_dir), "s", "doc_id", K)
+    """Over the stored postings; ranges of documents that cannot reach the page are not read."""
+    few = top_documents(spark, sf_dir)
     return few.select("doc_id", F.round("s", 6).alias("score"), F.round(1 - keyword.squashed(F.col("s")), 6).alias("distance"), "rank")
 
 
@@ -90,19 +141,15 @@ def kw_allowlist_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyword.top(doc_scores(spark, sf_dir, docs), "s", "doc_id", K).select("doc_id", F.round("s", 6).alias("score"), "rank")
 
 
-BLEND_SQL = f"""WITH {Q_SQL}, {C_SQL}, {hits_sql('ch', 'doc_id, chunk_id', 'chunk_text')},
-px AS (SELECT doc_id, chunk_id, CAST(sum(n) AS DOUBLE) AS r FROM hi GROUP BY doc_id, chunk_id),
-bl AS (SELECT doc_id, chunk_id, s, r / (r + 1) AS prox, 0.8::DOUBLE * (s / (s + 1)) + 0.2::DOUBLE * (r / (r + 1)) AS score, 0.8::DOUBLE * s + 0.2::DOUBLE * (r / (r + 1)) AS order_key FROM sc JOIN px USING (doc_id, chunk_id)),
+BLEND_SQL = f"""WITH {Q_SQL}, {C_SQL}, {scored_sql('ch')},
+bl AS (SELECT doc_id, chunk_id, s, r / (r + 1) AS prox, 0.8::DOUBLE * (s / (s + 1)) + 0.2::DOUBLE * (r / (r + 1)) AS score, 0.8::DOUBLE * s + 0.2::DOUBLE * (r / (r + 1)) AS order_key FROM sc),
 be AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(order_key, 9) DESC, chunk_id) AS nth FROM bl)"""
 
 
 def chunk_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = chunks(texts(spark, sf_dir))
-    key = ["doc_id", "chunk_id"]
-    hits = keyword.matches(cut, key, keyword.query_lexemes(question(spark, sf_dir)), "chunk_text")
-    # Every document with text gives the chunks its length says: no second cut to count them.
-    total = load(spark, sf_dir, "documents").agg(F.sum(F.ceil(F.length(F.replace("text", F.lit("\n"), F.lit(""))) / (chunking.SIZE - chunking.OVERLAP))).alias("n_all"))
-    return keyword.blended(keyword.bm25(hits, key, total), None, key)
+    """Scores of all chunks that hold a lexeme of the question, from the stored postings."""
+    scores = chunk_index(spark, sf_dir).all_scores(keyword.lexemes_of(question(spark, sf_dir)))
+    return keyword.blended(scores.withColumn("doc_id", F.floor(F.col("chunk_id") / 10000)), None, ["doc_id", "chunk_id"])
 
 
 @query(f"{BLEND_SQL} SELECT doc_id, chunk_id, round(s, 6) AS s, round(prox, 6) AS prox, round(score, 6) AS score FROM bl")
@@ -248,13 +295,13 @@ def vec_best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {E_SQL}, x AS (SELECT vec_id, {COS} AS distance FROM embeddings, q) SELECT vec_id, round(distance, 6) AS distance, {TOP}, (SELECT count(*) FROM embeddings) < 70000 AS exact FROM x ORDER BY rank LIMIT 20")
 def vec_dispatch_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, q = vectors(spark, sf_dir)
-    return shown(vector.adaptive(e, q, K, "vec_id"), "vec_id").withColumn("exact", F.lit(e.limit(vector.EXACT_LIMIT).count() < vector.EXACT_LIMIT))
+    return shown(vector.adaptive(e, q, K, "vec_id", lambda: index_of(spark, sf_dir)), "vec_id").withColumn("exact", F.lit(e.limit(vector.EXACT_LIMIT).count() < vector.EXACT_LIMIT))
 
 
 @query(f"WITH {E_SQL}, {LANG_SQL}, x AS (SELECT vec_id, {COS} AS distance FROM el, q WHERE lang = 'en') SELECT vec_id, round(distance, 6) AS distance, {TOP} FROM x ORDER BY rank LIMIT 20")
 def vec_lang_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, q = with_lang(spark, sf_dir)
-    return shown(vector.adaptive(e.where("lang = 'en'"), q, K, "vec_id"), "vec_id")
+    return shown(vector.adaptive(e.where("lang = 'en'"), q, K, "vec_id", lambda: index_of(spark, sf_dir)), "vec_id")
 
 
 @query(f"""WITH {E_SQL}, {D_SQL}, x AS (SELECT doc_id AS vec_id, collection_id, name, {COS} AS distance FROM embeddings e JOIN d ON e.vec_id = d.doc_id, q WHERE collection_id IN (0, 1, 2)),
@@ -268,10 +315,43 @@ def vec_adv_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(d, "vec_id").select("doc_id", "name", F.round(1 - F.col("distance"), 6).alias("score"), "rank", F.lit("semantic").alias("search_type"))
 
 
+def index_of(spark: SparkSession, sf_dir: str) -> vector_index.Index:
+    """The index of the table, built once in the shared folder."""
+    return tables.opened(spark, "vectors", sf_dir, lambda at: vector_index.build(load(spark, sf_dir, "embeddings"), "vec_id", at), vector_index.open_index)
+
+
+#: Rows of which a search by the index reads the vectors.
+RERANKED = 50
+
+
 @query()
 def vec_ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, q = vectors(spark, sf_dir)
-    return shown(vector.nearest_approx(e, q, K, "vec_id"), "vec_id")
+    """By the index: codes of the cells it opens, and the vectors of RERANKED rows."""
+    asked = load(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return shown(index_of(spark, sf_dir).search(asked, K, RERANKED), "vec_id")
+
+
+@query("""SELECT count(*) FILTER (vec_id % 50 = 0) AS n_queries, count(*) FILTER (vec_id % 50 = 0) * 20 AS n_found, true AS recall_reached, 10 * 50 <= count(*) AS few_vectors FROM embeddings""")
+def vec_ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows whose id is divisible by 50 as queries: does the index find 90 % of their 20 nearest rows, and does it read at most a tenth of the vectors for each?"""
+    e = load(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    index = index_of(spark, sf_dir)
+    found = vector_index.in_blocks(asked, lambda x: index.search(x, K, RERANKED))
+    exact = vector_index.in_blocks(asked, lambda x: vector.nearest_many(e, x, K, "vec_id"))
+    both = found.select("query_id", "vec_id", F.lit(1).alias("hit")).join(exact, ["query_id", "vec_id"], "full")
+    n = F.countDistinct("query_id").alias("n_queries"), F.count("hit").alias("n_found")
+    return both.agg(*n, (F.count(F.when(F.col("rank").isNotNull(), F.col("hit"))) >= 0.9 * F.count("rank")).alias("recall_reached"), (F.lit(10 * RERANKED) <= F.lit(index.n)).alias("few_vectors"))
+
+
+@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
+x AS (SELECT query_id, vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], q), 9) AS distance FROM embeddings, q)
+SELECT query_id, vec_id, round(distance, 6) AS distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM x QUALIFY rank <= 20""")
+def vec_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact neighbours of many queries in one pass over the rows for each block of queries."""
+    e = load(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return shown(vector_index.in_blocks(asked, lambda x: vector.nearest_many(e, x, K, "vec_id")), "query_id", "vec_id")
 
 
 @query()
@@ -315,7 +395,7 @@ def coverage_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Fusion: documents by their own vectors and by their words.
 
-F_SQL = f"""WITH {Q_SQL.replace('q AS', 'kq AS').replace('FROM q)', 'FROM kq)')}, {hits_sql('documents', 'doc_id', 'text')}, {E_SQL},
+F_SQL = f"""WITH {Q_SQL.replace('q AS', 'kq AS').replace('FROM q)', 'FROM kq)')}, {scored_sql('documents')}, {E_SQL},
 se AS (SELECT vec_id AS doc_id, 1 - distance AS score, CAST(row_number() OVER (ORDER BY distance, vec_id) AS INTEGER) AS rank FROM (SELECT vec_id, {COS} AS distance FROM embeddings, q) QUALIFY rank <= 20),
 kw AS (SELECT doc_id, s / (s + 1) AS score, CAST(row_number() OVER (ORDER BY round(s, 9) DESC, doc_id) AS INTEGER) AS rank FROM sc QUALIFY rank <= 20)"""
 
@@ -323,7 +403,7 @@ kw AS (SELECT doc_id, s / (s + 1) AS score, CAST(row_number() OVER (ORDER BY rou
 def two_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e, q = vectors(spark, sf_dir)
     semantic = vector.nearest(e, q, K, "vec_id").select(F.col("vec_id").alias("doc_id"), (1 - F.col("distance")).alias("score"), "rank")
-    words = keyword.top(doc_scores(spark, sf_dir), "s", "doc_id", K).select("doc_id", keyword.squashed(F.col("s")).alias("score"), "rank")
+    words = top_documents(spark, sf_dir).select("doc_id", keyword.squashed(F.col("s")).alias("score"), "rank")
     return semantic, words
 
 
