@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm.common import Scratch
-from siftlake.llm.packing import word_cache
+from siftlake.llm.packing import vocabulary_size, word_cache
 
 #: Bins that are open at once; items of a task, at least and at most; how much fewer tasks each round has.
 OPEN, LEAST_ITEMS, MOST_ITEMS, FEWER = 512, 8192, 1 << 20, 8
@@ -99,17 +99,17 @@ def fitted(length: int, last: bool, most: int = OPEN) -> Callable[[Iterator[pa.R
 
 
 def tokenised(docs: DataFrame, tokenizer: str, length: int, end_id: int | None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """id, first (the number of its first piece, counted through all documents), n_tokens and ids (little-endian unsigned 32-bit numbers) of every row."""
+    """id, first (the number of its first piece, counted through all documents), n_tokens and ids (little-endian bytes of the tokenizer's width) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, at = word_cache(tokenizer), TaskContext.get().partitionId() << 33
+        end = b"" if end_id is None else np.array([end_id], cache.dtype).tobytes()
         for big in batches:
             for lo in range(0, big.num_rows, 256):
                 b = big.slice(lo, 256)
-                ids = [np.frombuffer(x, cache.dtype).astype("<u4").tobytes() + end for x in cache.ids(b.column(text).to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
+                ids = [x + end for x in cache.ids(b.column(text).to_pylist())]
+                n = np.array([len(x) // cache.dtype.itemsize for x in ids], np.int64)
                 pieces = (n + length - 1) // length
                 first = at + np.cumsum(pieces) - pieces
                 at += int(pieces.sum())
@@ -136,9 +136,22 @@ def binned(items: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     return out
 
 
+def widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column's 16-bit numbers as 32-bit ones: half as much is written and shuffled before."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = b.column(b.num_columns - 1)
+        _, offsets, data = ids.buffers()
+        at = np.frombuffer(offsets, np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
+        raw = np.frombuffer(data, "<u2", count=int(at[-1] - at[0]) // 2, offset=int(at[0])).astype("<u4")
+        wide = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer((at - at[0]) * 2), pa.py_buffer(raw)])
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], wide.cast(pa.binary())], names=b.schema.names)
+
+
 def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, end_id: int | None = 0, text: str = "text", id_col: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """The pieces: id, piece, start, length, sequence_id, offset and ids (little-endian unsigned 32-bit numbers). A sequence's pieces lie in it from offset 0 without gaps."""
-    scratch = scratch or Scratch(docs.sparkSession)
+    scratch, wide = scratch or Scratch(docs.sparkSession), 2 if vocabulary_size(tokenizer) <= 1 << 16 else 4
     toks = scratch.keep(tokenised(docs, tokenizer, length, end_id, text, id_col), "tokens", "snappy").where("n_tokens > 0")
     # The last piece's place among its document's, its number among all, and its size.
     whole = F.expr(f"(n_tokens - 1) div {length}")
@@ -148,11 +161,12 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, end_id: int | N
     start = F.col("piece") * length
     size = F.least(F.lit(length).cast("long"), F.col("n_tokens") - start)
     own = (F.col("piece") < F.col("whole")) | F.col("bin").isNull()
-    return met.select(
+    out = met.select(
         id_col, F.col("piece").cast("int").alias("piece"), start.alias("start"), size.alias("length"),
         F.when(own, F.col("first") + F.col("piece")).otherwise(F.col("bin")).alias("sequence_id"), F.when(own, F.lit(0).cast("long")).otherwise(F.col("place")).alias("offset"),
-        F.substring("ids", (start * 4 + 1).cast("int"), (size * 4).cast("int")).alias("ids"),
+        F.substring("ids", (start * wide + 1).cast("int"), (size * wide).cast("int")).alias("ids"),
     )
+    return out if wide == 4 else out.mapInArrow(widened, out.schema)
 
 
 def sequences(pieces: DataFrame, length: int = 2048, pad_id: int = 0) -> DataFrame:

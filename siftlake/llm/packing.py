@@ -193,7 +193,7 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, end_id: int | N
     # A row number that holds in every later job, as it is written.
     toks = scratch.keep(tokenised(docs, tokenizer, end_id, text, id_col).withColumn("row", F.monotonically_increasing_id()), "tokens", "snappy")
     places = _places(toks.select("row", id_col, "curve", "n_tokens"), id_col, scratch)
-    wide = np.dtype("<u2" if _vocab_size(tokenizer) <= 1 << 16 else "<u4")
+    wide = np.dtype("<u2" if vocabulary_size(tokenizer) <= 1 << 16 else "<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -218,7 +218,7 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, end_id: int | N
     return placed.select(id_col, "n_tokens", "place", "ids").mapInArrow(cut, f"{id_col} {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
-def _vocab_size(path: str) -> int:
+def vocabulary_size(path: str) -> int:
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path).get_vocab_size()
