@@ -32,7 +32,7 @@ from siftlake.llm.common import Scratch, placed
 
 DEPTH = 4
 #: Words of a shard; words of a range; texts and keys of each in the sample.
-SHARD, RANGE, SAMPLE, KEYS = 2_000_000, 1_250_000, 2048, 64
+SHARD, RANGE, SAMPLE, KEYS = 1_250_000, 1_250_000, 2048, 64
 #: Bytes between words, and bytes between pieces.
 GAPS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 
