@@ -63,3 +63,9 @@ def page_pieces(text: Column, first: Column, offset: Column, last: Column, lengt
     one = lambda p: F.when(p == first, F.substring(text, 1, F.get(lengths, p - 1) - offset)).otherwise(F.substring(text, before(p) + 1, F.get(lengths, p - 1)))
     pieces = F.transform(F.sequence(first, last), lambda p: F.struct(p.alias("page"), one(p).alias("piece")))
     return F.when(first == last, F.array(F.struct(first.alias("page"), text.alias("piece")))).otherwise(pieces)
+
+
+def typed(value: Column, kind: Column) -> list[Column]:
+    """int_value, float_value and text_value: the one of its declared type is set if the value fits it; an unknown type is an error."""
+    known = F.when(kind.isin("int", "float", "text"), value).otherwise(F.raise_error(F.concat(F.lit("unknown type "), kind)).cast("string"))
+    return [F.when(kind == "int", known.try_cast("long")).alias("int_value"), F.when(kind == "float", known.try_cast("double")).alias("float_value"), F.when(~F.coalesce(kind.isin("int", "float"), F.lit(False)), known).alias("text_value")]

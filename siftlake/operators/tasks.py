@@ -1,14 +1,17 @@
-"""Plans of tasks that depend on each other: levels, readiness, dangling references."""
+"""Tasks that depend on each other: levels, readiness, dangling references. A graph is a table of any size: tasks with their ids and what they need."""
 
 from __future__ import annotations
 
-import pandas as pd
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftlake.sources.tables import shared_folder
+
 
-def edges(tasks: DataFrame) -> DataFrame:
-    return tasks.select("task_id", F.explode("depends_on").alias("needs"))
+def edges(tasks: DataFrame, key: list[str] = []) -> DataFrame:
+    return tasks.select(*key, "task_id", F.explode("depends_on").alias("needs"))
 
 
 def dangling(tasks: DataFrame) -> DataFrame:
@@ -21,43 +24,34 @@ def ready(tasks: DataFrame, done: DataFrame) -> DataFrame:
     return tasks.join(done.select("task_id"), "task_id", "left_anti").join(open_, "task_id", "left_anti").select("task_id")
 
 
-def _levels(ids: list, needs: list[list]) -> list[int | None]:
-    """Longest way from a task without needs; none on a cycle or behind one. Needs that no task has do not count."""
-    known = {i: k for k, i in enumerate(ids)}
-    left = [{known[n] for n in ns if n in known} for ns in needs]
-    after: list[list[int]] = [[] for _ in ids]
-    for k, ns in enumerate(left):
-        for n in ns:
-            after[n].append(k)
-    level: list[int | None] = [None] * len(ids)
-    free = [k for k, ns in enumerate(left) if not ns]
-    for k in free:
-        level[k] = 0
-    while free:
-        k = free.pop()
-        for j in after[k]:
-            level[j] = max(level[j] or 0, level[k] + 1)
-            left[j].discard(k)
-            if not left[j]:
-                free.append(j)
-    return [None if left[k] else v for k, v in enumerate(level)]
-
-
 def levels(tasks: DataFrame, plan: str | None = None) -> DataFrame:
-    """(plan,) task_id, level (0: needs nothing that is there; null: on a cycle or behind one), terminal (nothing needs it). A plan's few tasks are one group; chains may be of any length."""
-    key = [plan] if plan else []
-    kind = tasks.schema["task_id"].dataType.simpleString()
-    given = f"{plan} {tasks.schema[plan].dataType.simpleString()}, " if plan else ""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        needs = [list(x) if x is not None else [] for x in p.depends_on]
-        asked = {n for ns in needs for n in ns}
-        out = p[[*key, "task_id"]].copy()
-        out["level"] = pd.array(_levels(p.task_id.tolist(), needs), "Int32")
-        out["terminal"] = [i not in asked for i in p.task_id]
-        return out
-
-    return tasks.select(*key, "task_id", "depends_on").groupBy(*key).applyInPandas(run, f"{given}task_id {kind}, level int, terminal boolean")
+    """(plan,) task_id, level (0: needs nothing that is there; null: on a cycle or behind one), terminal (nothing needs it).
+
+    In rounds: tasks that wait for nothing are free, and what needs them waits for that many fewer. A round is one equi-join of the free tasks with the edges and one of the counts with the
+    tasks that still wait; its state is written, so that nothing is held in one place and a lost executor costs a task, not the rounds. A task is free in the round of its longest way, so
+    there are as many rounds as levels; what never gets free is on a cycle or behind one. Rows of one id are one task; needs that no task has do not count.
+    """
+    spark = tasks.sparkSession
+    ids = [*([plan] if plan else []), "task_id"]
+    at = f"{shared_folder(spark)}/levels-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{at}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
+
+    known = tasks.select(*ids).distinct()
+    needs = known.withColumnRenamed("task_id", "needs")
+    all_edges = kept(edges(tasks, ids[:-1]).distinct().join(needs, needs.columns, "left_semi").select(*ids, "needs"), "edges")
+    state = kept(known.join(all_edges.groupBy(*ids).agg(F.count("*").alias("left")), ids, "left").select(*ids, F.coalesce("left", F.lit(0).cast("long")).alias("left")), "state/round=0")
+    nth = 0
+    while not (free := state.where("left = 0").select(*ids)).isEmpty():
+        met = all_edges.join(free.withColumnRenamed("task_id", "needs"), needs.columns).groupBy(*ids).agg(F.count("*").alias("met"))
+        nth += 1
+        state = kept(state.where("left > 0").join(met, ids, "left").select(*ids, (F.col("left") - F.coalesce("met", F.lit(0))).alias("left")), f"state/round={nth}")
+    every = spark.read.schema(f"{', '.join(f'{c} {known.schema[c].dataType.simpleString()}' for c in ids)}, left long, round int").parquet(f"{at}/state")
+    level = every.where(f"left = 0 OR round = {nth}").select(*ids, F.when(F.col("left") == 0, F.col("round")).alias("level"))
+    asked = all_edges.select(*needs.columns).distinct().withColumnRenamed("needs", "task_id").withColumn("asked", F.lit(True))
+    return level.join(asked, ids, "left").select(*ids, "level", F.col("asked").isNull().alias("terminal"))
 
 
 def cycles(tasks: DataFrame) -> DataFrame:

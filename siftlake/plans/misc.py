@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
+from siftlake.functions import values as V
 from siftlake.operators import catalog, chat, evaluation, merging, tasks
 from siftlake.plans.registry import load, query, texts
 from siftlake.plans.search import D_SQL, chunks, documents
@@ -89,17 +90,14 @@ def profile_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").select("c_custkey", given(F.nullif("c_mktsegment", F.lit("BUILDING"))).alias("designation"), given(F.col("c_name")).alias("name"))
 
 
-PARAMS = (("top_k", "20", "int"), ("threshold", "0.5", "float"), ("label", "abc", "text"))
-
-
-@query("""SELECT name, CASE WHEN t = 'int' THEN CAST(TRY_CAST(v AS BIGINT) AS BIGINT) END AS int_value, CASE WHEN t = 'float' THEN TRY_CAST(v AS DOUBLE) END AS float_value, CASE WHEN t = 'text' THEN v END AS text_value
-FROM (VALUES ('top_k', '20', 'int'), ('threshold', '0.5', 'float'), ('label', 'abc', 'text')) x(name, v, t)""")
+@query("""WITH x AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'int' WHEN 1 THEN 'float' ELSE 'text' END AS t, CASE WHEN p_partkey % 20 = 0 THEN p_type WHEN p_partkey % 3 = 0 THEN p_size::VARCHAR WHEN p_partkey % 3 = 1 THEN p_size || '.5' ELSE p_brand END AS v FROM part)
+SELECT p_partkey, CASE WHEN t = 'int' THEN TRY_CAST(v AS BIGINT) END AS int_value, CASE WHEN t = 'float' THEN TRY_CAST(v AS DOUBLE) END AS float_value, CASE WHEN t = 'text' THEN v END AS text_value FROM x""")
 def typed_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Named values read by their declared types; an unknown type is an error."""
-    kind, v = F.col("data_type"), F.col("value")
-    known = F.when(kind.isin("int", "float", "text"), v).otherwise(F.raise_error(F.concat(F.lit("unknown type "), kind)).cast("string"))
-    rows = spark.createDataFrame(PARAMS, "name string, value string, data_type string").withColumn("value", known)
-    return rows.select("name", F.when(kind == "int", v.try_cast("long")).alias("int_value"), F.when(kind == "float", v.try_cast("double")).alias("float_value"), F.when(kind == "text", v).alias("text_value"))
+    """Values read by their declared types: what does not fit its type is null, an unknown type is an error. Here a part's size or brand, declared by its number."""
+    key = F.col("p_partkey")
+    kinds = F.when(key % 3 == 0, "int").when(key % 3 == 1, "float").otherwise("text")
+    given = F.when(key % 20 == 0, F.col("p_type")).when(key % 3 == 0, F.col("p_size").cast("string")).when(key % 3 == 1, F.concat(F.col("p_size").cast("string"), F.lit(".5"))).otherwise(F.col("p_brand"))
+    return load(spark, sf_dir, "part").select("p_partkey", *V.typed(given, kinds))
 
 
 ENDING = "CASE CAST(doc_id % 6 AS INTEGER) WHEN 0 THEN 'pdf' WHEN 1 THEN 'pptx' WHEN 2 THEN 'XLSX' WHEN 3 THEN 'csv' WHEN 4 THEN 'html' ELSE 'exe' END"
@@ -209,32 +207,35 @@ def eval_flag_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.flag_shares(rows, "hit", ["quality", "toxic"])
 
 
-PLAN = ((1, []), (2, []), (3, [1, 2]), (4, [3]), (5, [2, 9]), (6, [4, 3]), (7, [8]), (8, [7]))
-
-
-def plan(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, list(d)) for i, d in PLAN], "task_id int, depends_on array<int>")
+def plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tasks: each needs those of half and a third of its number, some also that of twice their number (a cycle) or one that is not there."""
+    o = F.col("o_orderkey")
+    needs = F.array(F.when(o > 0, F.expr("o_orderkey div 2")), F.when(o > 2, F.expr("o_orderkey div 3")), F.when((o > 0) & (o % 997 == 0), o * 2), F.when(o % 50 == 7, o + 1_000_000_000))
+    return load(spark, sf_dir, "orders").select(o.alias("task_id"), F.array_compact(needs).alias("depends_on"), "o_orderstatus")
 
 
-P_SQL = "p AS (SELECT * FROM (VALUES (1, []::INTEGER[]), (2, []), (3, [1, 2]), (4, [3]), (5, [2, 9]), (6, [4, 3]), (7, [8]), (8, [7])) v(task_id, needs)), e AS (SELECT task_id, unnest(needs) AS need FROM p)"
+P_SQL = """p AS (SELECT o_orderkey AS task_id, o_orderstatus, list_filter([CASE WHEN o_orderkey > 0 THEN o_orderkey // 2 END, CASE WHEN o_orderkey > 2 THEN o_orderkey // 3 END, CASE WHEN o_orderkey > 0 AND o_orderkey % 997 = 0 THEN o_orderkey * 2 END,
+ CASE WHEN o_orderkey % 50 = 7 THEN o_orderkey + 1000000000 END], lambda x: x IS NOT NULL) AS needs FROM orders), e AS (SELECT DISTINCT task_id, unnest(needs) AS need FROM p)"""
 
 
-@query(f"""WITH RECURSIVE {P_SQL}, k AS (SELECT e.* FROM e JOIN p ON e.need = p.task_id), c(a, b) AS (SELECT task_id, need FROM k UNION SELECT c.a, k.need FROM c JOIN k ON c.b = k.task_id),
-bad AS (SELECT a FROM c WHERE a = b UNION SELECT a FROM c WHERE b IN (SELECT a FROM c WHERE a = b)),
+@query(f"""WITH RECURSIVE {P_SQL}, k AS MATERIALIZED (SELECT e.* FROM e JOIN p ON e.need = p.task_id), c(a, b) AS (SELECT task_id, need FROM k UNION SELECT c.a, k.need FROM c JOIN k ON c.b = k.task_id),
+bad AS MATERIALIZED (SELECT a FROM c WHERE a = b UNION SELECT a FROM c WHERE b IN (SELECT a FROM c WHERE a = b)),
 w(task_id, level) AS (SELECT task_id, 0 FROM p WHERE task_id NOT IN (SELECT task_id FROM k) UNION SELECT k.task_id, w.level + 1 FROM w JOIN k ON k.need = w.task_id WHERE k.task_id NOT IN (SELECT a FROM bad))
 SELECT p.task_id, max(w.level) AS level, p.task_id NOT IN (SELECT need FROM e) AS terminal FROM p LEFT JOIN w USING (task_id) GROUP BY p.task_id""")
 def task_dag_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.levels(plan(spark))
+    return tasks.levels(plan(spark, sf_dir))
 
 
-@query(f"WITH {P_SQL} SELECT task_id FROM p WHERE task_id NOT IN (1, 2) AND list_has_all([1, 2], needs)")
+@query(f"WITH {P_SQL}, f AS (SELECT task_id FROM p WHERE o_orderstatus = 'F') SELECT task_id FROM p WHERE o_orderstatus <> 'F' AND task_id NOT IN (SELECT task_id FROM e WHERE need NOT IN (SELECT task_id FROM f))")
 def task_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.ready(plan(spark), plan(spark).where("task_id IN (1, 2)").select("task_id"))
+    """Finished orders are done."""
+    every = plan(spark, sf_dir)
+    return tasks.ready(every, every.where("o_orderstatus = 'F'").select("task_id"))
 
 
 @query(f"WITH {P_SQL} SELECT task_id, need AS needs FROM e WHERE need NOT IN (SELECT task_id FROM p)")
 def plan_dangling_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.dangling(plan(spark))
+    return tasks.dangling(plan(spark, sf_dir))
 
 
 def _folder(spark: SparkSession) -> str:

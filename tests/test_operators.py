@@ -258,12 +258,27 @@ def test_numbers_of_many_rows(spark, falling):
     assert merging.numbered(spark.createDataFrame([], "k long, s double"), "s", "k", "n").count() == 0
 
 
-def test_long_chains_and_cycles_of_tasks(spark):
-    chain = [(i, [i - 1] if i else []) for i in range(300)] + [(1000, [1001]), (1001, [1000]), (1002, [1001]), (1003, [77777])]
-    df = spark.createDataFrame(chain, "task_id int, depends_on array<int>")
-    got = {r.task_id: (r.level, r.terminal) for r in tasks.levels(df).collect()}
-    assert got[299] == (299, True) and got[150] == (150, False) and got[1003] == (0, True)
-    assert {r.task_id for r in tasks.cycles(df).collect()} == {1000, 1001, 1002}
+def plain_levels(needs):
+    """Longest ways; none on cycles and behind them."""
+    needs = {t: {n for n in ns if n in needs} for t, ns in needs.items()}
+    level = {}
+    while new := [t for t, ns in needs.items() if t not in level and ns <= level.keys()]:
+        level |= {t: 1 + max((level[n] for n in needs[t]), default=-1) for t in new}
+    return {t: (level.get(t), all(t not in ns for ns in needs.values())) for t in needs}
+
+
+def test_levels_of_task_graphs(spark):
+    rng = random.Random(9)
+    graph = {i: {rng.randrange(i) for _ in range(rng.randint(0, 2))} | {rng.randrange(3)} - {i} if i else set() for i in range(200)}
+    graph |= {i: {i - 1} if i > 300 else set() for i in range(300, 306)} | {1000: {1001}, 1001: {1000}, 1002: {1001}, 1003: {77777}, 1004: {1004}, 1005: {1002, 5}}
+    df = spark.createDataFrame([(t, sorted(ns)) for t, ns in graph.items()] + [(5, [2]), (1003, None)], "task_id int, depends_on array<int>")
+    graph[5] |= {2}
+    assert {r.task_id: (r.level, r.terminal) for r in tasks.levels(df).collect()} == plain_levels(graph)
+    assert {r.task_id for r in tasks.cycles(df).collect()} == {1000, 1001, 1002, 1004, 1005}
+    two = df.withColumn("p", F.lit("x")).unionAll(spark.createDataFrame([(1000, [], "y"), (7, [1000], "y")], "task_id int, depends_on array<int>, p string"))
+    got = {(r.p, r.task_id): r.level for r in tasks.levels(two, "p").where("task_id IN (7, 1000)").collect()}
+    assert got[("y", 1000)] == 0 and got[("y", 7)] == 1 and got[("x", 1000)] is None
+    assert tasks.levels(df.where("false")).count() == 0
 
 
 def test_highlight_takes_terms_as_they_are(spark):
