@@ -6,13 +6,14 @@ are judged by their template:
 * A path's segments are generalised where they vary: numbers, numbers with an ending, long hexadecimal ids, and the rare
   children (at most 1 / `max_children` of the pages each) of a node with more than `max_children` different ones become wildcards.
 * The templates' prefixes are the nodes of the host's tree. Each node counts labelled pages and bad ones.
-* Sibling branches that are like each other are merged: in the order of their shares of bad pages, neighbours whose shares differ by at most `z` standard errors
-  (of two proportions, pooled) share one count. Their subtrees are judged by it on the way down. Branches without labelled pages are merged with none.
+* Sibling branches that are like each other are merged: in the order of their shares of bad pages, a branch joins the group before it if its share differs from that of all the group's pages
+  together by at most `z` standard errors (of two proportions, pooled), so that no row of small steps leads from good branches to bad ones. A group shares one count. Their
+  subtrees are judged by it on the way down. Branches without labelled pages are merged with none.
 * A template's badness is smoothed along its path from the root, each node being shrunk towards the one above it by
   `strength` pseudo-pages; the root is shrunk towards the corpus. Templates that are more likely bad than
   `max_bad` are blocked.
 
-Every count is a groupBy with map-side sums, so a host with a third of all pages is no hot key; windows run over the children of one node, which are at most some 2 * `max_children`; the last join reads one row for
+Every count is a groupBy with map-side sums, so a host with a third of all pages is no hot key; the children of one node, at most some 2 * `max_children`, are folded in one row; the last join reads one row for
 each generalised path, and adaptive execution splits a path that holds many pages.
 
 Ties: of rules of one length the later text in order wins; branches of equal share are ordered by name; a badness of exactly max_bad is allowed; very long urls are one row's work. Defined cases: null or scheme-less urls have an empty host and path; they share one template. Null page ids and
@@ -22,7 +23,7 @@ an empty table gives an empty result; extra columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm.common import Scratch
@@ -62,6 +63,16 @@ def generalised(path: Column) -> Column:
     return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), one)
 
 
+def _grouped(done: Column, x: Column, z: float) -> Column:
+    """The groups so far (n, bad, nodes) with one more branch (rate, node, n, bad): in the last group, or in one of its own."""
+    last, own = F.element_at(done, -1), F.array(x["node"])
+    both = (last["bad"] + x["bad"]) / (last["n"] + x["n"])
+    apart = F.abs(x["rate"] - last["bad"] / last["n"]) > z * F.sqrt(both * (1 - both) * (1 / x["n"] + 1 / last["n"]))
+    alone = F.struct(x["n"].alias("n"), x["bad"].alias("bad"), own.alias("nodes"))
+    pooled = F.struct((last["n"] + x["n"]).alias("n"), (last["bad"] + x["bad"]).alias("bad"), F.concat(last["nodes"], own).alias("nodes"))
+    return F.when(F.size(done) == 0, F.array(alone)).when(apart, F.concat(done, F.array(alone))).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(pooled)))
+
+
 def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Rules, *, max_children: int = 50, z: float = 1.96, strength: float = 4.0, max_bad: float = 0.5, url: str = "url", id_col: str = "page_id", scratch: Scratch | None = None) -> DataFrame:
     """id_col, host, path, rule, verdict for every page. labelled: url, bad (0 or 1)."""
     scratch = scratch or Scratch(pages.sparkSession)
@@ -90,15 +101,11 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, rules: Rules, *, max_child
     prefixes = F.transform(F.sequence(F.lit(0), F.size("t")), lambda i: F.struct(i.alias("depth"), F.array_join(F.slice("t", F.lit(1), i), "/").alias("node"), F.array_join(F.slice("t", F.lit(1), F.greatest(i - 1, F.lit(0))), "/").alias("parent")))
     nodes = named.select("host", "n", "bad", F.explode(prefixes).alias("p")).groupBy("host", F.col("p.depth").alias("depth"), F.col("p.node").alias("node"), F.col("p.parent").alias("parent")).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     nodes = scratch.keep(nodes, "nodes")
-    n, bad, rate = F.col("n"), F.col("bad"), F.col("rate")
-    siblings = Window.partitionBy("host", "depth", "parent").orderBy("rate", "node")
-    some = nodes.where("n > 0").withColumn("rate", bad / n)
-    beside = some.withColumns({"pn": F.lag("n").over(siblings), "pbad": F.lag("bad").over(siblings), "prate": F.lag("rate").over(siblings)})
-    both = (bad + F.col("pbad")) / (n + F.col("pn"))
-    apart = F.col("pn").isNull() | (F.abs(rate - F.col("prate")) > z * F.sqrt(both * (1 - both) * (1 / n + 1 / F.col("pn"))))
-    grouped = beside.withColumn("apart", apart.cast("int")).withColumn("group", F.sum("apart").over(siblings.rowsBetween(Window.unboundedPreceding, 0)))
-    alike = Window.partitionBy("host", "depth", "parent", "group")
-    own = grouped.select("host", "depth", "node", F.sum("n").over(alike).alias("n"), F.sum("bad").over(alike).alias("bad")).union(nodes.where("n = 0").select("host", "depth", "node", "n", "bad"))
+    n, bad = F.col("n"), F.col("bad")
+    some = nodes.where("n > 0").groupBy("host", "depth", "parent").agg(F.array_sort(F.collect_list(F.struct((bad / n).alias("rate"), "node", "n", "bad"))).alias("children"))
+    groups = F.aggregate("children", F.expr("CAST(array() AS array<struct<n: double, bad: double, nodes: array<string>>>)"), lambda done, x: _grouped(done, x, z))
+    merged = some.select("host", "depth", F.explode(groups).alias("g")).select("host", "depth", F.explode("g.nodes").alias("node"), "g.n", "g.bad")
+    own = merged.union(nodes.where("n = 0").select("host", "depth", "node", "n", "bad"))
 
     total = nodes.where("depth = 0").agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
     prior = F.lit((total[1] + 1) / (total[0] + 2))
