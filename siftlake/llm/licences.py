@@ -5,18 +5,18 @@ compared of a text are its lines, and its blocks of lines for templates of sever
 at least `percent` / 100.
 
 * Lines: every line against every template.
-* Blocks (`licence_blocks`): for a template of w words, the text's windows of w words that begin at an anchor, a bigram that is rare among
-  templates, shifted by its place in the template. Windows run over line ends, so a notice that is wrapped anew is found, wherever in a text it stands, also within a longer line.
+* Blocks (`licence_blocks`): for a template of w words, every window of w words of the text (the whole text, if it is shorter). Windows run over line ends, so a notice that is
+  wrapped anew is found, wherever in a text it stands, also within a longer line.
 
 Sizes prune: a piece of n bigrams can only reach a template of m bigrams if n lies between m * p / (200 - p) and
-m * (200 - p) / p; it must also share enough bigrams that one of any few of them is present, so only texts that
-hold the rarest words of the templates are split at all. Both tests are exact for lines: no line that would match is lost. A block is lost only if all of its
-template's anchors (ANCHORS, spread over it) are edited.
+m * (200 - p) / p; it must also share c = m * p / (200 - p) of them, so that one of any m - c + 1 is present, and only texts that
+hold one of the rarest words of the templates are looked at. A window with c common bigrams holds c places of the template's bigrams within its words, so the windows to be
+compared are those round any c successive places that lie close enough. All tests are exact: nothing that would match is lost.
 
 Defined cases: null and empty texts have no line; lines of one word have no bigram and match nothing; repeated lines
 and rows match each; null ids are carried; an empty table gives an empty result; a tie between templates reports each; a very long text is one row's work (lines are
 rows of their own; its words are one array). Extra columns are not read.
-Nothing is shuffled but a text's own windows (licence_blocks keeps the best window of a text and template); templates are a parameter of bounded size that goes into the plan as literals.
+Nothing is shuffled: a text's windows are compared within its row, and only the best one of each template leaves it. Templates are a parameter of bounded size that goes into the plan as literals.
 """
 
 from __future__ import annotations
@@ -71,9 +71,6 @@ BLOCKS = {
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
 }
-#: Bigrams of a block template that windows are laid at, spread over it.
-ANCHORS = 8
-
 
 def words_of(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
@@ -93,7 +90,7 @@ def needed_words(templates: dict[str, str], percent: int) -> list[str]:
     out = set()
     for t in templates.values():
         b = bigrams_of(t)
-        common = -(-len(b) * percent // (200 - percent))
+        common = least_common(len(b), percent)
         ranked = sorted(b, key=lambda x: (max(map(len, x.split())), x), reverse=True)
         out |= {max(x.split(), key=lambda w: (len(w), w)) for x in ranked[: len(b) - common + 1]}
     return sorted(out)
@@ -119,51 +116,45 @@ def licence_lines(docs: DataFrame, templates: dict[str, str] | None = None, *, p
     return scored.select(id_col, "line_no", "x.licence", F.col("x.n_common").cast("long").alias("n_common"), F.col("n_line").cast("long").alias("n_line"), F.col("x.n_template").cast("long").alias("n_template"), F.round(2 * F.col("x.n_common") / (F.col("n_line") + F.col("x.n_template")), 6).alias("dice"))
 
 
-def anchors_of(templates: dict[str, str]) -> dict[str, list[tuple[str, int]]]:
-    """Of every template some (bigram, its place among the template's words): in each of ANCHORS equal stretches the bigram in fewest templates, then the longest. Only a bigram that stands once in its template can be one."""
-    held: dict[str, int] = {}
-    for t in templates.values():
-        for b in bigrams_of(t):
-            held[b] = held.get(b, 0) + 1
-    out = {}
-    for name, t in templates.items():
-        w = words_of(t)
-        pairs = [f"{a} {b}" for a, b in zip(w, w[1:])]
-        once = [(b, i) for i, b in enumerate(pairs) if pairs.count(b) == 1]
-        size = -(-len(once) // ANCHORS) if once else 1
-        out[name] = [min(once[lo : lo + size], key=lambda x: (held[x[0]], -len(x[0]), x[1])) for lo in range(0, len(once), size)]
-    return out
+def least_common(n_template: int, percent: int) -> int:
+    """So many bigrams a piece that matches has in common with the template."""
+    return -(-n_template * percent // (200 - percent))
+
+
+def best_window(b: Column, n_words: Column, licence: str, template: str, percent: int) -> Column:
+    """struct(dice, first, licence, n_common, n_window, n_template) of the text's best window, or null. b: the text's bigrams, in order; first: less the place of its first word."""
+    grams, w = bigrams_of(template), len(words_of(template))
+    m, c, known = len(grams), least_common(len(grams), percent), F.array(*map(F.lit, grams))
+    at = F.array_compact(F.transform(b, lambda x, i: F.when(x.isin(grams), i)))
+
+    def of(places: Column) -> Column:
+        """Starts of windows that hold c successive places: from the last one's less the window's length to the first one's."""
+        last = F.greatest(n_words - w, F.lit(0))
+        span = lambda i: F.struct(F.greatest(F.get(places, i + (c - 1)) - (w - 2), F.lit(0)).alias("lo"), F.least(F.get(places, i), last).alias("hi"))
+        none = F.array().cast("array<int>")
+        each = F.when(F.size(places) >= c, F.transform(F.sequence(F.lit(0), F.size(places) - c), span))
+        starts = F.array_distinct(F.flatten(F.transform(each, lambda x: F.when(x["lo"] <= x["hi"], F.sequence(x["lo"], x["hi"])).otherwise(none))))
+        held = F.transform(starts, lambda s: F.struct(s.alias("s"), F.array_distinct(F.slice(b, s + 1, F.lit(w - 1))).alias("win")))
+        sized = F.transform(held, lambda x: F.struct(x["s"].alias("s"), F.size(x["win"]).alias("n"), F.size(F.array_intersect(x["win"], known)).alias("common")))
+        good = F.filter(sized, lambda x: x["common"] * 200 >= (x["n"] + m) * percent)
+        dice = lambda x: F.round(2 * x["common"] / (x["n"] + m), 6)
+        return F.array_max(F.transform(good, lambda x: F.struct(dice(x).alias("dice"), (-x["s"]).alias("first"), F.lit(licence).alias("licence"), x["common"].cast("long").alias("n_common"), x["n"].cast("long").alias("n_window"), F.lit(m).cast("long").alias("n_template"))))
+
+    return F.get(F.transform(F.array(at), of), F.lit(0))
 
 
 def licence_blocks(docs: DataFrame, templates: dict[str, str] | None = None, *, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """id_col, licence, word_no (where the window begins, from 0), n_common, n_window, n_template, dice: of each text and template the best window of the template's
     number of words, if it carries the licence; ties to the first window. Windows run over line ends."""
-    templates = BLOCKS if templates is None else templates
-    anchors, grams = anchors_of(templates), {k: bigrams_of(t) for k, t in templates.items()}
-    hint = "(?i)" + "|".join(sorted({"[^A-Za-z0-9]+".join(b.split()) for a in anchors.values() for b, _ in a}))
-    some = docs.where(F.col(text).rlike(hint)).select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)).alias("_w"))
-    some = some.withColumn("_n", F.size("_w")).withColumn("_b", F.zip_with(F.slice("_w", F.lit(1), F.greatest(F.col("_n") - 1, F.lit(0))), F.slice("_w", F.lit(2), F.greatest(F.col("_n") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
-    # Places of any anchor, each told with the templates and the shift it stands for.
-    table = {}
-    for name, a in anchors.items():
-        for b, at in a:
-            table.setdefault(b, []).append((name, at))
-    known = F.create_map(*[x for b, v in table.items() for x in (F.lit(b), F.array(*[F.struct(F.lit(n).alias("licence"), F.lit(at).alias("at")) for n, at in v]))])
-    hits = F.filter(F.transform("_b", lambda b, i: F.struct(i.alias("i"), b.alias("b"))), lambda x: x["b"].isin(list(table)))
-    begins = F.array_distinct(F.flatten(F.transform(hits, lambda x: F.transform(F.element_at(known, x["b"]), lambda v: F.struct(v["licence"].alias("licence"), F.greatest(x["i"] - v["at"], F.lit(0)).alias("word_no"))))))
-    rows = some.select("_row", "_id", "_b", F.explode(begins).alias("x")).select("_row", "_id", "x.licence", "x.word_no", "_b")
-    choose = lambda value: F.element_at(F.create_map(*[x for k in templates for x in (F.lit(k), value(k))]), F.col("licence"))
-    window = rows.withColumn("_win", F.array_distinct(F.slice("_b", F.col("word_no") + 1, choose(lambda k: F.lit(len(words_of(templates[k])) - 1))))).drop("_b")
-    size = choose(lambda k: F.lit(len(grams[k])))
-    fits = window.withColumn("n_template", size).where((F.size("_win") * (200 - percent) >= F.col("n_template") * percent))
-    common = F.lit(0)
-    for k, g in grams.items():
-        common = F.when(F.col("licence") == k, F.size(F.array_intersect("_win", F.array(*map(F.lit, g))))).otherwise(common)
-    scored = fits.select("_row", "_id", "licence", "word_no", common.cast("long").alias("n_common"), F.size("_win").cast("long").alias("n_window"), F.col("n_template").cast("long").alias("n_template"))
-    found = scored.where(F.col("n_common") * 200 >= (F.col("n_window") + F.col("n_template")) * percent)
-    dice = 2 * F.col("n_common") / (F.col("n_window") + F.col("n_template"))
-    best = found.withColumn("dice", F.round(dice, 6)).groupBy("_row", "licence").agg(F.max_by(F.struct("_id", "word_no", "n_common", "n_window", "n_template", "dice"), F.struct("dice", -F.col("word_no"))).alias("x"))
-    return best.select(F.col("x._id").alias(id_col), "licence", "x.word_no", "x.n_common", "x.n_window", "x.n_template", "x.dice")
+    templates = {k: t for k, t in (BLOCKS if templates is None else templates).items() if len(words_of(t)) > 1}
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    needed = needed_words(templates, percent)
+    some = docs.select(F.col(id_col).alias("_id"), words.alias("_w")).where(F.exists("_w", lambda x: x.isin(needed))).withColumn("_n", F.size("_w"))
+    tail = F.greatest(F.col("_n") - 1, F.lit(0))
+    some = some.withColumn("_b", F.zip_with(F.slice("_w", F.lit(1), tail), F.slice("_w", F.lit(2), tail), lambda a, b: F.concat_ws(" ", a, b)))
+    every = F.array(*[best_window(F.col("_b"), F.col("_n"), k, t, percent) for k, t in templates.items()])
+    best = some.select("_id", F.explode(F.array_compact(every)).alias("x"))
+    return best.select(F.col("_id").alias(id_col), "x.licence", (-F.col("x.first")).alias("word_no"), "x.n_common", "x.n_window", "x.n_template", "x.dice")
 
 
 def licences_found(docs: DataFrame, templates: dict[str, str] | None = None, blocks: dict[str, str] | None = None, *, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -105,11 +105,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op3_sql() -> str:
-    from siftlake.llm.licences import BLOCKS, TEMPLATES, anchors_of
+    from siftlake.llm.licences import BLOCKS, TEMPLATES
 
     values = ", ".join(f"('{k}', '{t}')" for k, t in TEMPLATES.items())
     wide = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in BLOCKS.items())
-    marks = ", ".join(f"('{k}', '{b}', {at})" for k, a in anchors_of(BLOCKS).items() for b, at in a)
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return f"""
 WITH v(licence, t) AS (VALUES {values}),
@@ -117,13 +116,14 @@ tp AS (SELECT licence, {grams} AS b FROM (SELECT licence, regexp_extract_all(low
 ls AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents),
 lb AS (SELECT doc_id, line_no, {grams} AS b FROM (SELECT doc_id, line_no, regexp_extract_all(lower(line), '[a-z0-9]+') AS w FROM ls) WHERE len(w) BETWEEN 2 AND 40),
 x AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, licence, CAST(len(list_intersect(lb.b, tp.b)) AS BIGINT) AS n_common, CAST(len(lb.b) AS BIGINT) AS n_line, CAST(len(tp.b) AS BIGINT) AS n_template FROM lb, tp),
-bv(licence, t) AS (VALUES {wide}), an(licence, gram, shift) AS (VALUES {marks}),
+bv(licence, t) AS (VALUES {wide}),
 bt AS (SELECT licence, {grams} AS b, len(w) AS words FROM (SELECT licence, regexp_extract_all(lower(t), '[a-z0-9]+') AS w FROM bv)),
-dw AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)),
-pl AS (SELECT DISTINCT d.doc_id, an.licence, greatest(d.i - 1 - an.shift, 0) AS word_no FROM (SELECT doc_id, unnest(g) AS gram, unnest(range(1, len(g) + 1)) AS i FROM dw) d JOIN an USING (gram)),
-wi AS (SELECT pl.*, bt.b AS tb, list_distinct(g[word_no + 1:word_no + words - 1]) AS wb FROM pl JOIN bt USING (licence) JOIN dw USING (doc_id)),
-bx AS (SELECT doc_id, licence, CAST(word_no AS INTEGER) AS place, CAST(len(list_intersect(wb, tb)) AS BIGINT) AS n_common, CAST(len(wb) AS BIGINT) AS n_piece, CAST(len(tb) AS BIGINT) AS n_template FROM wi),
-bb AS (SELECT *, row_number() OVER (PARTITION BY doc_id, licence ORDER BY n_common::DOUBLE / (n_piece + n_template) DESC, place) AS nth FROM bx WHERE n_common * 200 >= (n_piece + n_template) * 80)
+dw AS (SELECT id, doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)),
+ah AS (SELECT d.id, t.licence FROM (SELECT id, unnest(g) AS gram FROM dw) d JOIN (SELECT licence, unnest(b) AS gram, len(b) AS m FROM bt) t USING (gram) GROUP BY d.id, t.licence, t.m HAVING count(DISTINCT gram) * 120 >= t.m * 80),
+pl AS (SELECT id, doc_id, g, bt.licence, bt.b AS tb, bt.words, unnest(range(0, greatest(len(g) + 1 - bt.words, 0) + 1)) AS word_no FROM ah JOIN dw USING (id) JOIN bt USING (licence)),
+wi AS (SELECT id, doc_id, licence, word_no, tb, list_distinct(g[word_no + 1:word_no + words - 1]) AS wb FROM pl),
+bx AS (SELECT id, doc_id, licence, CAST(word_no AS INTEGER) AS place, CAST(len(list_intersect(wb, tb)) AS BIGINT) AS n_common, CAST(len(wb) AS BIGINT) AS n_piece, CAST(len(tb) AS BIGINT) AS n_template FROM wi),
+bb AS (SELECT *, row_number() OVER (PARTITION BY id, licence ORDER BY round(2.0::DOUBLE * n_common / (n_piece + n_template), 6) DESC, place) AS nth FROM bx WHERE n_common * 200 >= (n_piece + n_template) * 80)
 SELECT doc_id, 'line' AS kind, line_no AS place, licence, n_common, n_line AS n_piece, n_template, round(2.0::DOUBLE * n_common / (n_line + n_template), 6) AS dice FROM x WHERE n_common * 200 >= (n_line + n_template) * 80
 UNION ALL SELECT doc_id, 'block', place, licence, n_common, n_piece, n_template, round(2.0::DOUBLE * n_common / (n_piece + n_template), 6) FROM bb WHERE nth = 1
 """
@@ -176,10 +176,12 @@ px AS (SELECT host, coalesce(array_to_string(t, '/'), '') AS template, n, bad, i
        FROM nm, unnest(range(0, len(t) + 1)) AS r(i)),
 nd AS (SELECT host, depth, node, parent, sum(n) AS n, sum(bad) AS bad FROM px GROUP BY ALL),
 g1 AS (SELECT *, bad / n AS r FROM nd WHERE n > 0),
-g2 AS (SELECT *, lag(n) OVER v AS pn, lag(bad) OVER v AS pb, lag(r) OVER v AS rr FROM g1 WINDOW v AS (PARTITION BY host, depth, parent ORDER BY r, node)),
-g3 AS (SELECT *, CASE WHEN pn IS NULL OR abs(r - rr) > 1.96 * sqrt((bad + pb) / (n + pn) * (1 - (bad + pb) / (n + pn)) * (1 / n + 1 / pn)) THEN 1 ELSE 0 END AS new FROM g2),
-g4 AS (SELECT *, sum(new) OVER (PARTITION BY host, depth, parent ORDER BY r, node ROWS UNBOUNDED PRECEDING) AS grp FROM g3),
-ow AS (SELECT host, depth, node, sum(n) OVER v AS n, sum(bad) OVER v AS bad FROM g4 WINDOW v AS (PARTITION BY host, depth, parent, grp) UNION ALL SELECT host, depth, node, n, bad FROM nd WHERE n = 0),
+kd AS (SELECT host, depth, list({'gs': [{'n': n, 'bad': bad, 'nodes': [node]}]} ORDER BY r, node) AS l FROM g1 GROUP BY host, depth, parent),
+fd AS (SELECT host, depth, unnest(list_reduce(l, lambda a, x: CASE WHEN abs(x.gs[1].bad / x.gs[1].n - a.gs[-1].bad / a.gs[-1].n)
+         > 1.96 * sqrt((x.gs[1].bad + a.gs[-1].bad) / (x.gs[1].n + a.gs[-1].n) * (1 - (x.gs[1].bad + a.gs[-1].bad) / (x.gs[1].n + a.gs[-1].n)) * (1 / x.gs[1].n + 1 / a.gs[-1].n))
+       THEN {'gs': list_concat(a.gs, x.gs)}
+       ELSE {'gs': list_append(a.gs[1:len(a.gs) - 1], {'n': a.gs[-1].n + x.gs[1].n, 'bad': a.gs[-1].bad + x.gs[1].bad, 'nodes': list_concat(a.gs[-1].nodes, x.gs[1].nodes)})} END).gs) AS g FROM kd),
+ow AS (SELECT host, depth, unnest(g.nodes) AS node, g.n, g.bad FROM fd UNION ALL SELECT host, depth, node, n, bad FROM nd WHERE n = 0),
 pr AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS p FROM nd WHERE depth = 0),
 ju AS (SELECT q.host, q.template, list_reduce(list({'n': ow.n, 'bad': ow.bad} ORDER BY q.depth), lambda a, x: {'n': 0.0::DOUBLE, 'bad': (x.bad + 4 * a.bad) / (x.n + 4)}, {'n': 0.0::DOUBLE, 'bad': (SELECT p FROM pr)}).bad > 0.5 AS reject
        FROM (SELECT DISTINCT host, template, depth, node FROM px) q JOIN ow ON q.host = ow.host AND q.depth = ow.depth AND q.node = ow.node GROUP BY q.host, q.template),

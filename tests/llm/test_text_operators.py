@@ -163,6 +163,44 @@ def test_licences_on_odd_rows(odd):
     assert licences.licence_lines(odd.where("false")).count() == 0
 
 
+def plain_blocks(text, percent=80):
+    """Every window of every template."""
+    words, out = licences.words_of(text), {}
+    for name, t in licences.BLOCKS.items():
+        grams, w = set(licences.bigrams_of(t)), len(licences.words_of(t))
+        for s in range(max(len(words) - w, 0) + 1):
+            win = set(licences.bigrams_of(" ".join(words[s : s + w])))
+            common = len(win & grams)
+            if 200 * common >= percent * (len(win) + len(grams)):
+                x = (round(2 * common / (len(win) + len(grams)), 6), -s, common, len(win), len(grams))
+                out[name] = max(out.get(name, x), x)
+    return {(k, -s, c, n, m, d) for k, (d, s, c, n, m) in out.items()}
+
+
+def test_edited_licences_are_found_like_by_every_window(spark):
+    rng = random.Random(17)
+    docs = []
+    for name, t in licences.BLOCKS.items():
+        words = t.split()
+        for step in (2, 7, 9, 11, 14, 20):  # an edit every so many words, from lost to hardly touched
+            edited = ["edited" if i % step == step // 2 else w for i, w in enumerate(words)]
+            docs.append(" ".join(edited))
+        for _ in range(6):
+            cut = [w for w in words if rng.random() > 0.06]
+            for i in rng.sample(range(len(cut)), rng.randint(0, len(cut) // 9)):
+                cut[i] = rng.choice(["other", "the", "software", "license"])
+            before, after = (" ".join(rng.choice(["x", "the", "of", *words]) for _ in range(rng.randint(0, 60))) for _ in range(2))
+            docs.append(f"{before} {' '.join(cut)} {after}")
+    docs += [" ".join(licences.BLOCKS.values()), " ".join(licences.BLOCKS["ISC"].split()[:40]), licences.BLOCKS["MIT"] * 2, "the software " * 400]
+    got = {}
+    for r in licences.licence_blocks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)).collect():
+        got.setdefault(r.doc_id, set()).add((r.licence, r.word_no, r.n_common, r.n_window, r.n_template, r.dice))
+    want = {i: x for i, t in enumerate(docs) if (x := plain_blocks(t))}
+    assert got == want and 20 < len(want) < len(docs)
+    # One edit every nine words leaves Dice near 0.8 and more: found, wherever the edits stand.
+    assert all(any(x[0] == name for x in got.get(6 * 2 * i + 4, ())) for i, name in enumerate(licences.BLOCKS))
+
+
 def test_licence_blocks_over_line_ends(spark):
     rng = random.Random(8)
     filler = lambda n: " ".join(rng.choice(["sea", "wind", "harbour", "stone", "quiet", "boat"]) for _ in range(n))
@@ -344,6 +382,36 @@ def test_like_branches_are_merged(spark):
     assert {v for u, v in got.items() if any(f"/{x}/" in u for x in "def")} == {"allow"}
 
 
+def test_no_chain_of_small_steps_saves_a_bad_branch(spark):
+    """Eleven branches whose shares of bad pages rise by tenths: the worst is not judged by the count of all."""
+    rows = [(f"https://h.example/b{i:02d}/x{j}", int(j < 2 * i)) for i in range(11) for j in range(20)]
+    labelled = spark.createDataFrame(rows, "url string, bad int")
+    pages = spark.createDataFrame([(i, f"https://h.example/b{i:02d}/x{j}") for i in range(11) for j in range(20)], "page_id long, url string")
+    got = {}
+    for r in url_filter.judge_urls(pages, labelled, ()).collect():
+        got.setdefault(r.page_id, set()).add(r.verdict)
+    assert got[10] == {"block"} and got[0] == {"allow"} and got[1] == {"allow"}
+
+
+def test_groups_are_pooled_counts(spark):
+    """Against a plain walk over the siblings."""
+    rng = random.Random(6)
+    counts = [(f"n{i}", rng.randint(1, 30)) for i in range(40)]
+    kids = sorted((bad / n, name, float(n), float(bad)) for name, n in counts for bad in [rng.randint(0, n)])
+    groups = []
+    for rate, name, n, bad in kids:
+        if groups:
+            gn, gb, _ = groups[-1]
+            p = (gb + bad) / (gn + n)
+            if not abs(rate - gb / gn) > 1.96 * (p * (1 - p) * (1 / n + 1 / gn)) ** 0.5:
+                groups[-1] = (gn + n, gb + bad, groups[-1][2] + [name])
+                continue
+        groups.append((n, bad, [name]))
+    df = spark.createDataFrame([(kids,)], "c array<struct<rate: double, node: string, n: double, bad: double>>")
+    fold = F.aggregate("c", F.expr("CAST(array() AS array<struct<n: double, bad: double, nodes: array<string>>>)"), lambda done, x: url_filter._grouped(done, x, 1.96))
+    assert [tuple(g) for g in df.select(fold.alias("g")).first().g] == groups and len(groups) > 2
+
+
 def test_equal_rules_and_shares(spark):
     rules = (("block", "h.net/a"), ("allow", "t.net/a"), ("allow", "net/"))
     pages = spark.createDataFrame([(1, "x://h.net/a"), (1, "x://h.net/a"), (2, "x://t.net/a/b"), (3, "x://net/"), (4, "x://k.org/" + "y/" * 5000), (5, "x://k.org/p"), (6, "x://k.org/q")], "page_id long, url string")
