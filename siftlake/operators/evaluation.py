@@ -9,6 +9,8 @@ from siftlake.functions.text import bound
 
 
 WINDOW = 8
+#: Questions whose hashes become part of the plan; more meet the texts' in a join.
+FEW = 4096
 
 
 def contained(questions: DataFrame, docs: DataFrame, item: str = "item_id") -> DataFrame:
@@ -28,8 +30,10 @@ def contained(questions: DataFrame, docs: DataFrame, item: str = "item_id") -> D
         windows = F.when(F.size(w) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(w) - WINDOW + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(WINDOW)), " ")))).otherwise(F.array().cast("array<bigint>"))
         return F.concat(windows, F.transform(F.array_distinct(w), lambda x: F.xxhash64(x)))
 
-    # The split is bound once: inside of a function of windows it would run for each.
-    places = docs.select("doc_id", F.explode(bound(parts(F.col("text")), hashes)).alias("h"))
+    # The split is bound once: inside of a function of windows it would run for each. Of few questions, only hashes that one of them has leave the row.
+    every = bound(parts(F.col("text")), hashes)
+    few = [r[0] for r in asked.where("h IS NOT NULL").select("h").distinct().limit(FEW + 1).collect()]
+    places = docs.select("doc_id", F.explode(F.filter(every, lambda h: h.isin(few)) if 0 < len(few) <= FEW else every).alias("h"))
     near = places.join(asked.where("h IS NOT NULL").select(item, "h"), "h").select(item, "doc_id").distinct()
     texts = docs.select("doc_id", "text")
     found = near.join(texts, "doc_id").join(asked.select(item, "q"), item).where(F.contains("text", "q")).select(item, "doc_id")

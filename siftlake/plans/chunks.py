@@ -49,8 +49,11 @@ R_SQL = rf"{C_SQL}, {Q_SQL}, rt AS (SELECT * FROM ch WHERE list_has_any(regexp_e
 
 def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that hold one of the question's longer words, of all documents, with their whole neighbours."""
-    near = chunking.with_neighbours(chunks(texts(spark, sf_dir)), ["doc_id"], "chunk_num", "chunk_text")
     words = [r[0] for r in keyword.query_lexemes(question(spark, sf_dir)).where(F.length("lexeme") >= LONG).collect()]  # of a cut question
+    # A chunk's word stands in its document, once lines are joined: other documents are neither cut nor windowed.
+    line = F.lower(F.replace("text", F.lit("\n"), F.lit("")))
+    docs = texts(spark, sf_dir).where(F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(line, w)))
+    near = chunking.with_neighbours(chunks(docs), ["doc_id"], "chunk_num", "chunk_text")
     return near.where(F.arrays_overlap(T.words(F.col("chunk_text")), F.array(*map(F.lit, words))))
 
 

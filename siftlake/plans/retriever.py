@@ -86,7 +86,10 @@ def chat_context(retriever: Retriever, q: list[float], question: DataFrame, name
     few = retriever.search(q, question, ids)
     chunks = retriever.chunks.drop("embedding")
     heading = "heading" if "heading" in chunks.columns else None
-    near = chunking.with_neighbours(chunks, ["doc_id"], "chunk_num", "chunk_text", heading=heading)
+    # Neighbours of a page of hits: only their documents' chunks are windowed.
+    hit = chunks.select("doc_id", "chunk_id").join(F.broadcast(few.select("chunk_id")), "chunk_id").select("doc_id").distinct()
+    own = chunks.join(F.broadcast(hit), "doc_id", "left_semi")
+    near = chunking.with_neighbours(own, ["doc_id"], "chunk_num", "chunk_text", heading=heading)
     rows = near.join(F.broadcast(few), "chunk_id")
     if rerank is not None:
         rows = rows.withColumn("score", rerank(F.col("chunk_text"))).where("score >= 0")
