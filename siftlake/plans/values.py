@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions import values as V
-from siftlake.operators import evaluation
+from siftlake.operators import evaluation, languages
 from siftlake.plans.registry import load, query, texts
 from siftlake.plans.search import C_SQL, D_SQL, chunks, documents
+from siftlake.sources import tables
 
 
 @query("""SELECT p_partkey, trim(CASE p_partkey % 3 WHEN 0 THEN '"''' || p_name || '''' WHEN 1 THEN p_name || '"' ELSE '"it''s ' || p_name || '"' END, '"''') AS answer FROM part""")
@@ -122,3 +123,28 @@ def section_length_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sections(spark, sf_dir).groupBy("doc_id").agg(F.sum(F.length("x.piece")).alias("sections_len"))
     pages = load(spark, sf_dir, "documents").where(F.length("text") > 0).select("doc_id", F.length("text").cast("long").alias("pages_len"))
     return evaluation.lengths_agree(pages, got, "doc_id")
+
+
+HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 4 = 2"
+
+
+def language_profiles(spark: SparkSession, sf_dir: str) -> languages.Profiles:
+    """Fitted once on the documents that are not held out."""
+    known = load(spark, sf_dir, "documents").where(f"NOT ({HELD_OUT})")
+    build = lambda at: languages.saved(languages.fitted(known, "doc_id"), spark, f"{at}/profiles")
+    return tables.opened(spark, "languages", sf_dir, build, lambda s, at: languages.opened(s, f"{at}/profiles"))
+
+
+CRC = """list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b: list_reduce([0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda d, z: xor(d >> 1, CASE WHEN d & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)), 4294967295::BIGINT)"""
+
+
+@query(f"SELECT lang, count(*) AS n, true AS whole_texts, true AS five_words FROM documents WHERE xor({CRC}, 4294967295::BIGINT) % 4 = 2 AND text <> '' GROUP BY lang")
+def language_by_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By language, over all held-out documents: are 95 % of the whole texts found right, and 80 % of their first five words?"""
+    docs = load(spark, sf_dir, "documents").where(f"{HELD_OUT} AND text <> ''").select("doc_id", "text", "lang")
+    model = language_profiles(spark, sf_dir)
+    words = F.array_join(F.slice(F.split("text", "[ \n]+"), 1, 5), " ")
+    both = docs.select("lang", F.lit(1).alias("whole"), "text").unionAll(docs.select("lang", F.lit(0), words))
+    right = languages.detected(both, model).withColumn("right", (F.col("language") == F.col("lang")).cast("int"))
+    share = lambda whole: F.avg(F.when(F.col("whole") == whole, F.col("right")))
+    return right.groupBy("lang").agg(F.sum("whole").alias("n"), (share(1) >= 0.95).alias("whole_texts"), (share(0) >= 0.8).alias("five_words"))
