@@ -1,57 +1,90 @@
-"""Tables in spreadsheets: cells that lie together and look alike are one table."""
+"""Tables in spreadsheets: cells that lie together and look alike are one table.
+
+Density clusters: a cell with LEAST neighbours of its style within EPS (itself included, the MOST_NEAR nearest counted) is a core; cores of which one counts the other are of one table, and a
+cell that is no core belongs to the first table that a core counts it in. A cell's style is as far from another as makes them no neighbours.
+
+Sheets are cut into tiles. Each tile is read with a halo of twice EPS: of all cells within EPS of it the neighbours are whole, so cores and links there are those of the sheet. A tile links its cores to
+one of theirs; tiles share the cores in their halos, and the components of all links are the tables. No group is larger than a tile with its halo, whatever a sheet holds.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siftlake.operators.components import components
+from siftlake.sources.tables import shared_folder
+
+EPS, LEAST, MOST_NEAR = 10, 3, 50
+#: Rows and columns of a tile; more than four EPS, so that a cell is in four tiles at most.
+TILE = 64
+
 
-EPS, LEAST, MOST_NEAR = 10.0, 3, 50
-
-
-def clustered(points: np.ndarray, eps: float = EPS, least: int = LEAST, near: int = MOST_NEAR) -> np.ndarray:
-    """Density clusters: points with `least` neighbours within eps are cores, and cores within eps share a cluster; -1: noise.
-
-    Only the `near` nearest neighbours of a point count. Points are taken in strips of the first coordinate, so that distances are
-    computed between near strips only.
-    """
-    n = len(points)
-    label, core = np.full(n, -1), np.zeros(n, bool)
-    order = np.argsort(points[:, 0], kind="stable")
-    xs = points[order]
-    left, right = np.searchsorted(xs[:, 0], xs[:, 0] - eps), np.searchsorted(xs[:, 0], xs[:, 0] + eps, side="right")
-    links = []
-    for i in range(n):
-        d = np.sqrt(((xs[left[i] : right[i]] - xs[i]) ** 2).sum(axis=1))
-        close = np.flatnonzero(d <= eps)
-        links.append(left[i] + close[np.argsort(d[close], kind="stable")[:near]])
-        core[i] = len(links[i]) >= least
-    found = np.full(n, -1)
-    name = 0
-    for i in range(n):
-        if not core[i] or found[i] >= 0:
-            continue
-        found[i], todo = name, [i]
-        while todo:
-            for j in links[todo.pop()]:
-                if found[j] < 0:
-                    found[j] = name
-                    if core[j]:
-                        todo.append(j)
-        name += 1
-    label[order] = found
-    return label
+def counted_neighbours(points: np.ndarray, of: np.ndarray, eps: float = EPS, near: int = MOST_NEAR) -> list[np.ndarray]:
+    """For each place in `of`, the places of its `near` nearest points within eps, itself first. points: rows and columns, sorted; ties go to the earlier one."""
+    rows = points[:, 0]
+    lo, hi = np.searchsorted(rows, rows[of] - eps), np.searchsorted(rows, rows[of] + eps, side="right")
+    out = []
+    for i, a, z in zip(of.tolist(), lo.tolist(), hi.tolist()):
+        d = ((points[a:z] - points[i]) ** 2).sum(axis=1)
+        close = np.flatnonzero(d <= eps * eps)
+        out.append(a + close[np.argsort(d[close], kind="stable")[:near]])
+    return out
+
+
+def linked(points: np.ndarray, exact: np.ndarray, own: np.ndarray, least: int = LEAST) -> list[tuple[int, int, bool]]:
+    """(place, core it is linked to, is it a core itself) of a tile's exact cores, and of its own other cells that a core counts (once for each group of cores)."""
+    of = np.flatnonzero(exact)
+    near = dict(zip(of.tolist(), counted_neighbours(points, of)))
+    core = {i for i, js in near.items() if len(js) >= least}
+    first = {i: i for i in core}
+
+    def top(i: int) -> int:
+        while first[i] != i:
+            first[i] = i = first[first[i]]
+        return i
+
+    for i in core:
+        for j in near[i].tolist():
+            if j in core:
+                a, b = top(i), top(j)
+                first[max(a, b)] = min(a, b)
+    out = [(i, top(i), True) for i in core]
+    others = {(j, top(i)) for i in core for j in near[i].tolist() if own[j] and j not in core}
+    return out + [(j, t, False) for j, t in others]
 
 
 def tables(cells: DataFrame, sheet: str = "sheet") -> DataFrame:
-    """cells (sheet, row, col, style, value) with table: the cluster of its place and style. A sheet is one group, bounded by its size."""
-    from pyspark.sql.types import IntegerType, StructType
+    """cells (sheet, row, col, style, and others) with table_row and table_col: the first core of its table, or null. A sheet has one cell at a place; null places and styles are of no table."""
+    spark = cells.sparkSession
+    at = f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}"
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{at}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
 
-    schema = StructType(list(cells.schema.fields)).add("table", IntegerType())
+    rows = kept(cells.withColumn("_n", F.monotonically_increasing_id()), "cells")
+    placed = rows.where("row IS NOT NULL AND col IS NOT NULL AND style IS NOT NULL").select("_n", F.col(sheet).alias("sheet"), "style", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"))
+    tiles = lambda c: F.array_distinct(F.array(F.floor((F.col(c) - 2 * EPS) / TILE), F.floor((F.col(c) + 2 * EPS) / TILE)))
+    dealt = placed.withColumn("tr", F.explode(tiles("row"))).withColumn("tc", F.explode(tiles("col")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        style = pd.get_dummies(pdf["style"]).to_numpy(float) * EPS
-        points = np.column_stack([pdf["row"].to_numpy(float), pdf["col"].to_numpy(float), style])
-        return pdf.assign(table=clustered(points).astype("int32"))
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(["row", "col", "_n"])
+        points = p[["row", "col"]].to_numpy(np.int64)
+        begin = p[["tr", "tc"]].to_numpy(np.int64) * TILE
+        away = np.maximum(np.maximum(begin - points, points - (begin + TILE - 1)), 0).max(axis=1)
+        found = linked(points, away <= EPS, away == 0)
+        n = p["_n"].to_numpy()
+        return pd.DataFrame({"a": n[[f[0] for f in found]], "b": n[[f[1] for f in found]], "core": [f[2] for f in found]}).astype({"a": "int64", "b": "int64", "core": "bool"})
 
-    return cells.groupBy(sheet).applyInPandas(run, schema)
+    links = kept(dealt.groupBy("sheet", "style", "tr", "tc").applyInPandas(run, "a long, b long, core boolean"), "links")
+    groups = components(links.where("core").select("a", "b"))
+    first = groups.join(placed, groups["node"] == placed["_n"]).groupBy("component").agg(F.min(F.struct("row", "col")).alias("first"))
+    own = kept(groups.join(first, "component").select("node", "first"), "groups")
+    cores = own.select(F.col("node").alias("_n"), "first")
+    others = links.where("NOT core").join(own, F.col("b") == F.col("node")).groupBy(F.col("a").alias("_n")).agg(F.min("first").alias("first"))
+    return rows.join(cores.unionAll(others), "_n", "left").select(*cells.columns, F.col("first.row").alias("table_row"), F.col("first.col").alias("table_col"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions import text as T
-from siftlake.operators import chunking, headings, keyword, merging
+from siftlake.operators import cells, chunking, headings, keyword, merging
 from siftlake.plans.registry import load, query, texts
 from siftlake.plans.search import C_SQL, D_SQL, Q_SQL, chunks, documents, kw_bm25_topk, question, scored_sql
 
@@ -155,6 +155,16 @@ def table_row_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.table_chunks(rows, "file", "tab", "k", "cells", ["order", "part", "ship, flag"])
 
 
+@query()
+def cell_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables among order lines as cells: a row for each order, with a gap after every hundred, a column for each line, their flag as the style; nine tenths lie on one sheet."""
+    o = F.col("l_orderkey")
+    lines = load(spark, sf_dir, "lineitem").where("l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL")
+    placed = lines.select(F.when(F.floor(o / 100) % 10 < 9, 0).otherwise(1 + F.floor(o / 1000) % 5).alias("sheet"), (o + 12 * F.floor(o / 100)).alias("row"), F.col("l_linenumber").alias("col"), F.col("l_returnflag").alias("style"))
+    found = cells.tables(placed.groupBy("sheet", "row", "col").agg(F.min("style").alias("style")))
+    return found.where("table_row IS NOT NULL").groupBy("sheet", "style", "table_row", "table_col").agg(F.count("*").alias("n_cells"), F.max("row").alias("last_row"), F.max("col").alias("last_col"))
+
+
 SEVEN = ", ".join(f'min(l_quantity) FILTER (l_linenumber = {i}) AS "{i}"' for i in range(1, 8))
 
 

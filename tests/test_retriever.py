@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import files_crypto, tokens
 from siftlake.functions.plugins import overlap_reranker
-from siftlake.operators import cells, vector
+from siftlake.operators import vector
 from siftlake.plans.retriever import Retriever, chat_context, web_retrieval
 from siftlake.plans.search import chunks, documents, question
 
@@ -55,13 +55,6 @@ def test_web_retrieval(spark, sf):
     assert again.count() == 0
 
 
-def test_cell_clusters(spark):
-    rows = [(1, r, c, "n", "x") for r in range(3) for c in range(3)] + [(1, r + 100, c, "n", "x") for r in range(3) for c in range(2)] + [(1, 500, 500, "n", "x")]
-    got = cells.tables(spark.createDataFrame(rows, "sheet int, row int, col int, style string, value string")).toPandas()
-    assert got.groupby("table").size().sort_index().tolist() == [1, 9, 6] and got.table.min() == -1
-    assert cells.clustered(np.zeros((0, 3))).tolist() == []
-
-
 def test_tokens(spark):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     df = spark.createDataFrame([("hello world, hello",), (None,), ("",)], "t string")
