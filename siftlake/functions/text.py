@@ -63,9 +63,13 @@ def without_citations(text: Column) -> Column:
     return F.regexp_replace(text, r"\[.+?:\s*(\d+.*?)\]", "")
 
 
+#: Fixed value: the tag of an assistant's own turn.
+OWN_TURN = r"(?i)\[AI.+?:\s*(\d+.*?)\]"
+
+
 def cited_ids(text: Column) -> Column:
-    """Distinct numbers in citation tags, in the order of their first place; tags of the assistant's own turns do not count."""
-    tags = F.regexp_extract_all(F.regexp_replace(text, r"\[AI[^\]:]*:\s*\d+\]", ""), F.lit(r"\[.*?:(.*?\d+)\]"), F.lit(1))
+    """Distinct numbers in citation tags, in the order of their first place; tags of the assistant's own turns, in either case and with more behind the number, do not count."""
+    tags = F.regexp_extract_all(F.regexp_replace(text, OWN_TURN, ""), F.lit(r"\[.*?:(.*?\d+)\]"), F.lit(1))
     numbers = F.flatten(F.transform(tags, lambda t: F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0))))
     return F.array_distinct(F.transform(numbers, lambda n: n.cast("long")))
 

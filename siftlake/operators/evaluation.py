@@ -49,6 +49,17 @@ def hit_rate(found: DataFrame, gold: DataFrame, item: str = "item_id") -> DataFr
     return best.agg(F.count("*").alias("n_questions"), F.count("rank").alias("n_hits"), F.round(100 * F.try_divide(F.count("rank"), F.count("*")), 6).alias("pct_hits"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
+def retrieval_rates(found: DataFrame, gold: DataFrame, item: str = "item_id") -> DataFrame:
+    """One row: n_questions, pct_file and pct_page (questions with a result of a gold file, and on a gold page or one beside it), con_prob (of those with the file, how many also
+    have the page) and mean_best (the mean of the questions' highest similarity). found: item, doc_id, page, similarity; gold: item, doc_id, page."""
+    best = found.groupBy(item).agg(F.max("similarity").alias("best"))
+    right = gold.join(found.select(item, "doc_id", F.col("page").alias("found_page")), [item, "doc_id"])
+    hits = right.groupBy(item).agg(F.lit(1).alias("file"), F.max(near_page(F.col("page"), F.col("found_page")).cast("int")).alias("page"))
+    each = gold.select(item).distinct().join(hits, item, "left").join(best, item, "left")
+    file, page = F.coalesce(F.sum("file"), F.lit(0)), F.coalesce(F.sum("page"), F.lit(0))
+    return each.agg(F.count("*").alias("n_questions"), F.round(100 * F.try_divide(file, F.count("*")), 6).alias("pct_file"), F.round(100 * F.try_divide(page, F.count("*")), 6).alias("pct_page"), F.round(F.try_divide(page, file), 6).alias("con_prob"), F.round(F.avg("best"), 6).alias("mean_best"))
+
+
 def flag_shares(rows: DataFrame, hit: str, flags: list[str]) -> DataFrame:
     """flag, n, pct: the share of hits among the rows of each flag."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("flag"), F.col(f).alias("on")) for f in flags]))

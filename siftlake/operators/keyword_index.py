@@ -16,7 +16,7 @@ import zlib
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftlake.operators import keyword
@@ -99,6 +99,20 @@ class PostingsIndex:
         return keyword.top(self.scores(weights, rows), "s", self.key, k)
 
 
+    def top_many(self, terms: DataFrame, item: str, k: int) -> DataFrame:
+        """item, key, s and rank of the k best units of each of many queries (item, lexeme; each lexeme once): one pass over the postings, an equi-join with the queries' lexemes.
+
+        A task keeps k units of an item before they are shuffled by item.
+        """
+        own = terms.select("lexeme").distinct()
+        rows = self.postings.join(own, "lexeme", "left_semi")
+        idf = rows.groupBy("lexeme").agg(keyword.idf(F.lit(self.n_all), F.sum("n")).alias("idf"))
+        found = self.hits(rows).join(idf, "lexeme").join(terms.select(item, "lexeme"), "lexeme")
+        scored = found.groupBy(item, self.key).agg(F.sum(keyword.squashed(F.col("tf")) * F.col("idf")).alias("s"))
+        w = Window.partitionBy(item).orderBy(F.desc(F.round("s", 9)), self.key)
+        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def build(units: DataFrame, key: str, fields: dict[str, Column], root: str) -> PostingsIndex:
     """Writes the index below root. key: whole numbers, one for each unit; fields: class ("A", "B") to an array of lexemes."""
     spark = units.sparkSession

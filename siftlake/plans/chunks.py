@@ -128,6 +128,16 @@ def format_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.formatted_context(rows, "doc_id", "doc_rank", "chunk_text", name="name", authors="source", description="summary")
 
 
+@query(f"""WITH {Q_SQL}, {scored_sql('documents')}, {C_SQL}, {D_SQL}, tt AS (SELECT doc_id, row_number() OVER (ORDER BY round(s, 9) DESC, doc_id) AS rank FROM sc QUALIFY rank <= 20)
+SELECT ch.doc_id, name, 'txt' AS format, ch.page, CAST(row_number() OVER (ORDER BY rank, chunk_num) AS VARCHAR) AS citation FROM ch JOIN tt USING (doc_id) JOIN d ON ch.doc_id = d.doc_id""")
+def context_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the excerpts of `format_context` are cited by: the front end's columns of each, with its number."""
+    few = kw_bm25_topk(spark, sf_dir).select("doc_id", F.col("rank").alias("doc_rank"))
+    page = documents(spark, sf_dir).join(F.broadcast(few), "doc_id").withColumn("format", F.regexp_extract("name", "[.]([^.]+)$", 1))
+    rows = merging.excerpts(chunks(page, ("name", "format", "doc_rank")), "doc_rank", ["chunk_num"])
+    return merging.sources(rows, ["doc_id", "name", "format", "page"])
+
+
 @query(f"""WITH {C_SQL}, n AS (SELECT c.doc_id, c.chunk_num, c.chunk_text AS a, coalesce(n.chunk_text, '') AS b FROM ch c LEFT JOIN ch n ON n.doc_id = c.doc_id AND n.chunk_num = c.chunk_num + 1),
 o AS (SELECT *, coalesce(list_min(list_filter(range(2, length(a) + 1), lambda i: starts_with(b, substr(a, i)))), length(a) + 1) AS i FROM n)
 SELECT doc_id, chunk_num, CAST(length(substr(a, i)) AS INTEGER) AS overlap_len, substr(b, length(substr(a, i)) + 1) AS next FROM o""")

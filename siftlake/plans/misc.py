@@ -11,7 +11,7 @@ from siftlake.functions import text as T
 from siftlake.functions import values as V
 from siftlake.operators import catalog, chat, evaluation, merging, tasks
 from siftlake.plans.registry import load, query, texts
-from siftlake.plans.search import D_SQL, chunks, documents
+from siftlake.plans.search import C_SQL, D_SQL, chunk_index, chunks, documents, scored_sql
 from siftlake.streaming import ingest
 
 
@@ -27,15 +27,15 @@ def mask_nonprintable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts(spark, sf_dir).select("doc_id", (F.length(t) - F.length(T.printable(t))).alias("n_removed"))
 
 
-CITED = "'see [AIMessage: ' || turn || '] and [Excerpt: ' || (turn + 1) || ', ' || (conv_id % 7) || '] [Excerpt: ' || (turn + 1) || ']'"
+CITED = "'see [AIMessage: ' || turn || '] [aimessage: ' || turn || ', and more] and [Excerpt: ' || (turn + 1) || ', ' || (conv_id % 7) || '] [Excerpt: ' || (turn + 1) || ']'"
 
 
-@query(f"""WITH x AS (SELECT conv_id, turn, {CITED} AS t FROM conversations), y AS (SELECT *, regexp_replace(t, '\\[AI[^\\]:]*:\\s*\\d+\\]', '', 'g') AS u FROM x)
+@query(f"""WITH x AS (SELECT conv_id, turn, {CITED} AS t FROM conversations), y AS (SELECT *, regexp_replace(t, '(?i)\\[AI.+?:\\s*(\\d+.*?)\\]', '', 'g') AS u FROM x)
 SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(flatten(list_transform(regexp_extract_all(u, '\\[.*?:(.*?\\d+)\\]', 1), lambda g: regexp_extract_all(g, '\\d+'))), lambda n: CAST(n AS BIGINT)))), ',') AS cited,
  regexp_replace(t, '\\[.+?:\\s*(\\d+.*?)\\]', '', 'g') AS plain FROM y""")
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citation tags are put behind each turn; the ids they cite, and the text without them."""
-    t = F.format_string("see [AIMessage: %d] and [Excerpt: %d, %d] [Excerpt: %d]", "turn", F.col("turn") + 1, F.col("conv_id") % 7, F.col("turn") + 1)
+    t = F.format_string("see [AIMessage: %d] [aimessage: %d, and more] and [Excerpt: %d, %d] [Excerpt: %d]", "turn", "turn", F.col("turn") + 1, F.col("conv_id") % 7, F.col("turn") + 1)
     return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(T.cited_ids(t)).cast("array<string>"), ",").alias("cited"), T.without_citations(t).alias("plain"))
 
 
@@ -200,6 +200,35 @@ def eval_hit_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.hit_rate(found, gold)
 
 
+QW = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+
+
+@query(rf"""WITH {C_SQL}, qt AS (SELECT DISTINCT item_id, unnest({QW}) AS lexeme FROM benchmark), {scored_sql('ch').replace('JOIN qt USING (lexeme)', 'WHERE lexeme IN (SELECT lexeme FROM qt)')},
+si AS (SELECT item_id, u, sum(tf / (tf + 1) * ln(1 + (n_all - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) AS s FROM hi JOIN dfq USING (lexeme) JOIN qt USING (lexeme), nn GROUP BY item_id, u),
+t AS (SELECT item_id, u, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, u) AS rank FROM si QUALIFY rank <= 3),
+qw AS (SELECT item_id, list_distinct({QW}) AS q FROM benchmark),
+f AS (SELECT t.item_id, ch.doc_id, ch.page, len(list_intersect(q, regexp_extract_all(lower(chunk_text), '[\p{{L}}\p{{N}}]+'))) / len(q)::DOUBLE AS similarity FROM t JOIN ch ON ch.chunk_id = t.u JOIN qw ON qw.item_id = t.item_id),
+gold AS (SELECT item_id, doc_id, length(substr(d.text, 1, instr(d.text, b.text) - 1)) - length(replace(substr(d.text, 1, instr(d.text, b.text) - 1), chr(10), '')) + 1 AS page FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+r AS (SELECT gold.item_id, max(CASE WHEN abs(gold.page - f.page) <= 1 THEN 1 ELSE 0 END) AS page FROM gold JOIN f ON f.item_id = gold.item_id AND f.doc_id = gold.doc_id GROUP BY gold.item_id),
+e AS (SELECT i.item_id, r.item_id IS NOT NULL AS file, r.page, m.best FROM (SELECT DISTINCT item_id FROM gold) i LEFT JOIN r ON r.item_id = i.item_id LEFT JOIN (SELECT item_id, max(similarity) AS best FROM f GROUP BY item_id) m ON m.item_id = i.item_id)
+SELECT count(*) AS n_questions, round(100.0::DOUBLE * count(*) FILTER (file) / count(*), 6) AS pct_file, round(100.0::DOUBLE * coalesce(sum(page), 0) / count(*), 6) AS pct_page,
+ round(coalesce(sum(page), 0)::DOUBLE / nullif(count(*) FILTER (file), 0), 6) AS con_prob, round(avg(best), 6) AS mean_best FROM e""")
+def eval_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored postings searched with every benchmark text: are its file and page among the three best chunks, and how like is the best one?"""
+    questions = load(spark, sf_dir, "benchmark").select("item_id", "text")
+    words = F.array_distinct(T.words(F.col("text")))
+    terms = questions.select("item_id", F.explode(words).alias("lexeme"))
+    best = chunk_index(spark, sf_dir).top_many(terms, "item_id", 3)
+    cut = chunks(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "chunk_id", "page", "chunk_text")
+    met = best.join(cut, "chunk_id").join(questions.select("item_id", words.alias("q")), "item_id")
+    found = met.select("item_id", "doc_id", "page", (F.size(F.array_intersect("q", T.words(F.col("chunk_text")))) / F.size("q")).alias("similarity"))
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    held = evaluation.contained(questions, docs).join(questions, "item_id").withColumnRenamed("text", "q").join(docs, "doc_id")
+    before = F.expr("substring(text, 1, locate(q, text) - 1)")
+    gold = held.select("item_id", "doc_id", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("page"))
+    return evaluation.retrieval_rates(found, gold)
+
+
 @query("""WITH x AS (SELECT l.quality, l.toxic, CASE WHEN d.n_chars > 1000 THEN 1 ELSE 0 END AS hit FROM labels l JOIN documents d USING (doc_id))
 SELECT 'quality' AS flag, count(*) AS n, round(100.0::DOUBLE * avg(hit), 6) AS pct FROM x WHERE quality = 1 UNION ALL SELECT 'toxic', count(*), round(100.0::DOUBLE * avg(hit), 6) FROM x WHERE toxic = 1""")
 def eval_flag_pct(spark: SparkSession, sf_dir: str) -> DataFrame:

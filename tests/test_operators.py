@@ -160,6 +160,7 @@ def test_budgets_and_text(spark):
     assert one(spark, T.truncated_query(F.lit("one two three")).alias("q")).q == "one two three one two three"
     assert [one(spark, T.stream_buffer(F.lit(n)).alias("b")).b for n in (1, 2, 5, 20)] == [1, 4, 9, 15]
     assert sorted(one(spark, T.cited_ids(F.lit("see [AIMessage: 9] and [Excerpt: 2, 3] [Excerpt: 7]")).alias("c")).c) == [2, 3, 7]
+    assert sorted(one(spark, T.cited_ids(F.lit("[aimessage: 3] [AIMessage: 4, and more] [AI turn: 5 or 6] [Excerpt: 7]")).alias("c")).c) == [7]
     assert one(spark, T.verdict(F.lit("it is right. Y")).alias("v")).v == 1
     assert [tuple(x) for x in one(spark, T.task_citations(F.lit("[Task: 1, 2, Excerpt: 3]")).alias("x")).x] == [(1, 3), (2, 3)]
     key = F.lit(b"k" * 32)
