@@ -133,6 +133,9 @@ def excerpts(chunks: DataFrame, doc_rank: str, order: list[str]) -> DataFrame:
     return chunks.withColumn("excerpt", F.row_number().over(Window.orderBy(doc_rank, *order)))
 
 
+# The marks and headers of the contexts below.
+
+
 def formatted_context(numbered_: DataFrame, doc: str, doc_rank: str, text: str, *, name: str, authors: str | None, description: str, heading: str | None = None) -> DataFrame:
     """doc, doc_rank, context, first_excerpt, last_excerpt: a header, and the excerpts of `excerpts` with their headings, for each document."""
     title = F.when(F.length(heading) > 0, F.concat(F.lit("Excerpt heading: "), heading, F.lit("\n"))).otherwise("") if heading else F.lit("")
