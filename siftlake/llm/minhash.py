@@ -374,6 +374,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if after == before:
             break
         before = after
+    else:
+        raise RuntimeError("the components have not settled after 100 rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(now.select("v", "v").distinct())
 
 
