@@ -1,13 +1,13 @@
 """Packing documents into few sequences by bounded-space online best fit.
 
 A document longer than a sequence is cut into pieces of a whole sequence each; what is left of it, and every shorter document, is an item. Items meet
-the open bins one by one in a random order: an item goes to the bin with the least free space that holds it, else to a new bin. At most OPEN
+the open bins one by one, the largest first: an item goes to the bin with the least free space that holds it, else to a new bin. At most OPEN
 bins are open; beyond that the fullest closes. The free spaces that occur among the open bins are the bits of one integer, so that the best bin is a shift
 and a lowest bit away.
 
-Plan: one pass tokenises and writes the documents; only the items' numbers and sizes are then shuffled, dealt by hash to tasks of some thousand items. What lies in bins
-that are still open with room at the end of a task goes to a further round on an eighth of the tasks, until a single task is left; it meets at most OPEN bins of each of the
-tasks before. So no task holds more than a fixed number of items however large the table is, and only the last one ends with bins that nothing may fill. The
+Plan: one pass tokenises and writes the documents; only the items' numbers and sizes are then shuffled, dealt by hash to tasks of some thousand items (fewer than OPEN bins hold, so that
+small items still find the large ones' bins). Bins that are left with more than a SLACK-th of a sequence free at the end of a task give their items to a further round on an eighth of the tasks,
+until a single task is left; it meets at most OPEN bins of each of the tasks before. So no task holds more than a fixed number of items however large the table is, and only the last one ends with bins that nothing may fill. The
 rounds are written, so that a task that runs again finds the same bins. Pieces are cut in the row and meet their bins by an equi-join.
 
 Defined cases: null text is empty; an empty text is one piece that holds the end id only (none without end id); null ids and repeated rows are packed like
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from siftlake.llm.common import Scratch
 from siftlake.llm.packing import vocabulary_size, word_cache
 
-#: Bins that are open at once; items of a task, at least and at most; how much fewer tasks each round has.
-OPEN, LEAST_ITEMS, MOST_ITEMS, FEWER = 512, 8192, 1 << 20, 8
+#: Bins that are open at once; items of a task; how much fewer tasks each round has; a bin with less than this part free is full.
+OPEN, ITEMS, FEWER, SLACK = 8192, 1 << 14, 8, 64
 
 
 class Bins:
@@ -67,12 +67,14 @@ class Bins:
         self.bits |= 1 << left
         self.n += 1
 
-    def rest(self) -> Iterator[list[tuple[int, int]]]:
+    def rest(self) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """Free space and items of the bins that are still open, the fullest first."""
         while self.n:
-            yield self.take(self.fullest())
+            free = self.fullest()
+            yield free, self.take(free)
 
 
-def fitted(length: int, last: bool, most: int = OPEN) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def fitted(length: int, last: bool, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A task of a round: item, size, bin and place of every item. A bin has the number of its first item; null: the item goes to the next round."""
 
     def rows(done: list[list[tuple[int, int]]], named: bool) -> pa.RecordBatch:
@@ -93,7 +95,9 @@ def fitted(length: int, last: bool, most: int = OPEN) -> Callable[[Iterator[pa.R
                 bins.add(item, size)
             yield rows(done, True)
             done.clear()
-        yield rows(list(bins.rest()), last)
+        rest = list(bins.rest())
+        yield rows([b for free, b in rest if last or free * SLACK <= length], True)
+        yield rows([b for free, b in rest if not last and free * SLACK > length], False)
 
     return run
 
@@ -120,12 +124,10 @@ def tokenised(docs: DataFrame, tokenizer: str, length: int, end_id: int | None,
 
 def binned(items: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """item, bin and place of items (item, size; sizes from 1 to length - 1; items are told apart by their number)."""
-    n, parts, nth = items.count(), int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), 0
-    tasks = max(1, min(parts, n // LEAST_ITEMS), -(-n // MOST_ITEMS))
-    done = []
+    tasks, nth, done = max(1, -(-items.count() // ITEMS)), 0, []
     while True:
-        dealt = items.repartition(tasks, "item").sortWithinPartitions(F.xxhash64("item"), "item")
-        fit = scratch.keep(dealt.mapInArrow(fitted(length, tasks == 1), "item long, size long, bin long, place long"), f"round_{nth}")
+        dealt = items.repartition(tasks, "item").sortWithinPartitions(F.desc("size"), F.xxhash64("item"), "item")
+        fit = scratch.keep(dealt.mapInArrow(fitted(length, tasks == 1, OPEN), "item long, size long, bin long, place long"), f"round_{nth}")
         done.append(fit.where("bin IS NOT NULL").select("item", "bin", "place"))
         if tasks == 1:
             break
