@@ -98,7 +98,6 @@ class PostingsIndex:
             rows = rows.join(self.bounds(weights).where(F.col("bound") >= floor).select("range"), "range", "left_semi")
         return keyword.top(self.scores(weights, rows), "s", self.key, k)
 
-
     def top_many(self, terms: DataFrame, item: str, k: int) -> DataFrame:
         """item, key, s and rank of the k best units of each of many queries (item, lexeme; each lexeme once): one pass over the postings, an equi-join with the queries' lexemes.
 
