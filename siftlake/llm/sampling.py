@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 
 from siftlake.llm.lattice import build_by_start, conditionals, vocabulary
 
-#: Characters of text handled at once; a longer text is handled alone.
-CHARS = 1_000_000
+#: Characters of text handled at once; a longer text is handled alone. A worker's memory is in proportion to them, and to the store's edges.
+CHARS = 400_000
+#: Edges of a worker's store from which it starts anew, and characters of cuts learnt at once.
+EDGES, LEARNT = 2_000_000, 200_000
 U = np.uint64
 
 
@@ -91,7 +93,7 @@ class Store:
 
     PARTS = {"first": "i8", "last": "i8", "start": "i4", "end": "i4", "piece": "i4", "logp": "f8", "cum": "f8", "low": "i8"}
 
-    def __init__(self, path: str, alpha: float, edges: int = 8_000_000):
+    def __init__(self, path: str, alpha: float, edges: int = EDGES):
         self.v, self.alpha, self.most = vocabulary(path), alpha, edges
         self.clear()
 
@@ -106,8 +108,15 @@ class Store:
         if len(self.start) > self.most:
             self.clear()
         out = np.fromiter(map(self.number.__getitem__, itertools.chain.from_iterable(cuts)), np.int64, sum(map(len, cuts)))
-        if len(self.number) > len(self.chunks):
-            self._learn(list(itertools.islice(self.number, len(self.chunks), None)))
+        part, chars = [], 0
+        for cut in list(itertools.islice(self.number, len(self.chunks), None)):
+            part.append(cut)
+            chars += len(cut)
+            if chars >= LEARNT:
+                self._learn(part)
+                part, chars = [], 0
+        if part:
+            self._learn(part)
         return out
 
     def _learn(self, new: list[str]) -> None:
@@ -306,6 +315,12 @@ def sample_segmentations(docs: DataFrame, model: str, *, k: int = 2, alpha: floa
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from sampled(batches)
+        finally:
+            _stores.clear()  # a worker that waits for its next task holds no lattices
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, keys = [x or "" for x in b.column(text).to_pylist()], b.column(id_col).to_pylist()
             decode = decoder(model) if verify else None
