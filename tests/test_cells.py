@@ -82,3 +82,13 @@ def test_tables_equal_whole_sheets(spark):
 
 def test_no_cells(spark):
     assert cells.tables(spark.createDataFrame([], "sheet int, row int, col int, style string")).count() == 0
+
+
+def test_only_cores_near_borders_are_linked_across_tiles(spark, monkeypatch):
+    """A strip of 700 rows over a tile's border: a table of its own rows is not linked cell by cell."""
+    points = [(r, c) for r in range(3700, 4400) for c in range(2)] + [(4500 + i, 5) for i in range(3)]
+    links = []
+    monkeypatch.setattr(cells, "components", lambda edges: (links.append(edges.count()), components(edges))[1])
+    got = cells.tables(spark.createDataFrame([(1, r, c, "x") for r, c in points], "sheet int, row int, col int, style string")).collect()
+    assert {(r.row, r.col): (r.table_row, r.table_col) for r in got} == {p: (3700, 0) if p[0] < 4500 else (4500, 5) for p in points}
+    assert 0 < links[0] <= 4 * 2 * 2 * cells.EPS
