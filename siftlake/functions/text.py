@@ -11,11 +11,26 @@ PLAIN = "aaaaaaceeeeiiiinooooouuuuyyoa"
 WORD = r"[\p{L}\p{N}]+"
 
 
+#: A word's edge by ASCII letters, digits and _, whatever other letters stand there.
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+#: Letters whose one-letter upper case is not the first choice: it would be several letters (the sharp s and Greek letters with a iota below).
+SMALL = "".join(c for c in map(chr, range(0x1F80, 0x2000)) if len(c.upper()) > 1 and len(c.title()) == 1 and c.title() != c)
+LARGE = "".join(c.title() for c in SMALL)
+
+
+def upper_letter(letter: Column) -> Column:
+    """A letter's upper case, as one letter; letters without such stay."""
+    one = F.translate(letter, "ß" + SMALL, "ẞ" + LARGE)
+    return F.when(F.length(F.upper(one)) > F.length(one), one).otherwise(F.when(one == letter, F.upper(one)).otherwise(one))
+
+
 def unaccent(text: Column) -> Column:
     return F.replace(F.translate(text, ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
 
