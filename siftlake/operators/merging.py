@@ -36,6 +36,7 @@ def merged_runs(chunks: DataFrame, doc: str, number: str = "chunk_num", text: st
     """doc, run, first, last, text, page, page_breaks, and the neighbours (with breaks) before the first and behind the last chunk: a run's chunks in one text, with
     the neighbours that fill the gaps. The neighbours are given whole (not trimmed).
 
+    Chunks that know their start are joined by their places; others by what their texts have in common (in texts that repeat themselves that may be too much).
     A gap of 1 adds the next text's new part; of 2 the neighbour between them; of 3 both neighbours. No text is lost or doubled.
     Runs have at most a page of results, so each is folded in one expression.
     """
@@ -44,23 +45,28 @@ def merged_runs(chunks: DataFrame, doc: str, number: str = "chunk_num", text: st
     parts = F.struct(
         F.col(number).alias("n"), F.col(text).alias("t"), given("page_breaks", none).cast("array<int>").alias("b"), given("page", F.lit(None).cast("int")).cast("int").alias("page"),
         "previous", given("previous_breaks", none).cast("array<int>").alias("pb"), "next", given("next_breaks", none).cast("array<int>").alias("nb"),
+        *[given(c, F.lit(None)).cast("int").alias(n) for c, n in (("start", "at"), ("previous_start", "pat"), ("next_start", "nat"))],
     )
     rows = runs(chunks, doc, number, heading).groupBy(doc, "run").agg(F.array_sort(F.collect_list(parts)).alias("c"))
 
-    def added(s: Column, t: Column, breaks: Column) -> Column:
+    # The text begins at the start of the run's first chunk.
+    origin = F.element_at("c", 1)["at"]
+
+    def added(s: Column, t: Column, breaks: Column, at: Column) -> Column:
         """struct(t, b) with the new part of a text."""
-        new = lambda x, o: F.struct(F.concat(x["t"], F.substring(t, o + 1, F.length(t))).alias("t"), F.concat(x["b"], F.transform(F.filter(breaks, lambda b: b > o), lambda b: b - o + F.length(x["t"]))).alias("b"))
-        return bound(s, lambda x: bound(F.length(overlap(x["t"], t)), lambda o: new(x, o)))
+        new = lambda x, o: F.struct(F.concat(x["t"], F.substring(t, o + 1, F.length(t))).alias("t"), F.concat(x["b"], F.transform(F.filter(breaks, lambda b: b >= o), lambda b: b - o + F.length(x["t"]))).alias("b"))
+        common = lambda x: F.when((at - origin).between(0, F.length(x["t"])), F.least(origin + F.length(x["t"]) - at, F.length(t))).otherwise(F.length(overlap(x["t"], t)))
+        return bound(s, lambda x: bound(common(x), lambda o: new(x, o)))
 
     def step(s: Column, x: Column) -> Column:
         gap = x["n"] - s["n"]
         begun = F.struct(s["t"].alias("t"), s["b"].alias("b"))
-        near = bound(begun, lambda y: F.when(gap >= 2, added(y, s["next"], s["nb"])).otherwise(y))
-        filled = bound(near, lambda y: F.when(gap == 3, added(y, x["previous"], x["pb"])).otherwise(y))
-        return bound(added(filled, x["t"], x["b"]), lambda y: F.struct(x["n"].alias("n"), y["t"].alias("t"), y["b"].alias("b"), x["next"].alias("next"), x["nb"].alias("nb")))
+        near = bound(begun, lambda y: F.when(gap >= 2, added(y, s["next"], s["nb"], s["nat"])).otherwise(y))
+        filled = bound(near, lambda y: F.when(gap == 3, added(y, x["previous"], x["pb"], x["pat"])).otherwise(y))
+        return bound(added(filled, x["t"], x["b"], x["at"]), lambda y: F.struct(x["n"].alias("n"), y["t"].alias("t"), y["b"].alias("b"), x["next"].alias("next"), x["nb"].alias("nb"), x["nat"].alias("nat")))
 
     begin, end = F.element_at("c", 1), F.element_at("c", -1)
-    folded = F.aggregate(F.slice("c", F.lit(2), F.size("c")), F.struct(*[begin[k].alias(k) for k in ("n", "t", "b", "next", "nb")]), step)
+    folded = F.aggregate(F.slice("c", F.lit(2), F.size("c")), F.struct(*[begin[k].alias(k) for k in ("n", "t", "b", "next", "nb", "nat")]), step)
     out = rows.withColumn("x", folded)
     return out.select(doc, "run", begin["n"].alias("first"), end["n"].alias("last"), F.col("x.t").alias("text"), begin["page"].alias("page"), F.col("x.b").alias("page_breaks"), begin["previous"].alias("previous"), begin["pb"].alias("previous_breaks"), end["next"].alias("next"), end["nb"].alias("next_breaks"))
 
