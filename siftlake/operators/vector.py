@@ -74,11 +74,10 @@ def nearest_many(df: DataFrame, queries: DataFrame, k: int, key: str, vector: st
 
 
 def adaptive(df: DataFrame, q: list[float], k: int, key: str, index: Callable[[], Index], vector: str = "embedding", limit: int = EXACT_LIMIT) -> DataFrame:
-    """Exact below `limit` candidates, else by the index of the whole table, among the candidates; counting stops at the limit. index: opens it, or builds it where there is none."""
+    """By all vectors below `limit` candidates, else by the bounds of the index of the whole table, among the candidates: the same rows; counting stops at the limit. index: opens it, or builds it where there is none."""
     if df.limit(limit).count() < limit:
         return nearest(df.select(key, vector), q, k, key, vector)
-    one = df.sparkSession.createDataFrame([(0, q)], "query_id int, vector array<double>")
-    return index().search(one, k, among=df.select(key)).select(key, "distance", "rank")
+    return index().exact(q, k, among=df.select(key))
 
 
 def maximal_marginal_relevance(df: DataFrame, q: list[float], k: int, fetch: int, key: str, vector: str = "embedding", weight: float = 0.5) -> DataFrame:

@@ -1,13 +1,16 @@
 """An index of vectors that is read in part: cells of like vectors, short codes, and exact distances for few.
 
 Build: k-means on a bounded sample of unit vectors gives the cells' centres; what is left of a vector in its cell is cut into parts, and each part is
-coded by the nearest of 256 values learnt from the sample (a product code of one byte a part). All rows are written with cell, code and vector, partitioned by cell and sorted
+coded by the nearest of 256 values learnt from the sample (a product code of one byte a part; a part is one dimension, if these are 128 at most). All rows are written with cell, code, vector and
+err, how far the vector is from what its code says, partitioned by cell and sorted
 by key, a cell of any size over many files. Search: the cells nearest to a query are read, keys and codes only; each task keeps its best `depth` rows by their decoded vectors;
 the best `depth` of all are read again with their vectors and ranked by exact distance.
 
 How many cells a search opens is measured when the index is built: so many that `coverage` of the sampled rows' nearest ones lie in them. Where vectors form
 groups these are few; vectors without any structure need most cells, and then only the codes save reading.
 
+An exact search reads the codes of all cells: err bounds a row's product from both sides, the k-th best lower bound is a floor, and the vectors of all rows whose upper bound reaches it are read.
+
 Vectors that are null, hold nulls or have no length are not indexed. Rows with equal distance are ordered by key.
 """
 
@@ -41,6 +44,10 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
 
 
 def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    if centres.shape[1] == 1:  # along a line: between the middles
+        order = np.argsort(centres[:, 0], kind="stable")
+        c = centres[order, 0]
+        return order[np.searchsorted((c[1:] + c[:-1]) / 2, x[:, 0])]
     return np.argmax(x @ centres.T - (centres * centres).sum(1) / 2, axis=1)
 
 
@@ -124,7 +131,7 @@ class Index:
     @cached_property
     def rows(self) -> DataFrame:
         """cell, key, code and vector. The table's files are listed once."""
-        return self.spark.read.schema(f"{self.key} {self.kind}, vector array<{self.element}>, code binary, cell int").parquet(f"{self.root}/rows")
+        return self.spark.read.schema(f"{self.key} {self.kind}, vector array<{self.element}>, code binary, err double, cell int").parquet(f"{self.root}/rows")
 
     def search(self, queries: DataFrame, k: int, depth: int | None = None, probe: int | None = None, among: DataFrame | None = None) -> DataFrame:
         """query_id, key, distance and rank of about the k nearest rows of each query (query_id, vector). At most MOST_QUERIES at once: they go to every task.
@@ -169,7 +176,39 @@ class Index:
         return exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", key))).where(F.col("rank") <= k)
 
 
-def build(df: DataFrame, key: str, root: str, vector: str = "embedding", cells: int | None = None, parts: int = 16, coverage: float = 0.98, near: int = 20, seed: int = 42) -> Index:
+    def exact(self, q: list[float], k: int, among: DataFrame | None = None) -> DataFrame:
+        """key, distance and rank of the k nearest rows, as if all vectors were read. among: keys that may be found."""
+        model, key = self.model, self.key
+        unit = np.array(q) / np.sqrt(np.dot(q, q))
+
+        def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cell = b.column("cell").to_numpy()
+                if len(cell):
+                    like = model.decoded(cell, np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(cell), -1)) @ unit
+                    err = b.column("err").to_numpy() + SLACK
+                    yield pa.RecordBatch.from_arrays([b.column("cell"), b.column(key), pa.array(like - err), pa.array(like + err)], names=["cell", key, "least", "most"])
+
+        codes = self.rows.select("cell", key, "code", "err")
+        codes = codes if among is None else codes.join(among.select(key), key, "left_semi").select("cell", key, "code", "err")
+        bounds = codes.mapInArrow(bounded, f"cell int, {key} {self.kind}, least double, most double")
+        best = bounds.select("least").orderBy(F.desc("least")).limit(k).collect()
+        floor = best[-1].least if len(best) == k else -float("inf")
+        open_ = bounds.where(F.col("most") >= floor).select("cell", key)
+        near, few = self.rows.select("cell", key, "vector"), open_.limit(FEW_KEYS + 1).collect()
+        if len(few) <= FEW_KEYS:
+            near = near.where(F.col("cell").isin(sorted({r.cell for r in few})) & F.col(key).isin([r[key] for r in few]))
+        else:
+            near = near.join(open_, ["cell", key], "left_semi")
+        few = near.select(key, F.round(V.cosine_distance(F.col("vector"), [float(x) for x in q]), 9).alias("distance")).orderBy("distance", key).limit(k)
+        return few.withColumn("rank", F.row_number().over(Window.orderBy("distance", key)))
+
+
+#: Over what rounding of products and of distances (to 9 digits) can change.
+SLACK = 1e-8
+
+
+def build(df: DataFrame, key: str, root: str, vector: str = "embedding", cells: int | None = None, parts: int = 128, coverage: float = 0.98, near: int = 20, seed: int = 42) -> Index:
     """Fits and writes an index of all rows below root; open_index reads it again. Keys are told apart by their value; cells: about the root of the rows, at most 4096."""
     spark = df.sparkSession
     rows = df.select(key, F.col(vector).alias("vector")).where(has_direction(F.col("vector")))
@@ -188,11 +227,12 @@ def build(df: DataFrame, key: str, root: str, vector: str = "embedding", cells:
         for b in batches:
             if not b.num_rows:
                 continue
-            cell, code = model.encoded(_units(b.column("vector"), dims))
-            yield pa.RecordBatch.from_arrays([b.column(key), b.column("vector"), pa.array(cell.astype(np.int32)), pa.array([x.tobytes() for x in code], pa.binary())], names=[key, "vector", "cell", "code"])
+            x = _units(b.column("vector"), dims)
+            cell, code = model.encoded(x)
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column("vector"), pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(np.sqrt(((x - model.decoded(cell, code)) ** 2).sum(1)))], names=[key, "vector", "cell", "code", "err"])
 
     kind, element = rows.schema[key].dataType.simpleString(), rows.schema["vector"].dataType.elementType.simpleString()
-    coded = rows.mapInArrow(encode, f"{key} {kind}, vector array<{element}>, cell int, code binary")
+    coded = rows.mapInArrow(encode, f"{key} {kind}, vector array<{element}>, cell int, code binary, err double")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = coded.repartitionByRange(tasks, "cell", key).sortWithinPartitions("cell", key)
     # Small row groups: a few keys' vectors are read without their neighbours.

@@ -85,3 +85,17 @@ def test_queries_come_in_blocks(spark, tmp_path, monkeypatch):
     with pytest.raises(ValueError):
         vector.nearest_many(df, asked(df, 1), 3, "vec_id")
     assert vector_index.in_blocks(asked(df, 10), lambda x: vector.nearest_many(df, x, 3, "vec_id")).count() == 60
+
+
+def test_search_by_bounds_is_exact(spark, tmp_path):
+    """Vectors without groups, some twice: the same rows as reading all vectors, in all and among some."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 32))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(np.concatenate([x, x[:500]]).tolist())], SCHEMA)
+    ix = vector_index.build(df, "vec_id", f"file://{tmp_path}/ix")
+    q = vector.query_vector(df, "vec_id", 3)
+    shown = lambda out: [(r.vec_id, r.distance, r["rank"]) for r in out.orderBy("rank").collect()]
+    for some in (df, df.where("vec_id % 3 = 1")):
+        assert shown(vector.adaptive(some, q, 20, "vec_id", lambda: ix, limit=100).select("vec_id", "distance", "rank")) == shown(vector.nearest(some, q, 20, "vec_id"))
+    found = ix.search(asked(df, 50), 20, depth=50)
+    assert hits(found, vector.nearest_many(df, asked(df, 50), 20, "vec_id")) >= 0.95
