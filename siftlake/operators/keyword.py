@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +17,17 @@ WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 BASEL = 1.64493406685
 
 
-def postings(df: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
+#: Rows whose lexemes are counted at once.
+ROWS = 256
+
+
+def postings(df: DataFrame, key: str, fields: dict[str, Column], unique: bool = False) -> DataFrame:
     """key, lexeme, n_a, n_b, n: occurrences by class. fields: class ("A", "B", ...) to an array of lexemes.
 
-    One explode and one partial aggregate; the text itself is not shuffled.
+    unique: no two rows have the same key. Then a row's lexemes are counted where it is, and nothing is shuffled; else one explode and one partial aggregate.
     """
+    if unique:
+        return counted_rows(df, key, fields)
 
     def tagged(c: str, lexemes: Column) -> Column:
         return F.transform(lexemes, lambda w: F.struct(w.alias("lexeme"), F.lit(c).alias("class")))
@@ -29,6 +38,32 @@ def postings(df: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
     return rows.groupBy(key, "lexeme").agg(*counts, F.count("*").alias("n"))
 
 
+def counted_rows(df: DataFrame, key: str, fields: dict[str, Column]) -> DataFrame:
+    """What `postings` gives, of rows whose keys are unique. A row with a null field has none."""
+    classes = list(fields)
+    lists = df.select(key, *[v.alias(f"_{c}") for c, v in fields.items()]).dropna(subset=[f"_{c}" for c in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for lo in range(0, big.num_rows, ROWS):
+                b = big.slice(lo, ROWS)
+                held = [b.column(f"_{c}") for c in classes]
+                size = [np.diff(x.offsets.to_numpy()) for x in held]
+                row = np.concatenate([np.repeat(np.arange(b.num_rows), n) for n in size])
+                kind = np.repeat(np.arange(len(held)), [n.sum() for n in size])
+                words = pa.concat_arrays([x.flatten() for x in held]).dictionary_encode()
+                if not len(words):
+                    continue
+                width = len(words.dictionary)
+                pair, at, n = np.unique(row * width + words.indices.to_numpy(), return_inverse=True, return_counts=True)
+                by = {c: np.bincount(at[kind == i], minlength=len(pair)) for i, c in enumerate(classes)}
+                none = np.zeros(len(pair), np.int64)
+                cols = [b.column(key).take(pa.array(pair // width)), words.dictionary.take(pa.array(pair % width)), *[pa.array(by.get(c, none).astype(np.int64)) for c in ("A", "B")], pa.array(n.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(cols, names=[key, "lexeme", "n_a", "n_b", "n"])
+
+    return lists.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, lexeme string, n_a long, n_b long, n long")
+
+
 def ts_rank(n: Column) -> Column:
     """Damped frequency of one lexeme whose n occurrences all weigh 1."""
     return F.aggregate(F.sequence(F.lit(1), n.cast("int")), F.lit(0.0), lambda s, j: s + 1.0 / (j * j).cast("double")) / BASEL

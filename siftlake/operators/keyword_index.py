@@ -118,7 +118,7 @@ def build(units: DataFrame, key: str, fields: dict[str, Column], root: str) -> P
     n, low, high = units.agg(F.count("*"), F.min(key), F.max(key)).first()
     width = max(1, -(-((high or 0) - (low or 0) + 1) * RANGE // max(1, n)))
     units = units.withColumn(key, F.col(key).cast("long"))
-    each = keyword.postings(units, key, fields).withColumn("range", F.floor((F.col(key) - (low or 0)) / width))
+    each = keyword.postings(units, key, fields, unique=True).withColumn("range", F.floor((F.col(key) - (low or 0)) / width))
     unit = F.struct(F.col(key).alias("key"), "n_a", "n_b")
     best = F.max(class_rank(F.col("n_a"), F.col("n_b")))
     rows = each.groupBy("lexeme", "range").agg(F.array_sort(F.collect_list(unit)).alias("units"), best.alias("best"), F.count("*").alias("n"))
