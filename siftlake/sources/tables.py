@@ -24,10 +24,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _folder(spark: SparkSession, name: str, of: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{hashlib.sha256(of.encode()).hexdigest()[:16]}"
+
+
+def made(spark: SparkSession, name: str, of: str) -> bool:
+    """Whether `once` has made it whole."""
+    return exists(spark, f"{_folder(spark, name, of)}/made")
+
+
 def once(spark: SparkSession, name: str, of: str, make) -> str:
     """The folder of what is made from `of` (a path); made by make(folder) unless it is there whole. A mark is written last, so that what broke off is made again."""
-    root = f"{shared_folder(spark)}/{name}-{hashlib.sha256(of.encode()).hexdigest()[:16]}"
-    if not exists(spark, f"{root}/made"):
+    root = _folder(spark, name, of)
+    if not made(spark, name, of):
         make(root)
         spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{root}/made")
     return root
