@@ -56,6 +56,11 @@ def merged_lists(old: Column, new: Column) -> Column:
     return F.coalesce(F.concat(old, new), old, new)
 
 
+def pieces(text: Column, size: int) -> Column:
+    """The text cut every `size` characters, in one walk: a substring from a later place counts its way from the start each time."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def page_pieces(text: Column, first: Column, offset: Column, last: Column, lengths: Column) -> Column:
     """A section's text cut at page ends: structs of page and piece. The section begins `offset` characters into page `first` (from 1) and ends in page `last`; `lengths` are those of
     all pages. A section within one page is one piece. Work is quadratic in the pages of one section only."""

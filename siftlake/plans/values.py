@@ -104,11 +104,14 @@ SECTIONS = "s AS (SELECT doc_id, text, b, least(b + 700, length(text)) AS e FROM
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as pages of 500 characters and sections of 700: doc_id, section_no, x (page, piece)."""
-    n = F.length("text")
-    docs = texts(spark, sf_dir).where(n > 0).select("doc_id", "text", F.transform(F.sequence(F.lit(0), n - 1, F.lit(500)), lambda b: F.least(F.lit(500), n - b)).alias("lengths"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(700))).alias("b"))
-    own = F.substring(F.col("text"), F.col("b") + 1, F.lit(700))
-    first, last = F.floor(F.col("b") / 500).cast("int") + 1, F.floor((F.col("b") + F.length(own) - 1) / 500).cast("int") + 1
-    return docs.select("doc_id", F.floor(F.col("b") / 700).cast("int").alias("section_no"), F.explode(V.page_pieces(own, first, F.col("b") % 500, last, F.col("lengths"))).alias("x"))
+    docs = texts(spark, sf_dir).where(F.length("text") > 0).select("doc_id", F.length("text").alias("n"), F.posexplode(V.pieces(F.col("text"), 700)).alias("section_no", "own"))
+    b = F.col("section_no") * 700
+    cut = docs.select("*", (b % 500).alias("offset"), F.expr("section_no * 700 div 500").cast("int").alias("before"), F.expr("(section_no * 700 + length(own) - 1) div 500").cast("int").alias("last"))
+    # Of all pages' lengths a section needs those of its own pages.
+    lengths = F.transform(F.sequence("before", "last"), lambda p: F.least(F.lit(500), F.col("n") - p * 500))
+    cut = cut.select("doc_id", "section_no", "own", "offset", "before", (F.col("last") - F.col("before") + 1).alias("last"), lengths.alias("lengths"))
+    rows = cut.select("doc_id", "section_no", "before", F.explode(V.page_pieces(F.col("own"), F.lit(1), F.col("offset"), F.col("last"), F.col("lengths"))).alias("x"))
+    return rows.select("doc_id", "section_no", F.struct((F.col("x.page") + F.col("before")).alias("page"), "x.piece").alias("x"))
 
 
 @query(f"""WITH {SECTIONS} SELECT doc_id, CAST(b // 700 AS INTEGER) AS section_no, CAST(p AS INTEGER) AS page, substr(text, greatest(b, (p - 1) * 500) + 1, least(e, p * 500) - greatest(b, (p - 1) * 500)) AS piece

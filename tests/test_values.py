@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import values as V
 from siftlake.operators import evaluation
+from siftlake.plans import QUERIES
 
 
 def one(spark, col, schema="id int", row=(1,)):
@@ -46,3 +47,28 @@ def test_summaries(spark):
     pages = spark.createDataFrame([(1, 10), (2, 10), (3, 10)], "id int, pages_len long")
     got = evaluation.lengths_agree(pages, spark.createDataFrame([(1, 10), (2, 9)], "id int, sections_len long"), "id")
     assert {r.id: r.whole for r in got.collect()} == {1: True, 2: False, 3: False}
+
+
+def test_pieces_of_long_texts_take_one_walk(spark):
+    t = "ab\n\r\U0001f600é\x00" * 50
+    got = spark.range(1).select(V.pieces(F.lit(t), 33).alias("x"), V.pieces(F.lit(""), 33).alias("none")).first()
+    assert got.x == [t[i : i + 33] for i in range(0, len(t), 33)] and got.none == []
+
+
+def test_sections_of_a_long_text(spark, tmp_path):
+    """A text of a megabyte: its sections are cut in proportion to its length (before, in proportion to its square: over a minute)."""
+    import time
+
+    rows = [(1, "wörd\n" * 200_000), (2, None), (3, ""), (4, "x" * 700), (5, "y" * 701), (6, "z" * 3501)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.time()
+    got = QUERIES["section_pages"](spark, str(tmp_path)).collect()
+    took = time.time() - began
+    want = []
+    for i, t in rows:
+        for b in range(0, len(t or ""), 700):
+            e = min(b + 700, len(t))
+            want += [(i, b // 700, p, t[max(b, (p - 1) * 500) : min(e, p * 500)]) for p in range(b // 500 + 1, (e - 1) // 500 + 2)]
+    assert sorted(map(tuple, got)) == sorted(want) and took < 20
+    lengths = QUERIES["section_length_check"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.pages_len, r.sections_len, r.whole) for r in lengths} == {i: (len(t), len(t), True) for i, t in rows if t}
