@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +28,10 @@ def ready(tasks: DataFrame, done: DataFrame) -> DataFrame:
 def levels(tasks: DataFrame, plan: str | None = None) -> DataFrame:
     """(plan,) task_id, level (0: needs nothing that is there; null: on a cycle or behind one), terminal (nothing needs it).
 
-    In rounds: tasks that wait for nothing are free, and what needs them waits for that many fewer. A round is one equi-join of the free tasks with the edges and one of the counts with the
-    tasks that still wait; its state is written, so that nothing is held in one place and a lost executor costs a task, not the rounds. A task is free in the round of its longest way, so
-    there are as many rounds as levels; what never gets free is on a cycle or behind one. Rows of one id are one task; needs that no task has do not count.
+    In rounds: a round counts the needs that the tasks freed by the one before meet, adds the counts of tasks that wait for more, and frees those whose needs are all met. It reads the edges, but
+    shuffles and writes only the tasks it touched and those that wait with a part of their needs met; tasks that nothing reached yet are in no state. Few free tasks are broadcast by Spark, so
+    that edges are shuffled in the rounds of large levels only. The state is written, so that nothing is held in one place and a lost executor costs a task, not the rounds. A task is free in
+    the round of its longest way, so there are as many rounds as levels; what never gets free is on a cycle or behind one. Rows of one id are one task; needs that no task has do not count.
     """
     spark = tasks.sparkSession
     ids = [*([plan] if plan else []), "task_id"]
@@ -39,19 +41,23 @@ def levels(tasks: DataFrame, plan: str | None = None) -> DataFrame:
         df.write.parquet(f"{at}/{name}")
         return spark.read.schema(df.schema).parquet(f"{at}/{name}")
 
-    known = tasks.select(*ids).distinct()
+    known = tasks.select(*ids)
     needs = known.withColumnRenamed("task_id", "needs")
-    all_edges = kept(edges(tasks, ids[:-1]).distinct().join(needs, needs.columns, "left_semi").select(*ids, "needs"), "edges")
-    state = kept(known.join(all_edges.groupBy(*ids).agg(F.count("*").alias("left")), ids, "left").select(*ids, F.coalesce("left", F.lit(0).cast("long")).alias("left")), "state/round=0")
+    found = kept(edges(tasks, ids[:-1]).distinct().join(needs, needs.columns, "left_semi").select(*ids, "needs"), "found")
+    # A task's number of needs stands at each of its edges: no round has to look it up.
+    all_edges = kept(found.join(found.groupBy(*ids).agg(F.count("*").alias("degree")), ids), "edges")
+    none = F.lit(0).cast("long")
+    state = kept(known.join(found.select(*ids), ids, "left_anti").distinct().select(*ids, none.alias("met"), none.alias("degree")), "state/round=0")
     nth = 0
-    while not (free := state.where("left = 0").select(*ids)).isEmpty():
-        met = all_edges.join(free.withColumnRenamed("task_id", "needs"), needs.columns).groupBy(*ids).agg(F.count("*").alias("met"))
+    while not (free := state.where("met = degree").select(*ids)).isEmpty():
+        touched = all_edges.join(free.withColumnRenamed("task_id", "needs"), needs.columns).groupBy(*ids).agg(F.count("*").alias("met"), F.max("degree").alias("degree"))
+        both = state.where("met < degree").unionByName(touched)
         nth += 1
-        state = kept(state.where("left > 0").join(met, ids, "left").select(*ids, (F.col("left") - F.coalesce("met", F.lit(0))).alias("left")), f"state/round={nth}")
-    every = spark.read.schema(f"{', '.join(f'{c} {known.schema[c].dataType.simpleString()}' for c in ids)}, left long, round int").parquet(f"{at}/state")
-    level = every.where(f"left = 0 OR round = {nth}").select(*ids, F.when(F.col("left") == 0, F.col("round")).alias("level"))
-    asked = all_edges.select(*needs.columns).distinct().withColumnRenamed("needs", "task_id").withColumn("asked", F.lit(True))
-    return level.join(asked, ids, "left").select(*ids, "level", F.col("asked").isNull().alias("terminal"))
+        state = kept(both.groupBy(*ids).agg(F.sum("met").alias("met"), F.max("degree").alias("degree")), f"state/round={nth}")
+    every = spark.read.schema(f"{', '.join(f'{c} {known.schema[c].dataType.simpleString()}' for c in ids)}, met long, degree long, round int").parquet(f"{at}/state")
+    level, asked = F.lit(None).cast("int").alias("level"), F.lit(False).alias("asked")
+    seen = [known.select(*ids, level, asked), every.where("met = degree").select(*ids, F.col("round").alias("level"), asked), found.select(*ids[:-1], F.col("needs").alias("task_id"), level, F.lit(True).alias("asked"))]
+    return reduce(DataFrame.unionAll, seen).groupBy(*ids).agg(F.max("level").alias("level"), (~F.max("asked")).alias("terminal"))
 
 
 def cycles(tasks: DataFrame) -> DataFrame:

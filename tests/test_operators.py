@@ -298,3 +298,24 @@ def test_language_of_a_question(spark):
     assert ask("la casa che non per gli una", None) == "it" and ask("los que en una por las", None, "the of and to") == "en"
     with pytest.raises(Exception, match="unsupported language"):
         ask("le les des est une dans", None)
+
+
+def test_rounds_of_levels_write_what_they_touch(spark, monkeypatch):
+    """A binary tree and a chain behind it: the rounds' states hold a few rows for each task (before: a row for each waiting task in each round)."""
+    from pyspark.sql import DataFrame, DataFrameWriter
+
+    n, sizes, parquet = 256, [], DataFrameWriter.parquet
+    rows = [(i, [i // 2] if i else []) for i in range(n)] + [(i, [i - 1, 0]) for i in range(n, n + 6)] + [(900, [901]), (901, [900]), (902, [900, 1]), (5, [2, 2, 12345])]
+
+    def counted(self, path, *a, **k):
+        parquet(self, path, *a, **k)
+        if "/state/" in path:
+            sizes.append(spark.read.parquet(path).count())
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", counted)
+    got = {r.task_id: (r.level, r.terminal) for r in tasks.levels(spark.createDataFrame(rows, "task_id long, depends_on array<long>")).collect()}
+    graph = {}
+    for t, x in rows:
+        graph[t] = sorted({*graph.get(t, []), *x})
+    assert got == plain_levels(graph) and got[902] == (None, True)
+    assert sum(sizes) < 2 * len(graph) and len(sizes) > 9
