@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +13,52 @@ from siftlake.functions.text import bound
 
 
 WINDOW = 8
-#: Questions whose hashes become part of the plan; more meet the texts' in a join.
+#: Questions, and hashes of them, that go to every task; those of more meet the texts' in a join.
 FEW = 4096
 
 
+def searched(questions: DataFrame, docs: DataFrame, item: str = "item_id") -> DataFrame | None:
+    """item, doc_id, page: documents that hold a question's text, and the line where it first begins; by one pass over the texts, from which only these rows come. None for more than FEW questions.
+
+    A question's inner words are words of any text that holds it, so its longest one leads to the few texts that are searched for the whole.
+    """
+    rows = questions.where("text IS NOT NULL").select(item, "text").limit(FEW + 1).toArrow()
+    if rows.num_rows > FEW:
+        return None
+    items, asked, by = rows.column(0).combine_chunks(), rows.column(1).to_pylist(), defaultdict(list)
+    for i, q in enumerate(asked):
+        by[max(q.replace("\n", " ").split(" ")[1:-1], key=len, default=None)].append(i)
+    every, probes = by.pop(None, []), dict(by)
+    ids, kind = questions.schema[item].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, place, page = [], [], []
+            for row, x in enumerate(b.column("text")):
+                text = x.as_py()
+                if text is None:
+                    continue
+                held = probes.keys() & set(text.replace("\n", " ").split(" "))
+                for i in [*every, *(i for w in held for i in probes[w])]:
+                    begin = text.find(asked[i])
+                    if begin >= 0:
+                        at.append(row)
+                        place.append(i)
+                        page.append(text.count("\n", 0, begin) + 1)
+            yield pa.RecordBatch.from_arrays([items.take(pa.array(place, pa.int32())), b.column("doc_id").take(pa.array(at, pa.int32())), pa.array(page, pa.int32())], names=[item, "doc_id", "page"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"{item} {ids}, doc_id {kind}, page int")
+
+
 def contained(questions: DataFrame, docs: DataFrame, item: str = "item_id") -> DataFrame:
     """item, doc_id: documents that hold a question's text.
 
     A question's second to ninth words are whole words of any text that holds it (its first and last may be parts of words), so the texts'
     eight-word windows lead to the few candidates, which are then searched. Shorter questions go by their second word; those without an
-    inner word are few and are searched for in every text.
+    inner word are few and are searched for in every text. Few questions are searched for by one pass over the texts.
     """
+    if (rows := searched(questions, docs, item)) is not None:
+        return rows.select(item, "doc_id")
     parts = lambda c: F.split(c, "[ \n]")
     q = questions.select(item, F.col("text").alias("q"), parts(F.col("text")).alias("w")).where("q IS NOT NULL")
     size = F.size("w")
@@ -43,6 +82,15 @@ def contained(questions: DataFrame, docs: DataFrame, item: str = "item_id") -> D
     return found
 
 
+def first_pages(questions: DataFrame, docs: DataFrame, item: str = "item_id") -> DataFrame:
+    """item, doc_id, page: documents that hold a question's text, and the line where it first begins."""
+    if (rows := searched(questions, docs, item)) is not None:
+        return rows
+    held = contained(questions, docs, item).join(questions.select(item, F.col("text").alias("q")), item).join(docs, "doc_id")
+    before = F.expr("substring(text, 1, locate(q, text) - 1)")
+    return held.select(item, "doc_id", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("page"))
+
+
 def hit_rate(found: DataFrame, gold: DataFrame, item: str = "item_id") -> DataFrame:
     """One row: questions with a gold document, how many have one among their results, the share, and the mean reciprocal rank."""
     best = gold.join(found, [item, "doc_id"], "left").groupBy(item).agg(F.min("rank").alias("rank"))
@@ -52,10 +100,11 @@ def hit_rate(found: DataFrame, gold: DataFrame, item: str = "item_id") -> DataFr
 def retrieval_rates(found: DataFrame, gold: DataFrame, item: str = "item_id") -> DataFrame:
     """One row: n_questions, pct_file and pct_page (questions with a result of a gold file, and on a gold page or one beside it), con_prob (of those with the file, how many also
     have the page) and mean_best (the mean of the questions' highest similarity). found: item, doc_id, page, similarity; gold: item, doc_id, page."""
-    best = found.groupBy(item).agg(F.max("similarity").alias("best"))
-    right = gold.join(found.select(item, "doc_id", F.col("page").alias("found_page")), [item, "doc_id"])
-    hits = right.groupBy(item).agg(F.lit(1).alias("file"), F.max(near_page(F.col("page"), F.col("found_page")).cast("int")).alias("page"))
-    each = gold.select(item).distinct().join(hits, item, "left").join(best, item, "left")
+    # A question's results are a page of them: they meet its gold documents as one row, so that both sides are made once.
+    own = found.groupBy(item).agg(F.max("similarity").alias("best"), F.collect_list(F.struct("doc_id", "page")).alias("held"))
+    same = lambda x: x["doc_id"] == F.col("doc_id")
+    file, page = F.exists("held", same), F.exists("held", lambda x: same(x) & near_page(F.col("page"), x["page"]))
+    each = gold.join(own, item, "left").groupBy(item).agg(F.max(file.cast("int")).alias("file"), F.max(page.cast("int")).alias("page"), F.max("best").alias("best"))
     file, page = F.coalesce(F.sum("file"), F.lit(0)), F.coalesce(F.sum("page"), F.lit(0))
     return each.agg(F.count("*").alias("n_questions"), F.round(100 * F.try_divide(file, F.count("*")), 6).alias("pct_file"), F.round(100 * F.try_divide(page, F.count("*")), 6).alias("pct_page"), F.round(F.try_divide(page, file), 6).alias("con_prob"), F.round(F.avg("best"), 6).alias("mean_best"))
 

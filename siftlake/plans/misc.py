@@ -11,7 +11,7 @@ from siftlake.functions import text as T
 from siftlake.functions import values as V
 from siftlake.operators import catalog, chat, evaluation, merging, tasks
 from siftlake.plans.registry import load, query, texts
-from siftlake.plans.search import C_SQL, D_SQL, chunk_index, chunks, documents, scored_sql
+from siftlake.plans.search import C_SQL, D_SQL, best_chunks, chunks, documents, scored_sql
 from siftlake.streaming import ingest
 
 
@@ -214,19 +214,15 @@ e AS (SELECT i.item_id, r.item_id IS NOT NULL AS file, r.page, m.best FROM (SELE
 SELECT count(*) AS n_questions, round(100.0::DOUBLE * count(*) FILTER (file) / count(*), 6) AS pct_file, round(100.0::DOUBLE * coalesce(sum(page), 0) / count(*), 6) AS pct_page,
  round(coalesce(sum(page), 0)::DOUBLE / nullif(count(*) FILTER (file), 0), 6) AS con_prob, round(avg(best), 6) AS mean_best FROM e""")
 def eval_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored postings searched with every benchmark text: are its file and page among the three best chunks, and how like is the best one?"""
+    """The chunks searched with every benchmark text: are its file and page among the three best, and how like is the best one?"""
     questions = load(spark, sf_dir, "benchmark").select("item_id", "text")
     words = F.array_distinct(T.words(F.col("text")))
     terms = questions.select("item_id", F.explode(words).alias("lexeme"))
-    best = chunk_index(spark, sf_dir).top_many(terms, "item_id", 3)
-    cut = chunks(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "chunk_id", "page", "chunk_text")
+    best, of = best_chunks(spark, sf_dir, terms, "item_id", 3)
+    cut = chunks(of).select("doc_id", "chunk_id", "page", "chunk_text")
     met = best.join(cut, "chunk_id").join(questions.select("item_id", words.alias("q")), "item_id")
     found = met.select("item_id", "doc_id", "page", (F.size(F.array_intersect("q", T.words(F.col("chunk_text")))) / F.size("q")).alias("similarity"))
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    held = evaluation.contained(questions, docs).join(questions, "item_id").withColumnRenamed("text", "q").join(docs, "doc_id")
-    before = F.expr("substring(text, 1, locate(q, text) - 1)")
-    gold = held.select("item_id", "doc_id", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("page"))
-    return evaluation.retrieval_rates(found, gold)
+    return evaluation.retrieval_rates(found, evaluation.first_pages(questions, texts(spark, sf_dir).select("doc_id", "text")))
 
 
 @query("""WITH x AS (SELECT l.quality, l.toxic, CASE WHEN d.n_chars > 1000 THEN 1 ELSE 0 END AS hit FROM labels l JOIN documents d USING (doc_id))
